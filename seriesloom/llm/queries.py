@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .jaccard_join import similar_components
 from .packing import harmonic_pack
 from .token_counts import token_counts
 
@@ -19,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of shingle similarity 0.75."""
+    return similar_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row that stays for every document's text."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
@@ -34,7 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_jaccard_join, op4_exact_dedup, op6_packing, op10_token_counts)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
