@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .html_text import extract_pages
 from .jaccard_join import similar_components
+from .mixing import mix_documents
 from .packing import harmonic_pack
+from .quality import labelled_rows, quality_scores, train
 from .token_counts import token_counts
+from .topk import exact_top_k
+from .url_filter import DAMPING, EXCESS, ROUNDS, RULES, judge_urls
+from .warc import REVISIT_BYTES, archive_round_trip
 
 
-def _path(name: str) -> str:
+def tokenizer_path(name: str) -> str:
+    """Place of an installed public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -20,31 +27,122 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of shingle similarity 0.75."""
     return similar_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = train(labelled_rows(docs, _table(spark, sf_dir, "labels"), "quality"))
+    return quality_scores(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row that stays for every document's text."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best matches of every 50th vector."""
+    return exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of every document's tokens in sequences of at most 4096."""
-    return harmonic_pack(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
+    return harmonic_pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document."""
-    return token_counts(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rate and copies of every document."""
+    return mix_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every page after an archive was written and read."""
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard_join, op4_exact_dedup, op6_packing, op10_token_counts)}
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_text,
+        op2_jaccard_join,
+        op3_quality,
+        op4_exact_dedup,
+        op5_top_k,
+        op6_packing,
+        op7_mixing,
+        op8_warc,
+        op9_url_filter,
+        op10_token_counts,
+    )
+}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _url_sql() -> str:
+    """Rules as a case expression, and the rounds of both propagations one by one."""
+    rules = sorted(RULES, key=lambda r: -len(r.name))
+    fits = [f"(host = '{r.host}' OR suffix(host, '.{r.host}')) AND prefix(path, '{r.path}')" for r in rules]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r.name}'" for f, r in zip(fits, rules)) + " END"
+    says = "CASE " + " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in zip(fits, rules)) + " END"
+    out = []
+    for name, seed, a, b in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
+        out.append(f"{name}s AS (SELECT {a} AS a, {b} AS b, w / sum(w) OVER (PARTITION BY {a}) AS share FROM links)")
+        out.append(f"{name}0 AS (SELECT host, {1 - DAMPING} * {seed} AS score FROM seeds WHERE {seed} > 0)")
+        for k in range(1, ROUNDS + 1):
+            moved = f"SELECT s.b AS host, {DAMPING} * p.score * s.share AS score FROM {name}s s JOIN {name}{k - 1} p ON p.host = s.a"
+            out.append(f"{name}{k} AS (SELECT host, sum(score) AS score FROM ({moved} UNION ALL SELECT * FROM {name}0) GROUP BY host)")
+    link = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"''\s>]*)"""
+    return rf"""
+        WITH u AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0), {_UPPER}, {_LOWER}) AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        j AS (SELECT *, {rule} AS rule, {says} AS says FROM p),
+        seeds AS (SELECT host, avg(CASE WHEN says = 'allow' THEN 1.0 ELSE 0 END) AS good, avg(CASE WHEN says = 'block' THEN 1.0 ELSE 0 END) AS bad
+                  FROM j WHERE host <> '' GROUP BY host),
+        named AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), {_UPPER}, {_LOWER}) AS dst FROM p),
+        links AS (SELECT src, dst, count(*)::DOUBLE AS w FROM named WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+        {", ".join(out)},
+        blocked AS (SELECT d.host FROM d{ROUNDS} d LEFT JOIN t{ROUNDS} t USING (host)
+                    WHERE round(d.score - coalesce(t.score, 0), 12) > {EXCESS * (1 - DAMPING)})
+        SELECT page_id, host, path, rule,
+               coalesce(says, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM j
+    """
+
 
 ORACLES = {
+    "op2_jaccard_join": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(1, len(words) - 4) + 1), lambda i: array_to_string(words[i:i + 4], ' ')))) AS shingle
+              FROM w WHERE len(words) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
+    """,
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_NORM} AS norm, length(coalesce(text, '')) AS n FROM documents),
         r AS (SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id,
@@ -52,4 +150,22 @@ ORACLES = {
               FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST))
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM r
     """,
+    "op5_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+              FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+    "op8_warc": f"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        s AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM s)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id < top THEN top END AS refers_to FROM m
+    """,
+    "op9_url_filter": _url_sql(),
 }
