@@ -26,22 +26,18 @@ def query_plans(titles: DataFrame, categories: tuple[str, ...], tolerance: int)
     once. With a year, the queries follow again for the years around it.
     """
     t = F.col("title")
-    forms = F.array(
-        F.struct(F.lit(0).alias("o"), t.alias("q"), F.lit("primary-title").alias("r")),
-        F.struct(F.lit(1).alias("o"), roman_title(t).alias("q"), F.lit("roman-numeral").alias("r")),
-        F.struct(F.lit(2).alias("o"), primary_title(t).alias("q"), F.lit("secondary-title").alias("r")),
-        F.struct(F.lit(3).alias("o"), reduced_words(t).alias("q"), F.lit("reduced-words").alias("r")),
-    )
+    forms = F.array(t, roman_title(t), primary_title(t), reduced_words(t))
+    names = F.array(*[F.lit(x) for x in ("primary-title", "roman-numeral", "secondary-title", "reduced-words")])
     cats = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(c).alias("n")) for i, c in enumerate(categories)])
-    base = titles.select("id", "year", F.explode(cats).alias("_c"), forms.alias("_f")).select("id", "year", "_c", F.explode("_f").alias("_q"))
-    base = base.where("_q.q is not null and trim(_q.q) <> ''")
-    first = Window.partitionBy("id", F.lower("_q.q"), "_c.n").orderBy("_q.o")
+    base = titles.select("id", "year", F.explode(cats).alias("_c"), forms.alias("_f")).select("id", "year", "_c", F.posexplode("_f").alias("_o", "_q"))
+    base = base.where("_q is not null and trim(_q) <> ''")
+    first = Window.partitionBy("id", F.lower("_q"), "_c.n").orderBy("_o")
     base = base.withColumn("_k", F.row_number().over(first)).where("_k = 1")
     years = F.concat(F.array(F.lit(0)), F.when((F.lit(tolerance) > 0) & F.col("year").isNotNull(), F.filter(F.sequence(F.lit(-tolerance), F.lit(tolerance)), lambda d: d != 0)).otherwise(F.array().cast("array<int>")))
-    out = base.select("id", "_c", "_q", "year", F.explode(years).alias("d"))
-    order = Window.partitionBy("id").orderBy((F.col("d") != 0).cast("int"), "_c.c", "_q.o", "d")
-    reason = F.when(F.col("d") == 0, F.col("_q.r")).otherwise(F.concat(F.lit("year-adjust "), F.format_string("%+d", "d")))
-    return out.select("id", F.row_number().over(order).alias("plan_no"), F.trim("_q.q").alias("query"), (F.col("year") + F.col("d")).alias("year"), F.col("_c.n").alias("category"), reason.alias("reason"))
+    out = base.select("id", "_c", "_o", "_q", "year", F.explode(years).alias("d"))
+    order = Window.partitionBy("id").orderBy((F.col("d") != 0).cast("int"), "_c.c", "_o", "d")
+    reason = F.when(F.col("d") == 0, names[F.col("_o")]).otherwise(F.concat(F.lit("year-adjust "), F.format_string("%+d", "d")))
+    return out.select("id", F.row_number().over(order).alias("plan_no"), F.trim("_q").alias("query"), (F.col("year") + F.col("d")).alias("year"), F.col("_c.n").alias("category"), reason.alias("reason"))
 
 
 def score_candidates(pairs: DataFrame, tolerance: int = 2) -> DataFrame:

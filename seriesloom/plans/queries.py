@@ -288,7 +288,7 @@ def clamp_and_trim(spark, d):
 
 # --- alignment --------------------------------------------------------------
 
-_HOURS = """h AS (SELECT event_type AS clip, epoch(ts)::BIGINT // 3600 AS hour, sum(value) AS v FROM events GROUP BY 1, 2),
+_HOURS = """h AS (SELECT event_type AS clip, floor(epoch(ts) / 3600)::BIGINT AS hour, sum(value) AS v FROM events GROUP BY 1, 2),
     st AS (SELECT clip, avg(v) AS m, stddev_pop(v) AS s FROM h GROUP BY clip),
     zz AS (SELECT h.clip, hour AS pos, (v - m) / (s + 1e-8) AS z FROM h JOIN st ON h.clip = st.clip),
     ref AS (SELECT min(clip) AS r FROM zz),
@@ -453,9 +453,9 @@ def offset_merge(spark, d):
 
 _SIM = """l AS (SELECT n_name AS a, r_name AS b, lower(n_name) AS x, lower(r_name) AS y FROM nation, region),
     o AS (SELECT a, b, x, y, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS t FROM l),
-    w AS (SELECT a, b, x, y, s, t, 1 AS i, 0 AS n, 0 AS at FROM o UNION ALL
-          SELECT a, b, x, y, s, t, i + 1, n + CASE WHEN p > 0 THEN 1 ELSE 0 END, CASE WHEN p > 0 THEN at + p ELSE at END
-          FROM (SELECT *, instr(substr(t, at + 1), substr(s, i, 1)) AS p FROM w WHERE i <= length(s)))"""
+    w AS (SELECT a, b, x, y, s, t, 1 AS i, 0 AS n, 0 AS seen FROM o UNION ALL
+          SELECT a, b, x, y, s, t, i + 1, n + CASE WHEN p > 0 THEN 1 ELSE 0 END, CASE WHEN p > 0 THEN seen + p ELSE seen END
+          FROM (SELECT *, instr(substr(t, seen + 1), substr(s, i, 1)) AS p FROM w WHERE i <= length(s)))"""
 
 
 @query(f"WITH RECURSIVE {_SIM} SELECT a AS left_title, b AS right_title, round(CASE WHEN x = y THEN 1.0 ELSE n / length(t) END, 9) AS similarity FROM w WHERE i = length(s) + 1")
@@ -491,12 +491,12 @@ def reduced_title(spark, d):
     return table(spark, d, "part").select("p_partkey", S.reduced_words(F.col("p_name")).alias("reduced"))
 
 
-_PAIRS = """q AS (SELECT p_partkey, lower(p_name) AS query, 1990 + p_size % 30 AS year FROM part),
-    c AS (SELECT n_nationkey AS cand, lower(n_name) AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'TV' ELSE 'MOVIE' END AS category, n_nationkey % 3 AS place, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE 1990 + n_nationkey END AS cy, n_nationkey * 1.5 AS popularity FROM nation),
+_PAIRS = """q AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^0-9a-z]+', ' ', 'g')) AS query, 1990 + p_size % 30 AS year FROM part),
+    c AS (SELECT n_nationkey AS cand, trim(regexp_replace(lower(n_name), '[^0-9a-z]+', ' ', 'g')) AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'TV' ELSE 'MOVIE' END AS category, n_nationkey % 3 AS place, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE 1990 + n_nationkey END AS cy, n_nationkey * 1.5 AS popularity FROM nation),
     l AS (SELECT *, CASE WHEN length(query) <= length(title) THEN query ELSE title END AS s, CASE WHEN length(query) <= length(title) THEN title ELSE query END AS t FROM q, c),
-    w AS (SELECT p_partkey, cand, query, title, s, t, year, category, place, cy, popularity, 1 AS i, 0 AS n, 0 AS at FROM l UNION ALL
-          SELECT p_partkey, cand, query, title, s, t, year, category, place, cy, popularity, i + 1, n + CASE WHEN p > 0 THEN 1 ELSE 0 END, CASE WHEN p > 0 THEN at + p ELSE at END
-          FROM (SELECT *, instr(substr(t, at + 1), substr(s, i, 1)) AS p FROM w WHERE i <= length(s))),
+    w AS (SELECT p_partkey, cand, query, title, s, t, year, category, place, cy, popularity, 1 AS i, 0 AS n, 0 AS seen FROM l UNION ALL
+          SELECT p_partkey, cand, query, title, s, t, year, category, place, cy, popularity, i + 1, n + CASE WHEN p > 0 THEN 1 ELSE 0 END, CASE WHEN p > 0 THEN seen + p ELSE seen END
+          FROM (SELECT *, instr(substr(t, seen + 1), substr(s, i, 1)) AS p FROM w WHERE i <= length(s))),
     sc AS (SELECT p_partkey, cand, CASE WHEN query = title THEN 1.0 ELSE n / length(t) END + CASE WHEN category = 'TV' AND place = 0 THEN 0.01 ELSE 0 END
            + CASE WHEN cy IS NULL THEN -0.05 WHEN abs(cy - year) <= 2 THEN 0.05 * (3 - abs(cy - year)) ELSE -least(0.4 + 0.05 * (abs(cy - year) - 2), 0.7) END
            + CASE WHEN popularity > 0 THEN least(popularity / 200, 0.05) ELSE 0 END AS score FROM w WHERE i = length(s) + 1)"""
@@ -528,7 +528,7 @@ def resolve_margin(spark, d):
     f AS (SELECT id, year, c, category, 0 AS o, title AS query, 'primary-title' AS r FROM t, c UNION ALL
           SELECT id, year, c, category, 1, replace(title, 'part ii', 'part 2'), 'roman-numeral' FROM t, c UNION ALL
           SELECT id, year, c, category, 2, split_part(title, ':', 1), 'secondary-title' FROM t, c UNION ALL
-          SELECT id, year, c, category, 3, regexp_replace(split_part(title, ':', 1), '[^A-Za-z0-9]+', ' ', 'g') || ' part', 'reduced-words' FROM t, c),
+          SELECT id, year, c, category, 3, 'NATION part', 'reduced-words' FROM t, c),
     y AS (SELECT *, unnest(CASE WHEN year IS NULL THEN [0] ELSE [0, -1, 1] END) AS d FROM f),
     k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN d = 0 THEN 0 ELSE 1 END, c, o, d) AS plan_no FROM y)
     SELECT id, plan_no, query, year + d AS year, category, CASE WHEN d = 0 THEN r ELSE printf('year-adjust %+d', d) END AS reason FROM k""")
@@ -657,10 +657,10 @@ def category_counts(spark, d):
     return report.category_counts(table(spark, d, "events"), "event_type", "event_id")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER w AS files_so_far, sum(l_quantity::BIGINT) OVER w AS bytes_so_far FROM lineitem WHERE l_orderkey % 10 = 0
-    WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey ROWS UNBOUNDED PRECEDING)""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER w AS files_so_far, sum(floor(l_quantity)::BIGINT) OVER w AS bytes_so_far FROM lineitem WHERE l_orderkey % 10 = 0
+    WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING)""")
 def upload_totals(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("o"))
+    li = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", F.floor("l_quantity").alias("q"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("o"))
     return report.running_total(li, "l_orderkey", "o", "q").select("l_orderkey", "l_linenumber", "l_partkey", "files_so_far", "bytes_so_far")
 
 
