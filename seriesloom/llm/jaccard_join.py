@@ -13,7 +13,9 @@ that no two sets that could be linked use different forms.
 Documents that share a signature are first verified against one of them, the one
 with the fewest rare shingles. Components of the links found so far then tell
 which signatures still join documents of different components, and only for
-these the remaining pairs are verified. Sets are compared in full.
+these the remaining pairs are verified. Before sets are sent around, pairs are
+dropped whose parity sketches differ in more places than linked sets can; what is
+left is compared in full.
 """
 
 from __future__ import annotations
@@ -50,17 +52,40 @@ def _meets(n, m):
     return -(-3 * (n + m) // 7)
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """Parities of the shingles in each of a power of two of cells, no fewer than shingles.
+
+    Two sets differ in at least as many shingles as their sketches in bits; a
+    larger sketch folds into a smaller one.
+    """
+    cells = max(64, 1 << (len(s) - 1).bit_length())
+    hit = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((hit & 1).astype(np.uint8)).tobytes()
+
+
+def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int) -> bool:
+    """Whether sketches of sets of n and m shingles allow a link: these differ in at most (n + m) / 7."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return 7 * int(np.bitwise_count(a ^ b).sum()) <= n + m
+
+
 def _counts(id_col: str, text_col: str, width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())]
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.uint32)
         seen: set[int] = set()
         for batch in text_slices(batches, text_col):
-            sizes, nodes, fresh = [], [], []
+            sizes, nodes, sketches, fresh = [], [], [], []
             for s in shingle_sets(batch.column(text_col).to_pylist(), width):
                 sizes.append(len(s))
                 nodes.append(key := set_key(s) if len(s) else None)
+                sketches.append(parity_sketch(s) if len(s) else None)
                 if key is not None and key not in seen:
                     fresh.append(s)
                     if len(seen) < SEEN:
@@ -69,13 +94,13 @@ def _counts(id_col: str, text_col: str, width: int):
                 counters += np.bincount((np.concatenate(fresh) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                [batch.column(id_col).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 schema=schema,
             )
         k = COUNTERS // BLOCK
         blocks = [counters[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(k)]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())],
+            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())],
             schema=schema,
         )
 
@@ -255,24 +280,49 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar.
+def _compare_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that sketches do not rule out; rows come sorted by key, salt and role."""
+    at, mine, m = None, None, 0
+    for batch in batches:
+        a, b = [], []
+        for key, salt, role, node, n, raw in zip(*[batch.column(c) for c in ("key", "salt", "role", "node", "n", "sketch")]):
+            where, got = (key.as_py(), salt.as_py()), np.frombuffer(raw.as_buffer(), np.uint8)
+            if role.as_py() == 0:
+                at, mine, m = where, got, n.as_py()
+            elif where == at and may_link(got, n.as_py(), mine, m):
+                a.append(node.as_py())
+                b.append(where[0])
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    Every set is sent to the documents that it meets; a document met by many
-    receives them in parts of about ``MEET``.
-    """
+
+def _meetings(pairs: DataFrame) -> DataFrame:
+    """What each node is sent to: itself in role 0 and its partners in role 1, in parts of about ``MEET``."""
     met = pairs.groupBy("b").agg((F.count("*") / MEET).cast("int").alias("parts"))
     sent = pairs.join(met, "b").select(
         F.col("a").alias("node"), F.struct(F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.col("parts") + 1).cast("int").alias("salt"), F.lit(1).alias("role")).alias("m")
     )
     own = met.select("b", F.explode(F.sequence(F.lit(0), "parts")).alias("salt")).select(F.col("b").alias("node"), F.struct(F.col("b").alias("key"), "salt", F.lit(0).alias("role")).alias("m"))
-    meets = sent.unionByName(own).groupBy("node").agg(F.collect_list("m").alias("meets"))
+    return sent.unionByName(own)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar.
+
+    Sketches, then the sets of what they leave, are sent to the documents that
+    they meet; a document met by many receives them in several places.
+    """
+    drawn = _meetings(pairs).join(nodes.select("node", "n", "sketch"), "node").select("m.*", "node", "n", "sketch")
+    likely = Stored(_met(drawn).mapInArrow(_compare_sketches, "a long, b long"), "likely").df
+    meets = _meetings(likely).groupBy("node").agg(F.collect_list("m").alias("meets"))
     wanted = Stored(meets.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "meets")
     entries = wanted.df.agg(F.sum(F.size("meets"))).first()[0] or 0
     texts = _restrict(docs, wanted.df, "inner", "doc_id", entries).select("node", "meets", "text")
     sets = texts.mapInArrow(_send_sets(width), "key long, salt int, role int, node long, shingles binary")
-    near = sets.repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
-    return near.mapInArrow(_compare, "a long, b long")
+    return _met(sets).mapInArrow(_compare, "a long, b long")
 
 
 def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,10 +371,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     An empty table gives an empty result; other columns are ignored.
     """
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    first = Stored(slim.mapInArrow(_counts("doc_id", "text", width), "doc_id long, n_shingles long, node long, block int, counts binary"), "counts")
+    first = Stored(slim.mapInArrow(_counts("doc_id", "text", width), "doc_id long, n_shingles long, node long, sketch binary, block int, counts binary"), "counts")
     bits = frequent_counters(first.df.where("block is not null"))
     rows = first.df.where("block is null").select("doc_id", "n_shingles", "node")
-    nodes = Stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "nodes").df
+    alike = first.df.where("node is not null").groupBy("node")
+    nodes = Stored(alike.agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "nodes").df
     sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     # rows of whose identifier no node is represented need not be read again
@@ -355,7 +406,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         late = Stored(verified(slim, nodes, more, width), "late").df
         if not late.isEmpty():
             found = Stored(components(links.unionByName(late)), "components").df
-    named = nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    named = nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = named.join(least, "component").select("node", "component_id")
     return rows.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
