@@ -169,7 +169,7 @@ def roman_value(text: Column) -> Column:
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last"))
     step = lambda z, v: F.struct((z["sum"] + F.when(v > z["last"], v - 2 * z["last"]).otherwise(v)).alias("sum"), v.alias("last"))
     total = F.aggregate(values, start, step, lambda z: z["sum"])
-    return F.when(total > 0, total)
+    return F.when(F.upper(text).rlike("^[IVXLCDM]+$") & (total > 0), total)
 
 
 def normal_title(title: Column) -> Column:

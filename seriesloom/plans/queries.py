@@ -470,7 +470,7 @@ _ROMANS = ("I", "IV", "IX", "XIV", "XL", "XC", "CDXLIV", "MCMXCIV", "MMXXV", "VI
 @query(f"""WITH RECURSIVE v AS (SELECT unnest({list(_ROMANS)}) AS numeral), m(c, x) AS (VALUES ('I', 1), ('V', 5), ('X', 10), ('L', 50), ('C', 100), ('D', 500), ('M', 1000)),
     w AS (SELECT numeral, 1 AS i, 0 AS total, 0 AS last FROM v UNION ALL
           SELECT numeral, i + 1, total + CASE WHEN x > last THEN x - 2 * last ELSE x END, x FROM (SELECT w.*, coalesce(m.x, -10000000) AS x FROM w LEFT JOIN m ON m.c = substr(numeral, i, 1) WHERE i <= length(numeral)))
-    SELECT numeral, CASE WHEN total > 0 THEN total END AS value FROM w WHERE i = length(numeral) + 1""")
+    SELECT numeral, CASE WHEN total > 0 AND regexp_full_match(numeral, '[IVXLCDM]+') THEN total END AS value FROM w WHERE i = length(numeral) + 1""")
 def roman_to_int(spark, d):
     rows = spark.createDataFrame([(x,) for x in _ROMANS], "numeral string")
     return rows.select("numeral", S.roman_value(F.col("numeral")).alias("value"))
