@@ -16,7 +16,7 @@ from seriesloom.llm.exact_dedup import exact_dedup
 from seriesloom.llm.jaccard_join import similar_components
 from seriesloom.llm.mixing import mix_documents
 from seriesloom.llm.packing import harmonic_pack
-from seriesloom.llm.quality import labelled_rows, quality_scores, train
+from seriesloom.llm.quality import labelled_features, quality_scores, train
 
 #: The models are trained here, so SQL cannot express the stages; tests compare them with brute force.
 ORACLE_SQL = None
@@ -28,7 +28,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.3."""
-    model = train(labelled_rows(docs, _labels(spark, sf_dir), "quality"))
+    model = train(labelled_features(docs, _labels(spark, sf_dir), "quality"))
     scored = quality_scores(docs, model, carry=tuple(docs.columns))
     return scored.where("predicted = 1").select(*docs.columns)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Stored, pick, text_slices
-from .quality import labelled_rows, train
+from .quality import labelled_features, train
 
 #: Domains, in the order of all vectors below.
 DOMAINS = ("fine", "toxic", "poor")
@@ -35,8 +35,8 @@ def domain_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     Poor is what the quality labels mark 0, toxic what is not poor and marked
     toxic, fine the rest. Null texts have no tokens and the posteriors of empty ones.
     """
-    quality = train(labelled_rows(docs, labels, "quality", id_col, text_col))
-    toxic = train(labelled_rows(docs, labels, "toxic", id_col, text_col), kind="words")
+    quality = train(labelled_features(docs, labels, "quality", "shapes", id_col, text_col))
+    toxic = train(labelled_features(docs, labels, "toxic", "words", id_col, text_col), kind="words")
     sent = docs.sparkSession.sparkContext.broadcast((quality, toxic))
     kept = list(dict.fromkeys([id_col, *carry]))
     names = list(dict.fromkeys([*kept, text_col]))

@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_slices
+from .common import Stored, pick, text_slices
 
 #: Hashed features.
 FEATURES = 1 << 16
 #: Labelled rows used to fit the weights at most; counts use all of them.
 SAMPLE_ROWS = 4_000
+#: Labels that are sent to all tasks at most, some 30 bytes each.
+SENT_LABELS = 300_000
 SMOOTHING = 1.0
 PENALTY = 0.1
 EPOCHS = 20
@@ -158,19 +160,15 @@ def logistic_curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
-def _class_counts(kind: str):
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Feature counts of each class in a task, one row for each class."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {0: np.zeros(FEATURES, np.int64), 1: np.zeros(FEATURES, np.int64)}
-        rows = {0: 0, 1: 0}
-        for batch in text_slices(batches, "text"):
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                counts[y][KINDS[kind](text)] += 1
-                rows[y] += 1
-        yield pa.RecordBatch.from_pydict({"label": pa.array([0, 1], pa.int32()), "rows": pa.array([rows[0], rows[1]], pa.int64()), "counts": pa.array([counts[0].tobytes(), counts[1].tobytes()], pa.binary())})
-
-    return work
+    counts = {0: np.zeros(FEATURES, np.int64), 1: np.zeros(FEATURES, np.int64)}
+    rows = {0: 0, 1: 0}
+    for batch in batches:
+        for raw, y in zip(batch.column("features"), batch.column("label").to_pylist()):
+            counts[y][np.frombuffer(raw.as_buffer(), np.uint16)] += 1
+            rows[y] += 1
+    yield pa.RecordBatch.from_pydict({"label": pa.array([0, 1], pa.int32()), "rows": pa.array([rows[0], rows[1]], pa.int64()), "counts": pa.array([counts[0].tobytes(), counts[1].tobytes()], pa.binary())})
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,15 +183,16 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, kind: str = "shapes", least_deviations: float = 0.0) -> Model:
-    """Fit on rows of ``doc_id``, ``text`` and ``label`` (0 or 1).
+    """Fit on rows of ``order``, ``features`` and ``label`` (0 or 1), as ``labelled_features`` gives them.
 
     Class counts cover all rows; the driver gets two arrays of ``FEATURES``
     numbers and at most ``sample_rows`` rows, half of each class if there are as
     many, taken in the order of a hash. Features whose ratio is less than
-    ``least_deviations`` standard errors from zero are left out. With no rows, or one class only, the
-    score is a constant.
+    ``least_deviations`` standard errors from zero are left out. With no rows, or
+    one class only, the score is a constant.
     """
-    parts = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(_class_counts(kind), "label int, rows long, counts binary")
+    known = Stored(labelled, "labelled").df
+    parts = known.select("features", "label").mapInArrow(_class_counts, "label int, rows long, counts binary")
     summed = parts.repartition(2, "label").mapInArrow(_add_counts, "label int, rows long, counts binary").collect()
     rows, counts = [0, 0], [np.zeros(FEATURES), np.zeros(FEATURES)]
     for r in summed:
@@ -206,21 +205,10 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, kind: str = "shap
     spread = np.sqrt(1 / (counts[0] + SMOOTHING) + 1 / (counts[1] + SMOOTHING))
     ratio[np.abs(ratio) < least_deviations * spread] = 0.0
     half = sample_rows // 2
-    # only numbers of features travel to the driver, not texts
-    mix = F.xxhash64("doc_id", F.col("text"))
-    taken = [
-        labelled.where(F.col("label") == y).select("text", mix.alias("h"), F.lit(y).alias("label")).orderBy("h").limit(half)
-        for y in (0, 1)
-    ]
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            out = [KINDS[kind](t).astype(np.int32).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "label": batch.column("label").cast(pa.int32()), "features": pa.array(out, pa.binary())})
-
-    got = sorted((r.h, r.label, bytes(r.features)) for r in taken[0].unionByName(taken[1]).mapInArrow(lists, "h long, label int, features binary").toLocalIterator())
+    taken = [known.where(F.col("label") == y).orderBy("order").limit(half) for y in (0, 1)]
+    got = sorted((r.order, r.label, bytes(r.features)) for r in taken[0].unionByName(taken[1]).toLocalIterator())
     y = np.array([1.0 if r[1] else -1.0 for r in got])
-    found = [np.frombuffer(r[2], np.int32) for r in got]
+    found = [np.frombuffer(r[2], np.uint16) for r in got]
     w = dual_coordinate_descent(found, y, ratio) * ratio
     slope, shift = logistic_curve(np.array([w[f].sum() for f in found]), y)
     return Model(w, slope, shift, kind)
@@ -231,11 +219,30 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Training rows: labelled, not held out. Labels other than 0 and 1, and null texts or identifiers, take no part."""
-    marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("label")).where("label in (0, 1)").dropDuplicates(["_id"])
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(~held_out("doc_id") & F.col("text").isNotNull())
-    return rows.join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str, kind: str = "shapes", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``order``, ``features`` and ``label`` of the training rows: labelled and not held out.
+
+    Labels other than 0 and 1, and null texts or identifiers, take no part; of
+    several labels of an identifier the least counts. Few labels are sent to all
+    tasks; many are joined to the feature numbers, never to the texts.
+    """
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(~held_out("doc_id") & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.withColumn("order", F.xxhash64("doc_id", "text"))
+    few = marks.count() <= SENT_LABELS
+    if few:
+        rows = rows.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("doc_id", "order", "label", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            out = [KINDS[kind](t).astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()]
+            kept = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+            yield pa.RecordBatch.from_pydict(kept | {"features": pa.array(out, pa.binary())})
+
+    if few:
+        return rows.mapInArrow(work, "doc_id long, `order` long, label int, features binary").select("order", "features", "label")
+    found = rows.select("doc_id", "order", "text").mapInArrow(work, "doc_id long, `order` long, features binary")
+    return found.join(marks, F.col("doc_id") == F.col("_id")).select("order", "features", "label")
 
 
 def quality_scores(
