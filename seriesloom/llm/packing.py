@@ -10,7 +10,9 @@ remains is short, which leaves little of a sequence unfilled.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -23,9 +25,13 @@ from .common import pick, text_slices
 #: A rest of at most this many tokens is not cut further.
 SHORT = 256
 #: Whitespace-separated chunks kept with their ids by each Python worker.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 500_000
 CACHE_CHARS = 48
 
+#: Marks that often end a word, and words that certainly are letters to the tokenizer.
+MARKS = ".,!?"
+_LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+
 _ENCODERS: dict = {}
 
 
@@ -43,20 +49,56 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        import numpy as np
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = token.endswith("</w>")
+
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words of letters, many in one text: the last token of each is marked as a word's end."""
         import numpy as np
 
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        for start in range(0, len(words), 1_000):
+            part = words[start : start + 1_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(part, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                yield word, raw[at:end]
+                at = end
+
+    def _encoded(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        for start in range(0, len(chunks), 20_000):
+            part = chunks[start : start + 20_000]
+            for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                yield chunk, array("I", enc.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # A-Z may be lowered beforehand: the tokenizer lowers all letters, and this changes no composition
+        split = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.known = {"": b""}
         known = self.known
-        missing = list(set().union(*split).difference(known))
+        # a word and the mark that ends it are parts of their own
+        marked: list[str] = []
+        words: set[str] = set()
+        other: list[str] = []
+        for chunk in set().union(*split).difference(known):
+            if len(chunk) > CACHE_CHARS:
+                other.append(chunk)
+            elif _LATIN(chunk):
+                words.add(chunk)
+            elif chunk[-1] in MARKS and _LATIN(chunk[:-1]):
+                marked.append(chunk)
+                words.add(chunk[:-1])
+            else:
+                other.append(chunk)
         extra: dict[str, bytes] = {}
-        for start in range(0, len(missing), 20_000):
-            part = missing[start : start + 20_000]
-            for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (known if len(chunk) <= CACHE_CHARS else extra)[chunk] = np.array(enc.ids, dtype="<u4").tobytes()
+        known.update(self._words(list(words.difference(known))))
+        for chunk, ids in self._encoded(other + [m for m in MARKS if m not in known]):
+            (known if len(chunk) <= CACHE_CHARS else extra)[chunk] = ids
+        for chunk in marked:
+            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
         if extra:
             return [b"".join([known[c] if c in known else extra[c] for c in s]) for s in split]
         return [b"".join(map(known.__getitem__, s)) for s in split]
