@@ -236,3 +236,24 @@ def strip_noise(name: Column) -> Column:
     stem = F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r"^\[[^\]]+\]", "")
     spaced = F.translate(stem, "[]{}()_.", "        ")
     return F.trim(F.regexp_replace(F.regexp_replace(spaced, rf"(?i)\b({noise})\b", ""), r"\s+", " "))
+
+
+def frame_hint(stored: Column, seconds: Column, fps: Column) -> Column:
+    """Frames as stored, else seconds times rate, half to even."""
+    return F.coalesce(stored.cast("long"), F.when(fps > 0, F.rint(seconds * fps)).cast("long"))
+
+
+def first_rate(*pairs: tuple[Column, Column]) -> Column:
+    """First positive rate among pairs of numerator and denominator, or null."""
+    return F.coalesce(*[F.when((n > 0) & (d > 0), n.cast("double") / d) for n, d in pairs])
+
+
+def highlight(value: Column, rules: list[tuple[str, float, str]]) -> Column:
+    """Name of the first rule that holds: ``gt``, ``lt``, ``abs_gt``, ``abs_gte``, ``abs_lt`` with a bound."""
+    tests = {"gt": lambda v, b: v > b, "lt": lambda v, b: v < b, "abs_gt": lambda v, b: F.abs(v) > b, "abs_gte": lambda v, b: F.abs(v) >= b, "abs_lt": lambda v, b: F.abs(v) < b}
+    return F.coalesce(*[F.when(tests[kind](value, bound), F.lit(name)) for kind, bound, name in rules], F.lit(None).cast("string"))
+
+
+def compression_level(level: Column) -> Column:
+    """PNG level of 0, 1 or 2, clamped: 0, 6 or 9."""
+    return F.element_at(F.array(F.lit(0), F.lit(6), F.lit(9)), (F.greatest(F.lit(0), F.least(F.lit(2), level)) + 1).cast("int"))

@@ -84,3 +84,20 @@ def merge_offsets(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(
         "file", F.when(manual, F.col("_f")).otherwise(F.coalesce("_n", "_f")).alias("frames"), F.coalesce("_n", "_s").alias("suggested"), F.when(manual, "manual").otherwise("auto").alias("status")
     )
+
+
+def build_plans(files: DataFrame, trims: DataFrame, trim_ends: DataFrame, rates: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+    """Files with the overrides for trims at both ends and for the frame rate that match them."""
+    out = files
+    for table, name in ((trims, "trim_start"), (trim_ends, "trim_end"), (rates, "change_fps")):
+        out = out.join(match_overrides(files, row_id, keys, table).withColumnRenamed("value", name), row_id, "left")
+    return out
+
+
+def pick_reference(clips: DataFrame, by: str, hint: str, pos: str) -> DataFrame:
+    """Reference clip of each group: by position, name, stem or label as the hint says, else the analysed, else the first."""
+    h = F.lower(F.trim(hint))
+    same = lambda c: F.lower(F.col(c)) == h
+    rank = F.when(F.col(pos).cast("string") == h, 0).when(same("name"), 1).when(same("stem"), 2).when(same("label"), 3).when(F.col("analysed"), 4).otherwise(5)
+    order = Window.partitionBy(by).orderBy(F.coalesce(rank, F.lit(5)), pos)
+    return clips.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")

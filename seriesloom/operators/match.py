@@ -63,3 +63,41 @@ def resolve(scored: DataFrame, key: str, candidate: str) -> DataFrame:
     best = out.where((F.col("_r") == 1) & (F.col("score") >= LEAST))
     margin = F.col("score") - F.col("_next")
     return best.select(key, candidate, "score", margin.alias("margin"), F.coalesce(margin < MARGIN, F.lit(False)).alias("ambiguous"), (F.col("score") >= SURE).alias("sure"))
+
+
+def expand_titles(title: Column) -> Column:
+    """Searchable forms of a title in order, the first of equal ones in any case.
+
+    The title, single blanks, without years, without parentheses, both sides of a
+    delimiter, the parts around ``aka``.
+    """
+    plain = F.trim(F.regexp_replace(title, r"\s+", " "))
+    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    sides = []
+    for mark in (":", " - ", " – ", " — "):
+        at = F.instr(plain, mark)
+        sides += [F.when(at > 0, F.substring(plain, F.lit(1), at - 1)), F.when(at > 0, F.substring(plain, at + len(mark), F.length(plain)))]
+    parts = F.when(plain.rlike(r"(?i)\baka\b"), F.split(plain, r"(?i)\baka\b")).otherwise(F.array().cast("array<string>"))
+    forms = F.concat(
+        F.array(F.trim(title), plain, squeezed(F.regexp_replace(plain, r"\b(19|20)\d{2}\b", "")), F.trim(F.regexp_replace(plain, r"\([^)]*\)", "")), *sides),
+        parts,
+        F.array(F.when(plain.rlike("(?i)vvitch"), F.regexp_replace(plain, "(?i)vvitch", "witch"))),
+    )
+    clean = F.filter(F.transform(forms, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    start = F.array().cast("array<string>")
+    return F.aggregate(clean, start, lambda z, x: F.when(F.exists(z, lambda y: F.lower(y) == F.lower(x)), z).otherwise(F.concat(z, F.array(x))))
+
+
+def alias_similarity(query: Column, alias: Column) -> Column:
+    """Similarity of two normalised titles, at least 0.9 if one begins with the other or holds all its words and more."""
+    q, a = F.split(query, " "), F.split(alias, " ")
+    holds = (F.size(q) >= 2) & F.forall(q, lambda w: F.array_contains(a, w)) & (F.size(a) > F.size(q))
+    begins = (alias.startswith(query) & (F.length(query) >= 4)) | (query.startswith(alias) & (F.length(alias) >= 4))
+    return F.greatest(similarity(query, alias), F.when((holds | begins) & (query != "") & (alias != ""), 0.9).otherwise(0.0))
+
+
+def best_external(candidates: DataFrame, key: str, preference: str | None, place: str) -> DataFrame:
+    """Best candidate of each key: those of the preferred category first, then by score, then by place."""
+    rank = F.when(F.col("category") == preference, 0).otherwise(1) if preference else F.lit(0)
+    order = Window.partitionBy(key).orderBy(rank, F.col("score").desc(), place)
+    return candidates.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")

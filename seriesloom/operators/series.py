@@ -101,3 +101,14 @@ def verify_frame(series: DataFrame, value: str, threshold: float) -> DataFrame:
         F.min(F.when(F.col(value) >= threshold, F.col("frame"))).alias("first_hit"), best.alias("top"), F.floor(F.count("*") / 2).alias("middle")
     )
     return picks.select("clip", F.coalesce("first_hit", "top", "middle").cast("long").alias("frame"))
+
+
+def trim_clips(series: DataFrame, clips: DataFrame) -> DataFrame:
+    """Frames after trimming: ``trim`` frames cut off at the start, or as many blank ones put before it if negative.
+
+    ``clips`` has ``clip`` and ``trim``. Blank frames have ``blank`` true and null metrics.
+    """
+    cut = series.join(F.broadcast(clips), "clip").withColumn("frame", F.col("frame") - F.col("trim")).where("frame >= 0")
+    own = cut.drop("trim").withColumn("blank", F.lit(False))
+    extra = clips.where("trim < 0").select("clip", F.explode(F.sequence(F.lit(0).cast("long"), -F.col("trim").cast("long") - 1)).alias("frame"), F.lit(True).alias("blank"))
+    return own.unionByName(extra, allowMissingColumns=True)

@@ -734,3 +734,75 @@ def natural_order(spark, d):
 def time_texts(spark, d):
     v = F.col("value")
     return table(spark, d, "events").select("event_id", S.seconds_text(v).alias("seconds_text"), S.clock_text(v).alias("clock"))
+
+
+# --- further lookups, titles and scalars ------------------------------------
+
+
+@query("""WITH t AS (SELECT n_name, n_nationkey FROM nation)
+    SELECT c_custkey, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END AS trim_start, CASE WHEN n_nationkey % 3 = 0 THEN -n_nationkey END AS trim_end, CASE WHEN c_custkey % 5 = 0 THEN 24 END AS change_fps
+    FROM customer JOIN t ON c_nationkey = n_nationkey""")
+def build_plans(spark, d):
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    files = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    over = lambda df, k, v: df.select(F.lower(F.col(k).cast("string")).alias("key"), v.alias("value"))
+    out = lookup.build_plans(
+        files, over(nation.where("n_nationkey % 2 = 0"), "n_name", F.col("n_nationkey")), over(nation.where("n_nationkey % 3 = 0"), "n_name", -F.col("n_nationkey")), over(customer.where("c_custkey % 5 = 0"), "c_custkey", F.lit(24)), ["c_custkey", "n_name"], "c_custkey"
+    )
+    return out.select("c_custkey", "trim_start", "trim_end", "change_fps")
+
+
+@query("""WITH c AS (SELECT c_nationkey AS grp, c_custkey AS pos, c_name AS name, lower(c_mktsegment) AS label, c_custkey % 7 = 0 AS analysed, CASE c_nationkey % 3 WHEN 0 THEN 'machinery' WHEN 1 THEN 'none' ELSE ' BUILDING ' END AS hint FROM customer),
+    r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN lower(name) = lower(trim(hint)) THEN 1 WHEN label = lower(trim(hint)) THEN 3 WHEN analysed THEN 4 ELSE 5 END, pos) AS k FROM c)
+    SELECT grp, pos FROM r WHERE k = 1""")
+def pick_reference(spark, d):
+    hint = F.element_at(F.array(F.lit("machinery"), F.lit("none"), F.lit(" BUILDING ")), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"), F.col("c_name").alias("stem"), F.col("c_mktsegment").alias("label"), (F.col("c_custkey") % 7 == 0).alias("analysed"), hint.alias("hint"))
+    return lookup.pick_reference(c, "grp", "hint", "pos").select("grp", "pos")
+
+
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 90 END, CASE WHEN o_orderkey % 5 <> 0 THEN round_even((o_orderkey % 400 - 200) / 100.0::DOUBLE * 24.0, 0)::BIGINT END) AS frames,
+    CASE WHEN o_orderkey % 4 = 0 THEN 24000.0::DOUBLE / 1001 WHEN o_orderkey % 5 = 0 THEN 25.0 END AS fps,
+    CASE WHEN o_orderkey % 400 > 300 THEN 'high' WHEN abs(o_orderkey % 400 - 200) < 50 THEN 'near' END AS mark, CASE WHEN o_orderkey % 5 - 1 <= 0 THEN 0 WHEN o_orderkey % 5 - 1 = 1 THEN 6 ELSE 9 END AS level,
+    greatest(180.0, o_totalprice * 1000 / 262144 + 15) AS timeout FROM orders""")
+def frame_hints(spark, d):
+    k = F.col("o_orderkey")
+    rate = S.first_rate((F.when(k % 4 == 0, 24000).otherwise(0), F.lit(1001)), (F.when(k % 5 == 0, 25), F.lit(1)))
+    return table(spark, d, "orders").select(
+        "o_orderkey", S.frame_hint(F.when(k % 3 == 0, k % 90), (k % 400 - 200) / 100.0, F.when(k % 5 == 0, 0.0).otherwise(24.0)).alias("frames"), rate.alias("fps"),
+        S.highlight((k % 400 - 200).cast("double"), [("gt", 100.0, "high"), ("abs_lt", 50.0, "near")]).alias("mark"), S.compression_level(k % 5 - 1).alias("level"), S.upload_timeout(F.lit(180.0), F.col("o_totalprice") * 1000).alias("timeout"),
+    )
+
+
+@query("""WITH q AS (SELECT p_partkey, p_name, lower(p_name) AS a, split_part(lower(p_name), ' ', 1) AS b FROM part)
+    SELECT p_partkey, CASE WHEN length(b) >= 4 AND a <> b THEN greatest(0.9, length(b) / length(a)) ELSE length(b) / length(a) END AS similarity FROM q WHERE p_name LIKE '% %'""")
+def alias_similarity(spark, d):
+    q = table(spark, d, "part").where("p_name like '% %'")
+    return q.select("p_partkey", match.alias_similarity(F.lower("p_name"), F.split_part(F.lower("p_name"), F.lit(" "), F.lit(1))).alias("similarity"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ': part (uncut) 1999|' || n_name || ': part (uncut)|' || n_name || ': part  1999|' || n_name || '|part (uncut) 1999' ELSE n_name || ' aka other|' || n_name || '|other' END AS forms FROM nation""")
+def title_expansion(spark, d):
+    t = F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit(": part (uncut) 1999"))).otherwise(F.concat("n_name", F.lit(" aka other")))
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(match.expand_titles(t), "|").alias("forms"))
+
+
+@query("""WITH c AS (SELECT c_nationkey, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'TV' ELSE 'MOVIE' END AS category, c_acctbal AS score FROM customer),
+    r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN category = 'TV' THEN 0 ELSE 1 END, score DESC, c_custkey) AS k FROM c) SELECT c_nationkey, c_custkey, category FROM r WHERE k = 1""")
+def best_external(spark, d):
+    c = table(spark, d, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 3 == 0, "TV").otherwise("MOVIE").alias("category"), F.col("c_acctbal").alias("score"))
+    return match.best_external(c, "c_nationkey", "TV", "c_custkey").select("c_nationkey", "c_custkey", "category")
+
+
+@query(f"""WITH {FRAMES}, c AS (SELECT clip, (row_number() OVER (ORDER BY clip) - 3) * 40 AS trim FROM (SELECT DISTINCT clip FROM f))
+    SELECT f.clip, frame - trim AS frame, round(luma, 9) AS luma, false AS blank FROM f JOIN c ON c.clip = f.clip WHERE frame >= trim
+    UNION ALL SELECT clip, unnest(range(-trim)) AS frame, NULL, true FROM c WHERE trim < 0""")
+def trimmed_clips(spark, d):
+    f = frames_of(spark, d).select("clip", "frame", r9("luma"))
+    names = f.groupBy().agg(F.array_sort(F.collect_set("clip")).alias("c")).select(F.posexplode("c").alias("k", "clip"))
+    return series.trim_clips(f, names.select("clip", ((F.col("k") - 2) * 40).cast("long").alias("trim")))
+
+
+@query(f"WITH {_SELECT} SELECT label, count(*) AS n FROM sel GROUP BY label")
+def selection_counts(spark, d):
+    return selection.select_frames(candidates_of(spark, d), CATEGORIES).groupBy("label").agg(F.count("*").alias("n"))
