@@ -62,6 +62,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: Bytes of an Arrow batch to a Python worker, and Spark's own default, which is replaced by it.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "4194304b", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, unless the session has its own size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text of each holds about ``max_bytes``.
 
@@ -82,3 +93,4 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()

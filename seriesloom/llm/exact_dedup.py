@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, pick
+from .common import Stored, pick, small_batches
 
 #: Characters that do not count when texts are compared.
 SPACES = " \t\n\x0b\x0c\r"
@@ -82,6 +82,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``text_sha256`` and the columns named in ``carry``. An empty table gives an
     empty result; columns not named are ignored.
     """
+    small_batches(docs.sparkSession)
     names = list(dict.fromkeys([id_col, text_col, *carry]))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     norm = F.translate(text, SPACES, "")

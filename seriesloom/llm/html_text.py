@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, pick, text_slices
+from .common import Stored, pick, small_batches, text_slices
 from .url_filter import host_of
 
 #: Share of a page's text that a container must hold to stand for it.
@@ -197,6 +197,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     last. Repeated rows vote and are extracted one by one; an empty table gives
     an empty result; other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     slim = pick(pages, *dict.fromkeys([id_col, url_col, html_col])).select(
         F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), host_of(F.col(f"`{url_col}`")).alias("host")
     )

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, pick, text_slices
+from .common import Stored, small_batches, text_slices
 from .components import components
 from .shingles import set_key, shingle_sets
 
@@ -44,7 +44,7 @@ SENT_IDS = 400_000
 #: Documents compared with one task's copy of the document that they all meet.
 MEET = 256
 #: Local sets remembered to leave out copies from the counts.
-SEEN = 1_000_000
+SEEN = 250_000
 
 
 def _meets(n, m):
@@ -370,6 +370,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     harmless; null identifiers never name a component unless all of it is null.
     An empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     first = Stored(slim.mapInArrow(_counts("doc_id", "text", width), "doc_id long, n_shingles long, node long, sketch binary, block int, counts binary"), "counts")
     bits = frequent_counters(first.df.where("block is not null"))

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import pick, text_slices
+from .common import pick, small_batches, text_slices
 
 #: A rest of at most this many tokens is not cut further.
 SHORT = 256
 #: Whitespace-separated chunks kept with their ids by each Python worker.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 150_000
 CACHE_CHARS = 48
 
 #: Marks that often end a word, and words that certainly are letters to the tokenizer.
@@ -187,6 +187,7 @@ def harmonic_pack(
     ``doc_tokens``, ``sequence_id``, ``offset``, and ``ids`` if ``with_ids``.
     There is no shuffle; sequence ids carry the task's number in their high bits.
     """
+    small_batches(docs.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     ddl = ", ".join(f"{n} long" for n in names) + (", ids binary" if with_ids else "")
     schema = pa.schema([(n, pa.int64()) for n in names] + ([("ids", pa.binary())] if with_ids else []))

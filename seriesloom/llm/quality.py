@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, pick, text_slices
+from .common import Stored, pick, small_batches, text_slices
 
 #: Hashed features.
 FEATURES = 1 << 16
@@ -226,6 +226,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, kind: str
     several labels of an identifier the least counts. Few labels are sent to all
     tasks; many are joined to the feature numbers, never to the texts.
     """
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(~held_out("doc_id") & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.withColumn("order", F.xxhash64("doc_id", "text"))
@@ -254,6 +255,7 @@ def quality_scores(
     Rows with a null identifier are never held out. The model, ``FEATURES``
     weights whatever the corpus, is sent to all tasks.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = list(dict.fromkeys([id_col, *carry]))
     names = list(dict.fromkeys([*kept, text_col]))

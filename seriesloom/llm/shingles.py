@@ -7,8 +7,8 @@ import numpy as np
 #: Fixed odd base of the polynomial hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Bytes hashed at once; longer texts go in overlapping parts.
-PART = 4 << 20
+#: Bytes hashed at once; longer texts go in overlapping parts. A worker keeps 16 bytes for each.
+PART = 1 << 19
 
 _POWERS: dict[str, np.ndarray] = {}
 

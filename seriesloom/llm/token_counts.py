@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, text_slices
+from .common import pick, small_batches, text_slices
 
 #: Bytes of text in a chunk.
 CHUNK = 256
@@ -340,6 +340,7 @@ def token_counts(
     other columns are ignored. The class table of code points, about 1 MB
     whatever the input, is worked out on the driver and sent with the task.
     """
+    small_batches(docs.sparkSession)
     classes = character_classes(tokenizer_path)
     held = docs.sparkSession.sparkContext.broadcast(classes)
     ddl = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from .common import Stored, pick, scratch_path
+from .common import Stored, pick, scratch_path, small_batches
 
 #: Columns of a record, in order, and the header of each that is one.
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_length long, refers_to string, payload binary"
@@ -323,6 +323,7 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 def write_warc(records: DataFrame, path: str) -> None:
     """Write records (columns of ``SCHEMA``) as archives into a folder that all executors share."""
     register(records.sparkSession)
+    small_batches(records.sparkSession)
     records.write.format("warc").mode("append").option("path", path).save()
 
 
