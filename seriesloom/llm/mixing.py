@@ -2,8 +2,10 @@
 
 Classifiers fitted on the labelled table give each document the chance to belong
 to each domain. A rate for every document then makes the expected tokens of each
-domain meet its target: projected gradient steps on the squared difference, the
-gradient scaled by each domain's present share, from a rate of one. A step
+domain meet its target: projected gradient steps on the squared difference from a
+rate of one, until the targets are met. The gradient is scaled by the inverse of the
+domains' joint tokens over the rows whose rate is not zero, as the plain one, scaled
+by each domain's present share, would take hundreds of steps for a rare domain. A step
 changes a document's rate by an amount that follows from its posteriors alone, so
 a task needs only the few numbers of the steps so far and an iteration is one
 aggregate over the posteriors.
@@ -11,8 +13,10 @@ aggregate over the posteriors.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +29,11 @@ from .quality import labelled_features, train
 DOMAINS = ("fine", "toxic", "poor")
 #: Target weights of the production queries.
 WEIGHTS = {"fine": 0.985, "toxic": 0.0145, "poor": 0.0005}
-#: Largest step count, and the relative miss of all targets at which steps end.
-STEPS, CLOSE = 25, 1e-4
+#: Relative miss of all targets at which steps end; if a target cannot be met, the root mean square
+#: change of the rates at which they do.
+CLOSE, STILL = 1e-4, 1e-3
+#: Steps after which the fit is given up, which is reported, and halvings of one step.
+STEPS, HALVINGS = 400, 12
 
 
 def domain_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -65,15 +72,44 @@ def _rate(steps: list[list[float]]) -> Column:
     """Rate after the steps: each takes off its scaled gradient and stays at or above zero."""
     if not steps:
         return F.lit(1.0)
-    past = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+    past = F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in s) + ")" for s in steps) + ")")
     move = lambda s: sum((F.col(f"p_{d}") * s[k] for k, d in enumerate(DOMAINS)), F.lit(0.0))
     return F.aggregate(past, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - move(s)))
 
 
-def _totals(members: DataFrame, rate: Column) -> list[float]:
-    weighed = members.withColumn("_w", rate * F.col("n_tokens"))
-    row = weighed.agg(*[F.coalesce(F.sum(F.col("_w") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
-    return [float(row[d]) for d in DOMAINS]
+def _totals(members: DataFrame, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Tokens of each domain, joint tokens of each two over rows of a rate above zero, and the mean square change by the last step."""
+    n = len(DOMAINS)
+    names = [f"s{k}" for k in range(n + n * n + 2)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(names))
+        for batch in batches:
+            tokens, *p = [np.asarray(c, dtype=float) for c in batch.columns]
+            p = np.stack(p, 1)
+            rate = before = np.ones(len(tokens))
+            for s in steps:
+                before, rate = rate, np.maximum(0.0, rate - p @ np.array(s))
+            free = p * np.where(rate > 0, tokens, 0.0)[:, None]
+            sums += np.concatenate([(rate * tokens) @ p, (free.T @ p).ravel(), [tokens @ (rate - before) ** 2, tokens.sum()]])
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=names)
+
+    parts = members.select("n_tokens", *[f"p_{d}" for d in DOMAINS]).mapInArrow(work, ", ".join(f"{c} double" for c in names))
+    row = [float(x) for x in parts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).first()]
+    return np.array(row[:n]), np.array(row[n:-2]).reshape(n, n), row[-2] / max(1.0, row[-1])
+
+
+def unreachable(members: DataFrame, weights: dict[str, float]) -> list[str]:
+    """Domains whose share next to the first one's is above, or below, their target in every single row with tokens.
+
+    No rates can meet such a target. Domains that can each be reached, but not all
+    at once, are not found here; their fit ends unmet.
+    """
+    first = DOMAINS[0]
+    over = {d: F.col(f"p_{d}") * weights[first] - F.col(f"p_{first}") * weights[d] for d in DOMAINS[1:]}
+    ends = [f(x).alias(f"{d}{k}") for d, x in over.items() for k, f in enumerate((F.min, F.max))]
+    row = members.where("n_tokens > 0").agg(*ends).first()
+    return [d for d in over if row[f"{d}0"] is not None and (row[f"{d}0"] > 0 or row[f"{d}1"] < 0)]
 
 
 def fit_rates(members: DataFrame, weights: dict[str, float], steps: int = STEPS) -> tuple[list[list[float]], list[float], list[float]]:
@@ -81,20 +117,58 @@ def fit_rates(members: DataFrame, weights: dict[str, float], steps: int = STEPS)
 
     The token budget is set by the first domain, which keeps its present expected
     tokens; the others get theirs in proportion to the weights. A domain without
-    any tokens is left out of the fit.
+    any tokens is left out of the fit. Steps go on until all targets are met to
+    ``CLOSE``. If one is ``unreachable``, whole steps would put all tokens on the few
+    rows nearest to it: plain ones are taken until rates change by less than
+    ``STILL``. Without tokens of the first domain there is no budget and no step.
     """
-    present = _totals(members, F.lit(1.0))
+    present, joint, _ = _totals(members, [])
     budget = present[0] / weights[DOMAINS[0]]
-    targets = [budget * weights[d] for d in DOMAINS]
+    targets = budget * np.array([weights[d] for d in DOMAINS])
     taken: list[list[float]] = []
     now = present
-    for _ in range(steps):
-        miss = [(a - t) / p if p > 0 else 0.0 for a, t, p in zip(now, targets, present)]
-        if max(abs(a - t) / t if p > 0 else 0.0 for a, t, p in zip(now, targets, present) if t > 0) < CLOSE:
+    fitted = np.flatnonzero(present > 0)
+    scale = np.where(targets > 0, targets, np.maximum(present, 1.0))
+    off = lambda totals: ((totals - targets) / scale)[fitted]
+    plain_only = budget <= 0 or bool(unreachable(members, weights))
+    while budget > 0 and len(taken) < steps and np.abs(off(now)).max() >= CLOSE:
+        plain = np.zeros(len(DOMAINS))
+        plain[fitted] = (now - targets)[fitted] / present[fitted]
+        tries = [plain]
+        if not plain_only and np.trace(joint) > 0:
+            free = joint[np.ix_(fitted, fitted)]
+            whole = np.zeros(len(DOMAINS))
+            whole[fitted] = np.linalg.solve(free + 1e-12 * np.trace(free) * np.eye(len(fitted)), (now - targets)[fitted])
+            tries = [whole / 2**k for k in range(HALVINGS)] + [plain]
+        for k, step in enumerate(tries):
+            got = _totals(members, [*taken, step.tolist()])
+            if (off(got[0]) ** 2).sum() < (off(now) ** 2).sum() * (1 - 1e-4 / 2**k):
+                break
+        taken.append(step.tolist())
+        now, joint, change = got
+        if plain_only and change < STILL**2:
             break
-        taken.append(miss)
-        now = _totals(members, _rate(taken))
-    return taken, targets, now
+    return taken, targets.tolist(), now.tolist()
+
+
+def mix_with_totals(
+    docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """What ``mix_documents`` gives, and the target and reached tokens of each domain.
+
+    A target that is missed is warned of.
+    """
+    weights = weights or WEIGHTS
+    members = Stored(domain_posteriors(docs, labels, id_col, text_col, carry), "members").df
+    steps, targets, reached = fit_rates(members, weights)
+    totals = dict(zip(DOMAINS, zip(targets, reached)))
+    missed = {d: f"{a:.6g} tokens for {t:.6g}" for d, (t, a) in totals.items() if abs(a - t) > CLOSE * t}
+    if missed:
+        warnings.warn(f"targets not met after {len(steps)} steps: {missed}; out of reach of any rates: {unreachable(members, weights)}", stacklevel=2)
+    chance = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col("n_tokens")), F.lit(1 << 30)) / float(1 << 30)
+    rated = members.withColumn("rate", _rate(steps))
+    up = (chance < F.col("rate") - F.floor("rate")).cast("long")
+    return rated.withColumn("copies", F.floor("rate") + up), totals
 
 
 def mix_documents(
@@ -106,11 +180,7 @@ def mix_documents(
     count, up as often as the fraction says, so that totals keep their
     expectation. Null texts have no tokens, so their rates change no total; null
     identifiers are kept; repeated rows are rated alike. An empty table gives an
-    empty result.
+    empty result. Targets that are missed are warned of; ``mix_with_totals``
+    returns them with what was reached.
     """
-    members = Stored(domain_posteriors(docs, labels, id_col, text_col, carry), "members").df
-    steps, _, _ = fit_rates(members, weights or WEIGHTS)
-    chance = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col("n_tokens")), F.lit(1 << 30)) / float(1 << 30)
-    rated = members.withColumn("rate", _rate(steps))
-    up = (chance < F.col("rate") - F.floor("rate")).cast("long")
-    return rated.withColumn("copies", F.floor("rate") + up)
+    return mix_with_totals(docs, labels, weights, id_col, text_col, carry)[0]
