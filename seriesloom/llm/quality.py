@@ -144,15 +144,16 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nda
     return w
 
 
-def logistic_curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through the margins, by Newton steps."""
+def logistic_curve(margins: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through the margins, each counted by its weight, by Newton steps."""
+    weights = np.ones(len(y)) if weights is None else weights
     target = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
     theta = np.array([1.0, 0.0])
     x = np.stack([margins, np.ones_like(margins)], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -40, 40)))
-        g = x.T @ (p - target) + 1e-3 * (theta - [1.0, 0.0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (weights * (p - target)) + 1e-3 * (theta - [1.0, 0.0])
+        h = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(h, g)
         theta = theta - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
@@ -210,7 +211,9 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, kind: str = "shap
     y = np.array([1.0 if r[1] else -1.0 for r in got])
     found = [np.frombuffer(r[2], np.uint16) for r in got]
     w = dual_coordinate_descent(found, y, ratio) * ratio
-    slope, shift = logistic_curve(np.array([w[f].sum() for f in found]), y)
+    # a row stands for those of its class that were not drawn, so that scores mean the same at every size
+    stands = [rows[k] / max(1, sum(r[1] == k for r in got)) for k in (0, 1)]
+    slope, shift = logistic_curve(np.array([w[f].sum() for f in found]), y, np.array([stands[r[1]] for r in got]))
     return Model(w, slope, shift, kind)
 
 
