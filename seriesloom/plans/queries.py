@@ -20,8 +20,6 @@ CATEGORIES = (
     selection.Category("Bright", 2, 10, GAP),
     selection.Category("Motion", 3, 15, GAP // 4),
 )
-#: Correlations are taken over lags of a day to either side.
-LAGS = 24
 
 FRAMES = """
     m AS (SELECT max(value) AS most FROM events),
@@ -299,7 +297,7 @@ _HOURS = """h AS (SELECT event_type AS clip, floor(epoch(ts) / 3600)::BIGINT AS
 
 
 def correlations_of(spark, d):
-    """Correlation of each event type's hourly sums with those of the first type."""
+    """Correlation of each event type's hourly sums with those of the first type, over all lags."""
     e = table(spark, d, "events").groupBy(F.col("event_type").alias("clip"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("pos")).agg(F.sum("value").alias("v"))
     z = align.zscore(e, "clip", "v")
     ref = z.agg(F.min("clip").alias("r"))
@@ -307,8 +305,9 @@ def correlations_of(spark, d):
     size = a.agg(F.count("*").alias("_a"))
     others = z.join(F.broadcast(ref), F.col("clip") == F.col("r"), "left_anti")
     counts = others.groupBy("clip").agg(F.count("*").alias("_b"))
-    fanned = a.select("_p", "_z", F.explode(F.sequence(F.lit(-LAGS), F.lit(LAGS))).alias("lag")).withColumn("pos", F.col("_p") + F.col("lag"))
-    sums = fanned.join(others, "pos").groupBy("clip", "lag").agg(F.sum(F.col("_z") * F.col("z")).alias("c"))
+    # all lags: every position of the first type meets every one of the others, which are hours and few
+    pairs = others.crossJoin(a).withColumn("lag", F.col("pos") - F.col("_p"))
+    sums = pairs.groupBy("clip", "lag").agg(F.sum(F.col("_z") * F.col("z")).alias("c"))
     out = sums.join(F.broadcast(counts), "clip").crossJoin(F.broadcast(size))
     return out.select("clip", F.col("lag").cast("long").alias("lag"), F.round("c", 6).alias("corr_raw"), F.round(F.col("c") / F.least("_a", "_b"), 6).alias("corr_norm"))
 
