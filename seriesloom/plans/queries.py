@@ -74,7 +74,9 @@ def motion_smooth(spark, d):
 
 @query(f"WITH {FRAMES} SELECT clip, frame, round(luma, 9) AS luma FROM f WHERE frame >= 10 AND frame < 1000 AND (frame - 10) % 7 = 0")
 def strided_sample(spark, d):
-    return series.strided(frames_of(spark, d), 10, 1000, 7).select("clip", "frame", r9("luma"))
+    f = frames_of(spark, d)
+    length = f.groupBy("clip").agg((F.max("frame") + 1).alias("length"))
+    return series.strided(f.join(F.broadcast(length), "clip"), 10, F.col("length"), 7).select("clip", "frame", r9("luma"))
 
 
 @query(f"""WITH {FRAMES}, g2 AS (SELECT clip, frame - lag(frame) OVER (PARTITION BY clip ORDER BY frame) AS d FROM f WHERE frame % 3 = 1 OR (clip = 'view' AND frame = 0))
@@ -182,7 +184,7 @@ def selection_window(spark, d):
 @query(f"""WITH {_WINDOWS}, x AS (SELECT grp, max(start_frame) AS s, min(end_frame) AS e, min(num_frames) AS n FROM w WHERE num_frames > 1500 GROUP BY grp)
     SELECT grp, CASE WHEN e <= s THEN 0 ELSE s END AS start_frame, CASE WHEN e <= s THEN n ELSE e END AS end_frame, e <= s AS collapsed FROM x""")
 def window_intersection(spark, d):
-    w = windows.selection_windows(clips_of(spark, d).where("num_frames > 1500"), 10.0, 5.0, 20.0)
+    w = windows.selection_windows(clips_of(spark, d), 10.0, 5.0, 20.0)
     return windows.common_window(w, "grp")
 
 
@@ -512,7 +514,7 @@ def scored_of(spark, d):
 
 @query(f"WITH RECURSIVE {_PAIRS} SELECT p_partkey, cand, round(score, 6) AS score FROM sc WHERE score > 0.3")
 def title_score(spark, d):
-    return scored_of(spark, d).where("score > 0.3").select("p_partkey", "cand", F.round("score", 6).alias("score"))
+    return scored_of(spark, d).select("p_partkey", "cand", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH RECURSIVE {_PAIRS}, o AS (SELECT *, row_number() OVER x AS k, lead(score) OVER x AS nxt FROM sc WINDOW x AS (PARTITION BY p_partkey ORDER BY round(score, 9) DESC, cand))

@@ -15,6 +15,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are not
 #: Query, and what is replaced in its SQL so that nothing is left out.
 CUTS = {
     "report_payload": [("WHERE o_orderkey % 20 = 0", "")],
+    "strided_sample": [("AND frame < 1000 ", "")],
+    "title_score": [("WHERE score > 0.3", "")],
+    "window_intersection": [("WHERE num_frames > 1500", "")],
     "upload_totals": [("WHERE l_orderkey % 10 = 0", "")],
     "audio_xcorr": [("ON b.pos - a.pos BETWEEN -24 AND 24, ref", "ON true, ref")],
     "best_lag": [("ON b.pos - a.pos BETWEEN -24 AND 24, ref", "ON true, ref")],
@@ -43,3 +46,12 @@ def test_all_rows(spark, duck, name):
     assert got[0] == want[0] and len(got[1]) == len(want[1])
     for g, w in zip(got[1], want[1]):
         assert all(a == b or (isinstance(a, (int, float)) and isinstance(b, (int, float)) and abs(a - b) <= 2e-6) for a, b in zip(g, w)), (g, w)
+
+
+def test_strides_reach_the_end(spark):
+    """A clip of sf0.01 has more than the 1000 frames at which the sample once stopped."""
+    data = "/root/testdata/sf0.01"
+    got = {(r.clip, r.frame) for r in QUERIES["strided_sample"](spark, data).collect()}
+    counts = spark.read.parquet(f"{data}/events.parquet").groupBy("event_type").count().collect()
+    assert max(n for _, n in counts) > 1000
+    assert got == {(clip, k) for clip, n in counts for k in range(10, n, 7)}
