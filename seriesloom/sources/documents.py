@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: File suffixes of media.
-SUFFIXES = ("mkv", "mp4", "m4v", "mov", "avi", "m2ts", "ts", "webm", "wmv", "flv", "mpg", "mpeg", "vob", "hevc", "264", "265", "ivf", "y4m", "avs", "vpy")
+#: File suffixes of media, those of the reference.
+SUFFIXES = tuple("mkv m2ts mp4 webm ogm mpg vob iso ts mts mov qv yuv flv avi rm rmvb m2v m4v mp2 mpeg mpe mpv wmv avc hevc 264 265 av1".split())
 
 METRICS = T.StructType(
     [
