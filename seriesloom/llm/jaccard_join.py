@@ -32,13 +32,15 @@ from .components import components
 from .shingles import set_key, shingle_sets
 
 #: Counters of the shingle statistics, and of one row in which a task hands some of them on.
-COUNTERS, BLOCK = 1 << 20, 1 << 16
+COUNTERS, BLOCK = 1 << 20, 1 << 12
 #: A shingle is frequent if its counter exceeds the mean by this much, or by six deviations.
 FREQUENT = 128
 #: Sets of up to so many shingles use combinations with all partners.
 COMBINED = 192
-#: Sub-buckets of a signature that holds frequent shingles.
-SALTS = 16
+#: Sub-buckets of a signature that holds frequent shingles at least, and the power of two of documents that one takes.
+SALTS, SALT_BITS = 16, 12
+#: Rows of a signature that one task lists pairs of; a longer list is split into tiles of two parts each.
+TILE = 512
 #: Identifiers that are sent to all tasks at most (with what goes along, some 50 bytes each); beyond it, a shuffled join is used.
 SENT_IDS = 400_000
 #: Documents compared with one task's copy of the document that they all meet.
@@ -119,7 +121,7 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_counters(rows: DataFrame) -> np.ndarray:
-    """Bits of the counters that stand out, from the counter rows of all tasks.
+    """Bits in the count of each counter that stands out, 0 for the others, from the counter rows of all tasks.
 
     The driver gets the summed table, 4 MB whatever the corpus.
     """
@@ -128,48 +130,49 @@ def frequent_counters(rows: DataFrame) -> np.ndarray:
     for r in total.collect():
         got[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(r.counts, np.uint32)
     mean = got.mean()
-    return np.packbits(got > mean + max(FREQUENT, 6 * np.sqrt(mean)))
+    often = got > mean + max(FREQUENT, 6 * np.sqrt(mean))
+    return np.where(often, np.ceil(np.log2(np.maximum(got, 2))), 0).astype(np.uint8)
 
 
-def signatures(s: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Signatures of a set, the position of the first shingle of each, which are of frequent shingles, and the count of rare shingles."""
+def signatures(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Signatures of a set, the position of the first shingle of each, how frequent each is (0: rare), and the count of rare shingles."""
     n = len(s)
-    counter = (s >> np.uint64(44)).astype(np.int64)
-    often = (bits[counter >> 3] >> (7 - (counter & 7)).astype(np.uint8)) & 1 == 1
+    level = levels[(s >> np.uint64(44)).astype(np.int64)]
+    often = level > 0
     cost = n - -(-3 * n // 4) + 1
     rare = s[~often]
     first = rare[:cost]
-    sig, pos = [first], [np.arange(len(first))]
-    singles = len(first)
-    if (left := cost - singles) > 0:
-        common = s[often]
+    sig, pos, hot = [first], [np.arange(len(first))], [np.zeros(len(first), np.uint8)]
+    if (left := cost - len(first)) > 0:
+        common, level = s[often], level[often]
         if 3 * n <= 4 * COMBINED:
             c = common[: left + 1]
             i, j = np.triu_indices(len(c), 1)
             sig.append((c[i] * np.uint64(0x9E3779B97F4A7C15)) ^ (c[j] >> np.uint64(1)) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
             pos.append(len(rare) + i)
+            hot.append(np.minimum(level[i], level[j]))
         if n > COMBINED:
             sig.append(common[:left] ^ np.uint64(0x5BD1E9955BD1E995))
             pos.append(len(rare) + np.arange(min(left, len(common))))
-    sig, pos = np.concatenate(sig), np.concatenate(pos)
-    return sig, pos, np.arange(len(sig)) >= singles, len(rare)
+            hot.append(level[:left])
+    return np.concatenate(sig), np.concatenate(pos), np.concatenate(hot), len(rare)
 
 
 def _postings(text_col: str, width: int, bits):
     schema = pa.schema([("sig", pa.int64()), ("salt", pa.int32()), ("rare", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("most", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often_bits = np.frombuffer(bits.value, np.uint8)
+        levels = np.frombuffer(bits.value, np.uint8)
         for batch in text_slices(batches, text_col):
             cols: list[list[np.ndarray]] = [[] for _ in schema]
             for s in shingle_sets(batch.column(text_col).to_pylist(), width):
                 if not len(s):
                     continue
-                sig, pos, hot, rare = signatures(s, often_bits)
+                sig, pos, hot, rare = signatures(s, levels)
                 n, k, node = len(s), len(sig), set_key(s)
                 values = (
                     sig.view(np.int64),
-                    np.where(hot, node % SALTS, -1).astype(np.int32),
+                    np.where(hot > 0, node & np.maximum(SALTS, 1 << np.maximum(hot.astype(np.int64) - SALT_BITS, 0)) - 1, -1).astype(np.int32),
                     np.full(k, rare, np.int32),
                     np.full(k, node, np.int64),
                     np.full(k, n, np.int32),
@@ -257,6 +260,15 @@ def _send_sets(width: int):
     return work
 
 
+def _with_node(width: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", 2 << 20):
+            sets = shingle_sets(batch.column("text").to_pylist(), width)
+            yield pa.RecordBatch.from_pydict({"node": pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), "text": batch.column("text")})
+
+    return work
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each key's document with those sent to it; rows come sorted by key, salt and role."""
     at, mine = None, None
@@ -297,9 +309,12 @@ def _compare_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def _meetings(pairs: DataFrame) -> DataFrame:
     """What each node is sent to: itself in role 0 and its partners in role 1, in parts of about ``MEET``."""
-    met = pairs.groupBy("b").agg((F.count("*") / MEET).cast("int").alias("parts"))
-    sent = pairs.join(met, "b").select(
-        F.col("a").alias("node"), F.struct(F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.col("parts") + 1).cast("int").alias("salt"), F.lit(1).alias("role")).alias("m")
+    met = Stored(pairs.groupBy("b").agg((F.count("*") / MEET).cast("int").alias("parts")), "met").df
+    # pairs are never dealt out by the document that is met; those of more than one part are few
+    busy = met.where("parts > 0")
+    sent = _restrict(pairs, busy, "left", "b").select(
+        F.col("a").alias("node"),
+        F.struct(F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(0)) + 1).cast("int").alias("salt"), F.lit(1).alias("role")).alias("m"),
     )
     own = met.select("b", F.explode(F.sequence(F.lit(0), "parts")).alias("salt")).select(F.col("b").alias("node"), F.struct(F.col("b").alias("key"), "salt", F.lit(0).alias("role")).alias("m"))
     return sent.unionByName(own)
@@ -318,43 +333,59 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) ->
     drawn = _meetings(pairs).join(nodes.select("node", "n", "sketch"), "node").select("m.*", "node", "n", "sketch")
     likely = Stored(_met(drawn).mapInArrow(_compare_sketches, "a long, b long"), "likely").df
     meets = _meetings(likely).groupBy("node").agg(F.collect_list("m").alias("meets"))
-    wanted = Stored(meets.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "meets")
-    entries = wanted.df.agg(F.sum(F.size("meets"))).first()[0] or 0
-    texts = _restrict(docs, wanted.df, "inner", "doc_id", entries).select("node", "meets", "text")
+    wanted = Stored(meets.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "meets").df
+    named, unnamed = wanted.where("doc_id is not null"), wanted.where("doc_id is null")
+    entries = named.agg(F.sum(F.size("meets"))).first()[0] or 0
+    texts = _restrict(docs, named, "inner", "doc_id", entries).select("node", "meets", "text")
+    if not unnamed.isEmpty():  # texts of which no row has an identifier are found by their sets
+        bare = docs.where("doc_id is null").mapInArrow(_with_node(width), "node long, text string").dropDuplicates(["node"])
+        texts = texts.unionByName(bare.join(unnamed, "node").select("node", "meets", "text"))
     sets = texts.mapInArrow(_send_sets(width), "key long, salt int, role int, node long, shingles binary")
     return _met(sets).mapInArrow(_compare, "a long, b long")
 
 
+def _tiled(rest: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of each signature with the tiles they belong to: ``i`` and ``j`` name two parts of about ``TILE`` rows, ``part`` is the row's own."""
+    tiles = F.ceil(F.col("k") / TILE).cast("int")
+    dealt = rest.join(sizes, "sig").withColumn("tiles", tiles).withColumn("part", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return other.withColumn("i", F.least("part", "x")).withColumn("j", F.greatest("part", "x"))
+
+
 def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each signature that lie in different components and may be linked; rows come sorted by signature."""
-    names = ["node", "component", "n", "most"]
+    """Pairs of each tile that lie in different components and may be linked; rows come sorted by signature and tile."""
+    names = ["i", "j", "part", "node", "component", "n", "most"]
 
     def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(c["n"], kind="stable")
         c = {k: v[order] for k, v in c.items()}
-        n = c["n"].astype(np.int64)
+        n, part = c["n"].astype(np.int64), c["part"]
+        within = c["i"][0] == c["j"][0]
         for i in range(len(n)):
             # partners after i are no smaller: up to the largest that i allows
             stop = int(np.searchsorted(n, c["most"][i], side="right"))
             j = np.arange(i + 1, stop)
-            j = j[(c["most"][j] >= n[i]) & (c["component"][j] != c["component"][i]) & (4 * n[i] >= 3 * n[j])] if len(j) else j
+            if not len(j):
+                continue
+            j = j[(c["most"][j] >= n[i]) & (c["component"][j] != c["component"][i]) & (4 * n[i] >= 3 * n[j]) & (within | (part[j] != part[i]))]
             if len(j):
                 a, b = np.full(len(j), c["node"][i]), c["node"][j]
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
 
     held: list[dict[str, np.ndarray]] = []
-    open_sig = None
+    open_tile = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = batch.column("sig").to_numpy()
+        sig, i, j = (batch.column(k).to_numpy() for k in ("sig", "i", "j"))
         cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-        cuts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
+        cuts = np.concatenate([[0], np.flatnonzero((sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, [len(sig)]])
         for s, e in zip(cuts[:-1], cuts[1:]):
-            if held and sig[s] != open_sig:
+            tile = (sig[s], i[s], j[s])
+            if held and tile != open_tile:
                 yield from pairs({k: np.concatenate([h[k] for h in held]) for k in names})
                 held = []
-            open_sig = sig[s]
+            open_tile = tile
             held.append({k: v[s:e] for k, v in cols.items()})
     if held:
         yield from pairs({k: np.concatenate([h[k] for h in held]) for k in names})
@@ -399,9 +430,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     done = F.expr("salt < 0 and node = hub_node").alias("done")
     marked = kept.join(found, "node", "left").select("sig", "node", "n", "most", done, F.coalesce("component", "node").alias("component"))
     marked = Stored(marked, "marked").df
-    mixed = marked.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2").select("sig")
-    rest = marked.where("not done").join(Stored(mixed, "mixed").df, "sig").repartition("sig").sortWithinPartitions("sig")
-    others = rest.select("sig", "node", "component", "n", "most").mapInArrow(_other_pairs, "a long, b long").distinct()
+    mixed = marked.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2").select("sig", "k")
+    tiled = _tiled(marked.where("not done"), Stored(mixed, "mixed").df).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    others = tiled.select("sig", "i", "j", "part", "node", "component", "n", "most").mapInArrow(_other_pairs, "a long, b long").distinct()
     more = Stored(others, "others").df
     if not more.isEmpty():
         late = Stored(verified(slim, nodes, more, width), "late").df

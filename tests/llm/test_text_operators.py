@@ -108,9 +108,23 @@ def test_components_match_brute_force(spark, monkeypatch, frequent):
     assert got == brute_components(rows)
 
 
-def test_components_of_a_large_group(spark, monkeypatch):
-    """Copies at many distances from one text, with frequent shingles only."""
+def test_texts_without_identifiers_link_others(spark):
+    """Two texts that only a third one links, whose rows have no identifier."""
+    w = [f"w{i}" for i in range(60)]
+    first, bridge, last = (" ".join(w[k : k + 50]) for k in (0, 5, 10))
+    rows = [(7, first), (None, bridge), (3, last), (None, bridge), (9, "other words here only"), (None, "other words here only too"), (None, None)]
+    want = brute_components(rows)
+    assert [c for d, _, c in want if d in ("7", "3")] == ["3", "3"]
+    assert {c for d, _, c in brute_components([rows[0], rows[2]])} == {"3", "7"}
+    assert found_components(jaccard_join.similar_components(docs_of(spark, rows))) == want
+
+
+@pytest.mark.parametrize("tile, meet, sent", [(512, 256, 400_000), (6, 4, 0)])
+def test_components_of_a_large_group(spark, monkeypatch, tile, meet, sent):
+    """Copies at many distances from one text, with frequent shingles only, in few and in many parts."""
     monkeypatch.setattr(jaccard_join, "FREQUENT", 5)
+    for name, value in (("TILE", tile), ("MEET", meet), ("SENT_IDS", sent)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -124,9 +138,7 @@ def test_components_of_a_large_group(spark, monkeypatch):
 
 def test_signatures_meet_in_every_linked_pair():
     rng = np.random.default_rng(5)
-    bits = np.zeros(jaccard_join.COUNTERS // 8, np.uint8)
-    often = rng.random(jaccard_join.COUNTERS) < 0.5
-    bits = np.packbits(often)
+    levels = np.where(rng.random(jaccard_join.COUNTERS) < 0.5, 9, 0).astype(np.uint8)
     for n in (2, 3, 5, 20, 90, 180, 195, 230, 260, 400):
         for _ in range(30):
             a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
@@ -135,7 +147,7 @@ def test_signatures_meet_in_every_linked_pair():
             both = len(np.intersect1d(a, b))
             if 100 * both < 75 * (len(a) + len(b) - both) or a.tolist() == b.tolist():
                 continue
-            (sa, pa, _, _), (sb, pb, _, _) = jaccard_join.signatures(a, bits), jaccard_join.signatures(b, bits)
+            (sa, pa, _, _), (sb, pb, _, _) = jaccard_join.signatures(a, levels), jaccard_join.signatures(b, levels)
             ma, mb = 7 * (len(a) - pa) // 3 - len(a), 7 * (len(b) - pb) // 3 - len(b)
             fit_a = {s for s, m in zip(sa.tolist(), ma) if m >= len(b)}
             fit_b = {s for s, m in zip(sb.tolist(), mb) if m >= len(a)}
