@@ -10,16 +10,19 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only if unset.
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one if it is unset and all runs in one process.
 
-    Executors must be able to read what other executors wrote, so the cluster's
-    own setting always wins.
+    Executors must be able to read what other executors wrote, so on a cluster
+    without that setting this is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="seriesloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
@@ -62,6 +65,27 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def carried(df: DataFrame, names: tuple[str, ...], prefix: str, added: tuple[str, ...]) -> tuple[list[str], list[str], list[T.StructField]]:
+    """Columns that pass through an operator: their names, working names and fields under these.
+
+    Working names are numbered, so that no column of the input can clash with
+    those an operator uses. A name that the result would have twice is an error.
+    """
+    kept = list(dict.fromkeys(names))
+    if twice := {f"{prefix}{a}".lower() for a in added} & {c.lower() for c in kept}:
+        raise ValueError(f"columns {sorted(twice)} are in the input already: name a prefix")
+    plain = [f"_c{i}" for i in range(len(kept))]
+    return kept, plain, [T.StructField(a, df.schema[c].dataType) for c, a in zip(kept, plain)]
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of the table begins with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 #: Bytes of an Arrow batch to a Python worker, and Spark's own default, which is replaced by it.
 BATCH_BYTES, DEFAULT_BATCH_BYTES = "4194304b", "67108864b"
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, pick, text_slices
+from .common import Stored, carried, text_slices
 from .quality import labelled_features, train
 
 #: Domains, in the order of all vectors below.
@@ -36,44 +36,42 @@ CLOSE, STILL = 1e-4, 1e-3
 STEPS, HALVINGS = 400, 12
 
 
-def domain_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Identifier, ``n_tokens`` (words) and the chance of each domain in ``DOMAINS`` for every row.
+def domain_posteriors(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix: str = ""
+) -> DataFrame:
+    """Identifier, ``n_tokens`` (words) and the chance of each domain in ``DOMAINS`` (``p_<domain>``) for every row.
 
     Poor is what the quality labels mark 0, toxic what is not poor and marked
-    toxic, fine the rest. Null texts have no tokens and the posteriors of empty ones.
+    toxic, fine the rest. Null texts have no tokens and the posteriors of empty
+    ones. The names of the new columns begin with ``prefix``.
     """
-    quality = train(labelled_features(docs, labels, "quality", "shapes", id_col, text_col))
-    toxic = train(labelled_features(docs, labels, "toxic", "words", id_col, text_col), kind="words")
-    sent = docs.sparkSession.sparkContext.broadcast((quality, toxic))
-    kept = list(dict.fromkeys([id_col, *carry]))
-    names = list(dict.fromkeys([*kept, text_col]))
-    fields = [docs.schema[c] for c in kept]
+    known = labelled_features(docs, labels, {"quality": "shapes", "toxic": "words"}, id_col, text_col)
+    models = train(known.df, "quality", "quality_features"), train(known.df, "toxic", "toxic_features", "words")
+    known.drop()
+    sent = docs.sparkSession.sparkContext.broadcast(models)
     added = ["n_tokens", *[f"p_{d}" for d in DOMAINS]]
+    kept, plain, fields = carried(docs, (id_col, *carry), prefix, (*added, "rate", "copies"))
+    slim = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(kept, plain)], F.col(f"`{text_col}`").alias("_text"))
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), *[T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = sent.value
-        for batch in text_slices(batches, text_col):
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            q = [good.score(t) for t in texts]
-            t = [bad.score(x) for x in texts]
-            cols = [
-                pa.array([len(x.split()) for x in texts], pa.int64()),
-                pa.array([a * (1 - b) for a, b in zip(q, t)], pa.float64()),
-                pa.array([a * b for a, b in zip(q, t)], pa.float64()),
-                pa.array([1 - a for a in q], pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + cols, names=kept + added)
-
-    return pick(docs, *names).mapInArrow(work, schema)
-
-
-def _rate(steps: list[list[float]]) -> Column:
+        for batch in text_slices(batches, "_text"):
+            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            q, t = good.scores(texts), bad.scores(texts)
+            cols = [pa.array([len(x.split()) for x in texts], pa.int64()), pa.array(q * (1 - t)), pa.array(q * t), pa.array(1 - q)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in plain] + cols, names=plain + added)
+
+    made = slim.mapInArrow(work, schema)
+    return made.select(*[F.col(a).alias(c) for c, a in zip(kept, plain)], *[F.col(a).alias(f"{prefix}{a}") for a in added])
+
+
+def _rate(steps: list[list[float]], prefix: str = "") -> Column:
     """Rate after the steps: each takes off its scaled gradient and stays at or above zero."""
     if not steps:
         return F.lit(1.0)
     past = F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in s) + ")" for s in steps) + ")")
-    move = lambda s: sum((F.col(f"p_{d}") * s[k] for k, d in enumerate(DOMAINS)), F.lit(0.0))
+    move = lambda s: sum((F.col(f"{prefix}p_{d}") * s[k] for k, d in enumerate(DOMAINS)), F.lit(0.0))
     return F.aggregate(past, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - move(s)))
 
 
@@ -118,7 +116,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float], steps: int = STEPS)
     The token budget is set by the first domain, which keeps its present expected
     tokens; the others get theirs in proportion to the weights. A domain without
     any tokens is left out of the fit. Steps go on until all targets are met to
-    ``CLOSE``. If one is ``unreachable``, whole steps would put all tokens on the few
+    ``CLOSE``. If one of those fitted is ``unreachable``, whole steps would put all tokens on the few
     rows nearest to it: plain ones are taken until rates change by less than
     ``STILL``. Without tokens of the first domain there is no budget and no step.
     """
@@ -130,7 +128,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float], steps: int = STEPS)
     fitted = np.flatnonzero(present > 0)
     scale = np.where(targets > 0, targets, np.maximum(present, 1.0))
     off = lambda totals: ((totals - targets) / scale)[fitted]
-    plain_only = budget <= 0 or bool(unreachable(members, weights))
+    plain_only = budget <= 0 or any(present[DOMAINS.index(d)] > 0 for d in unreachable(members, weights))
     while budget > 0 and len(taken) < steps and np.abs(off(now)).max() >= CLOSE:
         plain = np.zeros(len(DOMAINS))
         plain[fitted] = (now - targets)[fitted] / present[fitted]
@@ -152,35 +150,51 @@ def fit_rates(members: DataFrame, weights: dict[str, float], steps: int = STEPS)
 
 
 def mix_with_totals(
-    docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+    docs: DataFrame,
+    labels: DataFrame,
+    weights: dict[str, float] | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: tuple[str, ...] = (),
+    prefix: str = "",
 ) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """What ``mix_documents`` gives, and the target and reached tokens of each domain.
 
     A target that is missed is warned of.
     """
     weights = weights or WEIGHTS
-    members = Stored(domain_posteriors(docs, labels, id_col, text_col, carry), "members").df
-    steps, targets, reached = fit_rates(members, weights)
+    members = Stored(domain_posteriors(docs, labels, id_col, text_col, carry, prefix), "members").df
+    added = ["n_tokens", *[f"p_{d}" for d in DOMAINS]]
+    steps, targets, reached = fit_rates(members.select(*[F.col(f"{prefix}{c}").alias(c) for c in added]), weights)
     totals = dict(zip(DOMAINS, zip(targets, reached)))
     missed = {d: f"{a:.6g} tokens for {t:.6g}" for d, (t, a) in totals.items() if abs(a - t) > CLOSE * t}
     if missed:
-        warnings.warn(f"targets not met after {len(steps)} steps: {missed}; out of reach of any rates: {unreachable(members, weights)}", stacklevel=2)
-    chance = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col("n_tokens")), F.lit(1 << 30)) / float(1 << 30)
-    rated = members.withColumn("rate", _rate(steps))
-    up = (chance < F.col("rate") - F.floor("rate")).cast("long")
-    return rated.withColumn("copies", F.floor("rate") + up), totals
+        out = unreachable(members.select(*[F.col(f"{prefix}{c}").alias(c) for c in added]), weights)
+        warnings.warn(f"targets not met after {len(steps)} steps: {missed}; out of reach of any rates: {out}", stacklevel=2)
+    rate, copies = f"{prefix}rate", f"{prefix}copies"
+    chance = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"{prefix}n_tokens")), F.lit(1 << 30)) / float(1 << 30)
+    rated = members.withColumn(rate, _rate(steps, prefix))
+    up = (chance < F.col(rate) - F.floor(rate)).cast("long")
+    return rated.withColumn(copies, F.floor(rate) + up), totals
 
 
 def mix_documents(
-    docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+    docs: DataFrame,
+    labels: DataFrame,
+    weights: dict[str, float] | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: tuple[str, ...] = (),
+    prefix: str = "",
 ) -> DataFrame:
     """``n_tokens``, posteriors, ``rate`` and ``copies`` of every row, with the columns of ``carry``.
 
-    ``copies`` is the rate rounded up or down by a hash of identifier and token
-    count, up as often as the fraction says, so that totals keep their
-    expectation. Null texts have no tokens, so their rates change no total; null
-    identifiers are kept; repeated rows are rated alike. An empty table gives an
-    empty result. Targets that are missed are warned of; ``mix_with_totals``
-    returns them with what was reached.
+    The names of these columns begin with ``prefix``, so that columns of any name
+    can be carried. ``copies`` is the rate rounded up or down by a hash of
+    identifier and token count, up as often as the fraction says, so that totals
+    keep their expectation. Null texts have no tokens, so their rates change no
+    total; null identifiers are kept; repeated rows are rated alike. An empty
+    table gives an empty result. Targets that are missed are warned of;
+    ``mix_with_totals`` returns them with what was reached.
     """
-    return mix_with_totals(docs, labels, weights, id_col, text_col, carry)[0]
+    return mix_with_totals(docs, labels, weights, id_col, text_col, carry, prefix)[0]

@@ -1,25 +1,28 @@
 """Quality classifier: a linear support vector machine over Naive Bayes ratios.
 
-Features are indicators of hashed n-grams: word shapes and their neighbours,
-character n-grams and words. Each indicator is scaled by the log ratio of its
-frequencies in the two classes, counted over all labelled training rows, and a
-linear hinge-loss model is fitted by dual coordinate descent on a bounded sample
-of them. Scores pass through a logistic curve fitted on the sample's margins.
+Features are indicators of hashed n-grams, of two kinds: ``shapes`` are n-grams
+of two to four character shapes with the shares of repeated and distinct words,
+``words`` are single words. Quality uses shapes. Each indicator is scaled by the
+log ratio of its frequencies in the two classes, counted over all labelled
+training rows, and a linear hinge-loss model is fitted by dual coordinate descent
+on a bounded sample of them. Scores pass through a logistic curve fitted on the
+margins that rows of the sample get from models fitted without them.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Stored, pick, small_batches, text_slices
+from .common import Stored, carried, small_batches, text_slices
 
 #: Hashed features.
 FEATURES = 1 << 16
@@ -30,9 +33,8 @@ SENT_LABELS = 300_000
 SMOOTHING = 1.0
 PENALTY = 0.1
 EPOCHS = 20
-
-_WORD = re.compile(r"[^\W\d_]+")
-
+#: Parts of the drawn rows, each scored by a model of the others for the logistic curve.
+FOLDS = 3
 
 def _shape_table() -> bytes:
     """Bytes to shape symbols: lower, upper, digit, blank; other ASCII stays; other bytes count as lower."""
@@ -52,54 +54,114 @@ def _shape_table() -> bytes:
 _SHAPES = np.frombuffer(_shape_table(), np.uint8)
 
 
-def _rolling(a: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Hashed n-grams of a byte array."""
-    h = np.full(len(a) - n + 1, seed, np.uint32)
-    for k in range(n):
-        h = (h ^ a[k : k + len(h)]) * np.uint32(16777619)
-        h ^= h >> np.uint32(15)
-    return (h * np.uint32(2654435769)) >> np.uint32(16)
+def _grams(a: np.ndarray) -> list[np.ndarray]:
+    """Hashed n-grams of two, three and four bytes of an array, each by its own multiplier."""
+    x = a.astype(np.uint32)
+    out, h = [], x
+    for n, odd in ((2, 2654435769), (3, 2246822519), (4, 3266489917)):
+        h = h[: max(0, len(x) - n + 1)] * np.uint32(16777619) + x[n - 1 :]
+        out.append((h * np.uint32(odd)) >> np.uint32(16))
+    return out
+
+
+def _letters_only() -> bytes:
+    """Bytes with A-Z lowered and everything in ASCII but letters as blanks."""
+    return bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
+_LETTERS = _letters_only()
+#: Words whose feature numbers a worker remembers.
+KNOWN_WORDS = 200_000
+
+
+class _Numbers(dict):
+    """Feature numbers of words, worked out when first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        self[word] = number = zlib.crc32(word) % FEATURES
+        return number
+
+
+_NUMBERS = _Numbers()
+
+
+def _named(*names: str) -> np.ndarray:
+    return np.array([zlib.crc32(n.encode()) % FEATURES for n in names], np.uint32)
+
+
+#: Tenths of the words that repeat the one before: all that are reached. Tenths that are distinct: all that are not passed.
+_AGAIN = _named(*[f"again {k}" for k in range(1, 11)])
+_DISTINCT = _named(*[f"distinct {k}" for k in range(11)])
 
 
-def word_features(text: str | None) -> np.ndarray:
-    """Sorted feature numbers of a text's words in lower case; the first is always there."""
-    words = set(_WORD.findall((text or "").lower()))
-    return np.array(sorted({0} | {zlib.crc32(w.encode()) % FEATURES for w in words}))
+@cache
+def _sized(tenths: int, bits: int) -> np.ndarray:
+    return _named(f"distinct {tenths} of {bits}")
 
 
-def shape_features(text: str | None) -> np.ndarray:
-    """Sorted feature numbers of a text; the first is always there.
+def word_features(texts: list[str]) -> Iterator[np.ndarray]:
+    """Feature numbers of the words of each text, each once; the first is always there.
+
+    Words are runs of ASCII letters, A-Z lowered, and of bytes beyond ASCII.
+    """
+    for text in texts:
+        found = set(map(_NUMBERS.__getitem__, set(text.encode().lower().translate(_LETTERS).split())))
+        found.add(0)
+        yield np.fromiter(found, np.int64, len(found))
+
+
+def shape_features(texts: list[str]) -> Iterator[np.ndarray]:
+    """Feature numbers of each text, each once; the first is always there.
 
     Shape n-grams of two to four characters, where all letters look alike but
-    for their case, and repeats of a word by the next one.
+    for their case, the share of words that repeat the one before, and that of
+    distinct words. Shapes and hashes are worked out for all texts at once.
     """
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    flags = np.zeros(FEATURES, bool)
-    flags[0] = True
+    raw = [t.encode() for t in texts]
+    sizes = np.array([len(r) for r in raw], np.int64)
+    if not len(sizes):
+        return
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
     shape = _SHAPES[data]
     # runs of lower-case letters beyond two say nothing more
-    if len(shape) > 2:
-        same = (shape[2:] == 97) & (shape[1:-1] == 97) & (shape[:-2] == 97)
-        shape = shape[np.concatenate([[True, True], ~same])]
-    for n in (2, 3, 4):
-        if len(shape) >= n:
-            flags[_rolling(shape, n, n)] = True
-    blanks = np.flatnonzero(_SHAPES[data] == 32)
-    starts = np.concatenate([[0], blanks + 1])
-    ends = np.concatenate([blanks, [len(data)]])
-    starts, ends = starts[ends > starts], ends[ends > starts]
-    if len(starts) > 3:
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * data + np.uint64(7))])
-        word = (sums[ends] - sums[starts]) * np.uint64(131) + (ends - starts).astype(np.uint64)
-        share = int(10 * np.mean(word[1:] == word[:-1]))
-        flags[_hash(f"again {share}")] = True
-        distinct = len(np.unique(word)) / len(word)
-        flags[_hash(f"distinct {int(10 * distinct)} {len(word).bit_length()}")] = True
-    return np.flatnonzero(flags)
-
-
-def _hash(name: str) -> int:
-    return zlib.crc32(name.encode()) % FEATURES
+    keep = np.ones(len(shape), bool)
+    low = shape == 97
+    keep[2:] = ~(low[2:] & low[1:-1] & low[:-2])
+    for k in (0, 1):  # the first two characters of a text follow nothing
+        keep[(starts + k)[sizes > k]] = True
+    place = np.concatenate([[0], np.cumsum(keep)])
+    shape = shape[keep]
+    grams = _grams(shape)
+    # words between blanks; a text's end ends its last word
+    blank = _SHAPES[data] == 32
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * data + np.uint64(7))])
+    blanks = np.flatnonzero(blank)
+    first = np.searchsorted(blanks, starts).tolist()
+    last = np.searchsorted(blanks, ends).tolist()
+    seen = np.zeros(FEATURES, np.int64)
+    order = np.arange(3 * int(sizes.max()) + 64)  # three n-grams a character at most, and the rest
+    rows = zip(starts.tolist(), ends.tolist(), place[starts].tolist(), place[ends].tolist(), first, last)
+    for s, e, ps, pe, f, t in rows:
+        parts = [np.zeros(1, np.uint32)] + [g[ps : pe - n + 1] for n, g in zip((2, 3, 4), grams) if pe - ps >= n]
+        cut = blanks[f:t]
+        begin, end = np.concatenate([[s], cut + 1]), np.concatenate([cut, [e]])
+        real = end > begin
+        begin, end = begin[real], end[real]
+        if len(begin) > 3:
+            word = (sums[end] - sums[begin]) * np.uint64(131) + (end - begin).astype(np.uint64)
+            again = int(10 * np.count_nonzero(word[1:] == word[:-1]) / (len(word) - 1))
+            word.sort()
+            distinct = (1 + np.count_nonzero(word[1:] != word[:-1])) / len(word)
+            parts += [_AGAIN[:again], _DISTINCT[int(10 * distinct) :], _sized(int(10 * distinct), len(word).bit_length())]
+        h = np.concatenate(parts)
+        # of equal numbers the one written last is left
+        o = order[: len(h)]
+        seen[h] = o
+        yield h[seen[h] == o]
 
 
 KINDS = {"shapes": shape_features, "words": word_features}
@@ -114,9 +176,10 @@ class Model:
     shift: float
     kind: str = "shapes"
 
-    def score(self, text: str | None) -> float:
-        margin = float(self.weights[KINDS[self.kind](text)].sum())
-        return 1.0 / (1.0 + float(np.exp(-np.clip(self.slope * margin + self.shift, -40.0, 40.0))))
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Chance of label 1 of each text."""
+        margins = np.array([self.weights[f].sum() for f in KINDS[self.kind](texts)], float)
+        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margins + self.shift, -40.0, 40.0)))
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: float = PENALTY, epochs: int = EPOCHS) -> np.ndarray:
@@ -162,58 +225,73 @@ def logistic_curve(margins: np.ndarray, y: np.ndarray, weights: np.ndarray | Non
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feature counts of each class in a task, one row for each class."""
-    counts = {0: np.zeros(FEATURES, np.int64), 1: np.zeros(FEATURES, np.int64)}
-    rows = {0: 0, 1: 0}
+    """Feature counts of each class in a task, one row for each feature met; rows are counted as a feature after the last."""
+    counts = np.zeros((2, FEATURES + 1), np.int64)
     for batch in batches:
         for raw, y in zip(batch.column("features"), batch.column("label").to_pylist()):
-            counts[y][np.frombuffer(raw.as_buffer(), np.uint16)] += 1
-            rows[y] += 1
-    yield pa.RecordBatch.from_pydict({"label": pa.array([0, 1], pa.int32()), "rows": pa.array([rows[0], rows[1]], pa.int64()), "counts": pa.array([counts[0].tobytes(), counts[1].tobytes()], pa.binary())})
+            counts[y, np.frombuffer(raw.as_buffer(), np.uint16)] += 1
+            counts[y, FEATURES] += 1
+    y, feature = np.nonzero(counts)
+    yield pa.RecordBatch.from_pydict({"label": pa.array(y, pa.int32()), "feature": pa.array(feature, pa.int32()), "n": pa.array(counts[y, feature], pa.int64())})
 
 
-def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, list] = {}
-    for batch in batches:
-        for label, n, raw in zip(*[batch.column(c).to_pylist() for c in ("label", "rows", "counts")]):
-            got = sums.setdefault(label, [0, np.zeros(FEATURES, np.int64)])
-            got[0] += n
-            got[1] += np.frombuffer(raw, np.int64)
-    if sums:
-        yield pa.RecordBatch.from_pydict({"label": pa.array(list(sums), pa.int32()), "rows": pa.array([v[0] for v in sums.values()], pa.int64()), "counts": pa.array([v[1].tobytes() for v in sums.values()], pa.binary())})
-
-
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, kind: str = "shapes", least_deviations: float = 0.0) -> Model:
-    """Fit on rows of ``order``, ``features`` and ``label`` (0 or 1), as ``labelled_features`` gives them.
-
-    Class counts cover all rows; the driver gets two arrays of ``FEATURES``
-    numbers and at most ``sample_rows`` rows, half of each class if there are as
-    many, taken in the order of a hash. Features whose ratio is less than
-    ``least_deviations`` standard errors from zero are left out. With no rows, or
-    one class only, the score is a constant.
+def _ratios(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log ratio of each feature's smoothed frequency in class 1 to that in class 0."""
+    freq = (counts + SMOOTHING) / (rows[:, None] + 2 * SMOOTHING)
+    return np.log(freq[1] / freq[0])
+
+
+def _left_out_margins(found: list[np.ndarray], y: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Margins of the drawn rows by models that know nothing of them.
+
+    Each fold's rows are taken out of the counts and of the fit. A fold without
+    which a class has no row left in the fit keeps its rows in it.
+    """
+    out = np.zeros(len(found))
+    fold = np.arange(len(found)) % FOLDS
+    for k in range(FOLDS):
+        mine, others = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if len(np.unique(y[others])) < 2:
+            others = np.arange(len(found))
+        less, fewer = counts.copy(), rows.copy()
+        for i in mine:
+            c = int(y[i] > 0)
+            less[c, found[i]] -= 1
+            fewer[c] -= 1
+        ratio = _ratios(less, fewer)
+        w = dual_coordinate_descent([found[i] for i in others], y[others], ratio) * ratio
+        out[mine] = [w[found[i]].sum() for i in mine]
+    return out
+
+
+def train(known: DataFrame, label: str = "label", features: str = "features", kind: str = "shapes", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Fit on rows of ``order``, feature numbers and a label (0 or 1; others take no part).
+
+    Class counts cover all rows; the driver gets at most two numbers for each of
+    ``FEATURES`` and at most ``sample_rows`` rows, half of each class if there
+    are as many, taken in the order of a hash. The logistic curve is fitted on
+    margins of models that left the row out, so that it holds for rows that were
+    not seen. With no rows, or one class only, the score is a constant. The
+    table is read three times; store it if it is dear.
     """
-    known = Stored(labelled, "labelled").df
-    parts = known.select("features", "label").mapInArrow(_class_counts, "label int, rows long, counts binary")
-    summed = parts.repartition(2, "label").mapInArrow(_add_counts, "label int, rows long, counts binary").collect()
-    rows, counts = [0, 0], [np.zeros(FEATURES), np.zeros(FEATURES)]
-    for r in summed:
-        rows[r.label] += r.rows
-        counts[r.label] = counts[r.label] + np.frombuffer(r.counts, np.int64)
-    if not all(rows):
-        return Model(np.zeros(FEATURES), 1.0, 40.0 if rows[1] or not any(rows) else -40.0, kind)
-    freq = [(c + SMOOTHING) / (n + 2 * SMOOTHING) for c, n in zip(counts, rows)]
-    ratio = np.log(freq[1] / freq[0])
-    spread = np.sqrt(1 / (counts[0] + SMOOTHING) + 1 / (counts[1] + SMOOTHING))
-    ratio[np.abs(ratio) < least_deviations * spread] = 0.0
+    known = known.where(F.col(label).isin(0, 1)).select("order", F.col(features).alias("features"), F.col(label).cast("int").alias("label"))
+    parts = known.select("features", "label").mapInArrow(_class_counts, "label int, feature int, n long")
+    summed = parts.groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((2, FEATURES + 1))
+    counts[np.asarray(summed["label"]), np.asarray(summed["feature"])] = np.asarray(summed["n"])
+    counts, rows = counts[:, :FEATURES].copy(), counts[:, FEATURES].copy()
+    if not rows.all():
+        return Model(np.zeros(FEATURES), 1.0, 40.0 if rows[1] or not rows.any() else -40.0, kind)
     half = sample_rows // 2
     taken = [known.where(F.col("label") == y).orderBy("order").limit(half) for y in (0, 1)]
     got = sorted((r.order, r.label, bytes(r.features)) for r in taken[0].unionByName(taken[1]).toLocalIterator())
     y = np.array([1.0 if r[1] else -1.0 for r in got])
     found = [np.frombuffer(r[2], np.uint16) for r in got]
+    ratio = _ratios(counts, rows)
     w = dual_coordinate_descent(found, y, ratio) * ratio
     # a row stands for those of its class that were not drawn, so that scores mean the same at every size
     stands = [rows[k] / max(1, sum(r[1] == k for r in got)) for k in (0, 1)]
-    slope, shift = logistic_curve(np.array([w[f].sum() for f in found]), y, np.array([stands[r[1]] for r in got]))
+    slope, shift = logistic_curve(_left_out_margins(found, y, counts, rows), y, np.array([stands[r[1]] for r in got]))
     return Model(w, slope, shift, kind)
 
 
@@ -222,57 +300,72 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, label: str, kind: str = "shapes", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``order``, ``features`` and ``label`` of the training rows: labelled and not held out.
+def labelled_features(docs: DataFrame, labels: DataFrame, kinds: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> Stored:
+    """``order``, and each label of ``kinds`` with its feature numbers (``<label>_features``), of the training rows.
 
-    Labels other than 0 and 1, and null texts or identifiers, take no part; of
-    several labels of an identifier the least counts. Few labels are sent to all
-    tasks; many are joined to the feature numbers, never to the texts.
+    ``kinds`` names the kind of features of each label. Rows are those that have
+    a label and are not held out; they are read once for all labels and stored.
+    Labels other than 0 and 1 are null, null texts and identifiers take no part;
+    of several labels of an identifier the least counts. Few labels are sent to
+    all tasks; many are joined to the feature numbers, never to the texts.
     """
     small_batches(docs.sparkSession)
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
+    least = [F.min(F.when(F.col(f"`{c}`").isin(0, 1), F.col(f"`{c}`").cast("int"))).alias(c) for c in kinds]
+    marks = labels.groupBy(F.col("doc_id").alias("_id")).agg(*least).dropna("all", subset=list(kinds))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(~held_out("doc_id") & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.withColumn("order", F.xxhash64("doc_id", "text"))
     few = marks.count() <= SENT_LABELS
     if few:
-        rows = rows.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("doc_id", "order", "label", "text")
+        rows = rows.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).drop("_id")
+    kept = [c for c in rows.columns if c != "text"]
+    fields = [rows.schema[c] for c in kept] + [T.StructField(f"{c}_features", T.BinaryType()) for c in kinds]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            out = [KINDS[kind](t).astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()]
-            kept = {c: batch.column(c) for c in batch.schema.names if c != "text"}
-            yield pa.RecordBatch.from_pydict(kept | {"features": pa.array(out, pa.binary())})
+            texts = batch.column("text").to_pylist()
+            made = [pa.array([f.astype(np.uint16).tobytes() for f in KINDS[k](texts)], pa.binary()) for k in kinds.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=kept + [f"{c}_features" for c in kinds])
+
+    found = rows.mapInArrow(work, T.StructType(fields))
+    if not few:
+        found = found.join(marks, F.col("doc_id") == F.col("_id"))
+    return Stored(found.select("order", *kinds, *[f"{c}_features" for c in kinds]), "labelled")
 
-    if few:
-        return rows.mapInArrow(work, "doc_id long, `order` long, label int, features binary").select("order", "features", "label")
-    found = rows.select("doc_id", "order", "text").mapInArrow(work, "doc_id long, `order` long, features binary")
-    return found.join(marks, F.col("doc_id") == F.col("_id")).select("order", "features", "label")
+
+def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of ``labels.quality``."""
+    known = labelled_features(docs, labels, {"quality": "shapes"}, id_col, text_col)
+    model = train(known.df, "quality", "quality_features")
+    known.drop()
+    return model
 
 
 def quality_scores(
-    docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+    docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix: str = ""
 ) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row, with the columns of ``carry``.
+    """``held_out``, ``score`` and ``predicted`` of every row, with its identifier and the columns of ``carry``.
 
-    Null texts score as empty ones; the score is the chance that the label is 1.
-    Rows with a null identifier are never held out. The model, ``FEATURES``
-    weights whatever the corpus, is sent to all tasks.
+    The names of the new columns begin with ``prefix``, so that columns of any
+    name can be carried. Null texts score as empty ones; the score is the chance
+    that the label is 1. Rows with a null identifier are never held out. The
+    model, ``FEATURES`` weights whatever the corpus, is sent to all tasks.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = list(dict.fromkeys([id_col, *carry]))
-    names = list(dict.fromkeys([*kept, text_col]))
-    fields = [docs.schema[c] for c in kept]
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*fields, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
+    kept, plain, fields = carried(docs, (id_col, *carry), prefix, ("held_out", "score", "predicted"))
+    slim = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(kept, plain)], F.col(f"`{text_col}`").alias("_text"))
+    schema = T.StructType([*fields, T.StructField("_score", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in text_slices(batches, text_col):
-            scores = [m.score(t) for t in batch.column(text_col).to_pylist()]
-            cols = [batch.column(c) for c in kept] + [batch.column("_held"), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "held_out", "score"])
-
-    scored = pick(docs, *names).withColumn("_held", held_out(f"`{id_col}`")).mapInArrow(work, schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        for batch in text_slices(batches, "_text"):
+            scores = m.scores([t or "" for t in batch.column("_text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in plain] + [pa.array(scores, pa.float64())], names=[*plain, "_score"])
+
+    scored = slim.mapInArrow(work, schema)
+    return scored.select(
+        *[F.col(a).alias(c) for c, a in zip(kept, plain)],
+        held_out(plain[0]).alias(f"{prefix}held_out"),
+        F.col("_score").alias(f"{prefix}score"),
+        (F.col("_score") >= threshold).cast("int").alias(f"{prefix}predicted"),
+    )

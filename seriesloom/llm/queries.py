@@ -9,7 +9,7 @@ from .html_text import extract_pages
 from .jaccard_join import similar_components
 from .mixing import mix_documents
 from .packing import harmonic_pack
-from .quality import labelled_features, quality_scores, train
+from .quality import quality_model, quality_scores
 from .token_counts import token_counts
 from .topk import exact_top_k
 from .url_filter import DAMPING, EXCESS, ROUNDS, RULES, judge_urls
@@ -40,7 +40,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = _table(spark, sf_dir, "documents")
-    model = train(labelled_features(docs, _table(spark, sf_dir, "labels"), "quality"))
+    model = quality_model(docs, _table(spark, sf_dir, "labels"))
     return quality_scores(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 

@@ -15,7 +15,7 @@ def test_scores_keep_the_class_shares(spark):
     known = spark.createDataFrame(rows, "`order` long, features binary, label int").coalesce(1)
     share = np.mean([r[2] for r in rows])
     for sample in (4000, 240):  # all rows, and as many of each class
-        m = train(known, sample)
+        m = train(known, sample_rows=sample)
         margins = np.array([m.weights[np.frombuffer(r[1], np.uint16)].sum() for r in rows])
         scores = 1 / (1 + np.exp(-(m.slope * margins + m.shift)))
         assert abs(scores.mean() - share) < 0.05
