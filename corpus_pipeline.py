@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm import queries
-from seriesloom.llm.common import Stored, scratch_path
+from seriesloom.llm.common import Stored, free_prefix, scratch_path
 from seriesloom.llm.exact_dedup import exact_dedup
 from seriesloom.llm.jaccard_join import similar_components
 from seriesloom.llm.mixing import mix_documents
 from seriesloom.llm.packing import harmonic_pack
-from seriesloom.llm.quality import labelled_features, quality_scores, train
+from seriesloom.llm.quality import quality_model, quality_scores
 
 #: The models are trained here, so SQL cannot express the stages; tests compare them with brute force.
 ORACLE_SQL = None
@@ -26,16 +26,22 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.3."""
-    model = train(labelled_features(docs, _labels(spark, sf_dir), "quality"))
-    scored = quality_scores(docs, model, carry=tuple(docs.columns))
-    return scored.where("predicted = 1").select(*docs.columns)
+    own = free_prefix(docs)
+    model = quality_model(docs, _labels(spark, sf_dir))
+    scored = quality_scores(docs, model, carry=tuple(docs.columns), prefix=own)
+    return scored.where(f"{own}predicted = 1").select(*_columns(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row that stays of each group of equal texts."""
-    return exact_dedup(docs, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
+    own = free_prefix(docs)
+    return exact_dedup(docs, carry=tuple(docs.columns), prefix=own).where(f"{own}kept").select(*_columns(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +52,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = Stored(similar_components(docs), "similar").df
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     small = gone.count() <= 400_000
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*_columns(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say."""
-    rated = mix_documents(docs, _labels(spark, sf_dir), carry=tuple(docs.columns))
-    often = rated.where("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return often.select(*docs.columns)
+    own = free_prefix(docs)
+    rated = mix_documents(docs, _labels(spark, sf_dir), carry=tuple(docs.columns), prefix=own)
+    often = rated.where(f"{own}copies > 0")
+    return often.withColumn(f"{own}c", F.explode(F.sequence(F.lit(1), F.col(f"{own}copies")))).select(*_columns(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
