@@ -23,149 +23,293 @@ from .url_filter import host_of
 
 #: Share of a page's text that a container must hold to stand for it.
 HOLDS = 0.7
-#: Hosts whose paths are sent to all tasks at most; beyond it, a shuffled join is used.
-SENT_HOSTS = 100_000
+#: Share from which a marked container that has an article's structure is taken for the page's layout.
+LAYOUT = 0.5
+#: Containers below this depth count as part of the one above.
+DEEPEST = 512
+#: Unclosed quotes in tags after which quotes in tags are no longer looked at.
+UNCLOSED = 16
+#: Hosts whose paths are sent to all tasks at most; beyond it, a shuffled join over so many parts of a host is used.
+SENT_HOSTS, PARTS = 100_000, 16
 #: Votes gathered in a task before they are handed on.
 HELD_VOTES = 50_000
 
-#: Elements whose content is never text of the page.
-RAW = frozenset("script style noscript template textarea title iframe object svg math select canvas audio video".split())
-#: Elements that hold boilerplate.
-ASIDE = frozenset("nav footer aside form menu dialog button fieldset label head".split())
+#: Elements whose content is never text of the page, up to their end tag or the page's end.
+RAW = frozenset("script style noscript template textarea title iframe".split())
+#: The same, if they have an end tag.
+CLOSED = frozenset("object svg math select canvas audio video".split())
+#: Elements that always hold boilerplate, and those that do unless they hold the page's layout.
+NEVER = frozenset("nav footer menu dialog head".split())
+ASIDE = frozenset("aside form fieldset".split())
+#: Elements inside a line that hold boilerplate, and those whose classes are looked at for it.
+INLINE_ASIDE = frozenset("button label".split())
+INLINE = frozenset("span ins small a em".split())
 #: Elements that end a block of text.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that can stand for a page's text.
 CONTAINERS = frozenset("article body div main section td center blockquote table html".split())
-#: Elements without an end tag.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end one of their name before them.
+ENDED = frozenset("p li dt dd tr td th".split())
+#: Elements that show an article's structure, and paragraphs that do so together.
+STRUCTURE, PARAGRAPHS = frozenset("article main h1".split()), 3
 #: Words of classes, identifiers and roles that mark boilerplate.
 MARKS = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist complementary contentinfo consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation navi newsletter notice notices alert notification overlay pagination pager popup promo promotion related recommended replies respond search share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets".split()
+    "ad ads adsbygoogle advert advertisement adverts advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist complementary contentinfo consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation navi newsletter notice notices alert notification overlay pagination pager popup promo promotion related recommended replies respond search share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets".split()
 )
-
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>",
-    re.S,
+#: Words that may stand beside a mark in a compound name without changing what it says; any other word does.
+BESIDE = frozenset(
+    "site page main top bottom left right primary secondary global header container wrapper wrap box block area section slot unit bar list item items link links post posts article story inner outer row col column group panel icon icons button buttons form thread text title label js the".split()
 )
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_PART = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 _NUMBERS = re.compile(r"\d+")
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW | CLOSED}
+
+
+def _is_mark(name: str) -> bool:
+    """Whether a class, identifier or role says boilerplate by itself: a mark, or marks beside words that change nothing."""
+    if name.lower() in MARKS:
+        return True
+    parts = [p.lower() for p in _PART.split(_NUMBERS.sub("", name)) if p]
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in BESIDE for p in parts)
 
 
-def _step(name: str, rest: str) -> tuple[str, bool]:
-    """An element's part of a path, and whether it is boilerplate."""
+def _step(name: str, rest: str) -> tuple[str, bool, bool]:
+    """An element's part of a path, whether it is marked as boilerplate, and whether it is hidden."""
     if not rest or rest.isspace():
-        return name, name in ASIDE
+        return name, False, False
     found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(rest):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     words = found.get("class", "").split()
     step = f"{name}.{_NUMBERS.sub('', words[0].lower())}" if words else name
-    marked = " ".join(found.get(a, "") for a in ("class", "id", "role"))
-    tokens = re.split(r"[\s_]+|(?<=[a-z])(?=[A-Z])", marked)
-    aside = name in ASIDE or "hidden" in found or found.get("aria-hidden") == "true"
-    if not aside and name not in ("html", "body", "article", "main"):
-        aside = any(t.lower() in MARKS or any(w.lower() in MARKS for w in t.split("-")) for t in tokens if t)
-    return step, aside
+    hidden = "hidden" in found or found.get("aria-hidden") == "true"
+    marked = name not in ("html", "body", "article", "main") and any(map(_is_mark, words + found.get("id", "").split() + found.get("role", "").split()))
+    return step, marked, hidden
 
 
-def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, bool, int]]:
-    """Blocks of a page in order: container path, text, whether boilerplate, and characters inside links.
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name, whether an end tag, and attributes of each tag, in one pass; comments and the like have no name.
 
-    Character references are decoded and white space becomes one blank.
+    Quoted attributes may hold ``>``. A tag whose quote is never closed ends at
+    its first ``>``; one without ``>`` takes the rest of the page.
     """
-    out: list[tuple[tuple[str, ...], str, bool, int]] = []
-    if not html:
-        return out
-    stack: list[tuple[str, str, bool]] = []  # element, step, boilerplate from here on
-    held: list[str] = []
-    linked, in_link, at = 0, 0, 0
-
-    def flush() -> None:
-        nonlocal linked
-        if held:
-            text = " ".join(unescape("".join(held)).split())
-            if text:
-                path = tuple(s for n, s, _ in stack if n in CONTAINERS)
-                out.append((path, text, bool(stack) and stack[-1][2], linked))
-            held.clear()
-        linked = 0
-
-    n = len(html)
-    while at < n:
-        m = _TAG.search(html, at)
-        stop = m.start() if m else n
-        if stop > at:
-            held.append(html[at:stop])
-            if in_link:
-                linked += stop - at
-        if not m:
-            break
-        at = m.end()
-        name = m["name"] or m["name2"]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                held.append(m[0][9:-3].replace("&", "&amp;"))
-            continue
-        name = name.lower()
-        closing = m["end"] or m["end2"]
-        if closing:
+    at, n, unclosed = 0, len(html), 0
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            end = n if end < 0 else end + 3
+            yield start, end, "", False, ""
+        elif html.startswith(("<!", "<?"), start):
+            cdata = html.startswith("<![CDATA[", start)
+            end = html.find("]]>" if cdata else ">", start)
+            end = n if end < 0 else end + (3 if cdata else 1)
+            yield start, end, "", False, html[start + 9 : end - 3] if cdata else ""
+        else:
+            closing = html.startswith("</", start)
+            name = _NAME.match(html, start + 1 + closing)
+            if name is None:
+                at = start + 1  # a bare character
+                continue
+            first = html.find(">", name.end())
+            if first < 0:
+                yield start, n, "", False, ""
+                return
+            end, look = -1, name.end()
+            while unclosed < UNCLOSED and (stop := _STOP.search(html, look)):
+                if stop[0] == ">":
+                    end = stop.start()
+                    break
+                look = html.find(stop[0], stop.end()) + 1
+                if not look:
+                    unclosed += 1
+                    break
+            if end < 0:
+                end = first
+            yield start, end + 1, name[0].lower(), closing, html[name.end() : end]
+            end += 1
+        at = end
+
+
+class Page:
+    """Blocks of a page in order, each with its container and whether it is boilerplate.
+
+    Containers of the same path of tags and classes are one; they form a tree in
+    which each comes after its parent. Marked elements form another one.
+    """
+
+    def __init__(self, html: str | None) -> None:
+        self.parent, self.step, self.depth = [-1], [""], [0]
+        self.named: dict[tuple[int, str], int] = {}
+        self.blocks: list[tuple[str, int, int, int]] = []  # text, container, mark, characters inside links
+        #: Marks: parent, whether never text, and what shows an article's structure.
+        self.above, self.never, self.shows = [-1], [False], [0]
+        if html:
+            self._read(html)
+        self.weights = [max(0.0, len(t) - 1.5 * linked) for t, _, _, linked in self.blocks]
+        aside = self._aside()
+        self.text = [not aside[m] for _, _, m, _ in self.blocks]
+
+    def _node(self, parent: int, step: str) -> int:
+        if self.depth[parent] >= DEEPEST:
+            return parent
+        node = self.named.get((parent, step))
+        if node is None:
+            node = self.named[parent, step] = len(self.parent)
+            self.parent.append(parent)
+            self.step.append(step)
+            self.depth.append(self.depth[parent] + 1)
+        return node
+
+    def _mark(self, above: int, never: bool) -> int:
+        self.above.append(above)
+        self.never.append(never)
+        self.shows.append(0)
+        return len(self.above) - 1
+
+    def _read(self, html: str) -> None:
+        # element, container, mark, and whether inside a line and not text
+        stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+        count: dict[str, int] = {}
+        held: list[str] = []
+        endless: set[str] = set()
+        linked, in_link, at, skip = 0, False, 0, 0
+
+        def push(name: str, node: int, mark: int, mute: bool) -> None:
+            stack.append((name, node, mark, mute))
+            count[name] = count.get(name, 0) + 1
+
+        def pop() -> None:
+            count[stack.pop()[0]] -= 1
+
+        def say(text: str) -> None:
+            nonlocal linked
+            if not stack[-1][3]:
+                held.append(text)
+                linked += len(text) if in_link else 0
+
+        def flush() -> None:
+            nonlocal linked
+            if held:
+                text = " ".join(unescape("".join(held)).split())
+                if text:  # what was said before an element that is not text belongs to the one around it
+                    k = -1
+                    while stack[k][3]:
+                        k -= 1
+                    self.blocks.append((text, stack[k][1], stack[k][2], linked))
+                held.clear()
+            linked = 0
+
+        for start, end, name, closing, rest in tags(html):
+            if start < skip:
+                continue
+            if start > at:
+                say(html[at:start])
+            at = end
+            if not name:
+                if rest:
+                    say(rest.replace("&", "&amp;"))
+                continue
+            if closing:
+                if name == "a":
+                    in_link = False
+                if name in BLOCKS:
+                    flush()
+                if count.get(name):
+                    while stack[-1][0] != name:
+                        pop()
+                    pop()
+                continue
+            if name in _ENDS:
+                say(" ")
+                last = None if name in endless else _ENDS[name].search(html, end)
+                if last or name in RAW:
+                    at = skip = last.end() if last else len(html)
+                else:
+                    endless.add(name)
+                continue
             if name == "a":
-                in_link = 0
+                in_link = True
+            if name == "br":
+                say(" ")
+            elif name in INLINE_ASIDE or name in INLINE and rest and _step(name, rest)[1:] != (False, False):
+                push(name, stack[-1][1], self._mark(stack[-1][2], True), True)
             elif name in BLOCKS:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-            continue
-        if name in RAW:
-            held.append(" ")
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
-            continue
-        if name == "a":
-            in_link = 1
-        elif name == "br":
-            held.append(" ")
-        elif name in BLOCKS:
-            flush()
-            if name == "hr":
-                continue
-            if stack and stack[-1][0] == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()
-            if name == "body" and stack and stack[-1][0] == "head":
-                stack.pop()
-            step, aside = _step(name, m["rest"] or m["rest2"] or "")
-            if name == "header" and not any(x[0] in ("article", "main") for x in stack):
-                aside = True
-            stack.append((name, step, aside or bool(stack) and stack[-1][2]))
-    flush()
-    return out
-
-
-def best_path(found: list[tuple[tuple[str, ...], str, bool, int]]) -> tuple[tuple[str, ...], float]:
-    """The deepest container path that holds most of a page's text, and the text's weight."""
-    weights: dict[tuple[str, ...], float] = {}
-    total = 0.0
-    for path, text, aside, linked in found:
-        if aside:
-            continue
-        w = max(0.0, len(text) - 1.5 * linked)
-        total += w
-        for k in range(len(path) + 1):
-            weights[path[:k]] = weights.get(path[:k], 0.0) + w
-    good = [p for p, w in weights.items() if w >= HOLDS * total]
-    return max(good, key=lambda p: (len(p), weights[p], p), default=()), total
-
-
-def main_text(found: list[tuple[tuple[str, ...], str, bool, int]], path: tuple[str, ...] | None) -> str:
-    """Blocks below the path, one to a line; below the page's own best path if it has none there."""
-    if path is None or not any(p[: len(path)] == path and not aside for p, _, aside, _ in found):
-        path, _ = best_path(found)
-    return "\n".join(t for p, t, aside, _ in found if not aside and p[: len(path)] == path)
+                if name == "hr":
+                    continue
+                if name in ENDED:  # elements inside the line end with it
+                    while stack[-1][3]:
+                        pop()
+                if stack[-1][0] == "p" or name in ENDED and stack[-1][0] == name or name == "body" and stack[-1][0] == "head":
+                    pop()
+                step, marked, hidden = _step(name, rest)
+                _, node, mark, _ = stack[-1]
+                never = name in NEVER or hidden
+                if never or marked or name in ASIDE or name == "header" and not (count.get("article") or count.get("main")):
+                    mark = self._mark(mark, never)
+                self.shows[mark] += PARAGRAPHS if name in STRUCTURE else name == "p"
+                push(name, self._node(node, step) if name in CONTAINERS else node, mark, False)
+            elif count.get(name):  # inside one of its name that is not text
+                push(name, stack[-1][1], stack[-1][2], stack[-1][3])
+        if at < len(html):
+            say(html[at:])
+        flush()
+
+    def _aside(self) -> list[bool]:
+        """Whether each mark keeps its blocks out: those that hold the layout of the page do not."""
+        held, shows = [0.0] * len(self.above), list(self.shows)
+        for (_, _, mark, _), w in zip(self.blocks, self.weights):
+            held[mark] += w
+        for m in range(len(held) - 1, 0, -1):
+            if not self.never[m]:
+                held[self.above[m]] += held[m]
+                shows[self.above[m]] += shows[m]
+        out = [False]
+        for m in range(1, len(held)):
+            layout = not self.never[m] and held[m] >= LAYOUT * held[0] > 0 and shows[m] >= PARAGRAPHS
+            out.append(not layout or out[self.above[m]])
+        return out
+
+    def best(self) -> tuple[int, float]:
+        """The deepest container that holds most of the page's text, and the text's weight."""
+        sums = [0.0] * len(self.parent)
+        for (_, node, _, _), w, text in zip(self.blocks, self.weights, self.text):
+            if text:
+                sums[node] += w
+        for k in range(len(sums) - 1, 0, -1):
+            sums[self.parent[k]] += sums[k]
+        good = [k for k in range(len(sums)) if sums[k] >= HOLDS * sums[0]]
+        most = max((self.depth[k], sums[k]) for k in good)
+        return max((k for k in good if (self.depth[k], sums[k]) == most), key=self.path), sums[0]
+
+    def path(self, node: int) -> tuple[str, ...]:
+        out = []
+        while node > 0:
+            out.append(self.step[node])
+            node = self.parent[node]
+        return tuple(reversed(out))
+
+    def main_text(self, path: tuple[str, ...] | None = None) -> str:
+        """Blocks below the path, one to a line; below the page's own best container if the path holds none of its text."""
+        node = 0
+        for step in path or ():
+            node = self.named.get((node, step), -1)
+            if node < 0:
+                break
+        lines = self._below(node) if path is not None and node >= 0 else []
+        return "\n".join(lines or self._below(self.best()[0]))
+
+    def _below(self, top: int) -> list[str]:
+        below = [k == top for k in range(len(self.parent))]
+        for k in range(1, len(below)):
+            below[k] = below[k] or below[self.parent[k]]
+        return [t for (t, node, _, _), text in zip(self.blocks, self.text) if text and below[node]]
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +323,10 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in text_slices(batches, "html"):
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            path, weight = best_path(blocks(html))
+            page = Page(html)
+            node, weight = page.best()
             if weight > 0:
-                key = (host, "\n".join(path))
+                key = (host, "\n".join(page.path(node)))
                 held[key] = held.get(key, 0.0) + weight
         if len(held) > HELD_VOTES:
             yield hand_on()
@@ -195,7 +340,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Null or empty html has an empty text; pages with a null url, or one without a
     host, vote together as one host. Ties between paths go to the one that sorts
     last. Repeated rows vote and are extracted one by one; an empty table gives
-    an empty result; other columns are ignored.
+    an empty result; other columns are ignored. Malformed and deeply nested
+    pages take time in proportion to their length.
     """
     small_batches(pages.sparkSession)
     slim = pick(pages, *dict.fromkeys([id_col, url_col, html_col])).select(
@@ -204,8 +350,12 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     votes = slim.select("host", "html").mapInArrow(_votes, "host string, path string, votes double")
     summed = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 3).alias("votes"))
     winners = Stored(summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("winner")), "paths").df
-    small = winners.count() <= SENT_HOSTS
-    joined = slim.join(F.broadcast(winners) if small else winners, "host", "left").select("page_id", "url", "html", "winner")
+    if winners.count() <= SENT_HOSTS:
+        joined = slim.join(F.broadcast(winners), "host", "left")
+    else:  # a host's pages are dealt out to several tasks
+        parts = winners.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = slim.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")).join(parts, ["host", "part"], "left")
+    joined = joined.select("page_id", "url", "html", "winner")
     schema = T.StructType([slim.schema["page_id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +363,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             texts = []
             for html, winner in zip(batch.column("html").to_pylist(), batch.column("winner").to_pylist()):
                 path = None if winner is None else tuple(winner.split("\n")) if winner else ()
-                texts.append(main_text(blocks(html), path))
+                texts.append(Page(html).main_text(path))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
