@@ -209,7 +209,9 @@ def read_records(f, wanted, with_payload: bool = True) -> Iterator[dict]:
     """Records of an archive file whose headers ``wanted`` accepts.
 
     Members with a length are skipped by it; others are inflated piece by piece
-    and thrown away, as their end is known no other way.
+    and thrown away, as their end is known no other way. A member that the file
+    cuts short, or whose content does not have the length and checksum it names,
+    is an error; of a payload that is skipped only the length is looked at.
     """
     at, size = 0, f.size()
     while at < size:
@@ -230,15 +232,19 @@ def read_records(f, wanted, with_payload: bool = True) -> Iterator[dict]:
         for bit in (8, 16):  # name and comment
             if flags & bit:
                 skip = raw.index(b"\0", skip) + 1
+        if length and (length < skip + 8 or at + length > size):
+            raise ValueError(f"the archive ends within the record at byte {at}")
         inflate = zlib.decompressobj(-15)
-        data = inflate.decompress(raw[skip:])
+        data = _inflated(inflate, raw[skip:], at)
         seen = at + len(raw)
         while b"\r\n\r\n" not in data and not inflate.eof and seen < size:
             f.seek(seen)
             raw = f.read(min(PEEK, size - seen))
             seen += len(raw)
-            data += inflate.decompress(raw)
-        head, _, rest = data.partition(b"\r\n\r\n")
+            data += _inflated(inflate, raw, at)
+        head, gap, rest = data.partition(b"\r\n\r\n")
+        if not gap:
+            raise ValueError(f"the headers of the record at byte {at} have no end")
         fields = _fields(head)
         take = wanted(fields)
         payload = [rest]
@@ -248,20 +254,35 @@ def read_records(f, wanted, with_payload: bool = True) -> Iterator[dict]:
         if take and not with_payload and length:
             pass
         else:
+            crc, total, tail = zlib.crc32(data), len(data), inflate.unused_data
             while not inflate.eof and seen < size:
                 f.seek(seen)
                 raw = f.read(min(1 << 18, (at + length if length else size) - seen) or 1)
                 seen += len(raw)
-                more = inflate.decompress(raw)
+                more = _inflated(inflate, raw, at)
+                crc, total, tail = zlib.crc32(more, crc), total + len(more), inflate.unused_data
                 if take and with_payload:
                     payload.append(more)
-        at = at + length if length else seen - len(inflate.unused_data) + 8
+            end = seen - len(tail) + 8
+            f.seek(end - 8)
+            trailer = f.read(8)
+            content = total - len(head) - len(gap)
+            if not inflate.eof or len(trailer) < 8 or struct.unpack("<II", trailer) != (crc, total & 0xFFFFFFFF) or content < fields["_content"] or length and end != at + length:
+                raise ValueError(f"the record at byte {at} is damaged")
+        at = at + length if length else end
         if take:
             n = fields.pop("_content")
             fields["payload"] = b"".join(payload)[:n] if with_payload else None
             yield fields
 
 
+def _inflated(inflate, raw: bytes, at: int) -> bytes:
+    try:
+        return inflate.decompress(raw)
+    except zlib.error as e:
+        raise ValueError(f"the record at byte {at} is damaged") from e
+
+
 class WarcSource(DataSource):
     """``spark.read.format("warc")`` and ``df.write.format("warc")`` over a folder."""
 
