@@ -13,9 +13,12 @@ first met and kept in a table, as a lazily built automaton.
 
 Texts are cut into chunks that run side by side. The map of a chunk from entry
 state to exit state is constant from its first mark on: it is held as the bytes
-before that mark, the count after it and the exit state. Maps are composed in
-chunk order, which gives every chunk its entry state and the bytes before its
-first mark their counts.
+before that mark, the count after it and the exit state. A chunk without a mark
+has a map proper. Maps are composed by a prefix scan with guesses: each is applied
+at once to the exit that the chunk before has from a word's start, the exits are
+compared along the chunks, and maps that were applied to another state than the
+one before them gives are applied anew, until all agree. States forget what lies
+further back than the last tokens, so that nearly all guesses hold.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .common import pick, small_batches, text_slices
 
 #: Bytes of text in a chunk.
 CHUNK = 256
+#: Bytes whose chunks run side by side; the table is looked at between them.
+SEGMENT = 1 << 20
 #: States after which the table is built anew.
 MAX_STATES = 120_000
 L, N, O, W, SP, AP = 1, 2, 3, 4, 5, 6  # letter, number, other, white space, blank, apostrophe
@@ -217,13 +222,7 @@ class Transducer:
                 running.append((nxt, same, rel))
         token, change = found
         key = (token, tuple((n, b, r - change) for n, b, r in running))
-        new = self.ids.get(key)
-        if new is None:
-            new = self.ids[key] = len(self.states)
-            self.states.append(key)
-            if new >= len(self.table):
-                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-        packed = new << 8 | (change + 128)
+        packed = self.state_of(key) << 8 | (change + 128)
         self.table[state, byte] = packed
         return packed
 
@@ -236,10 +235,30 @@ class Transducer:
             out[miss] = self.table[states[miss], symbols[miss]]
         return out
 
+    def state_of(self, key: tuple) -> int:
+        """Number of a state."""
+        new = self.ids.get(key)
+        if new is None:
+            new = self.ids[key] = len(self.states)
+            self.states.append(key)
+            if new >= len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        return new
+
     def changes(self, data: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        """Change of the token count at every byte; ``marks`` is true at word starts."""
-        if len(self.states) > MAX_STATES:
-            self.reset()
+        """Change of the token count at every byte; ``marks`` is true at word starts, the first byte's among them."""
+        out, entry = [], START
+        for at in range(0, len(data), SEGMENT):
+            if len(self.states) > MAX_STATES:
+                key = self.states[entry]
+                self.reset()
+                entry = self.state_of(key)
+            part, entry = self._segment(data[at : at + SEGMENT], marks[at : at + SEGMENT], entry)
+            out.append(part)
+        return np.concatenate(out) if out else np.empty(0, np.int8)
+
+    def _segment(self, data: np.ndarray, marks: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+        """Changes in some chunks that start in state ``entry``, and the state after them."""
         n = len(data)
         rows = -(-n // CHUNK)
         pad = rows * CHUNK - n
@@ -247,26 +266,44 @@ class Transducer:
         heads = np.ascontiguousarray(np.concatenate([marks, np.ones(pad, bool)]).reshape(rows, CHUNK).T)
         out = np.zeros((CHUNK, rows), np.int8)
         state = np.full(rows, UNKNOWN, np.int32)
+        at_end = state
         for t in range(CHUNK):
             state[heads[t]] = START
             packed = self.advance(state, grid[t])
             out[t] = (packed & 255) - 128
             state = packed >> 8
-        # compose the maps: a chunk with a mark has a known exit, others pass their entry on
+            if t == (n - 1) % CHUNK:
+                at_end = state
+        # a chunk with a mark has a map with one exit only
         first = np.where(heads.any(0), heads.argmax(0), CHUNK)
+        exits = np.concatenate([[entry], state]).astype(np.int32)
         todo = np.flatnonzero(first > 0)
-        exits = state
-        while len(todo):
-            ready = todo[exits[todo - 1] != UNKNOWN] if len(todo) > 1 else todo
-            self._heads(grid, out, exits, first, ready)
-            todo = np.setdiff1d(todo, ready, assume_unique=True)
-        return out.T.reshape(-1)[:n]
-
-    def _heads(self, grid: np.ndarray, out: np.ndarray, exits: np.ndarray, first: np.ndarray, lanes: np.ndarray) -> None:
-        """Run the bytes before the first marks of ``lanes`` from their entry states."""
+        whole = todo[first[todo] == CHUNK]
+        # other maps are applied to guesses, what their neighbours give on a word's start, all at once
+        self._heads(grid, out, np.full(rows, START, np.int32), exits, first, whole)
+        exits[0] = entry
+        applied = exits[:-1].copy()
+        wrong = todo
+        while len(wrong):
+            self._heads(grid, out, applied, exits, first, wrong)
+            # scan: each map must have been applied to the exit of the one before
+            wrong = todo[applied[todo] != exits[todo]]
+            applied[wrong] = exits[wrong]
+        last = int(exits[-1]) if first[-1] == CHUNK else int(at_end[-1])
+        if pad and first[-1] == (n - 1) % CHUNK + 1:
+            # the last chunk has no mark of its own
+            state_at = int(exits[-2])
+            for b in data[(rows - 1) * CHUNK :].tolist():
+                packed = int(self.table[state_at, b])
+                state_at = (packed if packed >= 0 else self.step(state_at, b)) >> 8
+            last = state_at
+        return out.T.reshape(-1)[:n], last
+
+    def _heads(self, grid: np.ndarray, out: np.ndarray, entries: np.ndarray, exits: np.ndarray, first: np.ndarray, lanes: np.ndarray) -> None:
+        """Apply the maps of ``lanes`` to their entry states: run the bytes before their first marks; lane i ends in ``exits[i + 1]``."""
         if len(lanes) < 16:
             for lane in lanes.tolist():
-                state = int(exits[lane - 1])
+                state = int(entries[lane])
                 for t, b in enumerate(grid[: first[lane], lane].tolist()):
                     packed = int(self.table[state, b])
                     if packed < 0:
@@ -274,18 +311,18 @@ class Transducer:
                     out[t, lane] = (packed & 255) - 128
                     state = packed >> 8
                 if first[lane] == CHUNK:
-                    exits[lane] = state
+                    exits[lane + 1] = state
             return
         lanes = lanes[np.argsort(-first[lanes], kind="stable")]
         ends = -first[lanes]
-        state = exits[lanes - 1]
+        state = entries[lanes]
         for t in range(int(first[lanes[0]])):
             k = int(np.searchsorted(ends, -t, side="left"))
             packed = self.advance(state[:k], grid[t, lanes[:k]])
             out[t, lanes[:k]] = (packed & 255) - 128
             state[:k] = packed >> 8
         whole = first[lanes] == CHUNK
-        exits[lanes[whole]] = state[whole]
+        exits[lanes[whole] + 1] = state[whole]
 
 
 def transducer(path: str) -> Transducer:

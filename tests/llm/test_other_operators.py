@@ -106,6 +106,33 @@ def test_members_without_length(tmp_path):
         assert got.items() <= {"<0>": 0, "<1>": 5, "<2>": 9000}.items() and "<2>" in got
 
 
+@pytest.mark.parametrize("with_length", [True, False])
+def test_damaged_archives_are_errors(tmp_path, with_length):
+    import gzip
+
+    from pyarrow import fs
+
+    base = dict.fromkeys(warc.HEADERS, None)
+    whole = [warc.encode_record(base | {"record_id": f"<{i}>", "record_type": "response", "payload": os.urandom(n)}) for i, n in enumerate((20_000, 50_000, 10))]
+    if not with_length:
+        whole = [gzip.compress(zlib.decompress(w, 31)) for w in whole]
+    short = gzip.compress(zlib.decompress(whole[1], 31)[:-30_000])
+    flipped = bytearray(whole[1])
+    flipped[40_000] ^= 1
+    last = bytearray(whole[2])
+    last[-8] ^= 1  # the checksum
+
+    def read(data):
+        (tmp_path / "a.warc.gz").write_bytes(data)
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / "a.warc.gz")) as f:
+            return [len(g["payload"]) for g in warc.read_records(f, lambda h: True)]
+
+    assert read(b"".join(whole)) == [20_000, 50_000, 10]
+    for data in (b"".join(whole)[:-5], (whole[0] + whole[1])[:-20_000], whole[0] + bytes(flipped) + whole[2], whole[0] + short + whole[2], b"".join(whole[:2]) + bytes(last), whole[0] + b"junk", whole[0] + whole[1][:30]):
+        with pytest.raises((ValueError, IndexError)):
+            read(data)
+
+
 def test_url_rules(spark):
     rows = [
         (1, "https://www.example.org/es/x?q#f", None), (2, "HTTP://Example.ORG/en/12", None), (3, "http://other.org/a", None), (4, "http://x.com/fr/", None), (5, "http://x.com/de/1", None),

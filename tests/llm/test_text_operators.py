@@ -1,18 +1,21 @@
 """Text operators against brute force and edge cases: nulls, empty and long texts, ties, repeats, clashing columns."""
 
+import os
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from seriesloom.llm import jaccard_join, shingles, token_counts
+from seriesloom.llm import html_text, jaccard_join, shingles, token_counts
 from seriesloom.llm.components import components
 from seriesloom.llm.exact_dedup import exact_dedup
-from seriesloom.llm.html_text import best_path, blocks, extract_pages, main_text
+from seriesloom.llm.html_text import Page, extract_pages
 from seriesloom.llm.packing import cut_points, harmonic_pack
 
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -236,6 +239,21 @@ def test_token_counts_match_the_library(spark):
     assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
 
 
+@pytest.mark.parametrize("segment, most", [(1 << 20, 120_000), (768, 300), (256, 50)])
+def test_chunks_without_a_word_start(monkeypatch, segment, most):
+    """Words of many chunks, whose maps are applied to guesses first, in one and in many segments."""
+    monkeypatch.setattr(token_counts, "SEGMENT", segment)
+    monkeypatch.setattr(token_counts, "MAX_STATES", most)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    table = np.frombuffer(token_counts.character_classes(path), np.uint8)
+    machine, whole = token_counts.Transducer(path), Tokenizer.from_file(path)
+    rng = random.Random(1)
+    texts = ["ab" * 3000, "=" * 3000, "a" * 5000, "".join(rng.choices("abcdefghij", k=6000)), "".join(rng.choices("thein", k=3000)) + " x " + "zz" * 500, "漢字" * 900, "".join(rng.choices("abc ", k=5000))]
+    want = [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert token_counts.count_tokens(machine, table, texts, []) == want
+    assert [token_counts.count_tokens(machine, table, [t], [])[0] for t in texts] == want
+
+
 def test_transducer_starts_anew_when_full(monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_STATES", 50)
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -253,10 +271,91 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 
 
 def test_page_text():
-    assert main_text(blocks(PAGE), None) == "Title & more\nFirst paragraph goes on\nSecond one\nx\ny"
-    assert best_path(blocks(PAGE))[0] == ("html", "body", "div.content-", "article.post-")
+    assert Page(PAGE).main_text() == "Title & more\nFirst paragraph goes on\nSecond one\nx\ny"
+    page = Page(PAGE)
+    assert page.path(page.best()[0]) == ("html", "body", "div.content-", "article.post-")
     for html, want in ((None, ""), ("", ""), ("plain &lt;x", "plain <x"), ("<p>a < b", "a < b"), ('<p title="a>b">c', "c"), ("<div>a<!-- x", "a"), ("<script>x", "")):
-        assert main_text(blocks(html), None) == want
+        assert Page(html).main_text() == want
+
+
+def test_marks_that_say_something_else():
+    """Classes that only contain a mark, and marks on what holds the whole page, drop nothing."""
+    w = "word " * 50
+    for html, want in (
+        (f'<body><div class="layout with-sidebar"><h1>T</h1><p>{w}</p><div class="sidebar">S</div></div></body>', f"T\n{w.strip()}"),
+        (f'<body><div class="no-comments post"><p>{w}</p></div></body>', w.strip()),
+        (f'<article><p>{w}</p><section class="related-work"><p>see also</p></section><div class="toc-content"><p>more</p></div></article>', f"{w.strip()}\nsee also\nmore"),
+        (f'<body><form id="aspnetForm"><h1>A</h1><p>{w}</p><form class="search"><p>find</p></form></form></body>', f"A\n{w.strip()}"),
+        ('<article><p title="the hidden gem">Seen</p><p hidden>not</p></article>', "Seen"),
+        ("<body><nav>n</nav><div class='ad'>Buy this now</div><article></article></body>", ""),
+        (f"<body><article><p>{w}</p></article><div class='site-footer'>f</div><div id='postComments'><p>c</p></div><div role='navigation'>n</div></body>", w.strip()),
+    ):
+        assert Page(html).main_text() == want
+
+
+def test_adverts_inside_a_line():
+    html = '<article><p>Hello <span class="advert">BUY <span>x</span> NOW</span> world <ins class="adsbygoogle"><div>ad</div>!</ins></p><p>next <button>Click</button> <span class="big">end</span><p>a <span class="ad">open<p>b</article>'
+    assert Page(html).main_text() == "Hello world\nnext end\na\nb"
+
+
+def test_malformed_and_deep_pages_take_little_time():
+    began = time.process_time()
+    for html in ("<a <" * 250_000, "<p t='" * 80_001, "<p t='>" * 80_001, "<p a=\"x>'\" b='\">" * 50_000, "<div>" * 100_000 + "x", "<svg>" * 100_000, "<script>" * 50_000, "<!-- " * 100_000, "<" * 500_000, "<div><p class='a\">" * 50_000 + "</p></div>" * 50_000, "<span class=ad>" * 100_000 + "<p>x" * 1000):
+        page = Page(html)
+        page.main_text()
+        page.path(page.best()[0])
+    assert time.process_time() - began < 15
+
+
+class PlainReader(HTMLParser):
+    """Text of the article element, block by block, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.lines, self.held, self.inside, self.skip = [], "", 0, 0
+
+    def end_block(self):
+        if text := " ".join(self.held.split()):
+            self.lines.append(text)
+        self.held = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style") or dict(attrs).get("class") == "ad"
+        if tag == "br":
+            self.held += " "
+        elif tag not in ("b", "a"):
+            self.end_block()
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a", "br"):
+            self.end_block()
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.held += data
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="tables are not there")
+def test_pages_match_a_plain_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in extract_pages(pages).collect()}
+    for r in pages.collect():
+        reader = PlainReader()
+        # the advert of these pages is one element before the article
+        reader.feed(re.sub(r'<div class="ad">.*?</div>', "", r.html or "", flags=re.S))
+        reader.close()
+        assert got[r.page_id] == "\n".join(reader.lines)
+
+
+def test_many_hosts_are_joined_alike(spark, monkeypatch):
+    page = lambda i: "<body>" + "".join(f"<div class='{'ab'[k]}'><p>{'text ' * (k * i % 7 + 1)}</p></div>" for k in range(2)) + "</body>"
+    pages = spark.createDataFrame([(i, f"http://h{i % 4}/", page(i)) for i in range(60)], "page_id long, url string, html string")
+    few = sorted(map(tuple, extract_pages(pages).collect()))
+    monkeypatch.setattr(html_text, "SENT_HOSTS", 0)
+    assert sorted(map(tuple, extract_pages(pages).collect())) == few
 
 
 def test_hosts_vote(spark):
