@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-#: Queries scored at once; their vectors are sent to all tasks.
-BLOCK = 1024
+#: Queries scored at once; their vectors are sent to all tasks, which hold ``BINS`` counts for each.
+BLOCK = 4096
 #: Bins of a histogram.
 BINS = 256
 #: Scores held at once in a task.
@@ -28,32 +28,27 @@ CELLS = 4 << 20
 EXACT = 1 << 53
 
 
-def quantised(column: pa.Array, scale: float = 256.0) -> list[np.ndarray | None]:
-    """``floor(scale * x)`` of each vector; none for null vectors or those with null or non-finite components."""
-    out: list[np.ndarray | None] = []
-    for v in column:
-        if not v.is_valid:
-            out.append(None)
-            continue
-        values = v.values
-        if values.null_count:
-            out.append(None)
-            continue
-        x = np.asarray(values.to_numpy(zero_copy_only=False), dtype=np.float64)
-        out.append(np.floor(scale * x) if np.isfinite(x).all() else None)
-    return out
+def quantised(column: pa.Array, scale: float = 256.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and ``floor(scale * x)`` of the vectors of each size; null vectors and those with null or non-finite components are left out."""
+    if not len(column):
+        return
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    offsets = column.offsets.to_numpy()
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    sizes = np.where(valid, np.diff(offsets), -1)
+    for size in np.unique(sizes[valid]).tolist():
+        at = np.flatnonzero(sizes == size)
+        x = values[offsets[at][:, None] + np.arange(size)]
+        usable = np.isfinite(x).all(1)
+        if usable.any():
+            yield at[usable], np.floor(scale * x[usable])
 
 
 def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Identifiers and quantised vectors of a batch, by vector size."""
-    groups: dict[int, tuple[list, list]] = {}
-    for i, v in zip(batch.column("id").to_pylist(), quantised(batch.column("vector"))):
-        if i is not None and v is not None:
-            ids, rows = groups.setdefault(len(v), ([], []))
-            ids.append(i)
-            rows.append(v)
-    for size, (ids, rows) in groups.items():
-        yield np.array(ids, np.int64), np.array(rows).reshape(len(rows), size)
+    ids = batch.column("id").to_numpy(zero_copy_only=False)
+    for at, rows in quantised(batch.column("vector")):
+        yield ids[at], rows
 
 
 def _scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -67,12 +62,9 @@ def _scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
 class _Block:
     """Queries of one block, by vector size: positions, identifiers, vectors."""
 
-    def __init__(self, ids: list[int], vectors: list[list[float]]) -> None:
-        self.ids = np.array(ids, np.int64)
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {len(v) for v in vectors}:
-            at = [i for i, v in enumerate(vectors) if len(v) == size]
-            self.sizes[size] = (np.array(at), np.array([vectors[i] for i in at], dtype=np.float64).reshape(len(at), size))
+    def __init__(self, ids: np.ndarray, vectors: pa.Array) -> None:
+        self.ids = ids
+        self.sizes = {q.shape[1]: (at, q) for at, q in quantised(vectors)}
 
     def scored(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Query positions, row identifiers, scores, and which cells count (not a query's own row)."""
@@ -116,9 +108,9 @@ def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"norm": pa.array([most], pa.float64())})
 
 
-def _kth(rows: DataFrame, block, ids: list[int], longest: float, k: int) -> np.ndarray:
+def _kth(rows: DataFrame, block, longest: float, k: int) -> np.ndarray:
     """k-th highest score of each query, or a value below all scores if there are fewer."""
-    n = len(ids)
+    n = len(block.value.ids)
     norms = np.zeros(n)
     for at, q in block.value.sizes.values():
         norms[at] = np.sqrt((q * q).sum(1))
@@ -127,21 +119,16 @@ def _kth(rows: DataFrame, block, ids: list[int], longest: float, k: int) -> np.n
     need = np.full(n, k)
     while (high - low).max() > 1:
         width = -(-(high - low) // BINS)
-        got = rows.mapInArrow(_histogram(block, low, high, width, k), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).collect()
-        counts = np.zeros((n, BINS), np.int64)
-        for r in got:
-            counts[r.q, r.bin] = r.n
+        got = rows.mapInArrow(_histogram(block, low, high, width, k), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros((n, BINS + 1), np.int64)
+        counts[np.asarray(got["q"]), np.asarray(got["bin"])] = np.asarray(got["n"])
         down = counts[:, ::-1].cumsum(1)[:, ::-1]
-        enough = down >= need[:, None]
-        for i in range(n):
-            if not enough[i, 0]:
-                low[i] = -bound[i] - 1
-                high[i] = low[i] + 1
-                continue
-            b = int(np.flatnonzero(enough[i])[-1])
-            need[i] -= down[i, b + 1] if b + 1 < BINS else 0
-            low[i] += width[i] * b
-            high[i] = min(high[i], low[i] + width[i])
+        enough = down[:, :BINS] >= need[:, None]
+        few = ~enough[:, 0]
+        b = BINS - 1 - enough[:, ::-1].argmax(1)
+        need = np.where(few, need, need - down[np.arange(n), b + 1])
+        low = np.where(few, -bound - 1, low + width * b)
+        high = np.where(few, low + 1, np.minimum(high, low + width))
     return low
 
 
@@ -186,12 +173,11 @@ def exact_top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int =
     parts = []
     for number in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).orderBy("vec_id").toArrow()
-        usable = [(i, v) for i, v in zip(mine.column("vec_id").to_pylist(), quantised(mine.column("vector").combine_chunks())) if v is not None]
-        if not usable:
+        held = _Block(mine["vec_id"].to_numpy(), mine["vector"].combine_chunks())
+        if not held.sizes:
             continue
-        ids = [i for i, _ in usable]
-        block = spark.sparkContext.broadcast(_Block(ids, [list(v) for _, v in usable]))
-        least = _kth(rows, block, ids, longest, k)
+        block = spark.sparkContext.broadcast(held)
+        least = _kth(rows, block, longest, k)
         parts.append(rows.mapInArrow(_filtered(block, least, k), "query_id long, vec_id long, score long"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
