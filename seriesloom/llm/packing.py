@@ -16,6 +16,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,8 +25,8 @@ from .common import pick, small_batches, text_slices
 
 #: A rest of at most this many tokens is not cut further.
 SHORT = 256
-#: Whitespace-separated chunks kept with their ids by each Python worker.
-CACHE_CHUNKS = 150_000
+#: Whitespace-separated chunks kept with their ids by each Python worker, twice: those met lately, and those before.
+CACHE_CHUNKS = 300_000
 CACHE_CHARS = 48
 
 #: Marks that often end a word, and words that certainly are letters to the tokenizer.
@@ -36,56 +37,68 @@ _ENCODERS: dict = {}
 
 
 class ChunkEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Ids of texts.
 
     The word tokenizer drops white space and never joins characters across it,
     so the ids of a text are those of its chunks between spaces, one after the
-    other; frequent chunks are encoded once and looked up after that.
+    other. The distinct chunks of many texts are looked up together; frequent
+    ones are encoded once.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # lower-case composed letters need no normaliser, and words between blanks no pattern
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {"": b""}
-        import numpy as np
-
+        self.former: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
 
-    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of words of letters, many in one text: the last token of each is marked as a word's end."""
-        import numpy as np
-
-        for start in range(0, len(words), 1_000):
-            part = words[start : start + 1_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(part, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
-                yield word, raw[at:end]
-                at = end
+    def _words(self, words: list[str]) -> None:
+        """Learn words of letters, many in one text: the last token of each is marked as a word's end."""
+        for start in range(0, len(words), 4_000):
+            part = words[start : start + 4_000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part).lower()], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
 
-    def _encoded(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _chunks(self, chunks: list[str], into: dict[str, bytes]) -> None:
         for start in range(0, len(chunks), 20_000):
             part = chunks[start : start + 20_000]
-            for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                yield chunk, array("I", enc.ids).tobytes()
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            into.update(zip(part, [array("I", enc.ids).tobytes() for enc in found]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's end."""
+        import pyarrow.compute as pc
 
-    def encode(self, texts: list[str]) -> list[bytes]:
         # A-Z may be lowered beforehand: the tokenizer lowers all letters, and this changes no composition
-        split = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
+        lowered = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
+        split = pc.split_pattern(lowered, " ")
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_CHUNKS:
-            self.known = {"": b""}
-        known = self.known
+            self.known, self.former = {"": b""}, self.known
+        known, former = self.known, self.former
+        ids = list(map(known.get, chunks))
+        wanted = {c for c, v in zip(chunks, ids) if v is None}
+        # what was met before the cache was turned over is still worth keeping
+        again = wanted.intersection(former)
+        known.update(zip(again, map(former.__getitem__, again)))
         # a word and the mark that ends it are parts of their own
         marked: list[str] = []
         words: set[str] = set()
         other: list[str] = []
-        for chunk in set().union(*split).difference(known):
+        long: list[str] = []
+        for chunk in wanted - again:
             if len(chunk) > CACHE_CHARS:
-                other.append(chunk)
+                long.append(chunk)
             elif _LATIN(chunk):
                 words.add(chunk)
             elif chunk[-1] in MARKS and _LATIN(chunk[:-1]):
@@ -93,15 +106,23 @@ class ChunkEncoder:
                 words.add(chunk[:-1])
             else:
                 other.append(chunk)
-        extra: dict[str, bytes] = {}
-        known.update(self._words(list(words.difference(known))))
-        for chunk, ids in self._encoded(other + [m for m in MARKS if m not in known]):
-            (known if len(chunk) <= CACHE_CHARS else extra)[chunk] = ids
+        self._words(list(words.difference(known)))
+        self._chunks(other + [m for m in MARKS if m not in known], known)
         for chunk in marked:
             known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
-        if extra:
-            return [b"".join([known[c] if c in known else extra[c] for c in s]) for s in split]
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        if wanted:
+            ids = list(map(known.get, chunks))
+        if long:
+            extra: dict[str, bytes] = {}
+            self._chunks(long, extra)
+            ids = [extra[c] if v is None else v for c, v in zip(chunks, ids)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        found = pool[np.repeat(starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        return found, np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy())]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -191,7 +212,6 @@ def harmonic_pack(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     ddl = ", ".join(f"{n} long" for n in names) + (", ids binary" if with_ids else "")
     schema = pa.schema([(n, pa.int64()) for n in names] + ([("ids", pa.binary())] if with_ids else []))
-    end = end_id.to_bytes(4, "little")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = Bins(capacity, TaskContext.get().partitionId() << 33)
@@ -204,15 +224,17 @@ def harmonic_pack(
             arrays = [pa.array(cols[i], pa.int64()) for i in (0, 1, 2, 3, 4, 6, 7)]
             return pa.RecordBatch.from_arrays(arrays + ([pa.array(cols[5], pa.binary())] if with_ids else []), schema=schema)
 
-        for batch in text_slices(batches, text_col, 2 << 20):
+        for batch in text_slices(batches, text_col):
             ids = batch.column(id_col).to_pylist()
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            for doc, body in zip(ids, enc.encode(texts)):
-                body += end
-                total = len(body) // 4
+            found, ends = enc.encode(batch.column(text_col))
+            with_end = np.insert(found, ends, end_id)
+            raw, at = memoryview(with_end.astype("<u4", copy=False)).cast("B"), 0
+            for doc, stop in zip(ids, (ends + np.arange(1, len(ends) + 1)).tolist()):
+                total = stop - at
                 for start, size in cut_points(total, capacity):
-                    piece = body[4 * start : 4 * (start + size)]
-                    out += bins.add((doc, start, size, zlib.crc32(piece), total, piece if with_ids else None))
+                    piece = raw[4 * (at + start) : 4 * (at + start + size)]
+                    out += bins.add((doc, start, size, zlib.crc32(piece), total, bytes(piece) if with_ids else None))
+                at = stop
             if len(out) > 20_000:
                 yield flush(out)
                 out = []
