@@ -104,8 +104,8 @@ def release_group(name: Column) -> Column:
 
 
 def version_suffix(stem: Column) -> Column:
-    """Version mark such as ``V2`` that stands alone in a file's stem."""
-    return F.nullif(F.upper(F.regexp_extract(stem, r"(?i)(?:^|[^0-9a-z])(v[0-9]{1,3})(?:$|[^0-9a-z])", 1)), F.lit(""))
+    """Version mark such as ``V2`` that begins a part of a file's stem and has no further digit."""
+    return F.nullif(F.upper(F.regexp_extract(stem, r"(?i)(?:^|[^0-9a-z])(v[0-9]{1,3})(?![0-9])", 1)), F.lit(""))
 
 
 def file_stem(name: Column) -> Column:
@@ -119,6 +119,34 @@ def safe_label(label: Column) -> Column:
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit("comparison"))
 
 
+def label_pair(label: Column, stem: Column, override: Column) -> tuple[Column, Column]:
+    """Raw and safe label of a clip: the label, else its file's stem; the safe one may be given."""
+    raw = F.coalesce(F.nullif(label, F.lit("")), stem)
+    clean = safe_label(F.coalesce(F.nullif(F.trim(override), F.lit("")), raw))
+    return F.coalesce(F.nullif(F.trim(raw), F.lit("")), clean), clean
+
+
+def drawtext(text: Column) -> Column:
+    """Text escaped for a filter's argument."""
+    for mark in ("\\", ":", "=", ",", "[", "]", "'"):
+        text = F.replace(text, F.lit(mark), F.lit("\\" + mark))
+    return F.replace(text, F.lit("\n"), F.lit("\\\\n"))
+
+
+def manual_id(text: Column) -> Column:
+    """``category`` and ``id`` of a catalogue identifier such as ``tv/12``; null if it is none."""
+    form = r"^(movie|tv)[/:-]?(\d+)$"
+    clean = F.lower(F.trim(text))
+    return F.when(clean.rlike(form), F.struct(F.upper(F.regexp_extract(clean, form, 1)).alias("category"), F.regexp_extract(clean, form, 2).alias("id")))
+
+
+def title_candidates(*titles: Column) -> Column:
+    """Titles of a payload in order, without empty ones and repeats in another case."""
+    given = F.filter(F.transform(F.array(*titles), lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))
+    seen = F.array_distinct(F.transform(given, F.lower))
+    return F.transform(seen, lambda key: F.element_at(F.filter(given, lambda t: F.lower(t) == key), 1))
+
+
 def image_name(frame: Column, label: Column) -> Column:
     """Name of a frame's image."""
     return F.concat(frame.cast("string"), F.lit(" - "), safe_label(label), F.lit(".png"))
@@ -131,16 +159,45 @@ def category_key(label: Column) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    """Host of a URL in lower case, all that logs may show."""
-    return F.lower(F.nullif(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    """Host of a URL in lower case, all that logs may show; an address in brackets without them."""
+    host = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
+    return F.lower(F.nullif(F.regexp_replace(host, r"^\[|\]$", ""), F.lit("")))
+
+
+def private_v4(host: Column) -> Column:
+    """Whether a host is an IPv4 address that no public server has."""
+    part = lambda k: F.split_part(host, F.lit("."), F.lit(k)).try_cast("int")
+    a, b, c = part(1), part(2), part(3)
+    # fixed ranges: this network, private, loopback, link-local, protocol, documentation, benchmarking, reserved
+    inside = (
+        a.isin(0, 10, 127)
+        | (a >= 240)
+        | ((a == 169) & (b == 254))
+        | ((a == 172) & b.between(16, 31))
+        | ((a == 192) & (b == 168))
+        | ((a == 192) & (b == 0) & c.isin(0, 2))
+        | ((a == 198) & b.isin(18, 19))
+        | ((a == 198) & (b == 51) & (c == 100))
+        | ((a == 203) & (b == 0) & (c == 113))
+    )
+    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    return host.rlike(rf"^{octet}(?:\.{octet}){{3}}$") & inside
+
+
+def private_v6(host: Column) -> Column:
+    """Whether a host is an IPv6 address outside of global unicast and multicast, or one kept for documentation and tunnels."""
+    hextet = lambda k: F.conv(F.coalesce(F.nullif(F.split_part(host, F.lit(":"), F.lit(k)), F.lit("")), F.lit("0")), 16, 10).cast("int")
+    a, b = hextet(1), hextet(2)
+    kept = (a == 0x2002) | ((a == 0x2001) & ((b < 0x200) | (b == 0xDB8))) | ((a == 0x3FFF) & (b < 0x1000))
+    outside = ~(a.between(0x2000, 0x3FFF) | (a >= 0xFF00))
+    return host.contains(":") & (outside | kept)
 
 
 def safe_webhook(url: Column) -> Column:
-    """Whether a URL is https and its host neither local nor a private address."""
+    """Whether a URL is https and its host neither local nor a private or reserved address, by its text alone."""
     host = url_host(url)
     local = (host == "localhost") | host.endswith(".localhost") | host.endswith(".local")
-    private = host.rlike(r"^(0|10|127)\.\d+\.\d+\.\d+$|^169\.254\.\d+\.\d+$|^192\.168\.\d+\.\d+$|^172\.(1[6-9]|2\d|3[01])\.\d+\.\d+$|^(22[4-9]|2[3-5]\d)\.\d+\.\d+\.\d+$")
-    return F.coalesce(F.lower(url).startswith("https://") & host.isNotNull() & ~local & ~private, F.lit(False))
+    return F.coalesce(F.lower(url).startswith("https://") & host.isNotNull() & ~local & ~private_v4(host) & ~private_v6(host), F.lit(False))
 
 
 def upload_timeout(base: Column, size: Column) -> Column:
@@ -148,7 +205,7 @@ def upload_timeout(base: Column, size: Column) -> Column:
     return F.greatest(base, size / (256.0 * 1024.0) + 15.0)
 
 
-def retryable(message: Column, marks: tuple[str, ...] = ("timeout", "timed out", "connection", "temporarily", "429", "502", "503", "504")) -> Column:
+def retryable(message: Column, marks: tuple[str, ...] = ("timeout", "timed out", "connection", "temporarily", "request failed", "429", "502", "503", "504")) -> Column:
     """Whether an error text names a passing failure."""
     return F.lower(message).rlike("|".join(marks))
 
@@ -257,3 +314,8 @@ def highlight(value: Column, rules: list[tuple[str, float, str]]) -> Column:
 def compression_level(level: Column) -> Column:
     """PNG level of 0, 1 or 2, clamped: 0, 6 or 9."""
     return F.element_at(F.array(F.lit(0), F.lit(6), F.lit(9)), (F.greatest(F.lit(0), F.least(F.lit(2), level)) + 1).cast("int"))
+
+
+def valid_index(value: Column, total: Column) -> Column:
+    """Whether a number is whole and lies within a clip of ``total`` frames."""
+    return (value == F.floor(value)) & (value >= 0) & (value < total)

@@ -97,3 +97,9 @@ def choose_stream(scored: DataFrame, clip: str = "clip") -> DataFrame:
     """Stream with the highest score of each clip; the lowest index of equals."""
     order = Window.partitionBy(clip).orderBy(F.col("score").desc(), "index")
     return scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def default_stream(streams: DataFrame, group: str) -> DataFrame:
+    """Index of each group's first default stream, else of its first one, else 0, as ``stream``."""
+    first = F.min(F.when(F.col("is_default"), F.col("idx")))
+    return streams.groupBy(group).agg(F.coalesce(first, F.min("idx"), F.lit(0)).alias("stream"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalar import version_suffix
@@ -101,3 +101,9 @@ def pick_reference(clips: DataFrame, by: str, hint: str, pos: str) -> DataFrame:
     rank = F.when(F.col(pos).cast("string") == h, 0).when(same("name"), 1).when(same("stem"), 2).when(same("label"), 3).when(F.col("analysed"), 4).otherwise(5)
     order = Window.partitionBy(by).orderBy(F.coalesce(rank, F.lit(5)), pos)
     return clips.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def first_filled(rows: DataFrame, group: Column, order: str, value: str) -> DataFrame:
+    """First value of each group that is neither null nor empty, as ``value``."""
+    filled = F.nullif(F.col(value), F.lit(""))
+    return rows.groupBy(group.alias("grp")).agg(F.min_by(filled, F.when(filled.isNotNull(), F.col(order))).alias("value"))

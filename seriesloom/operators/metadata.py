@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Codes of matrix, primaries, transfer and range, and the names they go by (ITU-T H.273).
-MATRIX = {"rgb": 0, "bt709": 1, "709": 1, "bt470bg": 5, "smpte170m": 6, "bt601": 6, "601": 6, "bt2020nc": 9, "bt2020": 9, "2020": 9}
-PRIMARIES = {"bt709": 1, "709": 1, "bt470bg": 5, "smpte170m": 6, "bt2020": 9, "2020": 9}
-TRANSFER = {"bt709": 1, "709": 1, "smpte170m": 6, "smpte2084": 16, "st2084": 16, "pq": 16, "arib-b67": 18, "hlg": 18}
-RANGE = {"full": 0, "limited": 1}
+MATRIX = {"rgb": 0, "bt709": 1, "bt.709": 1, "709": 1, "bt470bg": 5, "470bg": 5, "smpte170m": 6, "170m": 6, "bt601": 6, "601": 6, "bt2020": 9, "bt.2020": 9, "2020": 9, "2020ncl": 9}
+PRIMARIES = {"bt709": 1, "bt.709": 1, "709": 1, "bt470bg": 5, "470bg": 5, "smpte170m": 6, "170m": 6, "bt601": 6, "601": 6, "bt2020": 9, "bt.2020": 9, "2020": 9}
+TRANSFER = {"bt709": 1, "709": 1, "bt1886": 1, "gamma2.2": 1, "st2084": 16, "smpte2084": 16, "pq": 16, "hlg": 18, "arib-b67": 18, "smpte170m": 6, "170m": 6, "bt601": 6, "601": 6}
+RANGE = {"limited": 1, "tv": 1, "full": 0, "pc": 0, "jpeg": 0}
 #: Transfers and primaries that mean HDR.
 HDR_TRANSFER, HDR_PRIMARIES = (16, 18), (9,)
 
@@ -34,6 +34,11 @@ def signals_hdr(props: Column) -> Column:
     return F.coalesce(codes["transfer"].isin(*HDR_TRANSFER), F.lit(False)) | F.coalesce(codes["primaries"].isin(*HDR_PRIMARIES), F.lit(False)) | mastering
 
 
+def source_space(transfer: Column, primaries: Column) -> Column:
+    """Number of the tone mapper's source space of HDR material: 1 for PQ, 2 for HLG, in wide primaries; else null."""
+    return F.when((transfer == 16) & (primaries == 9), 1).when((transfer == 18) & (primaries == 9), 2)
+
+
 def default_color(height: Column, matrix: Column) -> Column:
     """Matrix of SD or HD material where none is given."""
     return F.coalesce(matrix, F.when(height <= 576, 6).otherwise(1))

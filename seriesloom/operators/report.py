@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.functions import scalar as S
 from seriesloom.functions.scalar import category_key
 
 
@@ -40,3 +41,10 @@ def upload_plan(names: DataFrame) -> DataFrame:
     sizes = parts.groupBy("frame").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("label")).alias("labels"))
     even = sizes.agg((F.min("n") == F.max("n")).alias("even"))
     return sizes.crossJoin(F.broadcast(even))
+
+
+def render_plan(frames: DataFrame, encodes: DataFrame) -> DataFrame:
+    """Every chosen frame for every encode with its image's name; the few encodes are one array that each frame is given."""
+    names = encodes.groupBy().agg(F.collect_set("encode").alias("encodes"))
+    every = frames.crossJoin(names).withColumn("encode", F.explode("encodes")).drop("encodes")
+    return every.withColumn("name", S.image_name(F.col("frame"), F.col("encode")))

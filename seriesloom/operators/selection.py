@@ -18,12 +18,21 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Category:
-    """A category of frames: its rank among others, quota and gap to accepted frames."""
+    """A category of frames: its rank among others, quota and gap to accepted frames.
+
+    Frames of a category that is not ``thinned`` are tried as they come, without
+    the fold over the category by itself.
+    """
 
     label: str
     priority: int
     quota: int
     gap: int
+    thinned: bool = True
+
+
+#: Frames that a user asks for: always accepted, whatever is near.
+USER = Category("User", 0, 1 << 30, 0, False)
 
 
 def spaced(frames: Column, gap: int) -> Column:
@@ -38,16 +47,20 @@ def ordered_frames(candidates: DataFrame, order: list[Column], name: str = "fram
     return candidates.groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(key)), lambda s: s["frame"]).alias(name))
 
 
-def select_frames(candidates: DataFrame, categories: tuple[Category, ...]) -> DataFrame:
+def select_frames(candidates: DataFrame, categories: tuple[Category, ...], windows: DataFrame | None = None) -> DataFrame:
     """Accepted frames of each clip with their labels.
 
     ``candidates`` has ``clip``, ``label``, ``frame`` and ``place``, the rank of a
-    frame in its category. Rows: ``clip``, ``frame``, ``label``, ascending frames.
+    frame in its category; those outside of their clip's window are left out if
+    ``windows`` (``clip``, ``start_frame``, ``end_frame``) are given. Rows:
+    ``clip``, ``frame``, ``label``, ascending frames.
     """
+    if windows is not None:
+        candidates = pinned_frames(candidates, windows)[0]
     per = None
     for c in categories:
         own = ordered_frames(candidates.where(F.col("label") == c.label), [F.col("place")])
-        one = own.select("clip", F.lit(c.priority).alias("pr"), spaced(F.col("frames"), c.gap).alias("kept"))
+        one = own.select("clip", F.lit(c.priority).alias("pr"), (spaced(F.col("frames"), c.gap) if c.thinned else F.col("frames")).alias("kept"))
         per = one if per is None else per.unionByName(one)
     tagged = per.select("clip", "pr", F.transform("kept", lambda f: F.struct(F.col("pr").alias("pr"), f.alias("frame"))).alias("kept"))
     lists = tagged.groupBy("clip").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pr", "kept"))), lambda s: s["kept"])).alias("seq"))
@@ -62,7 +75,8 @@ def select_frames(candidates: DataFrame, categories: tuple[Category, ...]) -> Da
         return F.when(near | full | same, z).otherwise(F.concat(z, F.array(x)))
 
     names = F.create_map(*[x for c in categories for x in (F.lit(c.priority), F.lit(c.label))])
-    chosen = lists.select("clip", F.explode(F.aggregate("seq", start, accept)).alias("s"))
+    order = lambda acc: F.array_sort(F.transform(acc, lambda s: F.struct(s["frame"].alias("frame"), s["pr"].alias("pr"))))
+    chosen = lists.select("clip", F.explode(order(F.aggregate("seq", start, accept))).alias("s"))
     return chosen.select("clip", F.col("s.frame").alias("frame"), names[F.col("s.pr")].alias("label"))
 
 

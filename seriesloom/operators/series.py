@@ -112,3 +112,11 @@ def trim_clips(series: DataFrame, clips: DataFrame) -> DataFrame:
     own = cut.drop("trim").withColumn("blank", F.lit(False))
     extra = clips.where("trim < 0").select("clip", F.explode(F.sequence(F.lit(0).cast("long"), -F.col("trim").cast("long") - 1)).alias("frame"), F.lit(True).alias("blank"))
     return own.unionByName(extra, allowMissingColumns=True)
+
+
+def slice_clips(frames: DataFrame, start: int, end: int | None = None) -> DataFrame:
+    """Frames from ``start`` up to ``end``, counted from the end of the clip if negative, numbered anew."""
+    total = frames.groupBy("clip").agg((F.max("frame") + 1).alias("_n"))
+    edge = lambda k: F.greatest(F.lit(0), F.col("_n") + k) if k < 0 else F.lit(k)
+    kept = frames.join(total, "clip").where((F.col("frame") >= edge(start)) & (F.lit(True) if end is None else F.col("frame") < edge(end)))
+    return kept.withColumn("frame", F.col("frame") - edge(start)).drop("_n")

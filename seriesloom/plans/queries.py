@@ -72,7 +72,7 @@ def motion_smooth(spark, d):
     return motion_of(spark, d).select("clip", "frame", r9("motion"), r9("smooth"))
 
 
-@query(f"WITH {FRAMES} SELECT clip, frame, round(luma, 9) AS luma FROM f WHERE frame >= 10 AND frame < 1000 AND (frame - 10) % 7 = 0")
+@query(f"WITH {FRAMES} SELECT clip, frame, round(luma, 9) AS luma FROM f WHERE frame >= 10 AND (frame - 10) % 7 = 0")
 def strided_sample(spark, d):
     f = frames_of(spark, d)
     length = f.groupBy("clip").agg((F.max("frame") + 1).alias("length"))
@@ -181,7 +181,7 @@ def selection_window(spark, d):
     return w.select("clip", "start_frame", "end_frame", F.round("start_seconds", 6).alias("start_seconds"), F.round("end_seconds", 6).alias("end_seconds"), "widened")
 
 
-@query(f"""WITH {_WINDOWS}, x AS (SELECT grp, max(start_frame) AS s, min(end_frame) AS e, min(num_frames) AS n FROM w WHERE num_frames > 1500 GROUP BY grp)
+@query(f"""WITH {_WINDOWS}, x AS (SELECT grp, max(start_frame) AS s, min(end_frame) AS e, min(num_frames) AS n FROM w  GROUP BY grp)
     SELECT grp, CASE WHEN e <= s THEN 0 ELSE s END AS start_frame, CASE WHEN e <= s THEN n ELSE e END AS end_frame, e <= s AS collapsed FROM x""")
 def window_intersection(spark, d):
     w = windows.selection_windows(clips_of(spark, d), 10.0, 5.0, 20.0)
@@ -193,7 +193,10 @@ def window_intersection(spark, d):
 
 def candidates_of(spark, d):
     """Dark, bright and motion candidates in reproducible orders."""
-    s = motion_of(spark, d).select("clip", "frame", F.round("luma", 9).alias("luma"), F.round("smooth", 9).alias("smooth"))
+    return ranked_candidates(motion_of(spark, d).select("clip", "frame", F.round("luma", 9).alias("luma"), F.round("smooth", 9).alias("smooth")))
+
+
+def ranked_candidates(s):
     place = lambda *o: F.row_number().over(Window.partitionBy("clip").orderBy(*o, "frame")).alias("place")
     dark = series.below_quantile(s, "luma", 0.2).select("clip", F.lit("Dark").alias("label"), "frame", place("luma"))
     bright = series.above_quantile(s, "luma", 0.8).select("clip", F.lit("Bright").alias("label"), "frame", place(F.col("luma").desc()))
@@ -292,7 +295,7 @@ _HOURS = """h AS (SELECT event_type AS clip, floor(epoch(ts) / 3600)::BIGINT AS
     st AS (SELECT clip, avg(v) AS m, stddev_pop(v) AS s FROM h GROUP BY clip),
     zz AS (SELECT h.clip, hour AS pos, (v - m) / (s + 1e-8) AS z FROM h JOIN st ON h.clip = st.clip),
     ref AS (SELECT min(clip) AS r FROM zz),
-    pairs AS (SELECT b.clip, b.pos - a.pos AS lag, sum(a.z * b.z) AS corr_raw FROM zz a JOIN zz b ON b.pos - a.pos BETWEEN -24 AND 24, ref
+    pairs AS (SELECT b.clip, b.pos - a.pos AS lag, sum(a.z * b.z) AS corr_raw FROM zz a JOIN zz b ON true, ref
               WHERE a.clip = r AND b.clip <> r GROUP BY 1, 2),
     nn AS (SELECT clip, count(*) AS n FROM zz GROUP BY clip),
     xc AS (SELECT p.clip, lag, round(corr_raw, 6) AS corr_raw, round(corr_raw / least(n, (SELECT n FROM nn, ref WHERE clip = r)), 6) AS corr_norm FROM pairs p JOIN nn ON nn.clip = p.clip)"""
@@ -512,7 +515,7 @@ def scored_of(spark, d):
     return match.score_candidates(q.crossJoin(F.broadcast(c)))
 
 
-@query(f"WITH RECURSIVE {_PAIRS} SELECT p_partkey, cand, round(score, 6) AS score FROM sc WHERE score > 0.3")
+@query(f"WITH RECURSIVE {_PAIRS} SELECT p_partkey, cand, round(score, 6) AS score FROM sc ")
 def title_score(spark, d):
     return scored_of(spark, d).select("p_partkey", "cand", F.round("score", 6).alias("score"))
 
@@ -553,14 +556,23 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", metadata.json_number(F.col("props"), "$.k").alias("k"))
 
 
-@query("""WITH p AS (SELECT event_id, CASE user_id % 5 WHEN 0 THEN 'BT709' WHEN 1 THEN '9' WHEN 2 THEN '2' WHEN 3 THEN 'st2084' ELSE 'x' END AS v FROM events),
-    c AS (SELECT event_id, CASE lower(v) WHEN 'bt709' THEN 1 WHEN 'st2084' THEN 16 WHEN '9' THEN 9 END AS transfer, CASE lower(v) WHEN 'bt709' THEN 1 WHEN '9' THEN 9 END AS primaries FROM p)
-    SELECT event_id, transfer, primaries, coalesce(transfer IN (16, 18), false) OR coalesce(primaries = 9, false) AS hdr FROM c""")
+@query("""WITH p AS (SELECT event_id, list_extract(['BT709', '9', '2', 'st2084', 'x', '470bg', '2020ncl', 'BT1886', '170m', 'bt.709', 'arib-b67', '2020'], 1 + user_id % 12) AS v FROM events),
+    c AS (SELECT event_id, v, CASE lower(v) WHEN 'bt709' THEN 1 WHEN 'bt1886' THEN 1 WHEN 'st2084' THEN 16 WHEN 'arib-b67' THEN 18 WHEN '170m' THEN 6 WHEN '9' THEN 9 WHEN '2020' THEN 2020 END AS transfer,
+      CASE lower(v) WHEN 'bt709' THEN 1 WHEN 'bt.709' THEN 1 WHEN '9' THEN 9 WHEN '2020' THEN 9 WHEN '470bg' THEN 5 WHEN '170m' THEN 6 END AS primaries,
+      CASE lower(v) WHEN 'bt709' THEN 1 WHEN 'bt.709' THEN 1 WHEN '9' THEN 9 WHEN '2020' THEN 9 WHEN '2020ncl' THEN 9 WHEN '470bg' THEN 5 WHEN '170m' THEN 6 END AS matrix FROM p)
+    SELECT event_id, matrix, transfer, primaries, coalesce(transfer IN (16, 18), false) OR coalesce(primaries = 9, false) AS hdr FROM c""")
 def color_codes(spark, d):
-    v = F.element_at(F.array(F.lit("BT709"), F.lit("9"), F.lit("2"), F.lit("st2084"), F.lit("x")), (F.col("user_id") % 5 + 1).cast("int"))
-    e = table(spark, d, "events").select("event_id", F.create_map(F.lit("_Transfer"), v, F.lit("_Primaries"), v).alias("props"))
+    names = F.array(*[F.lit(x) for x in "BT709 9 2 st2084 x 470bg 2020ncl BT1886 170m bt.709 arib-b67 2020".split()])
+    v = F.element_at(names, (F.col("user_id") % 12 + 1).cast("int"))
+    e = table(spark, d, "events").select("event_id", F.create_map(F.lit("_Transfer"), v, F.lit("_Primaries"), v, F.lit("_Matrix"), v).alias("props"))
     c = metadata.color_codes(F.col("props"))
-    return e.select("event_id", c["transfer"].alias("transfer"), c["primaries"].alias("primaries"), metadata.signals_hdr(F.col("props")).alias("hdr"))
+    return e.select("event_id", *[c[k].alias(k) for k in ("matrix", "transfer", "primaries")], metadata.signals_hdr(F.col("props")).alias("hdr"))
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 3 = 0 AND event_id % 2 = 0 THEN 1 WHEN user_id % 3 = 1 AND event_id % 2 = 0 THEN 2 END AS space FROM events""")
+def source_spaces(spark, d):
+    transfer = F.element_at(F.array(F.lit(16), F.lit(18), F.lit(1)), (F.col("user_id") % 3 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", metadata.source_space(transfer, F.when(F.col("event_id") % 2 == 0, 9)).alias("space"))
 
 
 @query("""SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 0.002 ELSE user_id / 1000.0 END AS mdl_min, CASE WHEN user_id % 2 = 0 THEN 1000.0 ELSE user_id * 10.0 END AS mdl_max FROM events""")
@@ -641,8 +653,7 @@ def geometry_plan(spark, d):
 
 
 @query("""SELECT o_orderkey AS frame, o_orderpriority AS category, round(o_totalprice, 2) AS score, x.files AS files FROM orders
-    LEFT JOIN (SELECT l_orderkey, array_to_string(list('line ' || l_linenumber || '=' || l_partkey ORDER BY l_linenumber, l_partkey), ',') AS files FROM lineitem WHERE l_linenumber IN (1, 2, 3) GROUP BY l_orderkey) x ON x.l_orderkey = o_orderkey
-    WHERE o_orderkey % 20 = 0""")
+    LEFT JOIN (SELECT l_orderkey, array_to_string(list('line ' || l_linenumber || '=' || l_partkey ORDER BY l_linenumber, l_partkey), ',') AS files FROM lineitem WHERE l_linenumber IN (1, 2, 3) GROUP BY l_orderkey) x ON x.l_orderkey = o_orderkey""")
 def report_payload(spark, d):
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     encodes = spark.range(1, 4).select(F.col("id").cast("int").alias("pos"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("label"), F.col("id").cast("string").alias("safe_label"))
@@ -658,7 +669,7 @@ def category_counts(spark, d):
     return report.category_counts(table(spark, d, "events"), "event_type", "event_id")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER w AS files_so_far, sum(floor(l_quantity)::BIGINT) OVER w AS bytes_so_far FROM lineitem WHERE l_orderkey % 10 = 0
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER w AS files_so_far, sum(floor(l_quantity)::BIGINT) OVER w AS bytes_so_far FROM lineitem 
     WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING)""")
 def upload_totals(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.floor("l_quantity").alias("q"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("o"))
@@ -685,7 +696,7 @@ def cache_verdict(spark, d):
     return c.select("event_id", status.alias("status"), reason.alias("reason"))
 
 
-_IDENT = """a AS (SELECT l_orderkey AS k, l_linenumber * 1000000 + l_partkey AS pos, l_partkey::VARCHAR AS path, l_suppkey AS size FROM lineitem WHERE l_orderkey % 10 = 0),
+_IDENT = """a AS (SELECT l_orderkey AS k, l_linenumber * 1000000 + l_partkey AS pos, l_partkey::VARCHAR AS path, l_suppkey AS size FROM lineitem ),
     b AS (SELECT k, pos, CASE WHEN k % 30 = 0 AND pos % 2 = 0 THEN path || 'x' ELSE path END AS path, CASE WHEN k % 50 = 0 THEN size + 1 WHEN k % 70 = 0 THEN NULL ELSE size END AS size FROM a WHERE NOT (k % 110 = 0 AND pos < 2000000))"""
 
 
@@ -807,3 +818,106 @@ def trimmed_clips(spark, d):
 @query(f"WITH {_SELECT} SELECT label, count(*) AS n FROM sel GROUP BY label")
 def selection_counts(spark, d):
     return selection.select_frames(candidates_of(spark, d), CATEGORIES).groupBy("label").agg(F.count("*").alias("n"))
+
+
+_FULL = f"""{_ROUNDED}, w AS (SELECT clip, max(frame) // 10 AS a, max(frame) * 9 // 10 AS b FROM z GROUP BY clip),
+    i AS (SELECT z.* FROM z JOIN w ON z.clip = w.clip WHERE frame >= a AND frame < b),
+    q AS (SELECT clip, quantile_cont(luma, 0.2) AS lo, quantile_cont(luma, 0.8) AS hi FROM i GROUP BY clip),
+    o AS (SELECT i.clip, list(frame ORDER BY frame) FILTER (frame % 97 = 5) AS fu,
+                 list(frame ORDER BY luma, frame) FILTER (luma <= lo) AS fd,
+                 list(frame ORDER BY luma DESC, frame) FILTER (luma >= hi) AS fb,
+                 list(frame ORDER BY smooth DESC, frame) AS fm, list(frame ORDER BY md5('11:' || frame::VARCHAR), frame) AS fr FROM i JOIN q ON i.clip = q.clip GROUP BY i.clip),
+    k AS (SELECT clip, coalesce(fu, []) AS fu, {_FOLD.format(frames='fd', gap=GAP)} AS kd, {_FOLD.format(frames='fb', gap=GAP)} AS kb, {_FOLD.format(frames='fm', gap=GAP // 4)} AS km, fr FROM o),
+    e AS (SELECT clip, list_concat(list_concat(list_concat(list_transform(fu, lambda x: {{'pr': 0, 'frame': x}}), list_transform(kd, lambda x: {{'pr': 1, 'frame': x}})),
+        list_concat(list_transform(kb, lambda x: {{'pr': 2, 'frame': x}}), list_transform(km, lambda x: {{'pr': 3, 'frame': x}}))), list_transform(fr, lambda x: {{'pr': 4, 'frame': x}})) AS seq FROM k),
+    y AS (SELECT clip, unnest(list_reduce(seq, lambda a, x: CASE
+            WHEN len(list_filter(a, lambda y: abs(y.frame - x.frame) < CASE x.pr WHEN 0 THEN 1 WHEN 3 THEN {GAP // 4} ELSE {GAP} END)) > 0
+              OR len(list_filter(a, lambda y: y.pr = x.pr)) >= CASE x.pr WHEN 0 THEN 1000000 WHEN 1 THEN 20 WHEN 2 THEN 10 WHEN 3 THEN 15 ELSE 5 END THEN a ELSE list_append(a, x) END,
+            []::STRUCT(pr INTEGER, frame BIGINT)[])) AS s FROM e)"""
+
+
+@query(f"WITH {_FULL} SELECT clip, s.frame AS frame, CASE s.pr WHEN 0 THEN 'User' WHEN 1 THEN 'Dark' WHEN 2 THEN 'Bright' WHEN 3 THEN 'Motion' ELSE 'Random' END AS label FROM y")
+def select_frames_full(spark, d):
+    """User, dark, bright, motion and random frames of each clip's window, in that order of claims."""
+    s = motion_of(spark, d).select("clip", "frame", F.round("luma", 9).alias("luma"), F.round("smooth", 9).alias("smooth"))
+    w = s.groupBy("clip").agg(F.floor(F.max("frame") / 10).alias("start_frame"), F.floor(F.max("frame") * 9 / 10).alias("end_frame"))
+    inside = selection.pinned_frames(s, w)[0]
+    random = inside.select("clip", F.lit("Random").alias("label"), "frame", F.row_number().over(Window.partitionBy("clip").orderBy(*selection.hashed_order(11), "frame")).alias("place"))
+    user = s.where("frame % 97 = 5").select("clip", F.lit("User").alias("label"), "frame", F.col("frame").alias("place"))
+    found = ranked_candidates(inside).unionByName(random).unionByName(user)
+    return selection.select_frames(found, (selection.USER, *CATEGORIES, selection.Category("Random", 4, 5, GAP, False)), w)
+
+
+@query("""WITH k AS (SELECT o_orderkey AS k, o_orderkey % 256 AS a, o_orderkey * 7 % 256 AS b, o_orderkey * 13 % 256 AS c FROM orders)
+    SELECT k, CASE k % 11 WHEN 0 THEN false WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN false WHEN 6 THEN true WHEN 7 THEN false WHEN 8 THEN NOT (k % 40 BETWEEN 16 AND 31) WHEN 9 THEN false WHEN 10 THEN false
+      ELSE NOT (a IN (0, 10, 127) OR a >= 240 OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b = 168 OR a = 169 AND b = 254 OR a = 198 AND b IN (18, 19)
+        OR a = 192 AND b = 0 AND c IN (0, 2) OR a = 198 AND b = 51 AND c = 100 OR a = 203 AND b = 0 AND c = 113) END AS safe,
+      CASE k % 11 WHEN 0 THEN '::1' WHEN 5 THEN 'fd00::' || k % 9 WHEN 9 THEN 'fe80::1' END AS v6 FROM k""")
+def webhook_safety(spark, d):
+    k = F.col("o_orderkey")
+    t = lambda c: c.cast("string")
+    forms = (
+        F.lit("https://[::1]/x"), F.concat(F.lit("https://"), t(k % 256), F.lit("."), t(k * 7 % 256), F.lit("."), t(k * 13 % 256), F.lit(".1/x")), F.lit("http://example.com/"), F.lit("https://LocalHost:8080/x"),
+        F.concat(F.lit("https://h"), t(k), F.lit(".example.com/x")), F.concat(F.lit("https://[fd00::"), t(k % 9), F.lit("]/x")), F.concat(F.lit("https://u:p@[2606:4700::"), t(k % 9), F.lit("]:443/x")), F.lit("https://[::ffff:10.0.0.1]/"),
+        F.concat(F.lit("https://172."), t(k % 40), F.lit(".0.1/")), F.lit("https://[FE80::1]:443/"), F.lit("https:///nohost"),
+    )
+    url = F.element_at(F.array(*forms), (k % 11 + 1).cast("int"))
+    return table(spark, d, "orders").select(k.alias("k"), S.safe_webhook(url).alias("safe"), F.when((k % 11).isin(0, 5, 9), S.url_host(url)).alias("v6"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'MOVIE' WHEN 1 THEN 'TV' WHEN 2 THEN 'TV' WHEN 5 THEN 'MOVIE' END AS category, CASE WHEN c_custkey % 6 IN (0, 1, 2, 5) THEN c_custkey::VARCHAR END AS id FROM customer""")
+def manual_ids(spark, d):
+    k = F.col("c_custkey").cast("string")
+    forms = (F.concat(F.lit("movie/"), k), F.concat(F.lit(" TV:"), k, F.lit(" ")), F.concat(F.lit("tv-"), k), k, F.concat(F.lit("film/"), k), F.concat(F.lit("movie"), k))
+    got = S.manual_id(F.element_at(F.array(*forms), (F.col("c_custkey") % 6 + 1).cast("int")))
+    return table(spark, d, "customer").select("c_custkey", got["category"].alias("category"), got["id"].alias("id"))
+
+
+@query(r"""SELECT p_partkey, replace(replace(replace(replace(replace(replace(p_name || ': a=' || p_size || ', [x] it' || chr(39) || 's', ':', '\:'), '=', '\='), ',', '\,'), '[', '\['), ']', '\]'), chr(39), '\' || chr(39)) || '\\n' || '\\' AS text FROM part""")
+def drawtext(spark, d):
+    text = F.concat("p_name", F.lit(": a="), F.col("p_size").cast("string"), F.lit(", [x] it's\n\\"))
+    return table(spark, d, "part").select("p_partkey", S.drawtext(text).alias("text"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN trim(p_brand || ' / ' || p_name) ELSE p_name END AS raw, CASE WHEN p_partkey % 4 = 0 THEN 'given_name' WHEN p_partkey % 3 = 0 THEN trim(p_brand || ' _ ' || p_name) ELSE p_name END AS safe FROM part""")
+def derived_labels(spark, d):
+    k = F.col("p_partkey")
+    raw, safe = S.label_pair(F.when(k % 3 == 0, F.concat("p_brand", F.lit(" / "), "p_name")).otherwise(F.lit("")), F.col("p_name"), F.when(k % 4 == 0, F.lit(" given:name ")))
+    return table(spark, d, "part").select("p_partkey", raw.alias("raw"), safe.alias("safe"))
+
+
+@query("""SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN '|' || p_brand ELSE '' END AS titles FROM part""")
+def title_candidates(spark, d):
+    k = F.col("p_partkey")
+    got = S.title_candidates(F.col("p_name"), F.upper("p_name"), F.when(k % 2 == 0, F.col("p_brand")), F.lit(" "), F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("p_name"))))
+    return table(spark, d, "part").select("p_partkey", F.array_join(got, "|").alias("titles"))
+
+
+@query("""SELECT o_custkey AS clip, coalesce(arg_min(o_orderkey, o_orderkey) FILTER (o_orderpriority LIKE '1%'), min(o_orderkey), 0) AS stream FROM orders GROUP BY o_custkey""")
+def default_stream(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("clip"), F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").startswith("1").alias("is_default"))
+    return align.default_stream(o, "clip")
+
+
+@query("""SELECT o_custkey AS grp, arg_min(o_clerk, o_orderkey) FILTER (o_orderkey % 3 <> 0) AS value FROM (SELECT *, o_orderpriority AS o_clerk FROM orders) GROUP BY o_custkey""")
+def first_values(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).otherwise(F.lit("")).alias("v"))
+    return lookup.first_filled(o, F.col("o_custkey"), "o_orderkey", "v")
+
+
+@query(f"""WITH {FRAMES}, c AS (SELECT clip, count(*) AS n FROM f GROUP BY clip)
+    SELECT f.clip, frame - 7 AS frame, round(luma, 9) AS luma FROM f JOIN c ON f.clip = c.clip WHERE frame >= 7 AND frame < n - 11""")
+def sliced_clips(spark, d):
+    return series.slice_clips(frames_of(spark, d).select("clip", "frame", r9("luma")), 7, -11)
+
+
+@query("""SELECT event_id, value = floor(value) AND value >= 0 AND value < 500 AS valid FROM events""")
+def valid_indices(spark, d):
+    return table(spark, d, "events").select("event_id", S.valid_index(F.col("value"), F.lit(500)).alias("valid"))
+
+
+@query(f"WITH {_SELECT}, c AS (SELECT DISTINCT clip FROM f) SELECT c.clip AS encode, sel.clip AS clip, sel.frame AS frame, sel.frame || ' - ' || c.clip || '.png' AS name FROM sel CROSS JOIN c")
+def render_plan(spark, d):
+    frames = selection.select_frames(candidates_of(spark, d), CATEGORIES)
+    encodes = frames_of(spark, d).select(F.col("clip").alias("encode")).distinct()
+    return report.render_plan(frames, encodes).select("encode", "clip", "frame", "name")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.functions import scalar as S
@@ -166,3 +167,26 @@ def test_report(spark):
     assert {(r.frame, r.n, r.even) for r in report.upload_plan(names).collect()} == {(1, 2, False), (2, 1, False)}
     d = spark.createDataFrame([(1, "Dark"), (2, "dark"), (3, None)], "pos int, label string")
     assert {(r.key, r.n) for r in report.category_counts(d, "label", "pos").collect()} == {("dark", 2), ("auto", 1)}
+
+
+def test_user_and_random_frames_in_a_window(spark):
+    """User frames inside the window are kept whatever is near, random ones fill up, and frames come in ascending order."""
+    rows = [("c", "User", f, f) for f in (10, 75, 76, 180)] + [("c", "Dark", f, f) for f in range(220)] + [("c", "Random", f, f * 7 % 220) for f in range(220)]
+    found = spark.createDataFrame(rows, "clip string, label string, frame long, place long")
+    window = spark.createDataFrame([("c", 50, 150)], "clip string, start_frame long, end_frame long")
+    kinds = (selection.USER, selection.Category("Dark", 1, 2, 10), selection.Category("Random", 2, 3, 5, False))
+    got = [(r.frame, r.label) for r in selection.select_frames(found, kinds, window).collect()]
+    assert [f for f, _ in got] == sorted(f for f, _ in got) and all(50 <= f < 150 for f, _ in got)
+    assert [f for f, label in got if label == "User"] == [75, 76]
+    assert [f for f, label in got if label == "Dark"] == [50, 60]
+    random = [f for f, label in got if label == "Random"]
+    assert len(random) == 3 and all(abs(a - b) >= 5 for a in random for b, _ in got if a != b)
+
+
+@pytest.mark.parametrize(
+    "url, safe",
+    [("https://hooks.example.com/x", True), ("https://[::1]/x", False), ("https://[::ffff:127.0.0.1]/", False), ("https://198.18.0.1/", False), ("https://224.0.0.1/", True), ("https://8.8.8.8/", True), ("https://0.0.0.0/", False), ("https://localhost:80/", False), ("", False), (None, False), ("not-a-url", False), ("https://[2606:4700::1]:443/", True), ("https://[2001:db8::1]/", False), ("https://999.1.1.1/", True)],
+)
+def test_webhooks(spark, url, safe):
+    row = spark.createDataFrame([(url,)], "u string").select(S.safe_webhook(F.col("u")).alias("s")).first()
+    assert row.s is safe
