@@ -78,6 +78,18 @@ def carried(df: DataFrame, names: tuple[str, ...], prefix: str, added: tuple[str
     return kept, plain, [T.StructField(a, df.schema[c].dataType) for c, a in zip(kept, plain)]
 
 
+def plain_columns(df: DataFrame, kept: list[str], plain: list[str], text_col: str) -> tuple[DataFrame, str]:
+    """The carried columns under their working names, and that of the text, which is not taken twice."""
+    columns = [F.col(f"`{c}`").alias(a) for c, a in zip(kept, plain)]
+    if text_col in kept:
+        return df.select(*columns), plain[kept.index(text_col)]
+    return df.select(*columns, F.col(f"`{text_col}`").alias("_text")), "_text"
+
+
+#: Bytes of texts whose features are worked out at once; arrays of some 60 bytes for each go along.
+FEATURE_BYTES = 1 << 19
+
+
 def free_prefix(df: DataFrame) -> str:
     """A prefix that no column of the table begins with."""
     prefix = "_"

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, carried, small_batches
+from .common import Stored, carried, plain_columns, small_batches
 
 #: Characters that do not count when texts are compared.
 SPACES = " \t\n\x0b\x0c\r"
@@ -87,11 +87,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     kept, plain, fields = carried(docs, (id_col, *carry), prefix, ("keep_id", "group_size", "kept", "text_sha256"))
-    text = F.coalesce(F.col("_text"), F.lit(""))
+    slim, text_name = plain_columns(docs, kept, plain, text_col)
+    text = F.coalesce(F.col(text_name), F.lit(""))
     norm = F.translate(text, SPACES, "")
     keyed = (
-        docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(kept, plain)], F.col(f"`{text_col}`").alias("_text"))
-        .withColumn("_n", F.length(text).cast("long"))
+        slim.withColumn("_n", F.length(text).cast("long"))
         .withColumn("_p", F.substring(norm, 1, SPLITTER_CHARS))
         .withColumn("_h", F.xxhash64(norm))
         .withColumn("_g", F.xxhash64(F.lit(1), norm))

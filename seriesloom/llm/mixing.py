@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, carried, text_slices
+from .common import FEATURE_BYTES, Stored, carried, plain_columns, text_slices
 from .quality import labelled_features, train
 
 #: Domains, in the order of all vectors below.
@@ -32,6 +32,8 @@ WEIGHTS = {"fine": 0.985, "toxic": 0.0145, "poor": 0.0005}
 #: Relative miss of all targets at which steps end; if a target cannot be met, the root mean square
 #: change of the rates at which they do.
 CLOSE, STILL = 1e-4, 1e-3
+#: Share by which a step must lessen the squared misses for another one, if a target cannot be met.
+GAIN = 0.01
 #: Steps after which the fit is given up, which is reported, and halvings of one step.
 STEPS, HALVINGS = 400, 12
 
@@ -51,13 +53,13 @@ def domain_posteriors(
     sent = docs.sparkSession.sparkContext.broadcast(models)
     added = ["n_tokens", *[f"p_{d}" for d in DOMAINS]]
     kept, plain, fields = carried(docs, (id_col, *carry), prefix, (*added, "rate", "copies"))
-    slim = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(kept, plain)], F.col(f"`{text_col}`").alias("_text"))
+    slim, text_name = plain_columns(docs, kept, plain, text_col)
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), *[T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = sent.value
-        for batch in text_slices(batches, "_text"):
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+        for batch in text_slices(batches, text_name, FEATURE_BYTES):
+            texts = [t or "" for t in batch.column(text_name).to_pylist()]
             q, t = good.scores(texts), bad.scores(texts)
             cols = [pa.array([len(x.split()) for x in texts], pa.int64()), pa.array(q * (1 - t)), pa.array(q * t), pa.array(1 - q)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in plain] + cols, names=plain + added)
@@ -104,7 +106,9 @@ def unreachable(members: DataFrame, weights: dict[str, float]) -> list[str]:
     at once, are not found here; their fit ends unmet.
     """
     first = DOMAINS[0]
-    over = {d: F.col(f"p_{d}") * weights[first] - F.col(f"p_{first}") * weights[d] for d in DOMAINS[1:]}
+    over = {d: F.col(f"p_{d}") * weights[first] - F.col(f"p_{first}") * weights[d] for d in DOMAINS[1:] if d in weights}
+    if not over:
+        return []
     ends = [f(x).alias(f"{d}{k}") for d, x in over.items() for k, f in enumerate((F.min, F.max))]
     row = members.where("n_tokens > 0").agg(*ends).first()
     return [d for d in over if row[f"{d}0"] is not None and (row[f"{d}0"] > 0 or row[f"{d}1"] < 0)]
@@ -115,17 +119,17 @@ def fit_rates(members: DataFrame, weights: dict[str, float], steps: int = STEPS)
 
     The token budget is set by the first domain, which keeps its present expected
     tokens; the others get theirs in proportion to the weights. A domain without
-    any tokens is left out of the fit. Steps go on until all targets are met to
+    a weight or without any tokens is left out of the fit. Steps go on until all targets are met to
     ``CLOSE``. If one of those fitted is ``unreachable``, whole steps would put all tokens on the few
     rows nearest to it: plain ones are taken until rates change by less than
-    ``STILL``. Without tokens of the first domain there is no budget and no step.
+    ``STILL`` or misses hardly lessen. Without tokens of the first domain there is no budget and no step.
     """
     present, joint, _ = _totals(members, [])
     budget = present[0] / weights[DOMAINS[0]]
-    targets = budget * np.array([weights[d] for d in DOMAINS])
+    targets = np.array([budget * weights[d] if d in weights else t for d, t in zip(DOMAINS, present)])
     taken: list[list[float]] = []
     now = present
-    fitted = np.flatnonzero(present > 0)
+    fitted = np.flatnonzero((present > 0) & np.array([d in weights for d in DOMAINS]))
     scale = np.where(targets > 0, targets, np.maximum(present, 1.0))
     off = lambda totals: ((totals - targets) / scale)[fitted]
     plain_only = budget <= 0 or any(present[DOMAINS.index(d)] > 0 for d in unreachable(members, weights))
@@ -143,8 +147,9 @@ def fit_rates(members: DataFrame, weights: dict[str, float], steps: int = STEPS)
             if (off(got[0]) ** 2).sum() < (off(now) ** 2).sum() * (1 - 1e-4 / 2**k):
                 break
         taken.append(step.tolist())
+        before = (off(now) ** 2).sum()
         now, joint, change = got
-        if plain_only and change < STILL**2:
+        if plain_only and (change < STILL**2 or (off(now) ** 2).sum() > (1 - GAIN) * before):
             break
     return taken, targets.tolist(), now.tolist()
 
@@ -167,7 +172,7 @@ def mix_with_totals(
     added = ["n_tokens", *[f"p_{d}" for d in DOMAINS]]
     steps, targets, reached = fit_rates(members.select(*[F.col(f"{prefix}{c}").alias(c) for c in added]), weights)
     totals = dict(zip(DOMAINS, zip(targets, reached)))
-    missed = {d: f"{a:.6g} tokens for {t:.6g}" for d, (t, a) in totals.items() if abs(a - t) > CLOSE * t}
+    missed = {d: f"{a:.6g} tokens for {t:.6g}" for d, (t, a) in totals.items() if d in weights and abs(a - t) > CLOSE * t}
     if missed:
         out = unreachable(members.select(*[F.col(f"{prefix}{c}").alias(c) for c in added]), weights)
         warnings.warn(f"targets not met after {len(steps)} steps: {missed}; out of reach of any rates: {out}", stacklevel=2)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, carried, small_batches, text_slices
+from .common import FEATURE_BYTES, Stored, carried, plain_columns, small_batches, text_slices
 
 #: Hashed features.
 FEATURES = 1 << 16
@@ -321,7 +321,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, kinds: dict[str, str],
     fields = [rows.schema[c] for c in kept] + [T.StructField(f"{c}_features", T.BinaryType()) for c in kinds]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", FEATURE_BYTES):
             texts = batch.column("text").to_pylist()
             made = [pa.array([f.astype(np.uint16).tobytes() for f in KINDS[k](texts)], pa.binary()) for k in kinds.values()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=kept + [f"{c}_features" for c in kinds])
@@ -353,13 +353,13 @@ def quality_scores(
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept, plain, fields = carried(docs, (id_col, *carry), prefix, ("held_out", "score", "predicted"))
-    slim = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(kept, plain)], F.col(f"`{text_col}`").alias("_text"))
+    slim, text_name = plain_columns(docs, kept, plain, text_col)
     schema = T.StructType([*fields, T.StructField("_score", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in text_slices(batches, "_text"):
-            scores = m.scores([t or "" for t in batch.column("_text").to_pylist()])
+        for batch in text_slices(batches, text_name, FEATURE_BYTES):
+            scores = m.scores([t or "" for t in batch.column(text_name).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in plain] + [pa.array(scores, pa.float64())], names=[*plain, "_score"])
 
     scored = slim.mapInArrow(work, schema)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.llm import topk, url_filter, warc
-from seriesloom.llm.mixing import CLOSE, DOMAINS, fit_rates, mix_documents, mix_with_totals
+from seriesloom.llm.mixing import CLOSE, DOMAINS, WEIGHTS, fit_rates, mix_documents, mix_with_totals
 from seriesloom.llm.quality import dual_coordinate_descent, labelled_features, quality_model, quality_scores
 from seriesloom.llm.url_filter import Rule, judge_urls
 
@@ -334,7 +334,7 @@ def test_pipeline_stages(spark):
             bad = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 0").collect()}
             assert len(bad & set(ids)) <= 0.1 * len(bad & {r["doc_id"] for r in rows}) and len(ids) > 0.8 * len(rows)
         if title == "mixing sources to target weights":
-            often = {r.doc_id: r.copies for r in mix_documents(docs, spark.read.parquet(f"{DATA}/labels.parquet")).collect()}
+            often = {r.doc_id: r.copies for r in mix_documents(docs, spark.read.parquet(f"{DATA}/labels.parquet"), {d: w for d, w in WEIGHTS.items() if d != "poor"}).collect()}
             assert ids == sorted(i for i, n in often.items() for _ in range(n)) and ids
         if title == "packing":
             assert {r.doc_id for r in got} == {r["doc_id"] for r in rows}
