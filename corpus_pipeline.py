@@ -14,7 +14,7 @@ from seriesloom.llm import queries
 from seriesloom.llm.common import Stored, free_prefix, scratch_path
 from seriesloom.llm.exact_dedup import exact_dedup
 from seriesloom.llm.jaccard_join import similar_components
-from seriesloom.llm.mixing import mix_documents
+from seriesloom.llm.mixing import WEIGHTS, mix_documents
 from seriesloom.llm.packing import harmonic_pack
 from seriesloom.llm.quality import quality_model, quality_scores
 
@@ -56,9 +56,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say."""
+    """Documents as often as their rates say.
+
+    The poor domain has no target: its documents went in the first stage, and no
+    rates could bring its share up but by repeating the clean ones most like it.
+    """
+    weights = {d: w for d, w in WEIGHTS.items() if d != "poor"}
     own = free_prefix(docs)
-    rated = mix_documents(docs, _labels(spark, sf_dir), carry=tuple(docs.columns), prefix=own)
+    rated = mix_documents(docs, _labels(spark, sf_dir), weights, carry=tuple(docs.columns), prefix=own)
     often = rated.where(f"{own}copies > 0")
     return often.withColumn(f"{own}c", F.explode(F.sequence(F.lit(1), F.col(f"{own}copies")))).select(*_columns(docs))
 
