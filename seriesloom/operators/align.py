@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def zscore(series: DataFrame, key: str, value: str, name: str = "z") -> DataFrame:
     """Value less its key's mean over its population deviation plus 1e-8."""
     stats = series.groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    return series.join(F.broadcast(stats), key).withColumn(name, (F.col(value) - F.col("_m")) / (F.col("_s") + 1e-8)).drop("_m", "_s")
+    return series.join(stats, key).withColumn(name, (F.col(value) - F.col("_m")) / (F.col("_s") + 1e-8)).drop("_m", "_s")
 
 
 def cross_correlation(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
@@ -55,14 +55,14 @@ def gate_offsets(offsets: DataFrame, most_seconds: float, least_corr: float) ->
 def shift_to_zero(offsets: DataFrame, by: str, frames: str = "frames") -> DataFrame:
     """``trim``: frames less the least of the group, to which the reference adds a 0."""
     low = offsets.groupBy(by).agg(F.least(F.lit(0), F.min(frames)).alias("_l"))
-    return offsets.join(F.broadcast(low), by).withColumn("trim", F.col(frames) - F.col("_l")).drop("_l")
+    return offsets.join(low, by).withColumn("trim", F.col(frames) - F.col("_l")).drop("_l")
 
 
 def apply_deltas(plans: DataFrame, by: str, baseline: str = "baseline", delta: str = "delta") -> DataFrame:
     """``trim``: baseline plus delta, raised by what the group's least lies below zero."""
     sums = plans.withColumn("_t", F.col(baseline) + F.coalesce(delta, F.lit(0)))
     low = sums.groupBy(by).agg(F.greatest(F.lit(0), -F.min("_t")).alias("_up"))
-    return sums.join(F.broadcast(low), by).withColumn("trim", F.col("_t") + F.col("_up")).drop("_t", "_up")
+    return sums.join(low, by).withColumn("trim", F.col("_t") + F.col("_up")).drop("_t", "_up")
 
 
 def estimate_frames(offsets: DataFrame, fps: str = "fps") -> DataFrame:

@@ -17,7 +17,7 @@ def mod_crop(clips: DataFrame, mod: int) -> DataFrame:
     return out.withColumns({"cropped_w": F.col("width") - F.col("left") - F.col("right"), "cropped_h": F.col("height") - F.col("top") - F.col("bottom")})
 
 
-def letterbox_offsets(clips: DataFrame, by: str, mod: int, tolerance: float, max_height: int | None = None) -> DataFrame:
+def letterbox_offsets(clips: DataFrame, by: str, mod: int, tolerance: float, max_height: int | Column | None = None) -> DataFrame:
     """``top_extra`` and ``bottom_extra`` that bring each clip to its group's widest ratio."""
     ratio = F.col("width") / F.col("height")
     widest = clips.where("width > 0 and height > 0").groupBy(by).agg(F.max(ratio).alias("_t"))
@@ -28,7 +28,7 @@ def letterbox_offsets(clips: DataFrame, by: str, mod: int, tolerance: float, max
         target = target - target % mod
     target = F.greatest(F.lit(max(mod, 1)), target)
     cut = F.when((ratio >= F.col("_t") * (1.0 - max(0.0, tolerance))) | (target >= F.col("height")), 0).otherwise(F.col("height") - target)
-    out = clips.join(F.broadcast(widest), by, "left").withColumn("_c", F.coalesce(cut, F.lit(0)).cast("long"))
+    out = clips.join(widest, by, "left").withColumn("_c", F.coalesce(cut, F.lit(0)).cast("long"))
     return out.withColumn("top_extra", half(F.col("_c"))).withColumn("bottom_extra", F.col("_c") - F.col("top_extra")).drop("_c", "_t")
 
 
@@ -37,7 +37,7 @@ def align_crops(clips: DataFrame, by: str) -> DataFrame:
     g = clips.groupBy(by).agg(
         (F.countDistinct(F.when(F.col("width") > 0, F.col("width"))) == 1).alias("_w"), (F.countDistinct(F.when(F.col("height") > 0, F.col("height"))) == 1).alias("_h"), F.min("cropped_h").alias("_mh"), F.min("cropped_w").alias("_mw")
     )
-    out = clips.join(F.broadcast(g), by)
+    out = clips.join(g, by)
     dh = F.when(F.col("_w"), F.greatest(F.lit(0), F.col("cropped_h") - F.col("_mh"))).otherwise(0)
     dw = F.when(~F.col("_w") & F.col("_h"), F.greatest(F.lit(0), F.col("cropped_w") - F.col("_mw"))).otherwise(0)
     out = out.withColumns({"_dh": dh, "_dw": dw})
@@ -46,6 +46,33 @@ def align_crops(clips: DataFrame, by: str) -> DataFrame:
     return out.drop("_w", "_h", "_mh", "_mw", "_dh", "_dw")
 
 
+def _with_shortest(clips: DataFrame, by: str) -> DataFrame:
+    return clips.join(clips.groupBy(by).agg(F.min("cropped_h").alias("_short")), by)
+
+
+def _more_cut(clips: DataFrame) -> DataFrame:
+    """Extra rows taken off; an error if none would be left."""
+    left = F.col("_full") - F.col("top") - F.col("bottom") - F.col("top_extra") - F.col("bottom_extra")
+    cut = F.col("top_extra") + F.col("bottom_extra") > 0
+    height = F.when(~cut, F.col("cropped_h")).when(left > 0, left).otherwise(F.raise_error(F.lit("letterbox detection removed all pixels")).cast("long"))
+    return clips.withColumns({"cropped_h": height, "top": F.col("top") + F.col("top_extra"), "bottom": F.col("bottom") + F.col("bottom_extra")})
+
+
+def letterbox_strict(clips: DataFrame, by: str, mod: int, tolerance: float = 0.0) -> DataFrame:
+    """Crops found by the ratio of the whole frame, with targets no taller than the group's shortest crop."""
+    out = letterbox_offsets(_with_shortest(clips, by), by, mod, tolerance, F.col("_short"))
+    return _more_cut(out.withColumn("_full", F.col("height"))).drop("_short", "_full", "top_extra", "bottom_extra")
+
+
+def letterbox_basic(clips: DataFrame, by: str, mod: int, tolerance: float = 0.0) -> DataFrame:
+    """Crops found by the ratio of what is left, only in groups where some clips are boxed and some are not."""
+    inner = _with_shortest(clips, by).withColumns({"_w": F.col("width"), "_full": F.col("height"), "width": F.col("cropped_w"), "height": F.col("cropped_h")})
+    out = letterbox_offsets(inner, by, mod, tolerance, F.col("_short"))
+    some = out.groupBy(by).agg(F.bool_and(F.col("top_extra") + F.col("bottom_extra") > 0).alias("_all"))
+    out = out.join(some, by).withColumns({c: F.when(F.col("_all"), 0).otherwise(F.col(c)).cast("long") for c in ("top_extra", "bottom_extra")})
+    return _more_cut(out).withColumns({"width": F.col("_w"), "height": F.col("_full")}).drop("_short", "_w", "_full", "_all", "top_extra", "bottom_extra")
+
+
 def scale_to(clips: DataFrame, target: Column) -> DataFrame:
     """``scaled_w`` and ``scaled_h`` of the cropped size at a target height, half to even."""
     h = F.greatest(F.lit(1), F.rint(target).cast("long"))
@@ -79,6 +106,14 @@ def odd_axes(top: Column, bottom: Column, left: Column, right: Column) -> Column
     return F.nullif(F.concat_ws("+", F.when(odd(top, bottom), "vertical"), F.when(odd(left, right), "horizontal")), F.lit(""))
 
 
+def promotion_axes(sub_w: Column, sub_h: Column, crop: tuple[Column, ...], pad: tuple[Column, ...]) -> Column:
+    """Axes with subsampled chroma and an odd end of crop or padding (left, top, right, bottom each), or ``none``."""
+    odd = lambda *c: F.exists(F.array(*c), lambda x: x % 2 != 0)
+    vertical = F.when((sub_h > 0) & odd(crop[1], crop[3], pad[1], pad[3]), "vertical")
+    horizontal = F.when((sub_w > 0) & odd(crop[0], crop[2], pad[0], pad[2]), "horizontal")
+    return F.coalesce(F.nullif(F.concat_ws("+", vertical, horizontal), F.lit("")), F.lit("none"))
+
+
 def needs_full_chroma(vertical_odd: Column, horizontal_odd: Column, sub_w: Column, sub_h: Column, policy: Column) -> Column:
     """Whether odd crops or padding call for full chroma: by policy, else where that axis is subsampled."""
     auto = (vertical_odd & (sub_h > 0)) | (horizontal_odd & (sub_w > 0))
@@ -95,10 +130,10 @@ def geometry_plan(clips: DataFrame, by: str, mod: int, target_height: int | None
     out = out.withColumns({"top": F.col("top") + F.col("top_extra"), "bottom": F.col("bottom") + F.col("bottom_extra"), "cropped_h": F.col("cropped_h") - F.col("top_extra") - F.col("bottom_extra")})
     out = align_crops(out, by)
     tallest = out.groupBy(by).agg(F.max("cropped_h").alias("_tall"))
-    out = out.join(F.broadcast(tallest), by)
+    out = out.join(tallest, by)
     out = scale_to(out, F.lit(target_height) if target_height else F.col("_tall"))
     largest = out.groupBy(by).agg(F.max("scaled_w").alias("_fw"), F.max("scaled_h").alias("_fh"))
-    out = out.join(F.broadcast(largest), by)
+    out = out.join(largest, by)
     w, h = F.col("_fw") - F.col("scaled_w"), F.col("_fh") - F.col("scaled_h")
     split = (lambda c: (half(c), c - half(c))) if center else (lambda c: (F.lit(0).cast("long"), c))
     (left, right), (top, bottom) = split(w), split(h)

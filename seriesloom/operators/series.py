@@ -44,13 +44,13 @@ def quantile(value: str, q: float) -> Column:
 def below_quantile(series: DataFrame, value: str, q: float) -> DataFrame:
     """Rows at or below their clip's quantile."""
     cut = series.groupBy("clip").agg(quantile(value, q).alias("_cut"))
-    return series.join(F.broadcast(cut), "clip").where(F.col(value) <= F.col("_cut")).drop("_cut")
+    return series.join(cut, "clip").where(F.col(value) <= F.col("_cut")).drop("_cut")
 
 
 def above_quantile(series: DataFrame, value: str, q: float) -> DataFrame:
     """Rows at or above their clip's quantile."""
     cut = series.groupBy("clip").agg(quantile(value, q).alias("_cut"))
-    return series.join(F.broadcast(cut), "clip").where(F.col(value) >= F.col("_cut")).drop("_cut")
+    return series.join(cut, "clip").where(F.col(value) >= F.col("_cut")).drop("_cut")
 
 
 def within(series: DataFrame, value: str, low: float, high: float) -> DataFrame:
@@ -108,7 +108,7 @@ def trim_clips(series: DataFrame, clips: DataFrame) -> DataFrame:
 
     ``clips`` has ``clip`` and ``trim``. Blank frames have ``blank`` true and null metrics.
     """
-    cut = series.join(F.broadcast(clips), "clip").withColumn("frame", F.col("frame") - F.col("trim")).where("frame >= 0")
+    cut = series.join(clips, "clip").withColumn("frame", F.col("frame") - F.col("trim")).where("frame >= 0")
     own = cut.drop("trim").withColumn("blank", F.lit(False))
     extra = clips.where("trim < 0").select("clip", F.explode(F.sequence(F.lit(0).cast("long"), -F.col("trim").cast("long") - 1)).alias("frame"), F.lit(True).alias("blank"))
     return own.unionByName(extra, allowMissingColumns=True)
@@ -120,3 +120,22 @@ def slice_clips(frames: DataFrame, start: int, end: int | None = None) -> DataFr
     edge = lambda k: F.greatest(F.lit(0), F.col("_n") + k) if k < 0 else F.lit(k)
     kept = frames.join(total, "clip").where((F.col("frame") >= edge(start)) & (F.lit(True) if end is None else F.col("frame") < edge(end)))
     return kept.withColumn("frame", F.col("frame") - edge(start)).drop("_n")
+
+
+def levels(plane: Column, low_in: float, high_in: float, low_out: float, high_out: float, gamma: float = 1.0) -> Column:
+    """Samples of a plane stretched from one range to another, cut to the first, with a gamma between."""
+    share = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - low_in) / (high_in - low_in)))
+    return F.transform(plane, lambda v: F.pow(share(v), F.lit(1.0 / gamma)) * (high_out - low_out) + low_out)
+
+
+def expand_limited(plane: Column, bits: int = 8) -> Column:
+    """Samples of limited range stretched over all codes of a depth."""
+    scale = float(1 << (bits - 8))
+    return levels(plane, 16 * scale, 235 * scale, 0.0, float((1 << bits) - 1))
+
+
+def post_gamma(plane: Column, bits: int, gamma: float) -> Column:
+    """Gamma inside the limited range of a depth, whose ends stay."""
+    full = float((1 << bits) - 1)
+    low, high = float(round(16.0 / 255.0 * full)), float(round(235.0 / 255.0 * full))
+    return levels(plane, low, high, low, high, gamma)

@@ -76,7 +76,7 @@ def motion_smooth(spark, d):
 def strided_sample(spark, d):
     f = frames_of(spark, d)
     length = f.groupBy("clip").agg((F.max("frame") + 1).alias("length"))
-    return series.strided(f.join(F.broadcast(length), "clip"), 10, F.col("length"), 7).select("clip", "frame", r9("luma"))
+    return series.strided(f.join(length, "clip"), 10, F.col("length"), 7).select("clip", "frame", r9("luma"))
 
 
 @query(f"""WITH {FRAMES}, g2 AS (SELECT clip, frame - lag(frame) OVER (PARTITION BY clip ORDER BY frame) AS d FROM f WHERE frame % 3 = 1 OR (clip = 'view' AND frame = 0))
@@ -95,7 +95,7 @@ def bright_fixed_range(spark, d):
 def scenecut_cap(spark, d):
     rounded = motion_of(spark, d)
     cut = rounded.groupBy("clip").agg(series.quantile("smooth", 0.9).alias("c"))
-    return rounded.join(F.broadcast(cut), "clip").where(F.round("smooth", 9) <= F.round("c", 9)).select("clip", "frame")
+    return rounded.join(cut, "clip").where(F.round("smooth", 9) <= F.round("c", 9)).select("clip", "frame")
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding), 9) AS plane_avg,
@@ -286,7 +286,7 @@ def clamp_and_trim(spark, d):
     f = frames_of(spark, d)
     t = f.where("frame < 100").groupBy("clip").agg((F.max("frame") + 1).alias("total"))
     clamped = S.clamp_frame(F.col("frame"), F.col("total"))
-    return f.join(F.broadcast(t), "clip").select("clip", "frame", clamped.alias("clamped"), (clamped != F.col("frame")).alias("was_clamped"), S.source_frame(F.col("frame"), F.lit(-12)).alias("source"))
+    return f.join(t, "clip").select("clip", "frame", clamped.alias("clamped"), (clamped != F.col("frame")).alias("was_clamped"), S.source_frame(F.col("frame"), F.lit(-12)).alias("source"))
 
 
 # --- alignment --------------------------------------------------------------
@@ -313,7 +313,7 @@ def correlations_of(spark, d):
     # all lags: every position of the first type meets every one of the others, which are hours and few
     pairs = others.crossJoin(a).withColumn("lag", F.col("pos") - F.col("_p"))
     sums = pairs.groupBy("clip", "lag").agg(F.sum(F.col("_z") * F.col("z")).alias("c"))
-    out = sums.join(F.broadcast(counts), "clip").crossJoin(F.broadcast(size))
+    out = sums.join(counts, "clip").crossJoin(F.broadcast(size))
     return out.select("clip", F.col("lag").cast("long").alias("lag"), F.round("c", 6).alias("corr_raw"), F.round(F.col("c") / F.least("_a", "_b"), 6).alias("corr_norm"))
 
 

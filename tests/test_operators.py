@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seriesloom.functions import labels as L
 from seriesloom.functions import scalar as S
 from seriesloom.operators import align, cache, geometry, lookup, match, metadata, report, selection, series, windows
 from seriesloom.sources import documents
@@ -190,3 +191,31 @@ def test_user_and_random_frames_in_a_window(spark):
 def test_webhooks(spark, url, safe):
     row = spark.createDataFrame([(url,)], "u string").select(S.safe_webhook(F.col("u")).alias("s")).first()
     assert row.s is safe
+
+
+def test_label_texts(spark):
+    none = F.lit(None).cast("string")
+    assert one(spark, L.selection_name(none)) == "(unknown)"
+    assert one(spark, L.short_path(none, 40)) == ""
+    assert one(spark, L.short_path(F.lit("/a/long/folder/of/names/file.mkv"), 24)) == "/a/long/fol…file.mkv"
+    assert one(spark, L.short_path(F.lit("x/" + "y" * 40), 14)) == "…" + "y" * 9
+    assert one(spark, L.collection_name(F.lit("$a${a}$$a $b ${"), F.create_map(F.lit("a"), F.lit("1")))) == "11$a $b ${"
+    assert one(spark, L.console_text(F.lit("\x1b[1mhi\x07  there\n​you"), 8)) == "hi ther…"
+    assert one(spark, L.console_text(none)) == ""
+    assert one(spark, L.episode_marker(F.array(F.lit("1")), F.array(F.lit("3"), F.lit("4")))) == "S01E03"
+    assert one(spark, L.episode_marker(F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"))) == ""
+    assert one(spark, L.clip_label(none, none, none, none, F.lit("f.mkv"))) == "f.mkv"
+
+
+def test_metadata_texts(spark):
+    double = lambda x: F.lit(x).cast("double")
+    assert one(spark, metadata.nits_label(double(None))) is None
+    assert one(spark, metadata.luminance_text(double(0.0))) == "0"
+    assert one(spark, metadata.luminance_text(double(0.0050))) == "0.005"
+    assert one(spark, metadata.measurement_line(double(None), double(8.25), F.lit(" "))) == "Measurement MAX: 8.2nits"
+    assert one(spark, metadata.range_name(F.create_map(F.lit("ColorRange"), F.lit("7")))) is None
+    assert one(spark, metadata.mastering_line(F.create_map().cast("map<string,string>"))) == "MDL: Insufficient data"
+    empty = metadata.dynamic_metadata(F.create_map().cast("map<string,string>"))
+    assert one(spark, metadata.dynamic_line(F.lit("on"), empty)) == "DoVi: on (no DV metadata)"
+    assert one(spark, metadata.dynamic_line(F.lit(None).cast("string"), empty)) is None
+    assert one(spark, metadata.level5_line(empty)) is None
