@@ -21,8 +21,10 @@ left is compared in full.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,8 @@ SALTS, SALT_BITS = 16, 12
 SENT_IDS = 400_000
 #: Documents compared with one task's copy of the document that they all meet.
 MEET = 256
+#: Rows of a side of a tile, about, and bytes of the sketches that are compared there.
+TILE, MINI = 8192, 64
 #: Local sets remembered to leave out copies from the counts.
 SEEN = 250_000
 
@@ -63,13 +67,19 @@ def parity_sketch(s: np.ndarray) -> bytes:
     return np.packbits((hit & 1).astype(np.uint8)).tobytes()
 
 
-def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int) -> bool:
-    """Whether sketches of sets of n and m shingles allow a link: these differ in at most (n + m) / 7."""
+def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int, percent: int = 75) -> bool:
+    """Whether sketches of sets of n and m shingles allow a link; at 75 percent these differ in at most (n + m) / 7."""
     while len(a) > len(b):
         a = a[: len(a) // 2] ^ a[len(a) // 2 :]
     while len(b) > len(a):
         b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return 7 * int(np.bitwise_count(a ^ b).sum()) <= n + m
+    return (100 + percent) * int(np.bitwise_count(a ^ b).sum()) <= (100 - percent) * (n + m)
+
+
+def folded(sketch: bytes) -> bytes:
+    """A sketch folded to ``MINI`` bytes at most."""
+    v = np.frombuffer(sketch, np.uint8)
+    return np.bitwise_xor.reduce(v.reshape(-1, MINI), axis=0).tobytes() if len(v) > MINI else sketch
 
 
 def _counts(id_col: str, text_col: str, width: int):
@@ -267,7 +277,7 @@ def _with_node(width: int):
     return work
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links of each key's document with those sent to it; rows come sorted by key, salt and role."""
     at, mine = None, None
     for batch in batches:
@@ -284,13 +294,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.searchsorted(large, small)
             place[place == len(large)] = 0
             both = int((large[place] == small).sum())
-            if 100 * both >= 75 * (len(s) + len(mine) - both):
+            if 100 * both >= percent * (len(s) + len(mine) - both):
                 a.append(node.as_py())
                 b.append(where[0])
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _compare_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_sketches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs that sketches do not rule out; rows come sorted by key, salt and role."""
     at, mine, m = None, None, 0
     for batch in batches:
@@ -299,7 +309,7 @@ def _compare_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             where, got = (key.as_py(), salt.as_py()), np.frombuffer(raw.as_buffer(), np.uint8)
             if role.as_py() == 0:
                 at, mine, m = where, got, n.as_py()
-            elif where == at and may_link(got, n.as_py(), mine, m):
+            elif where == at and may_link(got, n.as_py(), mine, m, percent):
                 a.append(node.as_py())
                 b.append(where[0])
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -322,14 +332,14 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int = 75) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar.
 
     Sketches, then the sets of what they leave, are sent to the documents that
     they meet; a document met by many receives them in several places.
     """
     drawn = _meetings(pairs).join(nodes.select("node", "n", "sketch"), "node").select("m.*", "node", "n", "sketch")
-    likely = Stored(_met(drawn).mapInArrow(_compare_sketches, "a long, b long"), "likely").df
+    likely = Stored(_met(drawn).mapInArrow(partial(_compare_sketches, percent=percent), "a long, b long"), "likely").df
     meets = _meetings(likely).groupBy("node").agg(F.collect_list("m").alias("meets"))
     wanted = Stored(meets.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "meets").df
     named, unnamed = wanted.where("doc_id is not null"), wanted.where("doc_id is null")
@@ -339,42 +349,87 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) ->
         bare = docs.where("doc_id is null").mapInArrow(_with_node(width), "node long, text string").dropDuplicates(["node"])
         texts = texts.unionByName(bare.join(unnamed, "node").select("node", "meets", "text"))
     sets = texts.mapInArrow(_send_sets(width), "key long, salt int, role int, node long, shingles binary")
-    return _met(sets).mapInArrow(_compare, "a long, b long")
+    return _met(sets).mapInArrow(partial(_compare, percent=percent), "a long, b long")
+
 
+def _other_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a tile that lie in different components and may be linked.
 
-def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each signature that lie in different components and may be linked; rows come sorted by signature."""
+    Rows come sorted by signature, tile and role: first those of any but the
+    tile's largest component, then those they may be linked with.
+    """
     names = ["node", "component", "n", "most"]
+    ask: list[dict] = []
+    at = None
+
+    def minis(raw: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(x.ljust(MINI, b"\0") for x in raw), np.uint8).reshape(len(raw), MINI)
 
-    def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(c["n"], kind="stable")
-        c = {k: v[order] for k, v in c.items()}
-        n = c["n"].astype(np.int64)
-        for i in range(len(n)):
-            # partners after i are no smaller: up to the largest that i allows
-            stop = int(np.searchsorted(n, c["most"][i], side="right"))
-            j = np.arange(i + 1, stop)
-            j = j[(c["most"][j] >= n[i]) & (c["component"][j] != c["component"][i]) & (4 * n[i] >= 3 * n[j])] if len(j) else j
-            if len(j):
-                a, b = np.full(len(j), c["node"][i]), c["node"][j]
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
-
-    held: list[dict[str, np.ndarray]] = []
-    open_sig = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = batch.column("sig").to_numpy()
-        cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-        cuts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
+        where = list(zip(*[batch.column(c).to_pylist() for c in ("sig", "i", "j", "role")]))
+        cols = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names}
+        raw = batch.column("mini").to_pylist()
+        cuts = [0, *[k for k in range(1, len(where)) if where[k] != where[k - 1]], len(where)] if where else [0]
         for s, e in zip(cuts[:-1], cuts[1:]):
-            if held and sig[s] != open_sig:
-                yield from pairs({k: np.concatenate([h[k] for h in held]) for k in names})
-                held = []
-            open_sig = sig[s]
-            held.append({k: v[s:e] for k, v in cols.items()})
-    if held:
-        yield from pairs({k: np.concatenate([h[k] for h in held]) for k in names})
+            if where[s][:3] != at:
+                at, ask = where[s][:3], []
+            got = {k: v[s:e] for k, v in cols.items()} | {"mini": minis(raw[s:e]), "size": np.array([len(x) for x in raw[s:e]])}
+            if where[s][3] == 0:
+                ask.append(got)
+                continue
+            for q in ask:
+                for x in range(len(q["node"])):
+                    n, m = q["n"][x], got["n"]
+                    # both are asked for if neither lies in the largest component: once is enough
+                    y = np.flatnonzero(
+                        (got["component"] != q["component"][x]) & (got["most"] >= n) & (m <= q["most"][x]) & (100 * n >= percent * m) & (100 * m >= percent * n) & (got["node"] != q["node"][x])
+                    )
+                    if len(y):
+                        apart = _apart(got["mini"][y], q["mini"][x], np.minimum(got["size"][y], q["size"][x]))
+                        y = y[(100 + percent) * apart <= (100 - percent) * (m[y] + n)]
+                    if len(y):
+                        a, b = np.full(len(y), q["node"][x]), got["node"][y]
+                        yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+
+
+def _apart(rows: np.ndarray, one: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits in which sketches, filled up with zeros, differ after both are folded to ``sizes`` bytes."""
+    out = np.empty(len(rows), np.int64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        x = np.bitwise_xor.reduce((rows[at] ^ one).reshape(len(at), -1, size), axis=1)
+        out[at] = np.bitwise_count(x).sum(1, dtype=np.int64)
+    return out
+
+
+def _tiles(marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of signatures that join several components, dealt out in tiles of bounded size.
+
+    Within a signature, rows outside its largest component are compared with all
+    rows. Both sides are cut into parts of about ``TILE`` rows; a tile is a pair
+    of parts, so that no signature has to fit into a task.
+    """
+    sizes = marked.groupBy("sig", "component").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("sig").agg(F.sum("k").alias("k"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("c"))
+    mixed = largest.where("c > 1 and k > 2").select(
+        "sig", F.col("top.component").alias("main"), (F.col("k") / TILE).cast("int").alias("across"), ((F.col("k") - F.col("top.k")) / TILE).cast("int").alias("down")
+    )
+    rest = marked.where("not done").join(Stored(mixed, "mixed").df, "sig")
+    # a bucket's first document has met all others there, but for those of other buckets
+    rest = rest.join(nodes.select("node", "sketch"), "node").withColumn("mini", _fold("sketch"))
+    plain = ["sig", "node", "component", "n", "most", "mini"]
+    spot = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), F.col(c) + 1).cast("int")
+    asks = rest.where("component <> main").select(*plain, spot("down").alias("i"), F.explode(F.sequence(F.lit(0), "across")).alias("j"), F.lit(0).alias("role"))
+    meets = rest.select(*plain, F.explode(F.sequence(F.lit(0), "down")).alias("i"), spot("across").alias("j"), F.lit(1).alias("role"))
+    return asks.unionByName(meets).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "role")
+
+
+def _fold(column: str):
+    @F.pandas_udf("binary")
+    def fold(sketches: pd.Series) -> pd.Series:
+        return sketches.map(folded)
+
+    return fold(F.col(column))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -388,7 +443,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     An empty table gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    slim = slim_documents(docs, id_col, text_col)
     first = Stored(slim.mapInArrow(_counts("doc_id", "text", width), "doc_id long, n_shingles long, node long, sketch binary, block int, counts binary"), "counts")
     bits = frequent_counters(first.df.where("block is not null"))
     rows = first.df.where("block is null").select("doc_id", "n_shingles", "node")
@@ -399,6 +454,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # rows of whose identifier no node is represented need not be read again
     copies = rows.select("doc_id").distinct().join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     posted = _restrict(slim, copies, "left_anti", "doc_id").mapInArrow(_postings("text", width, sent), "sig long, salt int, rare int, node long, n int, most int")
+    return linked_components(slim, rows, nodes, posted, width, 75)
+
+
+def slim_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Identifier and text alone."""
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def linked_components(docs: DataFrame, rows: DataFrame, nodes: DataFrame, posted: DataFrame, width: int, percent: int) -> DataFrame:
+    """``rows`` with the component of each, from the signatures that nodes have posted.
+
+    Nodes that share a signature are verified by their whole sets, first with one
+    of each bucket, then whatever lies in different components.
+    """
     near = posted.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "rare", "node")
     shape = "sig long, salt int, node long, n int, most int, hub_node long, hub_n int, hub_most int"
     kept = Stored(near.mapInArrow(_buckets, shape), "buckets").df
@@ -407,21 +476,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = kept.where("salt >= 0").select("sig", "hub_node", "hub_n", "hub_most").distinct()
     top = firsts.groupBy("sig").agg(F.min("hub_node").alias("t"))
     parts = firsts.join(top, "sig").where("hub_node <> t").select(F.col("hub_node").alias("a"), F.col("t").alias("b"))
-    fits = "node <> hub_node and n <= hub_most and hub_n <= most and 4 * n >= 3 * hub_n and 4 * hub_n >= 3 * n"
+    fits = f"node <> hub_node and n <= hub_most and hub_n <= most and 100 * n >= {percent} * hub_n and 100 * hub_n >= {percent} * n"
     pairs = Stored(kept.where(fits).select(F.col("node").alias("a"), F.col("hub_node").alias("b")).unionByName(parts).distinct(), "pairs").df
-    links = Stored(verified(slim, nodes, pairs, width), "links").df
+    links = Stored(verified(docs, nodes, pairs, width, percent), "links").df
     found = Stored(components(links), "components").df
 
     # what is left: documents of different components that share a signature but not its first document
     done = F.expr("salt < 0 and node = hub_node").alias("done")
     marked = kept.join(found, "node", "left").select("sig", "node", "n", "most", done, F.coalesce("component", "node").alias("component"))
     marked = Stored(marked, "marked").df
-    mixed = marked.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2").select("sig")
-    rest = marked.where("not done").join(Stored(mixed, "mixed").df, "sig").repartition("sig").sortWithinPartitions("sig")
-    others = rest.select("sig", "node", "component", "n", "most").mapInArrow(_other_pairs, "a long, b long").distinct()
+    others = _tiles(marked, nodes).mapInArrow(partial(_other_pairs, percent=percent), "a long, b long").distinct()
     more = Stored(others, "others").df
     if not more.isEmpty():
-        late = Stored(verified(slim, nodes, more, width), "late").df
+        late = Stored(verified(docs, nodes, more, width, percent), "late").df
         if not late.isEmpty():
             found = Stored(components(links.unionByName(late)), "components").df
     named = nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))

@@ -24,7 +24,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"], _POWERS["bytes"]
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
@@ -43,7 +43,7 @@ def _hash_parts(parts: list[bytes], counts: list[int], width: int) -> list[np.nd
     for n in counts:
         k = max(1, n - width + 1)
         s, e = starts[at : at + k], ends[at + min(width, n) - 1 : at + min(width, n) - 1 + k]
-        out.append(_mix((sums[e] - sums[s]) * down[s]))
+        out.append(mixed((sums[e] - sums[s]) * down[s]))
         at += n
     return out
 
