@@ -1,20 +1,21 @@
-"""Frame selection: candidates by category, two greedy folds with gaps and quotas.
+"""Frame selection: candidates by category, greedy spacing with gaps and quotas.
 
-The first fold thins each category by itself, the second accepts frames in order
-of the categories. Both keep only the accepted frames of one clip as state.
-Every candidate passes the folds; their state is bounded by a clip's length over
-the smallest gap.
+Each category is thinned by itself, then frames are accepted in order of the
+categories. Spacing runs in rounds over blocks of frames, so that no clip has to
+fit into a task, and gives what taking the candidates one by one would give.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import BLOCK, block_groups, cut, in_blocks
+
 
 @dataclass(frozen=True)
 class Category:
@@ -35,49 +36,90 @@ class Category:
 USER = Category("User", 0, 1 << 30, 0, False)
 
 
-def spaced(frames: Column, gap: int) -> Column:
-    """Frames in order, each kept unless closer than ``gap`` to one kept before."""
-    start = F.array().cast("array<bigint>")
-    return F.aggregate(frames, start, lambda z, x: F.when(F.exists(z, lambda y: F.abs(y - x) < gap), z).otherwise(F.concat(z, F.array(x))))
-
-
-def ordered_frames(candidates: DataFrame, order: list[Column], name: str = "frames") -> DataFrame:
-    """``clip`` and its candidate frames as one array in the given order."""
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], F.col("frame").alias("frame"))
-    return candidates.groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(key)), lambda s: s["frame"]).alias(name))
+def _decide(gap: int, block: int, keys: list[str]):
+    """One round over a block: decide what does not depend on an undecided row of another block."""
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame", kind="stable").reset_index(drop=True)
+        frames = pdf["frame"].to_numpy()
+        own = frames // block == key[-1]
+        # 1 accepted, 0 open, -1 rejected
+        state = pdf["accepted"].to_numpy().astype(int)
+        first, last = np.searchsorted(frames, frames - gap, side="right"), np.searchsorted(frames, frames + gap, side="left")
+        order = pdf.sort_values([*keys, "frame"], kind="stable").index.to_numpy()
+        rank = np.empty(len(pdf), int)
+        rank[order] = np.arange(len(pdf))
+        for x in order[(own & (state == 0))[order]]:
+            near = slice(first[x], last[x])
+            if (state[near] == 1).any():
+                state[x] = -1
+            elif not ((state[near] == 0) & (rank[near] < rank[x])).any():
+                state[x] = 1
+        kept = own & (state >= 0)
+        return pdf[kept].assign(accepted=state[kept] == 1).drop(columns=["_block"])
+
+    return work
+
+
+def spaced_frames(candidates: DataFrame, order: list[Column], gap: int, block: int = BLOCK) -> DataFrame:
+    """``clip`` and ``frame`` of candidates taken in order, each unless closer than ``gap`` to one taken before.
+
+    Equal frames are one candidate, that of the best place; equal places go by
+    frame. Rounds over blocks of frames: a candidate is taken when it is better
+    than all open ones within the gap, and its neighbours go. Within a block this
+    goes on to the end; only what hangs on an open row of the next block waits
+    for another round. The keys ``order`` come back as ``k0``, ``k1`` and so on.
+    """
+    gap = max(1, gap)
+    block = max(block, 2 * gap)
+    keys = [f"k{i}" for i in range(len(order))]
+    best = F.min(F.struct(*[c.alias(k) for c, k in zip(order, keys)]))
+    state = candidates.where("frame is not null").groupBy("clip", F.col("frame").cast("long").alias("frame")).agg(best.alias("k"))
+    state = state.select("clip", "frame", *[F.col(f"k.{k}") for k in keys], F.lit(False).alias("accepted"))
+    shape = state.schema
+    while True:
+        dealt = in_blocks(state, "frame", gap - 1, block)
+        state = cut(dealt.groupBy(*block_groups(["clip"])).applyInPandas(_decide(gap, block, keys), shape))
+        if state.where("not accepted").isEmpty():
+            return state.drop("accepted")
+
+
+def away_from(rows: DataFrame, taken: DataFrame, gap: int) -> DataFrame:
+    """Rows that are at least ``gap`` frames from every taken frame of their clip."""
+    gap = max(1, gap)
+    near = taken.select(F.col("clip").alias("_c"), F.col("frame").alias("_t"), F.explode(F.sequence(F.floor((F.col("frame") - gap) / gap), F.floor((F.col("frame") + gap) / gap))).alias("_b"))
+    same = F.col("clip").eqNullSafe(F.col("_c")) & (F.floor(F.col("frame") / gap) == F.col("_b")) & (F.abs(F.col("frame") - F.col("_t")) < gap)
+    return rows.join(near, same, "left_anti")
 
 
 def select_frames(candidates: DataFrame, categories: tuple[Category, ...], windows: DataFrame | None = None) -> DataFrame:
     """Accepted frames of each clip with their labels.
 
-    ``candidates`` has ``clip``, ``label``, ``frame`` and ``place``, the rank of a
-    frame in its category; those outside of their clip's window are left out if
-    ``windows`` (``clip``, ``start_frame``, ``end_frame``) are given. Rows:
-    ``clip``, ``frame``, ``label``, ascending frames.
+    ``candidates`` has ``clip``, ``label``, ``frame`` and ``place``, by which a
+    category's frames are tried, equal places by frame; those outside of their
+    clip's window are left out if ``windows`` (``clip``, ``start_frame``,
+    ``end_frame``) are given. Rows: ``clip``, ``frame``, ``label``.
+
+    Categories go one after the other: what is near an accepted frame of an
+    earlier one is left out, and of the rest the first ones fill the quota.
     """
     if windows is not None:
         candidates = pinned_frames(candidates, windows)[0]
-    per = None
-    for c in categories:
-        own = ordered_frames(candidates.where(F.col("label") == c.label), [F.col("place")])
-        one = own.select("clip", F.lit(c.priority).alias("pr"), (spaced(F.col("frames"), c.gap) if c.thinned else F.col("frames")).alias("kept"))
-        per = one if per is None else per.unionByName(one)
-    tagged = per.select("clip", "pr", F.transform("kept", lambda f: F.struct(F.col("pr").alias("pr"), f.alias("frame"))).alias("kept"))
-    lists = tagged.groupBy("clip").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pr", "kept"))), lambda s: s["kept"])).alias("seq"))
-    table = lambda field: F.create_map(*[x for c in categories for x in (F.lit(c.priority), F.lit(getattr(c, field)))])
-    gap, quota = table("gap"), table("quota")
-    start = F.array().cast("array<struct<pr:int,frame:bigint>>")
-
-    def accept(z: Column, x: Column) -> Column:
-        near = F.exists(z, lambda y: F.abs(y["frame"] - x["frame"]) < gap[x["pr"]])
-        full = F.size(F.filter(z, lambda y: y["pr"] == x["pr"])) >= quota[x["pr"]]
-        same = F.exists(z, lambda y: y["frame"] == x["frame"])
-        return F.when(near | full | same, z).otherwise(F.concat(z, F.array(x)))
-
-    names = F.create_map(*[x for c in categories for x in (F.lit(c.priority), F.lit(c.label))])
-    order = lambda acc: F.array_sort(F.transform(acc, lambda s: F.struct(s["frame"].alias("frame"), s["pr"].alias("pr"))))
-    chosen = lists.select("clip", F.explode(order(F.aggregate("seq", start, accept))).alias("s"))
-    return chosen.select("clip", F.col("s.frame").alias("frame"), names[F.col("s.pr")].alias("label"))
+    candidates = cut(candidates.select("clip", "label", "frame", "place"))
+    accepted = None
+    for c in sorted(categories, key=lambda c: c.priority):
+        own = candidates.where(F.col("label") == c.label)
+        if not c.thinned and accepted is not None:
+            own = away_from(own, accepted, c.gap)
+        kept = spaced_frames(own, [F.col("place")], c.gap)
+        if c.thinned and accepted is not None:
+            kept = away_from(kept, accepted, c.gap)
+        if c.quota < 1 << 30:
+            order = Window.partitionBy("clip").orderBy("k0", "frame")
+            kept = kept.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= c.quota)
+        kept = kept.select("clip", "frame", F.lit(c.label).alias("label"))
+        accepted = cut(kept if accepted is None else accepted.unionByName(kept))
+    return accepted
 
 
 def hashed_order(seed: int) -> list[Column]:
@@ -118,21 +160,3 @@ def annotation(label: Column, score: Column, source: Column, code: Column, note:
         F.concat(F.lit("tc="), code),
         F.concat(F.lit("note="), note),
     )
-
-
-def random_fill(pdfs: Iterator[pd.DataFrame], seed: int, count: int, gap: int) -> Iterator[pd.DataFrame]:
-    """Uniform draws with a gap test and a budget that shrinks as draws succeed, one clip to a row."""
-    import random
-
-    for pdf in pdfs:
-        rows = []
-        for clip, start, end, taken in zip(pdf["clip"], pdf["start_frame"], pdf["end_frame"], pdf["taken"]):
-            rng, accepted, left, tries = random.Random(seed), list(taken), count, 0
-            while left > 0 and tries < left * 10:
-                tries += 1
-                frame = rng.randrange(int(start), int(end))
-                if all(abs(frame - f) >= gap for f in accepted) and frame not in accepted:
-                    accepted.append(frame)
-                    rows.append((clip, frame))
-                    left -= 1
-        yield pd.DataFrame(rows, columns=["clip", "frame"])

@@ -1,56 +1,65 @@
 """Frame series: metrics, thresholds, smoothing, planes.
 
-A series has the columns ``clip``, ``frame`` and one double for each metric; all
-grouped work is partitioned by ``clip``.
+A series has the columns ``clip``, ``frame`` and one double for each metric. No
+clip has to fit into a task: numbers come from a range partitioning, neighbours
+from blocks with halo rows, quantiles from histograms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import block_window, in_blocks, numbered, own_rows
+from .quantiles import exact_quantiles
+
+#: Planes of one block.
+PLANES = 1024
+
 
 def clips_from_events(events: DataFrame) -> DataFrame:
     """``clip``, ``frame``, ``event_id``, ``luma``: event types as clips, in order of time, values scaled by the largest."""
-    most = events.agg(F.max("value").alias("_most"))
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    numbered = events.select("event_type", "ts", "event_id", "user_id", "value", (F.row_number().over(order) - 1).cast("long").alias("frame"))
-    return numbered.crossJoin(F.broadcast(most)).select(
+    most = events.agg(F.max("value").alias("_most"))  # one row
+    placed = numbered(events.select("event_type", "ts", "event_id", "user_id", "value"), ["event_type"], ["ts", "event_id"])
+    return placed.crossJoin(F.broadcast(most)).select(
         F.col("event_type").alias("clip"), "frame", "event_id", "user_id", "value", F.try_divide("value", "_most").alias("luma")
     )
 
 
-def by_frame(clip: str = "clip", frame: str = "frame") -> Window:
-    return Window.partitionBy(clip).orderBy(frame)
+def _lagged(value: str) -> Column:
+    return F.coalesce(F.abs(F.col(value) - F.lag(value).over(block_window(["clip"], "frame"))), F.lit(0.0))
+
+
+def _smoothed(value: str, radius: int) -> Column:
+    return F.avg(value).over(block_window(["clip"], "frame").rowsBetween(-radius, radius))
 
 
 def lag_motion(series: DataFrame, value: str = "luma", name: str = "motion") -> DataFrame:
-    """Absolute difference to the frame before; 0 for the first."""
-    return series.withColumn(name, F.coalesce(F.abs(F.col(value) - F.lag(value).over(by_frame())), F.lit(0.0)))
+    """Absolute difference to the frame before; 0 for the first. Frames are numbered without gaps."""
+    return own_rows(in_blocks(series, "frame", 1).withColumn(name, _lagged(value)), "frame")
 
 
 def smooth(series: DataFrame, value: str, radius: int, name: str) -> DataFrame:
-    """Centred mean over positions, cut off at the ends; the value itself for a radius of 0."""
+    """Centred mean over positions, cut off at the ends; the value itself for a radius of 0. Frames are numbered without gaps."""
     if radius <= 0:
         return series.withColumn(name, F.col(value))
-    return series.withColumn(name, F.avg(value).over(by_frame().rowsBetween(-radius, radius)))
+    return own_rows(in_blocks(series, "frame", radius).withColumn(name, _smoothed(value, radius)), "frame")
 
 
-def quantile(value: str, q: float) -> Column:
-    """Exact quantile with linear interpolation; extremes outside 0 to 1."""
-    return F.percentile(value, F.lit(min(1.0, max(0.0, q))))
+def smooth_motion(series: DataFrame, value: str, radius: int) -> DataFrame:
+    """``motion`` and its centred mean ``smooth``, both over the same blocks."""
+    rows = in_blocks(series, "frame", radius + 1).withColumn("motion", _lagged(value))
+    return own_rows(rows.withColumn("smooth", _smoothed("motion", radius) if radius > 0 else F.col("motion")), "frame")
 
 
 def below_quantile(series: DataFrame, value: str, q: float) -> DataFrame:
     """Rows at or below their clip's quantile."""
-    cut = series.groupBy("clip").agg(quantile(value, q).alias("_cut"))
-    return series.join(cut, "clip").where(F.col(value) <= F.col("_cut")).drop("_cut")
+    return series.join(exact_quantiles(series, "clip", value, {"_cut": q}), "clip").where(F.col(value) <= F.col("_cut")).drop("_cut")
 
 
 def above_quantile(series: DataFrame, value: str, q: float) -> DataFrame:
     """Rows at or above their clip's quantile."""
-    cut = series.groupBy("clip").agg(quantile(value, q).alias("_cut"))
-    return series.join(cut, "clip").where(F.col(value) >= F.col("_cut")).drop("_cut")
+    return series.join(exact_quantiles(series, "clip", value, {"_cut": q}), "clip").where(F.col(value) >= F.col("_cut")).drop("_cut")
 
 
 def within(series: DataFrame, value: str, low: float, high: float) -> DataFrame:
@@ -66,7 +75,8 @@ def strided(series: DataFrame, start: int, end: int, step: int) -> DataFrame:
 
 def uniform_step(series: DataFrame) -> DataFrame:
     """``step`` of each clip whose frames have one positive distance; 1 for a single frame, else null."""
-    gaps = series.withColumn("_g", F.col("frame") - F.lag("frame").over(by_frame()))
+    rows = in_blocks(numbered(series, ["clip"], ["frame"], "_pos"), "_pos", 1)
+    gaps = own_rows(rows.withColumn("_g", F.col("frame") - F.lag("frame").over(block_window(["clip"], "_pos"))), "_pos")
     one = F.min("_g") == F.max("_g")
     return gaps.groupBy("clip").agg(F.when(F.count("*") <= 1, F.lit(1)).when(one & (F.min("_g") > 0), F.min("_g")).cast("long").alias("step"))
 
@@ -81,11 +91,17 @@ def plane_stats(planes: DataFrame, plane: str) -> DataFrame:
 
 def plane_difference(planes: DataFrame, plane: str, order: str, clip: str) -> DataFrame:
     """Mean and largest absolute difference to the plane before; null for the first of a clip."""
-    before = F.lag(plane).over(Window.partitionBy(clip).orderBy(order))
-    diff = F.zip_with(F.col(plane), before, lambda a, b: F.abs(a.cast("double") - b.cast("double")))
-    out = planes.withColumn("_d", diff)
+    out = with_previous(planes, plane, order, clip, "_before")
+    diff = F.zip_with(F.col(plane), F.col("_before"), lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    out = out.withColumn("_d", diff)
     total = F.aggregate("_d", F.lit(0.0), lambda z, x: z + x)
-    return out.withColumns({"diff_avg": F.try_divide(total, F.size("_d")), "diff_max": F.array_max("_d")}).drop("_d")
+    return out.withColumns({"diff_avg": F.try_divide(total, F.size("_d")), "diff_max": F.array_max("_d")}).drop("_d", "_before")
+
+
+def with_previous(planes: DataFrame, plane: str, order: str, clip: str, name: str) -> DataFrame:
+    """``name``: the plane before in its clip; null for the first."""
+    rows = in_blocks(numbered(planes, [clip], [order], "_pos"), "_pos", 1, PLANES)
+    return own_rows(rows.withColumn(name, F.lag(plane).over(block_window([clip], "_pos"))), "_pos", PLANES).drop("_pos")
 
 
 def fallback_metrics(frames: DataFrame, absdiff: bool = True) -> DataFrame:

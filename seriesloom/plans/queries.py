@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import scalar as S
 from seriesloom.operators import align, cache, geometry, lookup, match, metadata, report, selection, series, windows
+from seriesloom.operators.ordering import numbered
+from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.sources.documents import natural_key
 
 QUERIES: dict = {}
@@ -51,7 +53,7 @@ def frames_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def motion_of(spark: SparkSession, d: str) -> DataFrame:
-    return series.smooth(series.lag_motion(frames_of(spark, d)), "motion", 4, "smooth")
+    return series.smooth_motion(frames_of(spark, d), "luma", 4)
 
 
 def r9(c: str):
@@ -63,8 +65,8 @@ def r9(c: str):
 
 @query(f"WITH {FRAMES} SELECT clip, round(quantile_cont(luma, 0.2), 9) AS q20, round(quantile_cont(luma, 0.8), 9) AS q80 FROM f GROUP BY clip")
 def luma_quantile(spark, d):
-    q = lambda x: F.round(series.quantile("luma", x), 9)
-    return frames_of(spark, d).groupBy("clip").agg(q(0.2).alias("q20"), q(0.8).alias("q80"))
+    q = exact_quantiles(frames_of(spark, d), "clip", "luma", {"q20": 0.2, "q80": 0.8})
+    return q.select("clip", r9("q20"), r9("q80"))
 
 
 @query(f"WITH {FRAMES} SELECT clip, frame, round(motion, 9) AS motion, round(smooth, 9) AS smooth FROM s")
@@ -94,7 +96,7 @@ def bright_fixed_range(spark, d):
     SELECT s.clip, frame FROM s JOIN q ON s.clip = q.clip WHERE round(smooth, 9) <= round(c, 9)""")
 def scenecut_cap(spark, d):
     rounded = motion_of(spark, d)
-    cut = rounded.groupBy("clip").agg(series.quantile("smooth", 0.9).alias("c"))
+    cut = exact_quantiles(rounded, "clip", "smooth", {"c": 0.9})
     return rounded.join(cut, "clip").where(F.round("smooth", 9) <= F.round("c", 9)).select("clip", "frame")
 
 
@@ -125,8 +127,8 @@ def luma_bounds(spark, d):
           FROM v WHERE k IN (0, n // 4, n // 2, 3 * n // 4, n - 1))
     SELECT label, CASE WHEN count(vote) = count(*) AND min(vote) = max(vote) THEN min(vote) END AS color_range FROM s GROUP BY label""")
 def range_vote(spark, d):
-    w = Window.partitionBy("label")
-    v = table(spark, d, "embeddings").withColumn("k", F.row_number().over(w.orderBy("vec_id")) - 1).withColumn("n", F.count("*").over(w))
+    v = numbered(table(spark, d, "embeddings"), ["label"], ["vec_id"], "k")
+    v = v.join(v.groupBy("label").agg(F.count("*").alias("n")), "label")
     v = v.where("k in (0, n div 4, n div 2, 3 * n div 4, n - 1)")
     v = series.plane_stats(v, "embedding")
     vote = S.rgb_range(F.abs("plane_min") * 40, 255 * (0.5 + F.col("plane_max")))
@@ -192,16 +194,17 @@ def window_intersection(spark, d):
 
 
 def candidates_of(spark, d):
-    """Dark, bright and motion candidates in reproducible orders."""
+    """Dark, bright and motion candidates; the place is what they are tried by."""
     return ranked_candidates(motion_of(spark, d).select("clip", "frame", F.round("luma", 9).alias("luma"), F.round("smooth", 9).alias("smooth")))
 
 
 def ranked_candidates(s):
-    place = lambda *o: F.row_number().over(Window.partitionBy("clip").orderBy(*o, "frame")).alias("place")
-    dark = series.below_quantile(s, "luma", 0.2).select("clip", F.lit("Dark").alias("label"), "frame", place("luma"))
-    bright = series.above_quantile(s, "luma", 0.8).select("clip", F.lit("Bright").alias("label"), "frame", place(F.col("luma").desc()))
-    motion = s.select("clip", F.lit("Motion").alias("label"), "frame", place(F.col("smooth").desc()))
-    return dark.unionByName(bright).unionByName(motion)
+    q = exact_quantiles(s, "clip", "luma", {"low": 0.2, "high": 0.8})
+    of = lambda rows, label, place: rows.select("clip", F.lit(label).alias("label"), "frame", place.alias("place"))
+    cut = s.join(q, "clip")
+    dark = of(cut.where("luma <= low"), "Dark", F.col("luma"))
+    bright = of(cut.where("luma >= high"), "Bright", -F.col("luma"))
+    return dark.unionByName(bright).unionByName(of(s, "Motion", -F.col("smooth")))
 
 
 _ROUNDED = f"{FRAMES}, z AS (SELECT clip, frame, round(luma, 9) AS luma, round(smooth, 9) AS smooth FROM s)"
@@ -213,7 +216,7 @@ _FOLD = "list_reduce({frames}, lambda a, x: CASE WHEN len(list_filter(a, lambda
     SELECT clip, unnest({_FOLD.format(frames='frames', gap=GAP)}) AS frame FROM l""")
 def spaced_dark_frames(spark, d):
     dark = candidates_of(spark, d).where("label = 'Dark'")
-    return selection.ordered_frames(dark, [F.col("place")]).select("clip", F.explode(selection.spaced(F.col("frames"), GAP)).alias("frame"))
+    return selection.spaced_frames(dark, [F.col("place")], GAP).select("clip", "frame")
 
 
 _SELECT = f"""{_ROUNDED},
@@ -251,7 +254,7 @@ def selection_annotation(spark, d):
     SELECT clip, unnest({_FOLD.format(frames='frames', gap=GAP)}) AS frame FROM l""")
 def shuffled_dark_frames(spark, d):
     dark = candidates_of(spark, d).where("label = 'Dark'")
-    return selection.ordered_frames(dark, selection.hashed_order(7)).select("clip", F.explode(selection.spaced(F.col("frames"), GAP)).alias("frame"))
+    return selection.spaced_frames(dark, selection.hashed_order(7), GAP).select("clip", "frame")
 
 
 @query()
@@ -738,7 +741,7 @@ def filename_parts(spark, d):
 @query("SELECT c_custkey, row_number() OVER (ORDER BY regexp_replace(c_name, '\\d+', ''), TRY_CAST(regexp_extract(c_name, '\\d+') AS BIGINT)) AS place FROM customer")
 def natural_order(spark, d):
     c = table(spark, d, "customer").select("c_custkey", natural_key(F.col("c_name")).alias("k"))
-    return c.withColumn("place", F.row_number().over(Window.orderBy("k"))).select("c_custkey", "place")
+    return numbered(c, [], ["k", "c_custkey"], "place").select("c_custkey", (F.col("place") + 1).alias("place"))
 
 
 @query(f"""WITH t AS (SELECT event_id, value FROM events), u AS (SELECT event_id, value, round_even(greatest(value, 0) * 10, 0)::BIGINT AS s, floor(value)::BIGINT AS c FROM t)
@@ -842,7 +845,7 @@ def select_frames_full(spark, d):
     s = motion_of(spark, d).select("clip", "frame", F.round("luma", 9).alias("luma"), F.round("smooth", 9).alias("smooth"))
     w = s.groupBy("clip").agg(F.floor(F.max("frame") / 10).alias("start_frame"), F.floor(F.max("frame") * 9 / 10).alias("end_frame"))
     inside = selection.pinned_frames(s, w)[0]
-    random = inside.select("clip", F.lit("Random").alias("label"), "frame", F.row_number().over(Window.partitionBy("clip").orderBy(*selection.hashed_order(11), "frame")).alias("place"))
+    random = numbered(inside.select("clip", F.lit("Random").alias("label"), "frame"), ["clip"], [*selection.hashed_order(11), "frame"], "place")
     user = s.where("frame % 97 = 5").select("clip", F.lit("User").alias("label"), "frame", F.col("frame").alias("place"))
     found = ranked_candidates(inside).unionByName(random).unionByName(user)
     return selection.select_frames(found, (selection.USER, *CATEGORIES, selection.Category("Random", 4, 5, GAP, False)), w)

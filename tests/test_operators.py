@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import labels as L
 from seriesloom.functions import scalar as S
 from seriesloom.operators import align, cache, geometry, lookup, match, metadata, report, selection, series, windows
+from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.sources import documents
 
 
@@ -22,7 +23,7 @@ def values(spark, xs, clip="a"):
 def test_quantile(spark):
     s = values(spark, [0, 1, 2, 3, 4])
     for q, want in ((0, 0.0), (0.25, 1.0), (0.5, 2.0), (1, 4.0), (-1, 0.0), (2, 4.0)):
-        assert s.agg(series.quantile("v", q).alias("x")).first().x == want
+        assert exact_quantiles(s, "clip", "v", {"x": q}).first().x == want
 
 
 def test_smoothing_is_cut_off_at_the_ends(spark):
@@ -32,8 +33,8 @@ def test_smoothing_is_cut_off_at_the_ends(spark):
 
 
 def test_greedy_gap(spark):
-    c = F.array(*[F.lit(x).cast("bigint") for x in (0, 10, 20, 30, 100)])
-    assert one(spark, selection.spaced(c, 24)) == [0, 30, 100]
+    c = spark.createDataFrame([("a", f, i) for i, f in enumerate((0, 10, 20, 30, 100, 30))], "clip string, frame long, place int")
+    assert sorted(r.frame for r in selection.spaced_frames(c, [F.col("place")], 24).collect()) == [0, 30, 100]
 
 
 def test_two_folds_differ_from_one(spark):
