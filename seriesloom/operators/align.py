@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import cut
+
+#: Positions of a cell that is correlated by one FFT.
+CELL = 4096
+
 
 def zscore(series: DataFrame, key: str, value: str, name: str = "z") -> DataFrame:
     """Value less its key's mean over its population deviation plus 1e-8."""
@@ -12,17 +21,56 @@ def zscore(series: DataFrame, key: str, value: str, name: str = "z") -> DataFram
     return series.join(stats, key).withColumn(name, (F.col(value) - F.col("_m")) / (F.col("_s") + 1e-8)).drop("_m", "_s")
 
 
-def cross_correlation(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
-    """``lag``, ``corr_raw``, ``corr_norm`` for lags up to ``most``; both sides have ``pos`` and ``z``.
+def _cells(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Series cut into cells of ``block`` positions: offsets in the cell and values as arrays."""
+    at = F.floor(F.col("pos") / block)
+    return rows.groupBy(*keys, at.alias("cell")).agg(F.collect_list(F.struct((F.col("pos") - at * block).cast("int").alias("at"), "z")).alias("zs"))
+
+
+def block_correlation(a: DataFrame, b: DataFrame, block: int = CELL) -> DataFrame:
+    """``clip``, ``lag``, ``corr_raw``, ``pairs``: sums of products of ``a`` (``pos``, ``z``) and each clip of ``b`` (``clip``, ``pos``, ``z``) over all lags.
 
-    Positions of ``a`` are fanned out over the lags, which turns the bounded range
-    join into an equality join on the position of ``b``.
+    Both sides are cut into cells of ``block`` positions. Two cells are correlated
+    by FFT, and what each distance of cells adds to a lag is summed by lag, so
+    the rows grow with cells times cells and not with positions times positions.
+    A lag has a row if any two positions are that far apart; positions may have
+    gaps, one position has one value.
     """
-    fanned = a.select(F.col("pos").alias("_p"), F.col("z").alias("_z"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))
-    pairs = fanned.withColumn("pos", F.col("_p") + F.col("lag")).join(b.select("pos", "z"), "pos")
-    sums = pairs.groupBy("lag").agg(F.sum(F.col("_z") * F.col("z")).alias("corr_raw"))
-    size = a.agg(F.count("*").alias("_a")).crossJoin(b.agg(F.count("*").alias("_b")))
-    return sums.crossJoin(F.broadcast(size)).select(F.col("lag").cast("long"), "corr_raw", (F.col("corr_raw") / F.least("_a", "_b")).alias("corr_norm"))
+    left, right = _cells(a, [], block), cut(_cells(b, ["clip"], block))
+    # each cell of a goes to the distances at which any clip has a cell: an equality join on cells
+    reach = right.agg(F.min("cell").alias("_from"), F.max("cell").alias("_to"))
+    fanned = left.crossJoin(F.broadcast(reach)).where("_from is not null")  # one row
+    fanned = fanned.select(F.col("cell").alias("_cell"), F.col("zs").alias("za"), F.explode(F.sequence("_from", "_to")).alias("cell"))
+    pairs = right.join(fanned, "cell").select("clip", (F.col("cell") - F.col("_cell")).alias("apart"), "za", F.col("zs").alias("zb"))
+    kind = b.schema["clip"].dataType.simpleString()
+    sums = pairs.mapInPandas(_correlated(block), f"clip {kind}, lag long, corr_raw double, pairs double")
+    whole = sums.groupBy("clip", "lag").agg(F.sum("corr_raw").alias("corr_raw"), F.rint(F.sum("pairs")).cast("long").alias("pairs"))
+    return whole.where("pairs > 0")
+
+
+def _correlated(block: int):
+    def line(cells: list, weights: bool) -> np.ndarray:
+        out = np.zeros((len(cells), 2 * block))
+        for row, cell in enumerate(cells):
+            for x in cell:
+                out[row, x["at"]] = 1.0 if weights else x["z"]
+        return np.fft.rfft(out, axis=1)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in frames:
+            for start in range(0, len(pdf), 64):
+                part = pdf.iloc[start : start + 64]
+                both = np.stack([np.conj(line(part["za"], w)) * line(part["zb"], w) for w in (False, True)], 1)
+                for key, got in zip(zip(part["clip"], part["apart"]), both):
+                    sums[key] = sums[key] + got if key in sums else got
+        shift = np.concatenate([np.arange(block), np.arange(-block, 0)])
+        for (clip, apart), spectra in sums.items():
+            corr, pairs = np.fft.irfft(spectra, 2 * block, axis=1)
+            some = np.rint(pairs) > 0
+            yield pd.DataFrame({"clip": clip, "lag": apart * block + shift[some], "corr_raw": corr[some], "pairs": np.rint(pairs[some])})
+
+    return work
 
 
 def best_lag(correlations: DataFrame, by: list[str] | None = None, digits: int = 9) -> DataFrame:

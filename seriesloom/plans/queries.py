@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import scalar as S
-from seriesloom.operators import align, cache, geometry, lookup, match, metadata, report, selection, series, windows
-from seriesloom.operators.ordering import numbered
+from seriesloom.operators import align, audio, cache, geometry, lookup, match, metadata, report, selection, series, windows
+from seriesloom.operators.ordering import cut, numbered
 from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.sources.documents import natural_key
 
@@ -96,8 +96,8 @@ def bright_fixed_range(spark, d):
     SELECT s.clip, frame FROM s JOIN q ON s.clip = q.clip WHERE round(smooth, 9) <= round(c, 9)""")
 def scenecut_cap(spark, d):
     rounded = motion_of(spark, d)
-    cut = exact_quantiles(rounded, "clip", "smooth", {"c": 0.9})
-    return rounded.join(cut, "clip").where(F.round("smooth", 9) <= F.round("c", 9)).select("clip", "frame")
+    most = exact_quantiles(rounded, "clip", "smooth", {"c": 0.9})
+    return rounded.join(most, "clip").where(F.round("smooth", 9) <= F.round("c", 9)).select("clip", "frame")
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding), 9) AS plane_avg,
@@ -201,9 +201,9 @@ def candidates_of(spark, d):
 def ranked_candidates(s):
     q = exact_quantiles(s, "clip", "luma", {"low": 0.2, "high": 0.8})
     of = lambda rows, label, place: rows.select("clip", F.lit(label).alias("label"), "frame", place.alias("place"))
-    cut = s.join(q, "clip")
-    dark = of(cut.where("luma <= low"), "Dark", F.col("luma"))
-    bright = of(cut.where("luma >= high"), "Bright", -F.col("luma"))
+    known = s.join(q, "clip")
+    dark = of(known.where("luma <= low"), "Dark", F.col("luma"))
+    bright = of(known.where("luma >= high"), "Bright", -F.col("luma"))
     return dark.unionByName(bright).unionByName(of(s, "Motion", -F.col("smooth")))
 
 
@@ -307,17 +307,12 @@ _HOURS = """h AS (SELECT event_type AS clip, floor(epoch(ts) / 3600)::BIGINT AS
 def correlations_of(spark, d):
     """Correlation of each event type's hourly sums with those of the first type, over all lags."""
     e = table(spark, d, "events").groupBy(F.col("event_type").alias("clip"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("pos")).agg(F.sum("value").alias("v"))
-    z = align.zscore(e, "clip", "v")
-    ref = z.agg(F.min("clip").alias("r"))
-    a = z.join(F.broadcast(ref), F.col("clip") == F.col("r"), "left_semi").select(F.col("pos").alias("_p"), F.col("z").alias("_z"))
-    size = a.agg(F.count("*").alias("_a"))
-    others = z.join(F.broadcast(ref), F.col("clip") == F.col("r"), "left_anti")
-    counts = others.groupBy("clip").agg(F.count("*").alias("_b"))
-    # all lags: every position of the first type meets every one of the others, which are hours and few
-    pairs = others.crossJoin(a).withColumn("lag", F.col("pos") - F.col("_p"))
-    sums = pairs.groupBy("clip", "lag").agg(F.sum(F.col("_z") * F.col("z")).alias("c"))
-    out = sums.join(counts, "clip").crossJoin(F.broadcast(size))
-    return out.select("clip", F.col("lag").cast("long").alias("lag"), F.round("c", 6).alias("corr_raw"), F.round(F.col("c") / F.least("_a", "_b"), 6).alias("corr_norm"))
+    z = cut(align.zscore(e, "clip", "v").select("clip", "pos", "z"))
+    first = z.join(F.broadcast(z.agg(F.min("clip").alias("r"))), F.col("clip") == F.col("r")).drop("r")  # one row
+    a, others = first.select("pos", "z"), z.join(F.broadcast(first.select("clip").distinct()), "clip", "left_anti")  # one row
+    counts = others.groupBy("clip").agg(F.count("*").alias("_b")).crossJoin(F.broadcast(a.agg(F.count("*").alias("_a"))))
+    out = align.block_correlation(a, others).join(counts, "clip")
+    return out.select("clip", "lag", F.round("corr_raw", 6).alias("corr_raw"), F.round(F.col("corr_raw") / F.least("_a", "_b"), 6).alias("corr_norm"))
 
 
 @query(f"WITH {_HOURS} SELECT * FROM xc")
@@ -330,6 +325,62 @@ def best_lag(spark, d):
     return align.best_lag(correlations_of(spark, d), ["clip"], 6)
 
 
+#: Window, distance, bands and rate of the envelopes made from event values.
+_SIZE, _HOP, _BANDS, _RATE = 256, 64, 24, 16000.0
+
+
+def _envelope_sql() -> str:
+    """The envelope by plain sums: every window's spectrum term by term."""
+    weights = audio.mel_weights(_RATE, _SIZE, _BANDS)
+    listed = ", ".join(f"({b}, {k}, {weights[b, k]!r}::DOUBLE)".replace("np.float64(", "(") for b, k in zip(*weights.nonzero()))
+    shift = _SIZE // (2 * _HOP)
+    return f"""
+        y AS (SELECT event_type AS clip, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, value / max(abs(value)) OVER (PARTITION BY event_type) AS v FROM events),
+        n AS (SELECT clip, count(*) AS n FROM y GROUP BY clip),
+        win AS (SELECT clip, unnest(range(0, n // {_HOP} + 1)) AS w FROM n),
+        cut AS (SELECT win.clip, w, pos - (w * {_HOP} - {_SIZE // 2}) AS i, v * (0.5 - 0.5 * cos(2 * pi() * (pos - (w * {_HOP} - {_SIZE // 2})) / {_SIZE})) AS v
+                FROM win JOIN y ON y.clip = win.clip AND pos >= w * {_HOP} - {_SIZE // 2} AND pos < w * {_HOP} + {_SIZE // 2}),
+        spec AS (SELECT clip, w, k, sum(v * cos(2 * pi() * ((i * k) % {_SIZE}) / {_SIZE})) AS re, sum(v * sin(2 * pi() * ((i * k) % {_SIZE}) / {_SIZE})) AS im
+                 FROM cut, (SELECT unnest(range(0, {_SIZE // 2 + 1})) AS k) GROUP BY clip, w, k),
+        mel(b, k, weight) AS (VALUES {listed}),
+        lev AS (SELECT clip, w, b, 10 * log10(greatest(sum(weight * (re * re + im * im)), 1e-10)) AS db FROM spec JOIN mel USING (k) GROUP BY clip, w, b),
+        cap AS (SELECT clip, w, b, greatest(db, max(db) OVER (PARTITION BY clip) - 80) AS db FROM lev),
+        step AS (SELECT clip, w, db - lag(db) OVER (PARTITION BY clip, b ORDER BY w) AS rise FROM cap),
+        env AS (SELECT win.clip, win.w AS pos, coalesce(x.onset, 0) AS onset FROM win
+                LEFT JOIN (SELECT clip, w + {shift} AS pos, sum(greatest(rise, 0)) / {_BANDS} AS onset FROM step WHERE rise IS NOT NULL GROUP BY clip, w) x ON x.clip = win.clip AND x.pos = win.w)"""
+
+
+def samples_of(spark, d):
+    """Event values of each type in order of time, as a signal."""
+    return frames_of(spark, d).select("clip", F.col("frame").alias("pos"), "value")
+
+
+def envelopes_of(spark, d):
+    return audio.onset_envelope(samples_of(spark, d), _RATE, _HOP, _SIZE, _BANDS)
+
+
+@query(f"WITH {_envelope_sql()} SELECT clip, pos, round(onset, 6) AS onset FROM env")
+def onset_envelope(spark, d):
+    return envelopes_of(spark, d).select("clip", "pos", F.round("onset", 6).alias("onset"))
+
+
+@query(f"""WITH {_envelope_sql()}, st AS (SELECT clip, avg(onset) AS m, stddev_pop(onset) AS s FROM env GROUP BY clip),
+    z AS (SELECT env.clip, pos, (onset - m) / (s + 1e-8) AS z FROM env JOIN st ON st.clip = env.clip),
+    c AS (SELECT b.clip, b.pos - a.pos AS lag, sum(a.z * b.z) AS c FROM z a JOIN z b ON a.clip = 'click' AND b.clip <> 'click' GROUP BY 1, 2),
+    best AS (SELECT clip, lag, c, row_number() OVER (PARTITION BY clip ORDER BY round(c, 9) DESC, lag) AS r FROM c),
+    t AS (SELECT DISTINCT event_type AS clip, CASE WHEN event_type <> 'view' THEN 24.0 END AS fps FROM events UNION ALL SELECT 'silent', 25.0)
+    SELECT t.clip, coalesce(lag, 0) * {_HOP} / {_RATE}::DOUBLE AS offset_seconds, CASE WHEN fps > 0 THEN round_even(lag * {_HOP} / {_RATE}::DOUBLE * fps, 0)::BIGINT END AS frames,
+           round(coalesce(c, 0), 6) AS correlation, CASE WHEN lag IS NULL THEN 'no onset envelope' END AS error
+    FROM t LEFT JOIN best ON best.clip = t.clip AND r = 1 WHERE t.clip <> 'click'""")
+def measured_offsets(spark, d):
+    """Offsets of the event types' envelopes against that of clicks; one clip has no frame rate, one no samples."""
+    rate = F.when(F.col("clip") != "view", 24.0)
+    clips = table(spark, d, "events").select(F.col("event_type").alias("clip")).distinct().withColumn("fps", rate)
+    clips = clips.unionByName(spark.range(1).select(F.lit("silent").alias("clip"), F.lit(25.0).alias("fps")))
+    got = audio.measure_offsets(envelopes_of(spark, d), clips, "click", _HOP, _RATE)
+    return got.withColumn("correlation", F.round("correlation", 6))
+
+
 _OFFSETS = """o AS (SELECT o_orderkey AS clip, o_custkey % 100 AS grp, (o_orderkey % 400 - 200) * 512 / 48000.0 AS offset_seconds,
     (o_totalprice % 100) / 100 AS correlation, CASE WHEN o_orderkey % 13 = 0 THEN 0.0 ELSE 24.0 END AS fps, CASE WHEN o_orderkey % 17 = 0 THEN 'probe failed' END AS err FROM orders)"""
 
