@@ -28,7 +28,7 @@ from .topk import quantised
 #: Components of one segment.
 SEGMENT = 8
 #: Squared length of a quantised vector at most; then squared distances stay below 2**62.
-LONGEST = 1 << 60
+LONGEST = float(1 << 60)
 #: Share by which a bound is lowered for the rounding of norms.
 SLACK = 1e-9
 #: Partial sums of one centroid are added in so many places before they meet.
@@ -80,11 +80,10 @@ def _compress(dims: int, segment: int):
             for at, rows in quantised(batch.column("vector")):
                 if rows.shape[1] != dims:
                     continue
-                # a component beyond 2**30 is a length beyond 2**60, so the integers below cannot overflow
-                at, rows = at[(small := (np.abs(rows) <= 1 << 30).all(1))], rows[small].astype(np.int64)
-                near = np.square(rows).sum(1) <= LONGEST
+                with np.errstate(over="ignore"):
+                    near = np.square(rows).sum(1) <= LONGEST
                 at, rows = at[near], rows[near]
-                q, norms = rows.astype(np.int32), segment_norms(rows, segment)
+                q, norms = rows.astype(np.int32), segment_norms(rows, segment)  # no component is beyond 2**30
                 ids = batch.column("vec_id").take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([r.tobytes() for r in q], pa.binary()), pa.array([r.tobytes() for r in norms], pa.binary())], schema=schema)
 
