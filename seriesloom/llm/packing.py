@@ -54,6 +54,8 @@ class ChunkEncoder:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # added tokens are told apart by case before the normaliser sees a text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
         self.former: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -78,8 +80,12 @@ class ChunkEncoder:
         """Ids of all texts one after the other, and where each text's end."""
         import pyarrow.compute as pc
 
-        # A-Z may be lowered beforehand: the tokenizer lowers all letters, and this changes no composition
-        lowered = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
+        # A-Z may be lowered beforehand: the tokenizer lowers all letters, and this changes no composition;
+        # not where lowering would make up an added token
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        lowered = pc.ascii_lower(texts)
+        for token in self.added:
+            lowered = pc.if_else(pc.match_substring(lowered, token.lower()), texts, lowered)
         split = pc.split_pattern(lowered, " ")
         coded = split.flatten().dictionary_encode()
         chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
