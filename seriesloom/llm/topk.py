@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import Stored, pick
 
 #: Queries scored at once; their vectors are sent to all tasks, which hold ``BINS`` counts for each.
 BLOCK = 4096
@@ -24,6 +24,8 @@ BLOCK = 4096
 BINS = 256
 #: Scores held at once in a task.
 CELLS = 4 << 20
+#: Squared length of a quantised vector at most; by Cauchy-Schwarz no score is larger, so all fit 64 bits.
+LONGEST = float(1 << 61)
 #: Products below this are exact in double precision.
 EXACT = 1 << 53
 
@@ -47,10 +49,19 @@ def quantised(column: pa.Array, scale: float = 256.0) -> Iterator[tuple[np.ndarr
 def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Identifiers and quantised vectors of a batch, by vector size."""
     ids = batch.column("id").to_numpy(zero_copy_only=False)
-    for at, rows in quantised(batch.column("vector")):
+    for at, rows in bounded(batch.column("vector")):
         yield ids[at], rows
 
 
+def bounded(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What ``quantised`` gives, without vectors whose squared length is beyond ``LONGEST``."""
+    for at, rows in quantised(column):
+        with np.errstate(over="ignore"):
+            near = np.square(rows).sum(1) <= LONGEST
+        if near.any():
+            yield at[near], rows[near]
+
+
 def _scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Integer inner products; exact beyond double precision too."""
     if rows.size and queries.size and float(np.abs(rows).max()) * float(np.abs(queries).max()) * rows.shape[1] >= EXACT:
@@ -64,7 +75,7 @@ class _Block:
 
     def __init__(self, ids: np.ndarray, vectors: pa.Array) -> None:
         self.ids = ids
-        self.sizes = {q.shape[1]: (at, q) for at, q in quantised(vectors)}
+        self.sizes = {q.shape[1]: (at, q) for at, q in bounded(vectors)}
 
     def scored(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Query positions, row identifiers, scores, and which cells count (not a query's own row)."""
@@ -114,7 +125,7 @@ def _kth(rows: DataFrame, block, longest: float, k: int) -> np.ndarray:
     norms = np.zeros(n)
     for at, q in block.value.sizes.values():
         norms[at] = np.sqrt((q * q).sum(1))
-    bound = np.ceil(norms * longest).astype(np.int64) + 1
+    bound = np.ceil(norms * longest * (1 + 1e-12)).astype(np.int64) + 1
     low, high = -bound, bound + 1
     need = np.full(n, k)
     while (high - low).max() > 1:
@@ -157,7 +168,9 @@ def exact_top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int =
     """The ``k`` highest inner products of each query with all rows but its own.
 
     ``is_query`` is a predicate over ``vec_id``. Vectors that are null or hold
-    null or non-finite components, and rows without identifier, take no part;
+    null or non-finite components, and rows without identifier, take no part, nor
+    do those whose squared length after quantisation is beyond 2**61, as their scores need not
+    fit a long;
     vectors of different sizes have no score. Ties go to the smaller identifier;
     repeated rows are candidates one by one, and a repeated query identifier is
     asked once, with its least vector. Queries with no candidate, and empty
@@ -167,6 +180,7 @@ def exact_top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int =
     slim = pick(vectors, id_col, vector_col).toDF("vec_id", "vector").where("vec_id is not null and vector is not null")
     rows = slim.select(F.col("vec_id").alias("id"), "vector")
     asked = slim.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = Stored(asked, "queries").df
     total = asked.count()
     longest = rows.mapInArrow(_norms, "norm double").agg(F.max("norm")).first()[0] or 0.0
     blocks = max(1, -(-total // BLOCK))
@@ -178,7 +192,8 @@ def exact_top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int =
             continue
         block = spark.sparkContext.broadcast(held)
         least = _kth(rows, block, longest, k)
-        parts.append(rows.mapInArrow(_filtered(block, least, k), "query_id long, vec_id long, score long"))
+        parts.append(Stored(rows.mapInArrow(_filtered(block, least, k), "query_id long, vec_id long, score long"), "best").df)
+        block.unpersist()
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]
