@@ -34,15 +34,17 @@ HEADERS = {
     "payload_length": "X-Payload-Length",
     "refers_to": "WARC-Refers-To",
 }
-#: Bytes of files that share a reading partition, and of reads for headers.
-TOGETHER, PEEK = 64 << 20, 1 << 12
+#: Bytes of files that share a reading partition, of reads for headers, and of other reads.
+TOGETHER, PEEK, CHUNK = 64 << 20, 1 << 12, 1 << 18
 #: Date of all records of the production query, so that archives can be compared.
 DATE = "2024-01-01T00:00:00Z"
 #: Smallest payload in bytes that is written once only.
 REVISIT_BYTES = 1000
 #: Digests of repeated payloads that are sent to all tasks at most; beyond it, a shuffled join is used.
 SENT_DIGESTS = 200_000
-_PREFIX = struct.Struct("<BBBBIBBH2sHII")
+#: Bytes inflated at once while the end of a record's headers is looked for; records written here name it.
+STEP = 64
+_PREFIX = struct.Struct("<BBBBIBBH2sHIII")
 
 
 def _clean(value: object) -> str:
@@ -51,16 +53,17 @@ def _clean(value: object) -> str:
 
 
 def encode_record(record: dict, level: int = 4) -> bytes:
-    """A record as one gzip member with its length in the extra field ``sl``."""
+    """A record as one gzip member; the extra field ``sl`` names its length, its content's and its headers'."""
     payload = record["payload"] or b""
     lines = ["WARC/1.1"]
     lines += [f"{h}: {_clean(record[c])}" for c, h in HEADERS.items() if record[c] is not None]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    body = "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    head = "\r\n".join(lines).encode() + b"\r\n\r\n"
+    body = head + payload + b"\r\n\r\n"
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     data = deflate.compress(body) + deflate.flush()
     length = _PREFIX.size + len(data) + 8
-    return _PREFIX.pack(31, 139, 8, 4, 0, 0, 255, 12, b"sl", 8, length, len(body) & 0xFFFFFFFF) + data + struct.pack("<II", zlib.crc32(body), len(body) & 0xFFFFFFFF)
+    return _PREFIX.pack(31, 139, 8, 4, 0, 0, 255, 16, b"sl", 12, length, len(body) & 0xFFFFFFFF, len(head)) + data + struct.pack("<II", zlib.crc32(body), len(body) & 0xFFFFFFFF)
 
 
 def _open_fs(path: str):
@@ -205,84 +208,103 @@ def _fields(head: bytes) -> dict:
     return out
 
 
+class _Member:
+    """Inflates a gzip member piece by piece, no further than asked."""
+
+    def __init__(self, f, at: int, raw: bytes, skip: int, end: int) -> None:
+        self.f, self.at, self.end = f, at, end
+        self.pending, self.seen = raw[skip:], at + len(raw)
+        self.inflate = zlib.decompressobj(-15)
+
+    def more(self, limit: int) -> bytes:
+        """The next bytes, at most ``limit``; none at the member's or the file's end."""
+        while not self.inflate.eof:
+            try:
+                out = self.inflate.decompress(self.pending, limit)
+            except zlib.error as e:
+                raise ValueError(f"the record at byte {self.at} is damaged") from e
+            self.pending = self.inflate.unconsumed_tail
+            if out:
+                return out
+            if not self.pending and not self.inflate.eof:
+                if self.seen >= self.end:
+                    return b""
+                self.f.seek(self.seen)
+                self.pending = self.f.read(min(CHUNK, self.end - self.seen))
+                self.seen += len(self.pending)
+        return b""
+
+    def stop(self) -> int:
+        """Where the member's trailer begins, once all is inflated."""
+        return self.seen - len(self.inflate.unused_data)
+
+
+def _prefix(raw: bytes, at: int) -> tuple[int, int | None, int | None]:
+    """Where a member's data begin, and the length of the member and of its headers if they are named."""
+    if raw[:3] != b"\x1f\x8b\x08":
+        raise ValueError(f"no gzip member at byte {at}")
+    flags, skip, length, head = raw[3], 10, None, None
+    if flags & 4:
+        sub, skip = 12, 12 + struct.unpack_from("<H", raw, 10)[0]
+        while sub + 4 <= skip:
+            tag, n = raw[sub : sub + 2], struct.unpack_from("<H", raw, sub + 2)[0]
+            if tag == b"sl" and n >= 4:
+                length = struct.unpack_from("<I", raw, sub + 4)[0]
+                head = struct.unpack_from("<I", raw, sub + 12)[0] if n >= 12 else None
+            sub += 4 + n
+    for bit in (8, 16):  # name and comment
+        if flags & bit:
+            skip = raw.index(b"\0", skip) + 1
+    return skip, length, head
+
+
 def read_records(f, wanted, with_payload: bool = True) -> Iterator[dict]:
     """Records of an archive file whose headers ``wanted`` accepts.
 
-    Members with a length are skipped by it; others are inflated piece by piece
-    and thrown away, as their end is known no other way. A member that the file
-    cuts short, or whose content does not have the length and checksum it names,
-    is an error; of a payload that is skipped only the length is looked at.
+    Headers are inflated alone: to their named length, or in steps of ``STEP``
+    bytes until the blank line. Members with a length are skipped by it, their
+    payloads not inflated; others are inflated piece by piece and thrown away, as
+    their end is known no other way. A member that the file cuts short, or whose
+    content does not have the length and checksum it names, is an error; of a
+    payload that is skipped only the length is looked at.
     """
     at, size = 0, f.size()
     while at < size:
         f.seek(at)
         raw = f.read(min(PEEK, size - at))
-        if raw[:3] != b"\x1f\x8b\x08":
-            raise ValueError(f"no gzip member at byte {at}")
-        flags, skip, length = raw[3], 10, None
-        if flags & 4:
-            extra = struct.unpack_from("<H", raw, 10)[0]
-            sub, end = 12, 12 + extra
-            while sub + 4 <= end:
-                tag, n = raw[sub : sub + 2], struct.unpack_from("<H", raw, sub + 2)[0]
-                if tag == b"sl" and n >= 4:
-                    length = struct.unpack_from("<I", raw, sub + 4)[0]
-                sub += 4 + n
-            skip = end
-        for bit in (8, 16):  # name and comment
-            if flags & bit:
-                skip = raw.index(b"\0", skip) + 1
+        skip, length, named = _prefix(raw, at)
         if length and (length < skip + 8 or at + length > size):
             raise ValueError(f"the archive ends within the record at byte {at}")
-        inflate = zlib.decompressobj(-15)
-        data = _inflated(inflate, raw[skip:], at)
-        seen = at + len(raw)
-        while b"\r\n\r\n" not in data and not inflate.eof and seen < size:
-            f.seek(seen)
-            raw = f.read(min(PEEK, size - seen))
-            seen += len(raw)
-            data += _inflated(inflate, raw, at)
+        member = _Member(f, at, raw, skip, at + length if length else size)
+        data = b""
+        while b"\r\n\r\n" not in data and (got := member.more(max(STEP, (named or 0) - len(data)))):
+            data += got
         head, gap, rest = data.partition(b"\r\n\r\n")
         if not gap:
             raise ValueError(f"the headers of the record at byte {at} have no end")
         fields = _fields(head)
         take = wanted(fields)
         payload = [rest]
-        if not take and length:
-            at += length
-            continue
-        if take and not with_payload and length:
-            pass
-        else:
-            crc, total, tail = zlib.crc32(data), len(data), inflate.unused_data
-            while not inflate.eof and seen < size:
-                f.seek(seen)
-                raw = f.read(min(1 << 18, (at + length if length else size) - seen) or 1)
-                seen += len(raw)
-                more = _inflated(inflate, raw, at)
-                crc, total, tail = zlib.crc32(more, crc), total + len(more), inflate.unused_data
+        end = at + length if length else None
+        if not length or take and with_payload:
+            crc, total = zlib.crc32(data), len(data)
+            while more := member.more(CHUNK):
+                crc, total = zlib.crc32(more, crc), total + len(more)
                 if take and with_payload:
                     payload.append(more)
-            end = seen - len(tail) + 8
-            f.seek(end - 8)
+            f.seek(member.stop())
             trailer = f.read(8)
             content = total - len(head) - len(gap)
-            if not inflate.eof or len(trailer) < 8 or struct.unpack("<II", trailer) != (crc, total & 0xFFFFFFFF) or content < fields["_content"] or length and end != at + length:
+            end = member.stop() + 8
+            if not member.inflate.eof or len(trailer) < 8 or struct.unpack("<II", trailer) != (crc, total & 0xFFFFFFFF) or content < fields["_content"] or length and end != at + length:
                 raise ValueError(f"the record at byte {at} is damaged")
-        at = at + length if length else end
+        at = end
         if take:
             n = fields.pop("_content")
             fields["payload"] = b"".join(payload)[:n] if with_payload else None
             yield fields
 
 
-def _inflated(inflate, raw: bytes, at: int) -> bytes:
-    try:
-        return inflate.decompress(raw)
-    except zlib.error as e:
-        raise ValueError(f"the record at byte {at} is damaged") from e
-
-
 class WarcSource(DataSource):
     """``spark.read.format("warc")`` and ``df.write.format("warc")`` over a folder."""
 
@@ -353,7 +375,10 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     ``page_id``, ``payload_bytes`` and ``payload_digest`` (of the payload read
     back for responses, of the headers for revisits, whose payloads are skipped),
-    ``record_type`` and ``refers_to``.
+    ``record_type`` and ``refers_to``. Null html is an empty payload. A null
+    identifier comes back as null and is referred to by no page that has one;
+    repeated rows are records one by one, those of the largest identifier all
+    responses. An empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
