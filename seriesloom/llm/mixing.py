@@ -29,11 +29,10 @@ from .quality import labelled_features, train
 DOMAINS = ("fine", "toxic", "poor")
 #: Target weights of the production queries.
 WEIGHTS = {"fine": 0.985, "toxic": 0.0145, "poor": 0.0005}
-#: Relative miss of all targets at which steps end; if a target cannot be met, the root mean square
-#: change of the rates at which they do.
-CLOSE, STILL = 1e-4, 1e-3
-#: Share by which a step must lessen the squared misses for another one, if a target cannot be met.
-GAIN = 0.01
+#: Relative miss of all targets at which steps end.
+CLOSE = 1e-4
+#: Share by which a step towards a target out of reach must lessen the squared misses, and share of the way back that such a domain is given.
+GAIN, EASE = 0.01, 0.05
 #: Steps after which the fit is given up, which is reported, and halvings of one step.
 STEPS, HALVINGS = 400, 12
 
@@ -52,7 +51,7 @@ def domain_posteriors(
     known.drop()
     sent = docs.sparkSession.sparkContext.broadcast(models)
     added = ["n_tokens", *[f"p_{d}" for d in DOMAINS]]
-    kept, plain, fields = carried(docs, (id_col, *carry), prefix, (*added, "rate", "copies"))
+    kept, plain, fields = carried(docs, (id_col, *carry), prefix, (*added, "rate", "copies", *[f"{k}_{d}" for k in ("target", "reached") for d in DOMAINS]))
     slim, text_name = plain_columns(docs, kept, plain, text_col)
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), *[T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS]])
 
@@ -77,26 +76,26 @@ def _rate(steps: list[list[float]], prefix: str = "") -> Column:
     return F.aggregate(past, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - move(s)))
 
 
-def _totals(members: DataFrame, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Tokens of each domain, joint tokens of each two over rows of a rate above zero, and the mean square change by the last step."""
+def _totals(members: DataFrame, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each domain, and joint tokens of each two over rows of a rate above zero."""
     n = len(DOMAINS)
-    names = [f"s{k}" for k in range(n + n * n + 2)]
+    names = [f"s{k}" for k in range(n + n * n)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(names))
         for batch in batches:
             tokens, *p = [np.asarray(c, dtype=float) for c in batch.columns]
             p = np.stack(p, 1)
-            rate = before = np.ones(len(tokens))
+            rate = np.ones(len(tokens))
             for s in steps:
-                before, rate = rate, np.maximum(0.0, rate - p @ np.array(s))
+                rate = np.maximum(0.0, rate - p @ np.array(s))
             free = p * np.where(rate > 0, tokens, 0.0)[:, None]
-            sums += np.concatenate([(rate * tokens) @ p, (free.T @ p).ravel(), [tokens @ (rate - before) ** 2, tokens.sum()]])
+            sums += np.concatenate([(rate * tokens) @ p, (free.T @ p).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=names)
 
     parts = members.select("n_tokens", *[f"p_{d}" for d in DOMAINS]).mapInArrow(work, ", ".join(f"{c} double" for c in names))
     row = [float(x) for x in parts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).first()]
-    return np.array(row[:n]), np.array(row[n:-2]).reshape(n, n), row[-2] / max(1.0, row[-1])
+    return np.array(row[:n]), np.array(row[n:]).reshape(n, n)
 
 
 def unreachable(members: DataFrame, weights: dict[str, float]) -> list[str]:
@@ -119,38 +118,53 @@ def fit_rates(members: DataFrame, weights: dict[str, float], steps: int = STEPS)
 
     The token budget is set by the first domain, which keeps its present expected
     tokens; the others get theirs in proportion to the weights. A domain without
-    a weight or without any tokens is left out of the fit. Steps go on until all targets are met to
-    ``CLOSE``. If one of those fitted is ``unreachable``, whole steps would put all tokens on the few
-    rows nearest to it: plain ones are taken until rates change by less than
-    ``STILL`` or misses hardly lessen. Without tokens of the first domain there is no budget and no step.
+    a weight or without any tokens is left out of the fit. Steps go on until all
+    targets are met to ``CLOSE``. A domain that is ``unreachable`` is first drawn
+    towards its target by plain steps, as long as these lessen the squared misses
+    by ``GAIN``; then it is held at what it has reached while the others are met,
+    and given ``EASE`` of the way back wherever they cannot be met so. Without
+    tokens of the first domain there is no budget and no step.
     """
-    present, joint, _ = _totals(members, [])
+    present, joint = _totals(members, [])
     budget = present[0] / weights[DOMAINS[0]]
     targets = np.array([budget * weights[d] if d in weights else t for d, t in zip(DOMAINS, present)])
-    taken: list[list[float]] = []
-    now = present
-    fitted = np.flatnonzero((present > 0) & np.array([d in weights for d in DOMAINS]))
     scale = np.where(targets > 0, targets, np.maximum(present, 1.0))
-    off = lambda totals: ((totals - targets) / scale)[fitted]
-    plain_only = budget <= 0 or any(present[DOMAINS.index(d)] > 0 for d in unreachable(members, weights))
-    while budget > 0 and len(taken) < steps and np.abs(off(now)).max() >= CLOSE:
-        plain = np.zeros(len(DOMAINS))
-        plain[fitted] = (now - targets)[fitted] / present[fitted]
-        tries = [plain]
-        if not plain_only and np.trace(joint) > 0:
-            free = joint[np.ix_(fitted, fitted)]
-            whole = np.zeros(len(DOMAINS))
-            whole[fitted] = np.linalg.solve(free + 1e-12 * np.trace(free) * np.eye(len(fitted)), (now - targets)[fitted])
-            tries = [whole / 2**k for k in range(HALVINGS)] + [plain]
-        for k, step in enumerate(tries):
+    fitted = np.flatnonzero((present > 0) & np.array([d in weights for d in DOMAINS]))
+    far = [DOMAINS.index(d) for d in unreachable(members, weights)] if budget > 0 else []
+    taken: list[list[float]] = []
+    now, goals = present, targets.copy()
+
+    def misses(totals: np.ndarray) -> float:
+        return float((((totals - goals) / scale)[fitted] ** 2).sum())
+
+    def plain() -> np.ndarray:
+        out = np.zeros(len(DOMAINS))
+        out[fitted] = (now - goals)[fitted] / present[fitted]
+        return out
+
+    def tried(tries: list[np.ndarray], gain: float) -> bool:
+        """Take the first step that lessens the misses by its share."""
+        nonlocal now, joint
+        for step in tries:
             got = _totals(members, [*taken, step.tolist()])
-            if (off(got[0]) ** 2).sum() < (off(now) ** 2).sum() * (1 - 1e-4 / 2**k):
+            if misses(got[0]) <= misses(now) * (1 - gain):
+                taken.append(step.tolist())
+                now, joint = got
+                return True
+        return False
+
+    while any(k in fitted for k in far) and len(taken) < steps and tried([plain()], GAIN):
+        pass
+    goals[far] = now[far]
+    while budget > 0 and len(taken) < steps and np.abs(((now - goals) / scale)[fitted]).max() >= CLOSE:
+        whole = np.zeros(len(DOMAINS))
+        if np.trace(joint) > 0:
+            free = joint[np.ix_(fitted, fitted)]
+            whole[fitted] = np.linalg.solve(free + 1e-12 * np.trace(free) * np.eye(len(fitted)), (now - goals)[fitted])
+        if not tried([whole / 2**k for k in range(HALVINGS)] + [plain()], CLOSE):
+            if np.allclose(goals[far], present[far], rtol=EASE):
                 break
-        taken.append(step.tolist())
-        before = (off(now) ** 2).sum()
-        now, joint, change = got
-        if plain_only and (change < STILL**2 or (off(now) ** 2).sum() > (1 - GAIN) * before):
-            break
+            goals[far] += EASE * (present[far] - goals[far])
     return taken, targets.tolist(), now.tolist()
 
 
@@ -180,7 +194,8 @@ def mix_with_totals(
     chance = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"{prefix}n_tokens")), F.lit(1 << 30)) / float(1 << 30)
     rated = members.withColumn(rate, _rate(steps, prefix))
     up = (chance < F.col(rate) - F.floor(rate)).cast("long")
-    return rated.withColumn(copies, F.floor(rate) + up), totals
+    told = {f"{prefix}{k}_{d}": F.lit(float(v)) for d, pair in totals.items() for k, v in zip(("target", "reached"), pair)}
+    return rated.withColumn(copies, F.floor(rate) + up).withColumns(told), totals
 
 
 def mix_documents(
@@ -192,7 +207,11 @@ def mix_documents(
     carry: tuple[str, ...] = (),
     prefix: str = "",
 ) -> DataFrame:
-    """``n_tokens``, posteriors, ``rate`` and ``copies`` of every row, with the columns of ``carry``.
+    """``n_tokens`` (words), posteriors, ``rate`` and ``copies`` of every row, with the columns of ``carry``.
+
+    ``target_<domain>`` and ``reached_<domain>``, the same in every row, are a
+    domain's target and its expected words under the rates; a domain without a
+    weight has its present words as target.
 
     The names of these columns begin with ``prefix``, so that columns of any name
     can be carried. ``copies`` is the rate rounded up or down by a hash of
