@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,33 +32,60 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, removed when the driver exits."""
+    """A new path below the shared folder, removed at the end of a ``Scratch`` block around it, or else when the driver exits."""
     path = f"{scratch_dir(spark)}/seriesloom-{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
+    if not _LIVE:
+        atexit.register(clear)
+    # the file system's handles outlive the session, so that what it left can be removed after its end
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _LIVE[path] = target, spark.sparkContext._jsc.hadoopConfiguration()
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
+#: Scratch paths not removed so far, with their handles.
+_LIVE: dict[str, tuple] = {}
+
+
+def remove(path: str) -> None:
     """Delete a scratch path through Hadoop's file system, if it still exists."""
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended; the folder goes with the cluster's own cleaning
-        return
+    if path in _LIVE:
+        target, conf = _LIVE.pop(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+def clear() -> None:
+    """Remove every scratch path that is left, if the Java process still runs."""
+    from py4j.protocol import Py4JError
+
+    for path in list(_LIVE):
+        try:
+            remove(path)
+        except (Py4JError, ConnectionError) as e:
+            warnings.warn(f"{path} is left: {e}", stacklevel=1)
+
+
+class Scratch:
+    """A block at whose end the scratch tables made in it are removed: all results must have been written by then."""
+
+    def __enter__(self) -> None:
+        self.before = set(_LIVE)
+
+    def __exit__(self, *_) -> None:
+        for path in set(_LIVE) - self.before:
+            remove(path)
 
 
 class Stored:
     """A DataFrame written to the shared folder: lineage is cut, lost executors lose nothing."""
 
     def __init__(self, df: DataFrame, name: str) -> None:
-        self.spark = df.sparkSession
-        self.path = scratch_path(self.spark, name)
+        spark = df.sparkSession
+        self.path = scratch_path(spark, name)
         df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        remove(self.spark, self.path)
+        remove(self.path)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
