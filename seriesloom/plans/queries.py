@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import scalar as S
-from seriesloom.operators import align, audio, cache, geometry, lookup, match, metadata, report, selection, series, windows
+from seriesloom.operators import align, audio, cache, geometry, lookup, match, metadata, planes, report, selection, series, windows
 from seriesloom.operators.ordering import cut, numbered
 from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.sources.documents import natural_key
@@ -114,6 +114,43 @@ def plane_absdiff(spark, d):
     return out.select("vec_id", "label", r9("diff_avg"), r9("diff_max"))
 
 
+#: Embeddings as planes of 8 x 8 samples.
+_WIDTH = 8
+
+
+def _prewitt_sql(diff: str) -> str:
+    """Mean gradient of an 8 x 8 list; a neighbour beyond an edge is the mirrored one."""
+    at = lambda x, y: f"{diff}[({y}) * 8 + ({x}) + 1]"
+    x0, x1, y0, y1 = "abs(i % 8 - 1)", "7 - abs(6 - i % 8)", "abs(i // 8 - 1)", "7 - abs(6 - i // 8)"
+    x, y = "i % 8", "i // 8"
+    gx = " + ".join(f"{at(x1, r)} - {at(x0, r)}" for r in (y0, y, y1))
+    gy = " + ".join(f"{at(c, y1)} - {at(c, y0)}" for c in (x0, x, x1))
+    return f"list_sum(list_transform(range(64), lambda i: sqrt(({gx}) * ({gx}) + ({gy}) * ({gy})))) / 64"
+
+
+@query(f"""WITH l AS (SELECT vec_id, label, embedding AS a, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
+    x AS (SELECT vec_id, label, CASE WHEN b IS NOT NULL THEN list_transform(list_zip(a, b), lambda z: z[2]::DOUBLE - z[1]::DOUBLE) END AS v FROM l)
+    SELECT vec_id, label, round({_prewitt_sql("v")}, 9) AS edge_avg FROM x""")
+def edge_motion(spark, d):
+    rows = series.with_previous(table(spark, d, "embeddings"), "embedding", "vec_id", "label", "_before")
+    return rows.select("vec_id", "label", F.round(planes.difference(F.col("embedding"), F.col("_before"), _WIDTH, True), 9).alias("edge_avg"))
+
+
+_SAMPLED = """n AS (SELECT label AS clip, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings),
+    l AS (SELECT clip, frame, embedding AS a, lag(embedding) OVER (PARTITION BY clip ORDER BY frame) AS b FROM n WHERE frame % 3 = 0),
+    x AS (SELECT clip, frame, a, CASE WHEN b IS NOT NULL THEN list_transform(list_zip(a, b), lambda z: z[2]::DOUBLE - z[1]::DOUBLE) END AS v FROM l)"""
+_BRIGHT = "round(list_sum(list_transform(a, lambda x: x::DOUBLE)) / 64, 9) AS brightness"
+
+
+@query(f"""WITH {_SAMPLED} SELECT 'edges' AS kind, clip, frame, {_BRIGHT}, round(coalesce({_prewitt_sql("v")}, 0), 9) AS motion FROM x
+    UNION ALL SELECT 'absolute', clip, frame, {_BRIGHT}, round(coalesce(list_sum(list_transform(v, lambda z: abs(z))) / 64, 0), 9) FROM x""")
+def plane_metrics(spark, d):
+    """Metrics of every third plane of each label, with both kinds of motion."""
+    e = table(spark, d, "embeddings")
+    both = [planes.collect_metrics(e, "embedding", _WIDTH, "label", "vec_id", 3, edges).withColumn("kind", F.lit(kind)) for kind, edges in (("edges", True), ("absolute", False))]
+    return both[0].unionByName(both[1]).select("kind", "clip", "frame", r9("brightness"), r9("motion"))
+
+
 @query("""WITH v AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings)
     SELECT label, round(min(lo), 9) AS luma_min, round(max(hi), 9) AS luma_max FROM v WHERE k <= 3 GROUP BY label""")
 def luma_bounds(spark, d):
