@@ -43,7 +43,11 @@ def query_plans(titles: DataFrame, categories: tuple[str, ...], tolerance: int)
 def score_candidates(pairs: DataFrame, tolerance: int = 2) -> DataFrame:
     """``score`` of rows of ``query``, ``year``, ``title``, ``category``, ``place``, ``candidate_year``, ``popularity``."""
     q, t = normal_title(F.col("query")), normal_title(F.col("title"))
-    sim = similarity(q, t) * F.when(F.coalesce("title", F.lit("")) == "", 0.8).otherwise(1.0)
+    return pairs.withColumn("score", similarity(q, t) + year_and_fame(tolerance))
+
+
+def year_and_fame(tolerance: int = 2) -> Column:
+    """What ``year`` against ``candidate_year``, ``category`` with ``place``, and ``popularity`` add to a score (fixed weights)."""
     gap = F.abs(F.col("candidate_year") - F.col("year"))
     by_year = (
         F.when(F.col("year").isNull(), 0.0)
@@ -53,16 +57,22 @@ def score_candidates(pairs: DataFrame, tolerance: int = 2) -> DataFrame:
     )
     first_tv = F.when((F.col("category") == "TV") & (F.col("place") == 0), 0.01).otherwise(0.0)
     fame = F.when(F.col("popularity") > 0, F.least(F.col("popularity") / 200.0, F.lit(0.05))).otherwise(0.0)
-    return pairs.withColumn("score", sim + first_tv + by_year + fame)
+    return first_tv + by_year + fame
+
+
+def most_added(tolerance: int = 2) -> float:
+    """The most that ``year_and_fame`` adds."""
+    return 0.01 + 0.05 * (tolerance + 1) + 0.05
 
 
 def resolve(scored: DataFrame, key: str, candidate: str) -> DataFrame:
-    """Best candidate of each key at or above ``LEAST``, its lead over the next, and whether that is too small."""
+    """Best candidate of each key at or above ``LEAST``, its lead over the next such one or over nothing, and whether that next one is too near."""
     order = Window.partitionBy(key).orderBy(F.round("score", 9).desc(), candidate)
-    out = scored.withColumn("_r", F.row_number().over(order)).withColumn("_next", F.lead("score").over(order))
-    best = out.where((F.col("_r") == 1) & (F.col("score") >= LEAST))
-    margin = F.col("score") - F.col("_next")
-    return best.select(key, candidate, "score", margin.alias("margin"), F.coalesce(margin < MARGIN, F.lit(False)).alias("ambiguous"), (F.col("score") >= SURE).alias("sure"))
+    viable = scored.where(F.col("score") >= LEAST)
+    out = viable.withColumn("_r", F.row_number().over(order)).withColumn("_next", F.lead("score").over(order))
+    margin = F.col("score") - F.coalesce("_next", F.lit(0.0))
+    near = F.col("_next").isNotNull() & (F.round(margin, 9) < MARGIN)
+    return out.where("_r = 1").select(key, candidate, "score", margin.alias("margin"), near.alias("ambiguous"), (F.col("score") >= SURE).alias("sure"))
 
 
 def expand_titles(title: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import scalar as S
-from seriesloom.operators import align, audio, cache, geometry, lookup, match, metadata, planes, report, selection, series, windows
+from seriesloom.operators import align, audio, cache, geometry, lookup, match, metadata, planes, report, search, selection, series, windows
 from seriesloom.operators.ordering import cut, numbered
 from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.sources.documents import natural_key
@@ -603,19 +603,95 @@ def scored_of(spark, d):
         F.col("n_nationkey").alias("cand"), F.col("n_name").alias("title"), F.when(F.col("n_nationkey") % 2 == 0, "TV").otherwise("MOVIE").alias("category"), (F.col("n_nationkey") % 3).alias("place"),
         F.when(F.col("n_nationkey") % 5 != 0, 1990 + F.col("n_nationkey")).alias("candidate_year"), (F.col("n_nationkey") * 1.5).alias("popularity"),
     )
-    return match.score_candidates(q.crossJoin(F.broadcast(c)))
+    # only pairs that can reach the least score, found through their titles' rare characters
+    found = search.similar_titles(q.select(S.normal_title(F.col("query")).alias("title")), c.select(S.normal_title(F.col("title")).alias("title")), match.LEAST - match.most_added())
+    asked, entries = q.withColumn("left_title", S.normal_title(F.col("query"))), c.withColumn("right_title", S.normal_title(F.col("title")))
+    pairs = asked.join(found.drop("similarity"), "left_title").join(entries, "right_title").drop("left_title", "right_title")
+    return match.score_candidates(pairs).where(F.round("score", 9) >= match.LEAST)
 
 
-@query(f"WITH RECURSIVE {_PAIRS} SELECT p_partkey, cand, round(score, 6) AS score FROM sc ")
+@query(f"WITH RECURSIVE {_PAIRS} SELECT p_partkey, cand, round(score, 6) AS score FROM sc WHERE round(score, 9) >= 0.45")
 def title_score(spark, d):
     return scored_of(spark, d).select("p_partkey", "cand", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, o AS (SELECT *, row_number() OVER x AS k, lead(score) OVER x AS nxt FROM sc WINDOW x AS (PARTITION BY p_partkey ORDER BY round(score, 9) DESC, cand))
-    SELECT p_partkey, cand, round(score, 6) AS score, round(score - nxt, 6) AS margin, coalesce(round(score - nxt, 9) < 0.08, false) AS ambiguous, round(score, 9) >= 0.92 AS sure FROM o WHERE k = 1 AND score >= 0.45""")
+@query(f"""WITH RECURSIVE {_PAIRS}, o AS (SELECT *, row_number() OVER x AS k, lead(score) OVER x AS nxt FROM sc WHERE round(score, 9) >= 0.45 WINDOW x AS (PARTITION BY p_partkey ORDER BY round(score, 9) DESC, cand))
+    SELECT p_partkey, cand, round(score, 6) AS score, round(score - coalesce(nxt, 0), 6) AS margin, nxt IS NOT NULL AND round(score - nxt, 9) < 0.08 AS ambiguous, round(score, 9) >= 0.92 AS sure FROM o WHERE k = 1""")
 def resolve_margin(spark, d):
     got = match.resolve(scored_of(spark, d).withColumn("score", F.round("score", 9)), "p_partkey", "cand")
-    return got.select("p_partkey", "cand", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), F.coalesce(F.round("margin", 9) < match.MARGIN, F.lit(False)).alias("ambiguous"), "sure")
+    return got.select("p_partkey", "cand", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "ambiguous", "sure")
+
+
+def titled_files(spark, d):
+    """Parts as files, with titles of several forms; every fifth has no year."""
+    k = F.col("p_partkey")
+    title = F.when(k % 4 == 0, F.concat("p_name", F.lit(": part ii"))).when(k % 4 == 1, F.concat(F.lit("The "), "p_name")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select(k.alias("id"), title.alias("title"), F.when(k % 5 != 0, (1990 + F.col("p_size") % 10 * 3 + k % 2).cast("int")).alias("year"))
+
+
+def catalogue_of(spark, d):
+    """An entry for each part name and year."""
+    rows = table(spark, d, "part").groupBy(F.col("p_name").alias("title"), (1990 + F.col("p_size") % 10 * 3).cast("int").alias("year")).agg(F.min("p_partkey").alias("cand"), F.count("*").alias("n"))
+    category = F.when(F.col("cand") % 2 == 0, "MOVIE").otherwise("TV")
+    return rows.select("cand", F.when(F.col("cand") % 3 == 0, F.concat("title", F.lit(" saga"))).otherwise(F.col("title")).alias("title"), F.col("title").alias("_plain"), "year", category.alias("category"), (F.col("n") * 1.5).alias("popularity"))
+
+
+_SEARCH = r"""f AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name || ': part ii' WHEN 1 THEN 'The ' || p_name ELSE p_name END AS title, p_name,
+                 CASE WHEN p_partkey % 5 <> 0 THEN (1990 + p_size % 10 * 3 + p_partkey % 2)::INT END AS year FROM part),
+    c0 AS (SELECT p_name, (1990 + p_size % 10 * 3)::INT AS cy, min(p_partkey) AS cand, count(*) * 1.5 AS popularity FROM part GROUP BY ALL),
+    c AS (SELECT cand, p_name, p_name || CASE WHEN cand % 3 = 0 THEN ' saga' ELSE '' END AS title, cy, CASE WHEN cand % 2 = 0 THEN 'MOVIE' ELSE 'TV' END AS category, popularity FROM c0),
+    q0 AS (SELECT id, year, 0 AS o, title AS query, 'primary-title' AS r FROM f UNION ALL SELECT id, year, 1, p_name || ': part 2', 'roman-numeral' FROM f WHERE id % 4 = 0
+           UNION ALL SELECT id, year, 2, p_name, 'secondary-title' FROM f WHERE id % 4 = 0 UNION ALL SELECT id, year, 3, p_name || ' part', 'reduced-words' FROM f WHERE id % 4 = 0),
+    q1 AS (SELECT id, year AS base, year + d AS year, category, k, d, o, query, CASE WHEN d = 0 THEN r ELSE printf('year-adjust %+d', d) END AS reason
+           FROM (SELECT *, unnest(CASE WHEN year IS NULL THEN [0] ELSE [0, -1, 1] END) AS d FROM q0), (VALUES (0, 'MOVIE'), (1, 'TV')) AS g(k, category)),
+    q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d <> 0, k, o, d) AS plan_no, trim(regexp_replace(regexp_replace(lower(query), '[^0-9a-z\s]', ' ', 'g'), '\s+', ' ', 'g')) AS qn FROM q1),
+    fv AS (SELECT id, unnest(list_distinct(list_filter([t, CASE WHEN t LIKE 'the %' THEN substr(t, 5) END, replace(t, 'vv', 'w'), CASE WHEN t LIKE '%w%' THEN replace(t, 'w', 'vv') END], lambda x: x IS NOT NULL))) AS v
+           FROM (SELECT id, trim(regexp_replace(regexp_replace(lower(title), '[^0-9a-z\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM f)),
+    al AS (SELECT cand, unnest(list_distinct(list_filter([a, replace(a, 'vv', 'w'), CASE WHEN a LIKE '%w%' THEN replace(a, 'w', 'vv') END], lambda x: x IS NOT NULL))) AS a FROM (SELECT cand, lower(p_name) || ' part 2' AS a FROM c WHERE cand % 7 = 0)),
+    words AS (SELECT DISTINCT qn AS x FROM q UNION SELECT DISTINCT v FROM fv), names AS (SELECT DISTINCT lower(title) AS y FROM c UNION SELECT DISTINCT a FROM al),
+    pr AS MATERIALIZED (SELECT x, y, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS t FROM words, names),
+    w AS (SELECT x, y, s, t, 1 AS i, 0 AS n, 0 AS seen FROM pr UNION ALL
+          SELECT x, y, s, t, i + 1, n + CASE WHEN p > 0 THEN 1 ELSE 0 END, CASE WHEN p > 0 THEN seen + p ELSE seen END FROM (SELECT *, instr(substr(t, seen + 1), substr(s, i, 1)) AS p FROM w WHERE i <= length(s))),
+    sim AS MATERIALIZED (SELECT x, y, CASE WHEN x = y THEN 1.0::DOUBLE ELSE n / length(t) END AS sim FROM w WHERE i = length(s) + 1),
+    hit AS (SELECT q.id, q.plan_no, c.cand, row_number() OVER (PARTITION BY q.id, q.plan_no ORDER BY round(sim, 9) DESC, c.popularity DESC, c.cand) - 1 AS place
+            FROM q JOIN c ON c.category = q.category AND (q.year IS NULL OR c.cy = q.year) JOIN sim ON x = q.qn AND y = lower(c.title) WHERE sim >= 0.45),
+    page AS (SELECT * FROM hit WHERE place < 20),
+    best AS (SELECT h.id, h.plan_no, h.place, h.cand, max(sim) AS sim FROM page h JOIN fv ON fv.id = h.id JOIN c ON c.cand = h.cand JOIN sim ON x = fv.v AND y = lower(c.title) GROUP BY ALL),
+    sc AS (SELECT b.id, b.plan_no, b.place, b.cand, q.reason, round(sim + CASE WHEN c.category = 'TV' AND place = 0 THEN 0.01 ELSE 0 END
+             + CASE WHEN ty IS NULL THEN 0 WHEN abs(cy - ty) <= 2 THEN 0.05 * (3 - abs(cy - ty)) ELSE -least(0.4 + 0.05 * (abs(cy - ty) - 2), 0.7) END + least(popularity / 200, 0.05), 9) AS score
+           FROM best b JOIN (SELECT *, CASE WHEN d = 0 THEN base ELSE year END AS ty FROM q) q ON q.id = b.id AND q.plan_no = b.plan_no JOIN c ON c.cand = b.cand)"""
+
+
+def search_of(spark, d):
+    files, entries = titled_files(spark, d), catalogue_of(spark, d).drop("_plain")
+    plans = cut(match.query_plans(files, ("MOVIE", "TV"), 1))
+    return files, entries, search.score_results(search.search(plans, entries), plans, files, entries)
+
+
+@query(f"WITH RECURSIVE {_SEARCH} SELECT id, plan_no, place, cand, score, reason FROM sc")
+def title_search(spark, d):
+    """What every plan of every file finds in the catalogue, scored."""
+    return search_of(spark, d)[2].select("id", "plan_no", "place", "cand", "score", "reason")
+
+
+@query(f"""WITH RECURSIVE {_SEARCH},
+    g AS (SELECT id, min(plan_no) AS stop FROM sc WHERE score >= 0.92 GROUP BY id),
+    k AS (SELECT sc.* FROM sc LEFT JOIN g ON g.id = sc.id WHERE stop IS NULL OR plan_no <= stop),
+    b1 AS (SELECT *, row_number() OVER (PARTITION BY id, cand ORDER BY score DESC, plan_no, place) AS r1 FROM k),
+    b2 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, plan_no, place) AS r2 FROM b1 WHERE r1 = 1),
+    b3 AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, max(score) OVER (PARTITION BY id) AS top FROM b2 WHERE r2 <= 5),
+    av AS (SELECT b3.id, b3.cand, b3.score, b3.top, max(greatest(sim, CASE WHEN (len(list_distinct(string_split(v, ' '))) <= len(string_split(v, ' ')) AND len(string_split(v, ' ')) >= 2 AND list_has_all(string_split(a, ' '), string_split(v, ' '))
+             AND len(string_split(a, ' ')) > len(string_split(v, ' '))) OR (starts_with(a, v) AND length(v) >= 4) OR (starts_with(v, a) AND length(a) >= 4) THEN 0.9 ELSE 0 END)) AS alias
+           FROM b3 JOIN al ON al.cand = b3.cand JOIN fv ON fv.id = b3.id JOIN sim ON x = v AND y = a WHERE n > 1 OR top < 0.92 GROUP BY ALL),
+    lf AS (SELECT id, cand, round(greatest(score + greatest(0.1, alias * 0.25), alias + 0.05, top + 0.01), 9) AS up FROM av WHERE alias >= 0.7),
+    z AS (SELECT k.id, k.cand, plan_no, place, k.score AS was, CASE WHEN up > k.score THEN up ELSE k.score END AS score, reason || CASE WHEN up > k.score THEN '+alias' ELSE '' END AS reason FROM k LEFT JOIN lf ON lf.id = k.id AND lf.cand = k.cand),
+    o AS (SELECT *, row_number() OVER x AS r, lead(score) OVER x AS nxt FROM z WHERE score >= 0.45 WINDOW x AS (PARTITION BY id ORDER BY score DESC, was DESC, plan_no, place))
+    SELECT id, cand, plan_no, score, round(score - coalesce(nxt, 0), 9) AS margin, nxt IS NOT NULL AND round(score - nxt, 9) < 0.08 AS ambiguous, reason FROM o WHERE r = 1""")
+def resolved_titles(spark, d):
+    """The entry each file resolves to, with other titles of every seventh entry."""
+    files, entries, scored = search_of(spark, d)
+    other = catalogue_of(spark, d).where("cand % 7 = 0").select("cand", F.concat("_plain", F.lit(" part 2")).alias("alias"))
+    return search.resolve_titles(scored, files, entries, other)
 
 
 @query("""WITH t AS (SELECT n_nationkey AS id, n_name || ': part ii' AS title, CASE WHEN n_nationkey % 2 = 0 THEN 2000 END AS year FROM nation),
