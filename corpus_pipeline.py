@@ -2,7 +2,9 @@
 
 Each stage works on what the one before it kept, written as Parquet and read
 again. All but the last return the columns of ``documents``; the last returns
-the pieces of the packed sequences.
+the pieces of the packed sequences. In every stage null texts count as empty and
+empty tables give empty results; repeated rows stay as far as exact dedup does
+not drop them, and columns of any name are carried.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm import queries
-from seriesloom.llm.common import Stored, free_prefix, scratch_path
+from seriesloom.llm.common import Scratch, Stored, free_prefix, remove, scratch_path
 from seriesloom.llm.exact_dedup import exact_dedup
 from seriesloom.llm.jaccard_join import similar_components
 from seriesloom.llm.mixing import WEIGHTS, mix_documents
@@ -83,11 +85,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages one after the other over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages one after the other over ``documents``.
+
+    A stage's working tables, and what the stage before it kept, go as soon as
+    its own result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name.replace(" ", "-"))
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with Scratch():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
