@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,7 +120,8 @@ def compatible(text: Column) -> Column:
 
     @F.arrow_udf("string")
     def fold(batch: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(batch, form="NFKC")
+        coded = batch.dictionary_encode()
+        return pa.array([unicodedata.normalize("NFKC", t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
     return F.coalesce(fold(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 

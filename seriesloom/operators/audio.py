@@ -76,7 +76,7 @@ def window_powers(samples: DataFrame, rate: float, hop: int, size: int, bands: i
         start = int(key[1]) * windows
         count = min(windows, 1 + int(pdf["_n"].iloc[0]) // hop - start)
         if count <= 0:
-            return pd.DataFrame({"clip": [], "window": [], "powers": []})
+            return pd.DataFrame({"clip": pd.Series(dtype=object), "window": pd.Series(dtype="int64"), "powers": pd.Series(dtype=object)})
         line = np.zeros((count - 1) * hop + size)
         at = pdf["pos"].to_numpy() - (start * hop - size // 2)
         inside = (at >= 0) & (at < len(line))

@@ -98,7 +98,7 @@ def select_frames(candidates: DataFrame, categories: tuple[Category, ...], windo
     ``candidates`` has ``clip``, ``label``, ``frame`` and ``place``, by which a
     category's frames are tried, equal places by frame; those outside of their
     clip's window are left out if ``windows`` (``clip``, ``start_frame``,
-    ``end_frame``) are given. Rows: ``clip``, ``frame``, ``label``.
+    ``end_frame``) are given. Rows: ``clip``, ``frame``, ``label``, ascending frames.
 
     Categories go one after the other: what is near an accepted frame of an
     earlier one is left out, and of the rest the first ones fill the quota.
@@ -119,7 +119,7 @@ def select_frames(candidates: DataFrame, categories: tuple[Category, ...], windo
             kept = kept.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= c.quota)
         kept = kept.select("clip", "frame", F.lit(c.label).alias("label"))
         accepted = cut(kept if accepted is None else accepted.unionByName(kept))
-    return accepted
+    return accepted.orderBy("clip", "frame")
 
 
 def hashed_order(seed: int) -> list[Column]:
