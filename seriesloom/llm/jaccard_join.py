@@ -20,7 +20,7 @@ left is compared in full.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -352,11 +352,12 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, pe
     return _met(sets).mapInArrow(partial(_compare, percent=percent), "a long, b long")
 
 
-def _other_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _other_pairs(batches: Iterator[pa.RecordBatch], percent: int, first: Callable | None = None) -> Iterator[pa.RecordBatch]:
     """Pairs of a tile that lie in different components and may be linked.
 
     Rows come sorted by signature, tile and role: first those of any but the
-    tile's largest component, then those they may be linked with.
+    tile's largest component, then those they may be linked with. With ``first``,
+    which compares the nodes' marks, a pair is listed by its first signature only.
     """
     names = ["node", "component", "n", "most"]
     ask: list[dict] = []
@@ -368,22 +369,26 @@ def _other_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
     for batch in batches:
         where = list(zip(*[batch.column(c).to_pylist() for c in ("sig", "i", "j", "role")]))
         cols = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names}
-        raw = batch.column("mini").to_pylist()
+        raw, main = batch.column("mini").to_pylist(), batch.column("main").to_numpy(zero_copy_only=False)
         cuts = [0, *[k for k in range(1, len(where)) if where[k] != where[k - 1]], len(where)] if where else [0]
         for s, e in zip(cuts[:-1], cuts[1:]):
             if where[s][:3] != at:
                 at, ask = where[s][:3], []
-            got = {k: v[s:e] for k, v in cols.items()} | {"mini": minis(raw[s:e]), "size": np.array([len(x) for x in raw[s:e]])}
+            got = {k: v[s:e] for k, v in cols.items()} | {"mini": minis(raw[s:e]), "size": np.array([len(x) for x in raw[s:e]]), "main": main[s:e]}
+            if first:
+                got["mark"] = np.frombuffer(b"".join(batch.column("mark").slice(s, e - s).to_pylist()), np.uint32).reshape(e - s, -1)
             if where[s][3] == 0:
                 ask.append(got)
                 continue
             for q in ask:
                 for x in range(len(q["node"])):
                     n, m = q["n"][x], got["n"]
-                    # both are asked for if neither lies in the largest component: once is enough
+                    # if neither lies in the largest component, both ask: once is enough
                     y = np.flatnonzero(
-                        (got["component"] != q["component"][x]) & (got["most"] >= n) & (m <= q["most"][x]) & (100 * n >= percent * m) & (100 * m >= percent * n) & (got["node"] != q["node"][x])
+                        (got["component"] != q["component"][x]) & (got["most"] >= n) & (m <= q["most"][x]) & (100 * n >= percent * m) & (100 * m >= percent * n) & (got["main"] | (got["node"] > q["node"][x]))
                     )
+                    if len(y) and first:
+                        y = y[first(got["mark"][y], q["mark"][x], where[s][0])]
                     if len(y):
                         apart = _apart(got["mini"][y], q["mini"][x], np.minimum(got["size"][y], q["size"][x]))
                         y = y[(100 + percent) * apart <= (100 - percent) * (m[y] + n)]
@@ -416,8 +421,9 @@ def _tiles(marked: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     rest = marked.where("not done").join(Stored(mixed, "mixed").df, "sig")
     # a bucket's first document has met all others there, but for those of other buckets
-    rest = rest.join(nodes.select("node", "sketch"), "node").withColumn("mini", _fold("sketch"))
-    plain = ["sig", "node", "component", "n", "most", "mini"]
+    mark = [c for c in ("mark",) if c in nodes.columns]
+    rest = rest.join(nodes.select("node", "sketch", *mark), "node").withColumn("mini", _fold("sketch"))
+    plain = ["sig", "node", "component", "n", "most", "mini", *mark, (F.col("component") == F.col("main")).alias("main")]
     spot = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), F.col(c) + 1).cast("int")
     asks = rest.where("component <> main").select(*plain, spot("down").alias("i"), F.explode(F.sequence(F.lit(0), "across")).alias("j"), F.lit(0).alias("role"))
     meets = rest.select(*plain, F.explode(F.sequence(F.lit(0), "down")).alias("i"), spot("across").alias("j"), F.lit(1).alias("role"))
@@ -462,11 +468,12 @@ def slim_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
-def linked_components(docs: DataFrame, rows: DataFrame, nodes: DataFrame, posted: DataFrame, width: int, percent: int) -> DataFrame:
+def linked_components(docs: DataFrame, rows: DataFrame, nodes: DataFrame, posted: DataFrame, width: int, percent: int, first: Callable | None = None) -> DataFrame:
     """``rows`` with the component of each, from the signatures that nodes have posted.
 
     Nodes that share a signature are verified by their whole sets, first with one
-    of each bucket, then whatever lies in different components.
+    of each bucket, then whatever lies in different components. ``first`` tells
+    from the marks of two nodes whether a signature is the first that they share.
     """
     near = posted.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "rare", "node")
     shape = "sig long, salt int, node long, n int, most int, hub_node long, hub_n int, hub_most int"
@@ -485,7 +492,7 @@ def linked_components(docs: DataFrame, rows: DataFrame, nodes: DataFrame, posted
     done = F.expr("salt < 0 and node = hub_node").alias("done")
     marked = kept.join(found, "node", "left").select("sig", "node", "n", "most", done, F.coalesce("component", "node").alias("component"))
     marked = Stored(marked, "marked").df
-    others = _tiles(marked, nodes).mapInArrow(partial(_other_pairs, percent=percent), "a long, b long").distinct()
+    others = _tiles(marked, nodes).mapInArrow(partial(_other_pairs, percent=percent, first=first), "a long, b long").distinct()
     more = Stored(others, "others").df
     if not more.isEmpty():
         late = Stored(verified(docs, nodes, more, width, percent), "late").df

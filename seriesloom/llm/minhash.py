@@ -31,6 +31,8 @@ from .shingles import mixed, set_key, shingle_sets
 ROWS, SIDE = 2, 12
 #: Documents that one bucket of a key takes, about.
 BUCKET = 4096
+#: Odd multiplier that joins hashes.
+STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles whose minhashes are worked out at once.
 CELLS = 1 << 16
 
@@ -38,23 +40,41 @@ _SEEDS = np.random.default_rng(20240613).integers(1, 1 << 63, (2, 2 * SIDE * ROW
 
 
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """Hashes of both collections for each set that is not empty: one row of ``2 * SIDE``."""
+    """Hashes of both collections, of 32 bits, for each set that is not empty: one row of ``2 * SIDE``."""
     ends = np.cumsum([len(s) for s in sets])
     flat, heads = np.concatenate(sets), np.concatenate([[0], ends[:-1]])
     least = np.empty((2 * SIDE * ROWS, len(sets)), np.uint64)
     for f in range(len(least)):
         least[f] = np.minimum.reduceat(mixed((flat ^ _SEEDS[0, f]) * (_SEEDS[1, f] | np.uint64(1))), heads)
-    out = np.zeros((len(sets), 2 * SIDE), np.uint64)
+    out = np.zeros((len(sets), 2 * SIDE), np.uint32)
     for slot in range(2 * SIDE):
         h = np.full(len(sets), slot, np.uint64)
         for f in range(slot * ROWS, (slot + 1) * ROWS):
-            h = mixed((h * np.uint64(0x9E3779B97F4A7C15)) ^ least[f])
-        out[:, slot] = h
+            h = mixed((h * STEP) ^ least[f])
+        out[:, slot] = h >> np.uint64(32)
     return out
 
 
+def slot_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Hashes with their place in front, so that those of different places differ."""
+    return hashes.astype(np.uint64) | np.arange(2 * SIDE, dtype=np.uint64) << np.uint64(32)
+
+
+def table_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Key of a hash of the first collection and one of the second."""
+    return mixed((left * STEP) ^ right).view(np.int64)
+
+
+def first_shared(rows: np.ndarray, one: np.ndarray, key: int) -> np.ndarray:
+    """Whether a key is the first one that each row of hashes shares with ``one``: a pair is listed there alone."""
+    same = rows == one
+    left, right = same[:, :SIDE].argmax(1), SIDE + same[:, SIDE:].argmax(1)
+    own = slot_hashes(one)
+    return table_keys(own[left], own[right]) == key
+
+
 def _hashed(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("hashes", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("mark", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -88,10 +108,9 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each hash of a node."""
     for batch in batches:
         if batch.num_rows:
-            h = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64)
+            h = np.frombuffer(b"".join(batch.column("mark").to_pylist()), np.uint32).reshape(-1, 2 * SIDE)
             node, n = (np.repeat(batch.column(c).to_numpy(), 2 * SIDE) for c in ("node", "n"))
-            slot = np.tile(np.arange(2 * SIDE, dtype=np.int32), batch.num_rows)
-            yield pa.RecordBatch.from_pydict({"hash": pa.array(h), "slot": pa.array(slot), "node": pa.array(node), "n": pa.array(n.astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({"hash": pa.array(slot_hashes(h).ravel().view(np.int64)), "node": pa.array(node), "n": pa.array(n.astype(np.int32))})
 
 
 def _keys(percent: int):
@@ -102,20 +121,22 @@ def _keys(percent: int):
         for batch in batches:
             parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
             for node, n, shared in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("shared").to_pylist()):
-                left = [(x["hash"], x["met"]) for x in shared if x["slot"] < SIDE]
-                right = [(x["hash"], x["met"]) for x in shared if x["slot"] >= SIDE]
+                left = [(x["hash"], x["met"]) for x in shared if x["hash"] >> 32 < SIDE]
+                right = [(x["hash"], x["met"]) for x in shared if x["hash"] >> 32 >= SIDE]
                 if not left or not right:
                     continue
                 a, b = (np.array([x[0] for x in side], np.int64).view(np.uint64) for side in (left, right))
                 ma, mb = (np.array([x[1] for x in side], np.int64) for side in (left, right))
-                sig = mixed((a[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ b[None, :]).ravel()
+                sig = table_keys(np.repeat(a, len(b)), np.tile(b, len(a)))
                 # no more nodes can meet under a key than under either of its hashes
                 met = np.minimum(ma[:, None], mb[None, :]).ravel()
                 cut = 1 << np.ceil(np.log2(np.maximum(met / BUCKET, 1))).astype(np.int64)
-                parts.append((sig.view(np.int64), np.where(cut > 1, node & cut - 1, -1), np.full(len(sig), node, np.int64), np.full(len(sig), n, np.int32)))
+                # a bucket's first node is the one whose hashes are met most: of a text and its copies that is the text
+                rank = -min(int(ma.sum() + mb.sum()), (1 << 31) - 1)
+                parts.append((sig, np.where(cut > 1, node & cut - 1, -1), np.full(len(sig), rank), np.full(len(sig), node, np.int64), np.full(len(sig), n, np.int32)))
             if parts:
-                sig, salt, node, n = (np.concatenate(c) for c in zip(*parts))
-                columns = [sig, salt.astype(np.int32), np.zeros(len(sig), np.int32), node, n, (100 * n.astype(np.int64) // percent).astype(np.int32)]
+                sig, salt, rank, node, n = (np.concatenate(c) for c in zip(*parts))
+                columns = [sig, salt.astype(np.int32), rank.astype(np.int32), node, n, (100 * n.astype(np.int64) // percent).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return work
@@ -135,12 +156,12 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     small_batches(docs.sparkSession)
     slim = slim_documents(docs, id_col, text_col)
-    first = Stored(slim.mapInArrow(_hashed(width), "doc_id long, n_shingles long, node long, sketch binary, hashes binary"), "hashes").df
+    first = Stored(slim.mapInArrow(_hashed(width), "doc_id long, n_shingles long, node long, sketch binary, mark binary"), "hashes").df
     alike = first.where("node is not null").groupBy("node")
-    nodes = Stored(alike.agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.max("hashes").alias("hashes")), "nodes").df
-    slots = nodes.select("node", "n", "hashes").mapInArrow(_slots, "hash long, slot int, node long, n int")
+    nodes = Stored(alike.agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.max("mark").alias("mark")), "nodes").df
+    slots = nodes.select("node", "n", "mark").mapInArrow(_slots, "hash long, node long, n int")
     shared = slots.groupBy("hash").agg(F.count("*").alias("met")).where("met > 1")
-    mine = slots.join(shared, "hash").groupBy("node").agg(F.max("n").alias("n"), F.collect_list(F.struct("hash", "slot", "met")).alias("shared"))
+    mine = slots.join(shared, "hash").groupBy("node").agg(F.max("n").alias("n"), F.collect_list(F.struct("hash", "met")).alias("shared"))
     posted = mine.mapInArrow(_keys(percent), "sig long, salt int, rare int, node long, n int, most int")
-    found = linked_components(slim, first.select("doc_id", "n_shingles", "node"), nodes.drop("hashes"), posted, width, percent)
+    found = linked_components(slim, first.select("doc_id", "n_shingles", "node"), nodes, posted, width, percent, first_shared)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
