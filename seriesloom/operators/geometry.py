@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import cut
+
 
 def half(c: Column) -> Column:
     return F.floor(c / 2).cast("long")
@@ -126,12 +130,12 @@ def geometry_plan(clips: DataFrame, by: str, mod: int, target_height: int | None
     The letterbox is added to the crop of the modulus; scaled clips are padded to
     the group's widest and tallest size.
     """
-    out = letterbox_offsets(mod_crop(clips, mod), by, mod, tolerance)
+    out = cut(letterbox_offsets(mod_crop(clips, mod), by, mod, tolerance))
     out = out.withColumns({"top": F.col("top") + F.col("top_extra"), "bottom": F.col("bottom") + F.col("bottom_extra"), "cropped_h": F.col("cropped_h") - F.col("top_extra") - F.col("bottom_extra")})
-    out = align_crops(out, by)
+    out = cut(align_crops(out, by))
     tallest = out.groupBy(by).agg(F.max("cropped_h").alias("_tall"))
     out = out.join(tallest, by)
-    out = scale_to(out, F.lit(target_height) if target_height else F.col("_tall"))
+    out = cut(scale_to(out, F.lit(target_height) if target_height else F.col("_tall")))
     largest = out.groupBy(by).agg(F.max("scaled_w").alias("_fw"), F.max("scaled_h").alias("_fh"))
     out = out.join(largest, by)
     w, h = F.col("_fw") - F.col("scaled_w"), F.col("_fh") - F.col("scaled_h")
@@ -139,3 +143,80 @@ def geometry_plan(clips: DataFrame, by: str, mod: int, target_height: int | None
     (left, right), (top, bottom) = split(w), split(h)
     out = out.withColumns({"pad_left": left, "pad_right": right, "pad_top": top, "pad_bottom": bottom}).drop("_fw", "_fh", "_tall")
     return pad_to_mod(out, "scaled_w", "scaled_h", mod, center)
+
+
+@dataclass(frozen=True)
+class GeometryRules:
+    """How clips are brought to a common geometry.
+
+    ``letterbox`` is off, strict or basic; ``aligned`` crops groups of equal
+    width or height alike; ``height`` is a common height, else that of the
+    tallest crop if ``upscale``; ``pad`` is off, on, or auto: no more than
+    ``slack`` pixels; ``even`` keeps crops and padding even on axes with
+    subsampled chroma.
+    """
+
+    mod: int = 2
+    letterbox: str = "off"
+    tolerance: float = 0.0
+    aligned: bool = True
+    even: bool = False
+    height: int | None = None
+    upscale: bool = True
+    pad: str = "off"
+    slack: int = 8
+
+
+def _even_sides(clips: DataFrame, near: str, far: str, subsampled: str) -> DataFrame:
+    """Both sides of an axis made even where its chroma is subsampled."""
+    a, b = even_axis(F.col(near), F.col(far))
+    held = F.coalesce(F.col(subsampled) > 0, F.lit(False))
+    return clips.withColumns({f"_{near}": F.when(held, a).otherwise(F.col(near)), f"_{far}": F.when(held, b).otherwise(F.col(far))}).withColumns({near: F.col(f"_{near}").cast("long"), far: F.col(f"_{far}").cast("long")}).drop(f"_{near}", f"_{far}")
+
+
+def plan_geometry(clips: DataFrame, by: str, rules: GeometryRules) -> DataFrame:
+    """Crop, letterbox, alignment, scale, padding and final size of every clip against its group.
+
+    ``clips`` has ``width``, ``height``, ``sub_w`` and ``sub_h``. What a group
+    decides is an aggregate joined to its clips, each level once: the result of a
+    level is written before the next one reads it. Adds ``left``, ``top``,
+    ``right``, ``bottom``, ``cropped_*``, ``scaled_*``, ``pad_*``, ``final_*``
+    and ``promotion``, the axes whose odd sides ask for full chroma; none if sides
+    are kept even instead.
+    """
+    out = mod_crop(clips, rules.mod)
+    if rules.letterbox in ("strict", "basic"):
+        boxed = letterbox_strict if rules.letterbox == "strict" else letterbox_basic
+        out = cut(boxed(out, by, rules.mod, rules.tolerance))
+    if rules.aligned:
+        out = cut(align_crops(out, by))
+    if rules.even:
+        out = _even_sides(_even_sides(out, "top", "bottom", "sub_h"), "left", "right", "sub_w")
+        out = out.withColumns({"cropped_w": F.col("width") - F.col("left") - F.col("right"), "cropped_h": F.col("height") - F.col("top") - F.col("bottom")})
+    group = out.groupBy(by).agg(F.max("cropped_h").alias("_tall"), F.max("width").alias("_wide"))
+    out = out.join(group, by)
+    wanted = F.lit(max(1, rules.height)).cast("long") if rules.height else F.col("_tall") if rules.upscale else F.col("cropped_h")
+    target = wanted if rules.upscale else F.least(wanted, F.col("cropped_h"))
+    out = scale_to(out, target)
+    if rules.upscale:
+        over = F.col("scaled_w") > F.col("_wide")
+        lower = F.greatest(F.lit(1), F.rint(F.col("cropped_h") * (F.col("_wide") / F.col("cropped_w"))).cast("long"))
+        out = out.withColumns({"scaled_h": F.when(over, lower).otherwise(F.col("scaled_h")), "scaled_w": F.least("scaled_w", "_wide")})
+    out = cut(out)
+    zero, room = F.lit(0).cast("long"), {"w": F.lit(None).cast("long"), "h": F.lit(None).cast("long")}
+    if rules.pad in ("on", "auto"):
+        widest = out.groupBy(by).agg(F.max("scaled_w").alias("_fw"))
+        out = out.join(widest, by)
+        room["w"] = (F.col("_wide") if rules.height else F.col("_fw")) - F.col("scaled_w")
+        if rules.height or rules.upscale:
+            room["h"] = wanted - F.col("scaled_h")
+    fits = lambda c: F.when((c > 0) & (F.lit(rules.pad == "on") | (c <= max(0, rules.slack))), c).otherwise(zero)
+    w, h = fits(room["w"]), fits(room["h"])
+    out = out.withColumns({"pad_left": half(w), "pad_right": w - half(w), "pad_top": half(h), "pad_bottom": h - half(h)}).drop("_tall", "_wide", "_fw")
+    out = pad_to_mod(out, "scaled_w", "scaled_h", rules.mod, True)
+    if rules.even:
+        out = _even_sides(_even_sides(out, "pad_top", "pad_bottom", "sub_h"), "pad_left", "pad_right", "sub_w")
+        # evened sides may miss the multiple, which is then met once more
+        return pad_to_mod(out, "scaled_w", "scaled_h", rules.mod, True).withColumn("promotion", F.lit("none"))
+    sides = lambda prefix: tuple(F.col(f"{prefix}{c}") for c in ("left", "top", "right", "bottom"))
+    return out.withColumn("promotion", promotion_axes(F.col("sub_w"), F.col("sub_h"), sides(""), sides("pad_")))

@@ -810,10 +810,71 @@ def even_axis(spark, d):
     return c.select("clip", near.alias("near"), far.alias("far"), geometry.odd_axes(F.col("a"), F.col("b"), zero, zero).alias("axes"))
 
 
-@query()
+_ALIGN = """g AS (SELECT *, min(width) OVER w = max(width) OVER w AS same_w, min(height) OVER w = max(height) OVER w AS same_h, min(cropped_h) OVER w AS mh, min(cropped_w) OVER w AS mw FROM {0} WINDOW w AS (PARTITION BY grp)),
+    dd AS (SELECT *, CASE WHEN same_w THEN greatest(0, cropped_h - mh) ELSE 0 END AS dh, CASE WHEN NOT same_w AND same_h THEN greatest(0, cropped_w - mw) ELSE 0 END AS dw FROM g),
+    al AS (SELECT * EXCLUDE ("left", top, "right", bottom, cropped_w, cropped_h), "left" + dw // 2 AS "left", "right" + dw - dw // 2 AS "right", top + dh // 2 AS top, bottom + dh - dh // 2 AS bottom, cropped_w - dw AS cropped_w, cropped_h - dh AS cropped_h FROM dd)"""
+
+
+def _pad_sql(mod: int) -> str:
+    """Widening of padding to a multiple, from columns w, h, pl, pr, pt, pb."""
+    more = lambda size, a, b: f"CASE WHEN pl + pr + pt + pb > 0 THEN ({mod} - ({size} + {a} + {b}) % {mod}) % {mod} ELSE 0 END"
+    return f"{more('w', 'pl', 'pr')} AS mw2, {more('h', 'pt', 'pb')} AS mh2"
+
+
+@query(f"""WITH {_GEOM}, m AS (SELECT *, (width % 2) // 2 AS "left", (height % 2) // 2 AS top, width % 2 - (width % 2) // 2 AS "right", height % 2 - (height % 2) // 2 AS bottom FROM c),
+    t AS (SELECT *, max(width / height) OVER (PARTITION BY grp) AS tr FROM m), h2 AS (SELECT *, greatest(2, round_even(width / tr, 0)::BIGINT - round_even(width / tr, 0)::BIGINT % 2) AS tt FROM t),
+    bx AS (SELECT *, CASE WHEN width / height >= tr * 0.98 OR tt >= height THEN 0 ELSE height - tt END AS cut FROM h2),
+    b2 AS (SELECT clip, grp, width, height, "left", "right", top + cut // 2 AS top, bottom + cut - cut // 2 AS bottom, width - "left" - "right" AS cropped_w, height - top - bottom - cut AS cropped_h FROM bx),
+    {_ALIGN.format("b2")},
+    sc AS (SELECT *, 720 AS h, greatest(1, CASE WHEN cropped_h = 720 THEN cropped_w ELSE round_even(cropped_w * (720 / cropped_h), 0)::BIGINT END) AS w FROM al),
+    pd AS (SELECT *, (max(w) OVER x - w) // 2 AS pl, (max(w) OVER x - w) - (max(w) OVER x - w) // 2 AS pr, 0 AS pt, 0 AS pb FROM sc WINDOW x AS (PARTITION BY grp)),
+    mo AS (SELECT *, {_pad_sql(2)} FROM pd)
+    SELECT clip, "left", top, "right", bottom, cropped_w, cropped_h, w AS scaled_w, h AS scaled_h, pl + mw2 // 2 AS pad_left, pr + mw2 - mw2 // 2 AS pad_right, pt + mh2 // 2 AS pad_top, pb + mh2 - mh2 // 2 AS pad_bottom,
+           w + pl + pr + mw2 AS final_w, h + pt + pb + mh2 AS final_h FROM mo""")
 def geometry_plan(spark, d):
-    """The whole plan of each clip; its stages have counterparts of their own."""
-    return geometry.geometry_plan(geom_of(spark, d), "grp", 2, 720, 0.02)
+    """The whole plan of each clip at one height."""
+    got = geometry.geometry_plan(geom_of(spark, d), "grp", 2, 720, 0.02)
+    return got.select("clip", *_PLAN)
+
+
+_RULES = {kind: geometry.GeometryRules(mod=4, letterbox="strict", tolerance=0.01, even=kind == "even", pad="auto", slack=300) for kind in ("even", "promoted")}
+_PLAN = ("left", "top", "right", "bottom", "cropped_w", "cropped_h", "scaled_w", "scaled_h", "pad_left", "pad_right", "pad_top", "pad_bottom", "final_w", "final_h")
+
+
+def _whole_sql(even: bool) -> str:
+    """One kind of plan; sides of both axes are made even, or the odd ones named."""
+    both = lambda s, a, b: (
+        f"CASE WHEN {s} > 0 THEN {a} - {a} % 2 ELSE {a} END AS {a}, CASE WHEN {s} > 0 THEN {b} - {b} % 2 + CASE WHEN {a} % 2 <> 0 AND {b} % 2 <> 0 THEN 2 ELSE 0 END ELSE {b} END AS {b}" if even else f"{a}, {b}"
+    )
+    odd = lambda s, *c: f"CASE WHEN {s} > 0 AND (" + " OR ".join(f"{x} % 2 <> 0" for x in c) + ") THEN"
+    promotion = "'none'" if even else f"""coalesce(nullif(concat_ws('+', {odd('sub_h', 'top', 'bottom', 'pt', 'pb')} 'vertical' END, {odd('sub_w', '"left"', '"right"', 'pl', 'pr')} 'horizontal' END), ''), 'none')"""
+    widened = "SELECT * EXCLUDE (pl, pr, pt, pb, mw2, mh2), pl + mw2 // 2 AS pl, pr + mw2 - mw2 // 2 AS pr, pt + mh2 // 2 AS pt, pb + mh2 - mh2 // 2 AS pb"
+    return f"""(WITH {_CROP}, t AS (SELECT *, clip % 2 AS sub_w, clip % 3 AS sub_h, max(width / height) OVER x AS tr, min(cropped_h) OVER x AS short FROM mc WINDOW x AS (PARTITION BY grp)),
+        h1 AS (SELECT *, least(round_even(width / tr, 0)::BIGINT, short) AS th FROM t), h2 AS (SELECT *, greatest(4, th - th % 4) AS tt FROM h1),
+        bx AS (SELECT *, CASE WHEN width / height >= tr * 0.99 OR tt >= height THEN 0 ELSE height - tt END AS cut FROM h2),
+        b2 AS (SELECT clip, grp, width, height, sub_w, sub_h, "left", "right", top + cut // 2 AS top, bottom + cut - cut // 2 AS bottom, cropped_w, cropped_h - cut AS cropped_h FROM bx),
+        {_ALIGN.format("b2")},
+        ev AS (SELECT clip, grp, width, height, sub_w, sub_h, {both("sub_h", "top", "bottom")}, {both("sub_w", '"left"', '"right"')} FROM al),
+        e2 AS (SELECT *, width - "left" - "right" AS cropped_w, height - top - bottom AS cropped_h FROM ev),
+        tl AS (SELECT *, max(cropped_h) OVER x AS tall, max(width) OVER x AS wide FROM e2 WINDOW x AS (PARTITION BY grp)),
+        s1 AS (SELECT *, greatest(1, CASE WHEN cropped_h = tall THEN cropped_w ELSE round_even(cropped_w * (tall / cropped_h), 0)::BIGINT END) AS w1 FROM tl),
+        sc AS (SELECT *, least(w1, wide) AS w, CASE WHEN w1 > wide THEN greatest(1, round_even(cropped_h * (wide / cropped_w), 0)::BIGINT) ELSE tall END AS h FROM s1),
+        r1 AS (SELECT *, max(w) OVER (PARTITION BY grp) - w AS rw, tall - h AS rh FROM sc),
+        r2 AS (SELECT *, CASE WHEN rw > 0 AND rw <= 300 THEN rw ELSE 0 END AS gw, CASE WHEN rh > 0 AND rh <= 300 THEN rh ELSE 0 END AS gh FROM r1),
+        pd AS (SELECT *, gw // 2 AS pl, gw - gw // 2 AS pr, gh // 2 AS pt, gh - gh // 2 AS pb FROM r2),
+        pq AS ({widened} FROM (SELECT *, {_pad_sql(4)} FROM pd)),
+        fe AS (SELECT * EXCLUDE (pl, pr, pt, pb), {both("sub_h", "pt", "pb")}, {both("sub_w", "pl", "pr")} FROM pq),
+        fi AS ({widened} FROM (SELECT *, {_pad_sql(4)} FROM fe))
+        SELECT '{"even" if even else "promoted"}' AS kind, clip, "left", top, "right", bottom, cropped_w, cropped_h, w AS scaled_w, h AS scaled_h, pl AS pad_left, pr AS pad_right, pt AS pad_top, pb AS pad_bottom,
+               w + pl + pr AS final_w, h + pt + pb AS final_h, {promotion} AS promotion FROM fi)"""
+
+
+@query(f"SELECT * FROM {_whole_sql(True)} UNION ALL SELECT * FROM {_whole_sql(False)}")
+def whole_geometry(spark, d):
+    """The plan with letterbox, alignment, common height and padding in one, with even sides or with those that ask for full chroma."""
+    clips = geom_of(spark, d).withColumns({"sub_w": F.col("clip") % 2, "sub_h": F.col("clip") % 3})
+    plans = [geometry.plan_geometry(clips, "grp", rules).select(F.lit(kind).alias("kind"), "clip", *_PLAN, "promotion") for kind, rules in _RULES.items()]
+    return plans[0].unionByName(plans[1])
 
 
 # --- reports ----------------------------------------------------------------
