@@ -194,10 +194,9 @@ def private_v6(host: Column) -> Column:
 
 
 def safe_webhook(url: Column) -> Column:
-    """Whether a URL is https and its host neither local nor a private or reserved address, by its text alone."""
+    """Whether a URL is https and its host neither this machine's name nor a private or reserved address, by its text alone."""
     host = url_host(url)
-    local = (host == "localhost") | host.endswith(".localhost") | host.endswith(".local")
-    return F.coalesce(F.lower(url).startswith("https://") & host.isNotNull() & ~local & ~private_v4(host) & ~private_v6(host), F.lit(False))
+    return F.coalesce(F.lower(url).startswith("https://") & host.isNotNull() & (host != "localhost") & ~private_v4(host) & ~private_v6(host), F.lit(False))
 
 
 def upload_timeout(base: Column, size: Column) -> Column:

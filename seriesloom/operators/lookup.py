@@ -104,6 +104,30 @@ def pick_reference(clips: DataFrame, by: str, hint: str, pos: str) -> DataFrame:
 
 
 def first_filled(rows: DataFrame, group: Column, order: str, value: str) -> DataFrame:
-    """First value of each group that is neither null nor empty, as ``value``."""
+    """First value of each group that is neither null nor empty, as ``value``; an empty text if there is none."""
     filled = F.nullif(F.col(value), F.lit(""))
-    return rows.groupBy(group.alias("grp")).agg(F.min_by(filled, F.when(filled.isNotNull(), F.col(order))).alias("value"))
+    return rows.groupBy(group.alias("grp")).agg(F.coalesce(F.min_by(filled, F.when(filled.isNotNull(), F.col(order))), F.lit("")).alias("value"))
+
+
+def first_by_name(rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """The first row of each key in order; rows without a key are left out."""
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), F.col(pos)).alias("_r"))
+    return first.select(key, "_r.*")
+
+
+def pick_target(clips: DataFrame, by: str, target: str, pos: str, cost: str, names: list[str]) -> DataFrame:
+    """The clip of each group that its target text names, by aggregates.
+
+    A number that is a position names that clip; else the first clip with the text
+    as one of its ``names``, in any case; else the first clip. Without a target it
+    is the clip of the least cost, the first of equal ones.
+    """
+    asked = F.lower(F.trim(F.coalesce(F.col(target), F.lit(""))))
+    named = F.lit(False)
+    for n in names:
+        named = named | F.coalesce(F.lower(F.col(n)) == asked, F.lit(False))
+    rank = F.when(asked == "", F.struct(F.lit(0).alias("k"), F.col(cost).cast("double").alias("c"), F.col(pos).alias("p"))).otherwise(
+        F.struct(F.when(F.col(pos).cast("string") == asked, 0).when(named, 1).otherwise(2).alias("k"), F.lit(0.0).alias("c"), F.col(pos).alias("p"))
+    )
+    picked = clips.groupBy(by).agg(F.min_by(F.struct(*[c for c in clips.columns if c != by]), rank).alias("_r"))
+    return picked.select(by, "_r.*")

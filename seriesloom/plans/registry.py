@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import document_queries, label_queries  # noqa: F401  register their queries
+from . import document_queries, label_queries, value_queries  # noqa: F401  register their queries
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -54,11 +54,6 @@ def document_series(documents: DataFrame) -> DataFrame:
     return pairs("brightness", "brightness").join(pairs("motion", "motion"), ["file", "frame"], "full_outer")
 
 
-def write_selection(rows: DataFrame, path: str) -> None:
-    """Selections as JSON lines."""
-    rows.write.mode("overwrite").json(path)
-
-
 def discover_media(spark: SparkSession, root: str) -> DataFrame:
     """Media files of a folder with size and time, in natural order of their names."""
     files = spark.read.format("binaryFile").load(root).select("path", "length", "modificationTime")
