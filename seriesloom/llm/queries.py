@@ -15,7 +15,7 @@ from .packing import harmonic_pack
 from .quality import quality_model, quality_scores
 from .token_counts import token_counts
 from .topk import exact_top_k
-from .url_filter import DAMPING, EXCESS, ROUNDS, RULES, judge_urls
+from .url_filter import DAMPING, EXCESS, RULES, judge_urls
 from .warc import REVISIT_BYTES, archive_round_trip
 
 
@@ -121,8 +121,8 @@ _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 
-def _url_sql() -> str:
-    """Rules as a case expression, and the rounds of both propagations one by one."""
+def _url_sql(rounds: int = 80) -> str:
+    """Rules as a case expression, and as many rounds of both propagations, one by one, as bring any change below what is looked at."""
     rules = sorted(RULES, key=lambda r: -len(r.name))
     fits = [f"(host = '{r.host}' OR suffix(host, '.{r.host}')) AND prefix(path, '{r.path}')" for r in rules]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{r.name}'" for f, r in zip(fits, rules)) + " END"
@@ -131,7 +131,7 @@ def _url_sql() -> str:
     for name, seed, a, b in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
         out.append(f"{name}s AS (SELECT {a} AS a, {b} AS b, w / sum(w) OVER (PARTITION BY {a}) AS share FROM links)")
         out.append(f"{name}0 AS (SELECT host, {1 - DAMPING} * {seed} AS score FROM seeds WHERE {seed} > 0)")
-        for k in range(1, ROUNDS + 1):
+        for k in range(1, rounds + 1):
             moved = f"SELECT s.b AS host, {DAMPING} * p.score * s.share AS score FROM {name}s s JOIN {name}{k - 1} p ON p.host = s.a"
             out.append(f"{name}{k} AS (SELECT host, sum(score) AS score FROM ({moved} UNION ALL SELECT * FROM {name}0) GROUP BY host)")
     link = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"''\s>]*)"""
@@ -145,7 +145,7 @@ def _url_sql() -> str:
         named AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), {_UPPER}, {_LOWER}) AS dst FROM p),
         links AS (SELECT src, dst, count(*)::DOUBLE AS w FROM named WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
         {", ".join(out)},
-        blocked AS (SELECT d.host FROM d{ROUNDS} d LEFT JOIN t{ROUNDS} t USING (host)
+        blocked AS (SELECT d.host FROM d{rounds} d LEFT JOIN t{rounds} t USING (host)
                     WHERE round(d.score - coalesce(t.score, 0), 12) > {EXCESS * (1 - DAMPING)})
         SELECT page_id, host, path, rule,
                coalesce(says, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM j

@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from .common import Stored, pick
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, ROUNDS = 0.85, 12
+DAMPING = 0.85
+#: Change of all scores together over some rounds, as a share of a seed's own score, at which rounds end; what later ones would add is less than that.
+RESIDUAL = 1e-4
 #: A host is blocked if distrust exceeds trust by this share of what a seed all of whose pages are blocked has by itself.
 EXCESS = 0.5
 #: Rules that are written into the plan at most.
 MAX_RULES = 1_000
-#: Rounds after which lineage is cut.
-EVERY = 3
+#: Rounds after which lineage is cut and the change is looked at.
+EVERY = 6
 #: A link with a host of its own, after a scheme or two slashes.
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]*)"""
 
@@ -85,17 +87,27 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def _spread(seeds: DataFrame, links: DataFrame, start: str, end: str) -> DataFrame:
-    """``host`` and ``score`` after ``ROUNDS`` of personalised PageRank along ``start`` to ``end``."""
+    """``host`` and ``score`` of personalised PageRank along ``start`` to ``end``, in rounds until ``RESIDUAL``.
+
+    Scores only grow from round to round, each time by ``DAMPING`` of the growth
+    before at most: the number of rounds follows from the logarithm of the
+    seeds' mass, and the sum of all scores tells what is left.
+    """
     out = links.groupBy(start).agg(F.sum("w").alias("total"))
     shares = Stored(links.join(out, start).select(F.col(start).alias("a"), F.col(end).alias("b"), (F.col("w") / F.col("total")).alias("share")), "shares").df
     own = seeds.select("host", ((1 - DAMPING) * F.col("seed")).alias("score"))
-    now = own
-    for k in range(1, ROUNDS + 1):
-        moved = shares.join(now, F.col("a") == F.col("host")).select(F.col("b").alias("host"), (DAMPING * F.col("score") * F.col("share")).alias("score"))
-        now = moved.unionByName(own).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % EVERY == 0:
-            now = Stored(now, "rank").df
-    return now
+    now, mass, last = own, 0.0, None
+    while True:
+        for _ in range(EVERY):
+            moved = shares.join(now, F.col("a") == F.col("host")).select(F.col("b").alias("host"), (DAMPING * F.col("score") * F.col("share")).alias("score"))
+            now = moved.unionByName(own).groupBy("host").agg(F.sum("score").alias("score"))
+        kept = Stored(now, "rank")
+        now, before, mass = kept.df, mass, kept.df.agg(F.sum("score")).first()[0] or 0.0
+        if last is not None:
+            last.drop()
+        last = kept
+        if mass - before <= RESIDUAL * (1 - DAMPING):
+            return now
 
 
 def judge_urls(
