@@ -4,7 +4,9 @@ Each page's containers are scored by the text they hold outside of boilerplate.
 The deepest container that still holds most of it casts a vote, as a path of
 tags and classes with numbers left out, and Spark adds up the votes of each host.
 Pages are then extracted anew with their host's winning path; a page that does
-not have it uses its own best container.
+not have it uses its own best container. The same consensus tells boilerplate
+inside: a small container that says the same on most of the host's pages, which
+otherwise differ, is left out whatever its name.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,10 @@ DEEPEST = 512
 UNCLOSED = 16
 #: Hosts whose paths are sent to all tasks at most; beyond it, a shuffled join over so many parts of a host is used.
 SENT_HOSTS, PARTS = 100_000, 16
+#: Pages of a host, copies counted once, that have a container at least, and share of them on which it says the same, for it to be boilerplate.
+LEAST_PAGES, REPEATED = 5, 0.5
+#: Share of a page's text above which a container is never taken for boilerplate.
+SMALL = 0.2
 #: Votes gathered in a task before they are handed on.
 HELD_VOTES = 50_000
 
@@ -56,11 +63,11 @@ ENDED = frozenset("p li dt dd tr td th".split())
 STRUCTURE, PARAGRAPHS = frozenset("article main h1".split()), 3
 #: Words of classes, identifiers and roles that mark boilerplate.
 MARKS = frozenset(
-    "ad ads adsbygoogle advert advertisement adverts advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist complementary contentinfo consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation navi newsletter notice notices alert notification overlay pagination pager popup promo promotion related recommended replies respond search share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets".split()
+    "ad ads adsbygoogle advert advertisement adverts advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist complementary contentinfo consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation navi newsletter notice notices alert notification overlay pagination pager popup promo promotion related recommended replies respond search share sharing sidebar sidebar-content sidenav signup social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets".split()
 )
 #: Words that may stand beside a mark in a compound name without changing what it says; any other word does.
 BESIDE = frozenset(
-    "site page main top bottom left right primary secondary global header container wrapper wrap box block area section slot unit bar list item items link links post posts article story inner outer row col column group panel icon icons button buttons form thread text title label js the".split()
+    "site page main top bottom left right primary secondary global header container wrapper wrap box block area section slot unit bar list item items link links post posts article story inner outer row col column group panel icon icons button buttons form thread text title label js the user users reader readers visitor visitors articles stories news x".split()
 )
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -295,39 +302,83 @@ class Page:
             node = self.parent[node]
         return tuple(reversed(out))
 
-    def main_text(self, path: tuple[str, ...] | None = None) -> str:
-        """Blocks below the path, one to a line; below the page's own best container if the path holds none of its text."""
+    def find(self, path: tuple[str, ...]) -> int:
+        """The container of a path, or -1."""
         node = 0
-        for step in path or ():
+        for step in path:
             node = self.named.get((node, step), -1)
             if node < 0:
                 break
-        lines = self._below(node) if path is not None and node >= 0 else []
-        return "\n".join(lines or self._below(self.best()[0]))
+        return node
 
-    def _below(self, top: int) -> list[str]:
+    def main_text(self, path: tuple[str, ...] | None = None, repeated: list[tuple[str, ...]] = ()) -> str:
+        """Blocks below the path, one to a line; below the page's own best container if the path holds none of its text.
+
+        Containers of the paths ``repeated`` are left out, unless nothing else is there.
+        """
+        top = -1 if path is None else self.find(path)
+        if top < 0 or not self._below(top):
+            top = self.best()[0]
+        gone = {node for p in repeated if (node := self.find(p)) > 0}
+        return "\n".join(self._below(top, gone) or self._below(top))
+
+    def _below(self, top: int, gone: set[int] = frozenset()) -> list[str]:
+        around, k = set(), top
+        while k >= 0:
+            around.add(k)
+            k = self.parent[k]
         below = [k == top for k in range(len(self.parent))]
         for k in range(1, len(below)):
-            below[k] = below[k] or below[self.parent[k]]
+            below[k] = (below[k] or below[self.parent[k]]) and (k not in gone or k in around)
         return [t for (t, node, _, _), text in zip(self.blocks, self.text) if text and below[node]]
 
+    def parts(self, best: int) -> Iterator[tuple[str, int]]:
+        """Path of each small container that is not around the best one, and a hash of all text below it."""
+        held: dict[int, list[str]] = {}
+        around, k = {0}, best
+        while k > 0:
+            around.add(k)
+            k = self.parent[k]
+        for (t, node, _, _), text in zip(self.blocks, self.text):
+            while text and node not in around:
+                held.setdefault(node, []).append(t)
+                node = self.parent[node]
+        most = SMALL * sum(len(t) for (t, _, _, _), text in zip(self.blocks, self.text) if text)
+        for node, lines in held.items():
+            if sum(map(len, lines)) <= most:
+                yield "\n".join(self.path(node)), text_hash(lines)
+
+    def whole(self) -> int:
+        """A hash of all text of the page."""
+        return text_hash([t for (t, _, _, _), text in zip(self.blocks, self.text) if text])
+
+
+def text_hash(lines: list[str]) -> int:
+    v = xxhash.xxh3_64_intdigest("\n".join(lines).encode())
+    return v - (1 << 64) if v >> 63 else v
+
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], float] = {}
+    """Votes for containers of main text (no ``said``), and what other containers say on which page."""
+    held: dict[tuple, float] = {}
 
     def hand_on() -> pa.RecordBatch:
-        keys = list(held)
-        out = pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in keys], pa.string()), "path": pa.array([k[1] for k in keys], pa.string()), "votes": pa.array([held[k] for k in keys], pa.float64())})
+        host, path, said, page = zip(*held)
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        columns = [pa.array(c, k) for c, k in zip((host, path, said, page), kinds)] + [pa.array(held.values(), pa.float64())]
         held.clear()
-        return out
+        return pa.RecordBatch.from_arrays(columns, names=["host", "path", "said", "page", "votes"])
 
     for batch in text_slices(batches, "html"):
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             page = Page(html)
             node, weight = page.best()
             if weight > 0:
-                key = (host, "\n".join(page.path(node)))
+                key = (host, "\n".join(page.path(node)), None, None)
                 held[key] = held.get(key, 0.0) + weight
+                whole = page.whole()
+                for path, said in page.parts(node):
+                    held[host, path, said, whole] = 0.0
         if len(held) > HELD_VOTES:
             yield hand_on()
     if held:
@@ -347,23 +398,28 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     slim = pick(pages, *dict.fromkeys([id_col, url_col, html_col])).select(
         F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), host_of(F.col(f"`{url_col}`")).alias("host")
     )
-    votes = slim.select("host", "html").mapInArrow(_votes, "host string, path string, votes double")
-    summed = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 3).alias("votes"))
-    winners = Stored(summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("winner")), "paths").df
-    if winners.count() <= SENT_HOSTS:
+    votes = Stored(slim.select("host", "html").mapInArrow(_votes, "host string, path string, said long, page long, votes double"), "votes").df
+    summed = votes.where("said is null").groupBy("host", "path").agg(F.round(F.sum("votes"), 3).alias("votes"))
+    winners = summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("winner"))
+    # what a container says on pages that differ: copies of a page are one
+    said = votes.where("said is not null").select("host", "path", "said", "page").distinct().groupBy("host", "path", "said").agg(F.count("*").alias("pages"))
+    often = said.groupBy("host", "path").agg(F.sum("pages").alias("all"), F.max("pages").alias("most")).where((F.col("all") >= LEAST_PAGES) & (F.col("most") >= REPEATED * F.col("all")))
+    paths = often.groupBy("host").agg(F.collect_list("path").alias("repeated"), F.count("*").alias("n"))
+    winners = Stored(winners.join(paths, "host", "left").select("host", "winner", "repeated", F.coalesce("n", F.lit(0)).alias("n")), "paths").df
+    if (winners.agg(F.count("*") + F.sum("n")).first()[0] or 0) <= SENT_HOSTS:
         joined = slim.join(F.broadcast(winners), "host", "left")
     else:  # a host's pages are dealt out to several tasks
-        parts = winners.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        parts = winners.drop("n").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         joined = slim.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")).join(parts, ["host", "part"], "left")
-    joined = joined.select("page_id", "url", "html", "winner")
+    joined = joined.select("page_id", "url", "html", "winner", "repeated")
     schema = T.StructType([slim.schema["page_id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "html"):
             texts = []
-            for html, winner in zip(batch.column("html").to_pylist(), batch.column("winner").to_pylist()):
+            for html, winner, repeated in zip(*[batch.column(c).to_pylist() for c in ("html", "winner", "repeated")]):
                 path = None if winner is None else tuple(winner.split("\n")) if winner else ()
-                texts.append(Page(html).main_text(path))
+                texts.append(Page(html).main_text(path, [tuple(p.split("\n")) for p in repeated or ()]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )

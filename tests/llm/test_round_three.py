@@ -14,12 +14,14 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seriesloom.llm import common, conversations, jaccard_join, kmeans, minhash, warc
+from seriesloom.llm import common, conversations, jaccard_join, kmeans, minhash, url_filter, warc
 from seriesloom.llm.conversations import compose, damaged, piece_paths, repair_conversations, repaired_turns
+from seriesloom.llm.html_text import extract_pages
 from seriesloom.llm.kmeans import clusters
 from seriesloom.llm.minhash import minhash_components
 from seriesloom.llm.packing import encoder
 from seriesloom.llm.topk import exact_top_k
+from seriesloom.llm.url_filter import Rule
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -278,6 +280,66 @@ def test_folded_sketches_never_exceed_the_difference():
         assert jaccard_join._apart(rows[:1], rows[0], np.array([size]))[0] == 0
 
 
+# --- pages and hosts --------------------------------------------------------
+
+
+def page_of(k, body, extra=""):
+    words = " ".join(f"w{k}x{i}" for i in range(60))
+    return f"<html><body><div class='wrap'><article><h1>Title {k}</h1><p>{words} one.</p>{body}<p>{words[::-1]} two.</p></article></div>{extra}</body></html>"
+
+
+def test_boilerplate_by_consensus(spark):
+    """What a host's pages repeat goes whatever its name, as do comments and adverts by theirs; copies of a page prove nothing."""
+    notes = "<div class='zz-box'>Read our other stories today.</div>"
+    rows = [(i, f"http://a.example/{i}", page_of(i, notes + f"<section class='own'>Own part {i}.</section>")) for i in range(8)]
+    rows += [(100 + i, "http://copies.example/1", page_of(500, notes)) for i in range(9)]
+    marked = ["user-comments", "reader-comments", "ad-300x250", "related-articles", "sidebar-content"]
+    rows += [(200 + i, f"http://b.example/{i}", page_of(900 + i, f"<div class='{c}'>Said aside {i}.</div>")) for i, c in enumerate(marked)]
+    rows += [(300, "http://c.example/", page_of(990, notes))]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert "other stories" not in got[i] and f"Own part {i}." in got[i] and f"w{i}x59 one." in got[i]
+    assert all("other stories" in got[100 + i] for i in range(9)) and "other stories" in got[300]
+    assert all("Said aside" not in got[200 + i] and "one." in got[200 + i] for i in range(5))
+
+
+def test_distrust_reaches_its_fixed_point(spark, monkeypatch):
+    """In a ring of hosts scores follow from a linear system; twice the rounds change no verdict."""
+    names = [f"h{i}.example" for i in range(6)]
+    to = {i: [(i + 1) % 6, (i + 2) % 6] for i in range(6)}
+    rows = [(i, f"http://{names[i]}/", "".join(f"<a href='http://{names[j]}/'>x</a>" for j in to[i])) for i in range(6)]
+    rules = (Rule("block", names[0], "/"), Rule("allow", names[3], "/"))
+    move = np.zeros((6, 6))
+    for i, js in to.items():
+        for j in js:
+            move[i, j] += 0.5
+    d = url_filter.DAMPING
+    solve = lambda m, seed: np.linalg.solve(np.eye(6) - d * (m / np.maximum(m.sum(1, keepdims=True), 1e-300)).T, (1 - d) * seed)
+    trust, distrust = solve(move, np.eye(6)[3]), solve(move.T, np.eye(6)[0])
+    want = {i: "block" if i == 0 or i != 3 and distrust[i] - trust[i] > url_filter.EXCESS * (1 - d) else "allow" for i in range(6)}
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(table, rules).collect()} == want
+    monkeypatch.setattr(url_filter, "EVERY", 12)
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(table, rules).collect()} == want
+
+
+def test_sample_below_a_bound(spark, monkeypatch):
+    """More rows than are drawn: those of the least hashes, half of each class."""
+    from seriesloom.llm import quality
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(-(1 << 63), 1 << 63), np.array([i % 2, 2 + rng.randrange(50)], np.uint16).tobytes(), i % 2) for i in range(900)]
+    seen = []
+    fit = quality.dual_coordinate_descent
+    monkeypatch.setattr(quality, "dual_coordinate_descent", lambda found, *a: (seen.append(len(found)), fit(found, *a))[1])
+    known = spark.createDataFrame(rows, "order long, features binary, label int")
+    quality.train(known, sample_rows=200)
+    assert seen[0] == 200
+    seen.clear()
+    quality.train(known, sample_rows=5000)
+    assert seen[0] == 900
+
+
 # --- mends ------------------------------------------------------------------
 
 
