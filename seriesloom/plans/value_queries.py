@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import display as D
 from seriesloom.functions import scalar as S
+from seriesloom.functions import variants as V
 from seriesloom.operators import align, cache, geometry, lookup, metadata
 
 from .label_queries import nth, txt
@@ -17,14 +18,14 @@ from .queries import _CROP, geom_of, offsets_of, query, table
     SELECT event_id, CASE WHEN k = 'BOOLEAN' THEN s = 'true' WHEN k IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN s::DOUBLE <> 0 WHEN lower(trim(s)) IN ('true', 'yes', '1', 'enabled', 'on') THEN true WHEN lower(trim(s)) IN ('false', 'no', '0', 'disabled', 'off') THEN false END AS truth,
            CASE WHEN k = 'BOOLEAN' THEN (s = 'true')::INT::DOUBLE ELSE TRY_CAST(replace(s, ',', '') AS DOUBLE) END AS number,
            CASE WHEN k IN ('BIGINT', 'UBIGINT') THEN regexp_replace(s, '(\d)(\d{3})$', '\1 \2') WHEN k = 'DOUBLE' THEN printf('%.3f', s::DOUBLE) ELSE coalesce(s, '') END AS shown,
-           coalesce(nullif(s, ''), 'none') AS plain FROM k""")
+           coalesce(nullif(CASE WHEN k = 'VARCHAR' THEN s END, ''), 'none') AS plain FROM k""")
 def display_values(spark, d):
     """Values of many kinds as truth, number and text."""
     k = F.col("event_id")
     forms = nth(k, txt("value"), txt((F.floor("value") * 1000).cast("long")), F.concat(F.lit('"1,'), F.lpad(txt(k % 1000), 3, "0"), F.lit('"')), F.lit('" Yes "'), F.lit("false"), F.lit("null"), F.lit('""'))
     rows = table(spark, d, "events").select("event_id", F.try_parse_json(forms).alias("v"))
     v = F.col("v")
-    text = F.try_variant_get(v, "$", "string")
+    text = F.when(V.kind_of(v) == "STRING", V.part(v, "$", "string"))
     return rows.select("event_id", D.truth_of(v).alias("truth"), D.number_shown(v).alias("number"), D.shown(v, 3, " ").alias("shown"), D.display_filter(text, "none").alias("plain"))
 
 
