@@ -12,13 +12,14 @@ of the token count. Transitions carry that change. They are worked out when
 first met and kept in a table, as a lazily built automaton.
 
 Texts are cut into chunks that run side by side. The map of a chunk from entry
-state to exit state is constant from its first mark on: it is held as the bytes
-before that mark, the count after it and the exit state. A chunk without a mark
-has a map proper. Maps are composed by a prefix scan with guesses: each is applied
-at once to the exit that the chunk before has from a word's start, the exits are
-compared along the chunks, and maps that were applied to another state than the
-one before them gives are applied anew, until all agree. States forget what lies
-further back than the last tokens, so that nearly all guesses hold.
+state to exit state is constant if it has a mark. Chunks without one have maps
+proper, held for the entry states that can occur: a word's start, and the exits of
+the chunk before from its own. A parallel prefix scan composes the maps of
+neighbouring chunks, doubling the span each time, which gives the entry state of
+every chunk at once; where a composed map lacks the state that is needed, the
+chunks' maps are extended by the exits that have no image yet, and composed anew.
+States forget what lies further back than the last tokens, so that maps have few
+entries and one extension mostly does.
 """
 
 from __future__ import annotations
@@ -279,16 +280,9 @@ class Transducer:
         exits = np.concatenate([[entry], state]).astype(np.int32)
         todo = np.flatnonzero(first > 0)
         whole = todo[first[todo] == CHUNK]
-        # other maps are applied to guesses, what their neighbours give on a word's start, all at once
-        self._heads(grid, out, np.full(rows, START, np.int32), exits, first, whole)
-        exits[0] = entry
-        applied = exits[:-1].copy()
-        wrong = todo
-        while len(wrong):
-            self._heads(grid, out, applied, exits, first, wrong)
-            # scan: each map must have been applied to the exit of the one before
-            wrong = todo[applied[todo] != exits[todo]]
-            applied[wrong] = exits[wrong]
+        # then every chunk's entry state is known, and the bytes before its first mark are run from there
+        self._scan(grid, exits, whole)
+        self._heads(grid, out, exits[:-1].copy(), exits, first, todo)
         last = int(exits[-1]) if first[-1] == CHUNK else int(at_end[-1])
         if pad and first[-1] == (n - 1) % CHUNK + 1:
             # the last chunk has no mark of its own
@@ -299,6 +293,30 @@ class Transducer:
             last = state_at
         return out.T.reshape(-1)[:n], last
 
+    def _scan(self, grid: np.ndarray, exits: np.ndarray, whole: np.ndarray) -> None:
+        """Exit states of the chunks without a mark, by composing their maps along each run of them; chunk i ends in ``exits[i + 1]``."""
+        for run in np.split(whole, np.flatnonzero(np.diff(whole) > 1) + 1):
+            if not len(run):
+                continue
+            into = int(exits[run[0]])
+            maps: list[dict[int, int]] = [{} for _ in run]
+            ask = {(0, into), *((k, START) for k in range(len(run)))}
+            while ask:
+                at = sorted(ask)
+                for (k, state), leave in zip(at, self._mapped(grid, run[[k for k, _ in at]], np.array([s for _, s in at], np.int32)).tolist()):
+                    maps[k][state] = leave
+                prefix = prefix_compose(maps)
+                if all(into in p for p in prefix):
+                    break
+                ask = {(k, x) for k in range(1, len(run)) for x in maps[k - 1].values() if x not in maps[k]}
+            exits[run + 1] = [p[into] for p in prefix]
+
+    def _mapped(self, grid: np.ndarray, lanes: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Exit states of chunks from entry states."""
+        for t in range(CHUNK):
+            state = self.advance(state, grid[t, lanes]) >> 8
+        return state
+
     def _heads(self, grid: np.ndarray, out: np.ndarray, entries: np.ndarray, exits: np.ndarray, first: np.ndarray, lanes: np.ndarray) -> None:
         """Apply the maps of ``lanes`` to their entry states: run the bytes before their first marks; lane i ends in ``exits[i + 1]``."""
         if len(lanes) < 16:
@@ -325,6 +343,26 @@ class Transducer:
         exits[lanes[whole] + 1] = state[whole]
 
 
+def compose(first: dict[int, int], then: dict[int, int]) -> dict[int, int]:
+    """The map of two neighbouring chunks, as far as theirs reach."""
+    return {state: then[x] for state, x in first.items() if x in then}
+
+
+def prefix_compose(maps: list[dict[int, int]]) -> list[dict[int, int]]:
+    """Maps from the first chunk's entry to each chunk's exit: spans are doubled until they reach back to the first."""
+    out, span = list(maps), 1
+    while span < len(out):
+        out = [compose(out[k - span], m) if k >= span else m for k, m in enumerate(out)]
+        span *= 2
+    return out
+
+
+def special_strings(path: str) -> tuple[str, ...]:
+    """Texts of the file's added tokens, the longest first."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(sorted((t["content"] for t in json.load(f).get("added_tokens") or []), key=len, reverse=True))
+
+
 def transducer(path: str) -> Transducer:
     """One transducer for each file and Python worker."""
     if path not in _COMPILED:
@@ -368,17 +406,19 @@ def token_counts(
     limit: int = 1024,
     id_col: str = "doc_id",
     text_col: str = "text",
-    special: tuple[str, ...] = ("<|endoftext|>",),
+    special: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Bytes and tokens of every whole text.
 
     Null and empty texts have no bytes and no tokens; identifiers, null or
     repeated, are passed on row by row; an empty table gives an empty result and
-    other columns are ignored. The class table of code points, about 1 MB
+    other columns are ignored. Strings of ``special``, by default the added tokens of the
+    tokenizer's file, count one each. The class table of code points, about 1 MB
     whatever the input, is worked out on the driver and sent with the task.
     """
     small_batches(docs.sparkSession)
     classes = character_classes(tokenizer_path)
+    special = special_strings(tokenizer_path) if special is None else special
     held = docs.sparkSession.sparkContext.broadcast(classes)
     ddl = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])

@@ -367,6 +367,28 @@ def test_large_components_are_defined(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_chunk_maps_compose():
+    """Two maps give one, and the scan over composed maps gives what running the chunks one after the other gives."""
+    from seriesloom.llm import token_counts as T
+
+    assert T.compose({1: 2, 3: 4}, {2: 7}) == {1: 7}
+    rng = random.Random(1)
+    full = [{s: rng.randrange(5) for s in range(5)} for _ in range(13)]
+    for start in range(5):
+        state = start
+        for m, p in zip(full, T.prefix_compose(full)):
+            state = m[state]
+            assert p[start] == state
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert T.special_strings(path) == ("<|endoftext|>",)
+    library, machine = Tokenizer.from_file(path), T.transducer(path)
+    table = np.frombuffer(T.character_classes(path), np.uint8)
+    texts = ["".join(rng.choices("abcdefgh", k=n)) for n in (255, 256, 257, 3000, 20000)] + ["ab" * 4000 + " x " + "zq" * 900, "a" * 5000, "Ünï" * 1500 + "<|endoftext|>" + "=" * 3000]
+    texts.append("".join(texts))
+    got = T.count_tokens(machine, table, texts, list(T.special_strings(path)))
+    assert got == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 class Held(io.BytesIO):
     def size(self):
         return len(self.getvalue())
