@@ -120,7 +120,10 @@ def estimate_frames(offsets: DataFrame, fps: str = "fps") -> DataFrame:
 
 
 def score_streams(candidates: DataFrame) -> DataFrame:
-    """``score`` of audio streams against their clip's reference stream (columns ``ref_*``)."""
+    """``score`` of audio streams against their clip's reference stream (columns ``ref_*``).
+
+    The weights are fixed values.
+    """
     same = lambda c: F.coalesce(F.col(c) == F.col(f"ref_{c}"), F.lit(False))
     known = lambda c: F.coalesce(F.col(f"ref_{c}").cast("string"), F.lit("")).isin("", "0") == F.lit(False)
     has = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0") == F.lit(False)

@@ -18,3 +18,13 @@ def test_strides_reach_the_end(spark):
     counts = spark.read.parquet(f"{data}/events.parquet").groupBy("event_type").count().collect()
     assert max(n for _, n in counts) > 1000
     assert got == {(clip, k) for clip, n in counts for k in range(10, n, 7)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="tables are not there")
+def test_folded_words_equal_unicodedata(spark):
+    import unicodedata
+
+    from seriesloom.plans.registry import QUERIES
+
+    rows = QUERIES["folded_words"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.folded == unicodedata.normalize("NFKC", r.word) for r in rows)
