@@ -51,6 +51,12 @@ def integer_of(value: Column) -> Column:
     return F.coalesce(exact, whole.cast("long"), spelled)
 
 
+def seconds_of(value: Column, label: str) -> Column:
+    """Seconds as a number or a text that spells one; an error that names the setting for anything else."""
+    got = number_of(value)
+    return F.when(got.isNotNull(), got).otherwise(F.raise_error(F.lit(f"{label} must be numeric")).cast("double"))
+
+
 def text_of(value: Column) -> Column:
     """A trimmed text that is not empty, or a number as text; anything else is null."""
     return F.when(kind_of(value) == "STRING", F.nullif(F.trim(part(value, "$", "string")), F.lit(""))).when(is_number(value), F.to_json(value))

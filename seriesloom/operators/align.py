@@ -150,6 +150,16 @@ def choose_stream(scored: DataFrame, clip: str = "clip") -> DataFrame:
     return scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+def chosen_streams(clips: DataFrame, scored: DataFrame, overrides: DataFrame, clip: str = "clip") -> DataFrame:
+    """``stream`` and ``forced`` of every clip: the override, else the stream with the highest score, else 0.
+
+    ``overrides`` has the clip and ``override``; of equal scores the lowest index counts.
+    """
+    best = scored.groupBy(clip).agg(F.max_by("index", F.struct(F.col("score"), -F.col("index"))).alias("_b"))
+    both = clips.select(clip).join(overrides.select(clip, "override"), clip, "left").join(best, clip, "left")
+    return both.select(clip, F.coalesce("override", "_b", F.lit(0)).cast("long").alias("stream"), F.col("override").isNotNull().alias("forced"))
+
+
 def default_stream(streams: DataFrame, group: str) -> DataFrame:
     """Index of each group's first default stream, else of its first one, else 0, as ``stream``."""
     first = F.min(F.when(F.col("is_default"), F.col("idx")))

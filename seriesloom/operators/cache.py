@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Version of metric documents that can be reused.
@@ -59,3 +59,21 @@ def same_plan(left: str, right: str, names: list[str]) -> Column:
     for n in names:
         out = out & F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}"))
     return out
+
+
+def file_inputs(spark: SparkSession, root: str, with_sha1: bool = True) -> DataFrame:
+    """``path``, ``name``, ``size``, ``mtime`` and ``sha1`` of every file below a folder.
+
+    Files are read whole, one to a row, so a digest is for files that fit into a
+    row (2 GB); without ``with_sha1`` contents are not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    digest = F.sha1("content") if with_sha1 else F.lit(None).cast("string")
+    mtime = F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("size"), mtime.alias("mtime"), digest.alias("sha1"))
+
+
+def selection_key(clips: Column, config: Column, source: Column) -> Column:
+    """Key of a cached selection: the hash of its clips' identities, configuration and source as JSON."""
+    whole = F.to_json(F.struct(clips.alias("clips"), config.alias("config_hash"), source.alias("selection_source")), {"ignoreNullFields": "false"})
+    return F.concat(F.lit("sha256:"), F.sha2(whole, 256))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import sent_if_small
+
 # Codes of matrix, primaries, transfer and range, and the names they go by (ITU-T H.273).
 MATRIX = {"rgb": 0, "bt709": 1, "bt.709": 1, "709": 1, "bt470bg": 5, "470bg": 5, "smpte170m": 6, "170m": 6, "bt601": 6, "601": 6, "bt2020": 9, "bt.2020": 9, "2020": 9, "2020ncl": 9}
 PRIMARIES = {"bt709": 1, "bt.709": 1, "709": 1, "bt470bg": 5, "470bg": 5, "smpte170m": 6, "170m": 6, "bt601": 6, "601": 6, "bt2020": 9, "bt.2020": 9, "2020": 9}
@@ -27,6 +29,21 @@ def color_codes(props: Column) -> dict[str, Column]:
     return {"matrix": get("_Matrix", MATRIX), "primaries": get("_Primaries", PRIMARIES), "transfer": get("_Transfer", TRANSFER), "color_range": get("_ColorRange", RANGE)}
 
 
+def color_overrides(files: DataFrame, row_id: str, file: str, overrides: DataFrame) -> DataFrame:
+    """``row_id`` and the codes that the first fitting entry sets: that of the file, of its name, or of ``*``.
+
+    ``overrides`` has ``key`` and texts or numbers ``matrix``, ``primaries``,
+    ``transfer`` and ``range``; empty ones, and names that mean no code, are null.
+    Keys count as they are written. Files without an entry have no row.
+    """
+    keys = F.array(F.col(file), F.regexp_extract(file, r"([^/]*)$", 1), F.lit("*"))
+    asked = files.select(row_id, F.posexplode(keys).alias("_p", "key")).where("key <> ''")
+    found = asked.join(sent_if_small(overrides), "key")
+    first = found.groupBy(row_id).agg(F.min_by(F.struct("matrix", "primaries", "transfer", "range"), "_p").alias("o"))
+    tables = {"matrix": MATRIX, "primaries": PRIMARIES, "transfer": TRANSFER, "range": RANGE}
+    return first.select(row_id, *[code(F.col(f"o.{c}").cast("string"), names).alias(c) for c, names in tables.items()])
+
+
 def signals_hdr(props: Column) -> Column:
     """Whether primaries, transfer or a mastering key say HDR."""
     codes = color_codes(props)

@@ -83,3 +83,11 @@ def collect_metrics(planes: DataFrame, plane: str, width: int, clip: str, order:
     total = F.aggregate("_p", F.lit(0.0), lambda z, x: z + x.cast("double"))
     motion = F.coalesce(difference(F.col("_p"), F.col("_before"), width, edges, bits), F.lit(0.0))
     return rows.select("clip", "frame", (F.try_divide(total, F.size("_p")) / top).alias("brightness"), motion.alias("motion"))
+
+
+def verification(now: Column, other: Column, bits: int | None = None) -> tuple[Column, Column]:
+    """Mean and largest absolute difference of two planes; shares of the largest code with ``bits``."""
+    top = float((1 << bits) - 1) if bits else 1.0
+    diff = F.zip_with(now, other, lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    total = F.aggregate(diff, F.lit(0.0), lambda z, x: z + x)
+    return F.try_divide(total, F.size(diff)) / top, F.array_max(diff) / top

@@ -48,3 +48,17 @@ def render_plan(frames: DataFrame, encodes: DataFrame) -> DataFrame:
     names = encodes.groupBy().agg(F.collect_set("encode").alias("encodes"))
     every = frames.crossJoin(names).withColumn("encode", F.explode("encodes")).drop("encodes")
     return every.withColumn("name", S.image_name(F.col("frame"), F.col("encode")))
+
+
+def alignment_block(measured: DataFrame, by: str) -> DataFrame:
+    """``by`` and maps by label: ``offsets_sec``, ``offsets_frames`` (where measured) and all ``measurements``.
+
+    ``measured`` has ``label``, ``stream``, ``seconds``, ``frames``,
+    ``correlation``, ``status``, ``applied`` and ``note``; of equal labels the
+    first ``pos`` counts. A group has the clips that are compared with each other.
+    """
+    fields = ("stream", "seconds", "frames", "correlation", "status", "applied", "note")
+    one = measured.groupBy(by, "label").agg(F.min_by(F.struct(*fields), "pos").alias("m"))
+    listed = one.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("label", "m"))).alias("all"))
+    pick = lambda f: F.map_from_entries(F.transform(F.filter("all", lambda x: x["m"][f].isNotNull()), lambda x: F.struct(x["label"], x["m"][f])))
+    return listed.select(by, pick("seconds").alias("offsets_sec"), pick("frames").alias("offsets_frames"), F.map_from_entries("all").alias("measurements"))

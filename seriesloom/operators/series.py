@@ -119,6 +119,21 @@ def verify_frame(series: DataFrame, value: str, threshold: float) -> DataFrame:
     return picks.select("clip", F.coalesce("first_hit", "top", "middle").cast("long").alias("frame"))
 
 
+def verify_choice(series: DataFrame, clips: DataFrame, value: str, threshold: float) -> DataFrame:
+    """``clip``, ``frame`` and whether it was found by looking: as asked, else the middle, else as ``verify_frame``.
+
+    ``clips`` has ``clip``, ``num_frames``, ``manual`` (a frame, cut to the clip,
+    or null) and ``auto``. A clip without frames is verified on frame 0.
+    """
+    last = F.greatest(F.lit(0), F.col("num_frames") - 1)
+    found = clips.join(verify_frame(series, value, threshold).withColumnRenamed("frame", "_f"), "clip", "left")
+    asked = F.col("manual").isNotNull()
+    looked = ~asked & F.col("auto") & (F.col("num_frames") > 0) & F.col("_f").isNotNull()
+    middle = F.least(last, F.floor(F.col("num_frames") / 2))
+    frame = F.when(F.col("num_frames") <= 0, 0).when(asked, F.greatest(F.lit(0), F.least(F.col("manual"), last))).when(looked, F.col("_f")).otherwise(middle)
+    return found.select("clip", frame.cast("long").alias("frame"), looked.alias("auto_selected"))
+
+
 def trim_clips(series: DataFrame, clips: DataFrame) -> DataFrame:
     """Frames after trimming: ``trim`` frames cut off at the start, or as many blank ones put before it if negative.
 

@@ -39,12 +39,18 @@ def selection_windows(clips: DataFrame, lead: float, trail: float, shortest: flo
     return base.withColumn("end_frame", forced.cast("long")).drop("_f", "_n", "_d", "_s0", "_e0")
 
 
-def common_window(windows: DataFrame, by: str | None = None) -> DataFrame:
-    """Intersection of windows; the whole shortest clip where it is empty (``collapsed``)."""
+def common_window(windows: DataFrame, by: str | None = None, strict: bool = False) -> DataFrame:
+    """Intersection of windows; the whole shortest clip where it is empty (``collapsed``).
+
+    With ``strict`` a group whose shortest clip has no frames is an error.
+    """
     grouped = windows.groupBy(by) if by else windows.groupBy()
     met = grouped.agg(F.max("start_frame").alias("_s"), F.min("end_frame").alias("_e"), F.min("num_frames").alias("_n"))
     gone = F.col("_e") <= F.col("_s")
     keys = [by] if by else []
+    if strict:
+        none = gone & (F.coalesce("_n", F.lit(0)) <= 0)
+        met = met.withColumn("_n", F.when(none, F.raise_error(F.lit("no frames are left to select from")).cast("long")).otherwise(F.col("_n")))
     return met.select(
         *keys, F.when(gone, F.lit(0)).otherwise(F.col("_s")).cast("long").alias("start_frame"), F.when(gone, F.col("_n")).otherwise(F.col("_e")).cast("long").alias("end_frame"), gone.alias("collapsed")
     )

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seriesloom.functions import display as D
 from seriesloom.functions import scalar as S
 from seriesloom.functions import variants as V
-from seriesloom.operators import align, cache, geometry, lookup, metadata
+from seriesloom.operators import align, cache, geometry, lookup, metadata, planes, report, series
+from seriesloom.operators.ordering import shared_folder
 
 from .label_queries import nth, txt
-from .queries import _CROP, geom_of, offsets_of, query, table
+from .queries import _CROP, FRAMES, frames_of, geom_of, offsets_of, query, table
 
 
 @query(r"""WITH t AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN value::VARCHAR WHEN 1 THEN (floor(value) * 1000)::BIGINT::VARCHAR WHEN 2 THEN '"1,' || lpad((event_id % 1000)::VARCHAR, 3, '0') || '"' WHEN 3 THEN '" Yes "'
@@ -134,3 +137,82 @@ def known_names(spark, d):
     c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
     one = lambda a, b, name: lookup.all_known(a, b, "c_custkey").withColumnRenamed("all_known", name)
     return one(c, o, "customers").crossJoin(one(o, c, "orders"))  # one row each
+
+
+@query("""WITH l AS (SELECT vec_id, label, embedding AS a, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
+    x AS (SELECT vec_id, CASE WHEN b IS NOT NULL THEN list_transform(list_zip(a, b), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE)) END AS v FROM l)
+    SELECT vec_id, round(list_sum(v) / len(v) / 255, 9) AS average, round(list_max(v) / 255, 9) AS maximum FROM x""")
+def plane_verification(spark, d):
+    """Difference to the plane before on the scale of 8 bits."""
+    rows = series.with_previous(table(spark, d, "embeddings"), "embedding", "vec_id", "label", "_before")
+    average, most = planes.verification(F.col("embedding"), F.col("_before"), 8)
+    return rows.select("vec_id", F.round(average, 9).alias("average"), F.round(most, 9).alias("maximum"))
+
+
+@query(f"""WITH {FRAMES}, c AS (SELECT clip, count(*) AS n, coalesce(min(CASE WHEN luma >= 0.5 THEN frame END), arg_max(frame, (luma, -frame))) AS hit FROM f GROUP BY clip)
+    SELECT clip, CASE clip WHEN 'click' THEN n - 1 WHEN 'error' THEN n // 2 ELSE hit END AS frame, clip NOT IN ('click', 'error') AS auto_selected FROM c""")
+def verify_choice(spark, d):
+    """The frame to verify on: one clip asks for one beyond its end, one for the middle."""
+    f = frames_of(spark, d)
+    clips = f.groupBy("clip").agg(F.count("*").alias("num_frames"))
+    clips = clips.select("clip", "num_frames", F.when(F.col("clip") == "click", 1 << 40).alias("manual"), (F.col("clip") != "error").alias("auto"))
+    return series.verify_choice(f, clips, "luma", 0.5)
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 9 WHEN s_suppkey % 3 = 1 THEN 1 ELSE 6 END AS matrix, CASE WHEN s_suppkey % 3 = 0 THEN 9 END AS primaries, CASE WHEN s_suppkey % 3 = 0 THEN 16 WHEN s_suppkey % 3 = 2 THEN 1 END AS transfer, CASE WHEN s_suppkey % 3 = 1 THEN 0 END AS range FROM supplier""")
+def color_override(spark, d):
+    """Colour codes set for a whole path, for a file name, or for all files."""
+    k = F.col("s_suppkey")
+    files = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("/media/"), "s_name").alias("file"))
+    entry = lambda rows, key, *v: rows.select(key.alias("key"), *[F.lit(x).cast("string").alias(n) for x, n in zip(v, ("matrix", "primaries", "transfer", "range"))])
+    own = files.where(k % 3 == 0)
+    known = entry(own, F.col("file"), "BT2020", 9, "pq", "").unionByName(entry(files.where(k % 3 == 1), F.regexp_extract("file", "([^/]*)$", 1), "709", "none of them", None, "full"))
+    known = known.unionByName(entry(spark.range(1), F.lit("*"), 6, None, "bt1886", None))
+    return metadata.color_overrides(files, "s_suppkey", "file", known)
+
+
+@query("""WITH c AS (SELECT DISTINCT o_custkey AS clip FROM orders), s AS (SELECT o_custkey AS clip, arg_max(o_orderkey, (round(o_totalprice, 2), -o_orderkey)) AS best FROM orders WHERE o_custkey % 4 <> 1 GROUP BY 1)
+    SELECT c.clip, CASE WHEN c.clip % 5 = 0 THEN 3 ELSE coalesce(best, 0) END AS stream, c.clip % 5 = 0 AS forced FROM c LEFT JOIN s ON s.clip = c.clip""")
+def chosen_streams(spark, d):
+    """Streams by override, by score, or the first of clips that have none."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("clip"), F.col("o_orderkey").alias("index"), F.round("o_totalprice", 2).alias("score"))
+    clips = o.select("clip").distinct()
+    overrides = clips.where("clip % 5 = 0").withColumn("override", F.lit(3).cast("long"))
+    return align.chosen_streams(clips, o.where("clip % 4 <> 1"), overrides)
+
+
+@query("""WITH m AS (SELECT o_custkey % 50 AS grp, 'clip ' || o_custkey AS label, arg_min(CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey / 8.0::DOUBLE END, o_orderkey) AS sec0, min(o_orderkey) AS k FROM orders GROUP BY ALL),
+    x AS (SELECT grp, label, CASE WHEN k % 7 > 0 THEN k / 8.0::DOUBLE END AS seconds, CASE WHEN k % 3 > 0 THEN k END AS frames FROM m)
+    SELECT grp, count(*) AS clips, array_to_string(list(label || '=' || printf('%.3f', seconds) ORDER BY label) FILTER (seconds IS NOT NULL), ',') AS offsets_sec,
+           array_to_string(list(label || '=' || frames ORDER BY label) FILTER (frames IS NOT NULL), ',') AS offsets_frames FROM x GROUP BY grp""")
+def alignment_blocks(spark, d):
+    """Offsets of the clips of a group by label, from each clip's first measurement."""
+    k = F.col("o_orderkey")
+    none = lambda t: F.lit(None).cast(t)
+    m = table(spark, d, "orders").select(
+        (F.col("o_custkey") % 50).alias("grp"), F.concat(F.lit("clip "), txt("o_custkey")).alias("label"), k.alias("pos"), F.lit(0).alias("stream"), F.when(k % 7 > 0, k / 8).alias("seconds"),
+        F.when(k % 3 > 0, k).alias("frames"), none("double").alias("correlation"), F.lit("auto").alias("status"), F.lit(True).alias("applied"), none("string").alias("note"),
+    )
+    out = report.alignment_block(m, "grp")
+    flat = lambda c, shown: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), shown(e["value"]))), ",")
+    return out.select("grp", F.size("measurements").cast("long").alias("clips"), flat("offsets_sec", lambda v: F.format_string("%.3f", v)).alias("offsets_sec"), flat("offsets_frames", txt).alias("offsets_frames"))
+
+
+@query("""SELECT c_nationkey AS grp, sum(length(c_name) + 1) AS size, sha1(string_agg(c_name || chr(10), '' ORDER BY c_name)) AS sha1 FROM customer GROUP BY c_nationkey""")
+def file_digests(spark, d):
+    """Sizes and digests of files that were written from the customers of each nation."""
+    shared_folder(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_name").alias("value"))
+    # a file for each nation: its names in order, one to a line
+    rows.repartition("grp").sortWithinPartitions("grp", "value").write.partitionBy("grp").text(root)
+    found = cache.file_inputs(spark, root).where(F.col("name").startswith("part-"))
+    return found.select(F.regexp_extract("path", r"grp=(\d+)", 1).cast("long").alias("grp"), "size", "sha1")
+
+
+@query("""SELECT l_orderkey, 'sha256:' || sha256('{"clips":[' || string_agg('{"path":"' || l_partkey || '","size":' || l_suppkey || '}', ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || '],"config_hash":"c","selection_source":"s"}') AS key FROM lineitem GROUP BY l_orderkey""")
+def selection_keys(spark, d):
+    """Cache keys of orders as selections over the parts as clips."""
+    clips = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: F.struct(x["l_partkey"].cast("string").alias("path"), x["l_suppkey"].alias("size")))
+    listed = table(spark, d, "lineitem").groupBy("l_orderkey").agg(clips.alias("clips"))
+    return listed.select("l_orderkey", cache.selection_key(F.col("clips"), F.lit("c"), F.lit("s")).alias("key"))
