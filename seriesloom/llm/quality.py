@@ -272,7 +272,8 @@ def train(known: DataFrame, label: str = "label", features: str = "features", ki
 
     Class counts cover all rows; the driver gets at most two numbers for each of
     ``FEATURES`` and at most ``sample_rows`` rows, half of each class if there
-    are as many: those of the least hashes, found below a bound and not by a sort. The logistic curve is fitted on
+    are as many: those of the least hashes, found below a bound and not by a sort,
+    repeated rows once. The logistic curve is fitted on
     margins of models that left the row out, so that it holds for rows that were
     not seen. With no rows, or one class only, the score is a constant. The
     table is read three times; store it if it is dear.
@@ -286,10 +287,12 @@ def train(known: DataFrame, label: str = "label", features: str = "features", ki
     if not rows.all():
         return Model(np.zeros(FEATURES), 1.0, 40.0 if rows[1] or not rows.any() else -40.0, kind)
     half = sample_rows // 2
-    # the least hashes of each class lie below a bound that follows from its count; little more than is asked for passes it
-    bound = [min((1 << 63) - 1, -(1 << 63) + int((half + SURPLUS * math.sqrt(half)) / rows[k] * (1 << 64))) for k in (0, 1)]
-    passed = known.where(F.col("order") <= F.when(F.col("label") == 0, bound[0]).otherwise(bound[1]))
-    drawn = sorted((r.order, r.label, bytes(r.features)) for r in passed.toLocalIterator())
+    # the least hashes of each class lie below a bound that follows from their count; little more than is asked for passes it
+    drawable = known.withColumn("draw", F.xxhash64("order")).dropDuplicates(["label", "draw"])
+    sizes = {r.label: r["count"] for r in drawable.groupBy("label").count().collect()}
+    bound = [min((1 << 63) - 1, -(1 << 63) + int((half + SURPLUS * math.sqrt(half)) / sizes[k] * (1 << 64))) for k in (0, 1)]
+    passed = drawable.where(F.col("draw") <= F.when(F.col("label") == 0, bound[0]).otherwise(bound[1]))
+    drawn = sorted((r.draw, r.label, bytes(r.features)) for r in passed.toLocalIterator())
     got = sorted(x for k in (0, 1) for x in [r for r in drawn if r[1] == k][:half])
     y = np.array([1.0 if r[1] else -1.0 for r in got])
     found = [np.frombuffer(r[2], np.uint16) for r in got]
