@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.functions.display import blank_props
+
 from .ordering import block_window, in_blocks, numbered, own_rows
 from .quantiles import exact_quantiles
 
@@ -145,6 +147,44 @@ def trim_clips(series: DataFrame, clips: DataFrame) -> DataFrame:
     return own.unionByName(extra, allowMissingColumns=True)
 
 
+def prepare_clips(frames: DataFrame, clips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clips trimmed at both ends, led by blank frames, with their rate set anew: clips and frames.
+
+    ``clips`` has ``clip``, ``trim_start`` (negative: so many blank frames before
+    the first), ``trim_end`` (null: to the end; negative: so many frames off it; else the frame to stop before),
+    ``fps_num`` and ``fps_den`` (null: as they are in ``source_num`` and
+    ``source_den``) and ``props``, a map of the source's properties. The clips
+    come back with ``num_frames``, ``num``, ``den`` and ``blank_props``, what their blank frames carry;
+    frames as from ``trim_clips``. A rate whose denominator is not positive is an error.
+    """
+    total = frames.groupBy("clip").agg(F.count("*").alias("_n"))
+    known = clips.join(total, "clip", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    stop = F.when(F.col("trim_end").isNull(), F.col("_n")).when(F.col("trim_end") < 0, F.greatest(F.lit(0), F.col("_n") + F.col("trim_end"))).otherwise(F.least("_n", "trim_end"))
+    known = known.withColumn("_stop", stop)
+    kept = frames.join(known.select("clip", "_stop"), "clip").where(F.col("frame") < F.col("_stop")).drop("_stop")
+    rows = trim_clips(kept, known.select("clip", F.coalesce("trim_start", F.lit(0)).alias("trim")))
+    den = F.when(F.col("fps_num").isNull(), F.col("source_den")).when(F.col("fps_den") > 0, F.col("fps_den")).otherwise(F.raise_error(F.lit("a rate's denominator must be positive")).cast("long"))
+    start = F.coalesce("trim_start", F.lit(0))
+    length = F.greatest(F.lit(0), F.col("_stop") - F.greatest(start, F.lit(0))) + F.greatest(F.lit(0), -start)
+    table = known.select("clip", length.cast("long").alias("num_frames"), F.coalesce("fps_num", "source_num").alias("num"), den.alias("den"), F.when(start < 0, blank_props(F.col("props"))).alias("blank_props"))
+    return table, rows
+
+
+def metrics_or_fallback(verdicts: DataFrame, stored: DataFrame, measured: DataFrame, frames: DataFrame) -> DataFrame:
+    """``clip``, ``frame``, ``brightness``, ``motion`` and their ``origin`` of every clip.
+
+    ``verdicts`` has ``clip`` and ``status``: reused clips come from ``stored``,
+    others from ``measured``, and clips that are in neither get made-up values for their ``frames``.
+    """
+    reused = verdicts.where("status = 'reused'").select("clip")
+    columns = ["clip", "frame", "brightness", "motion"]
+    old = stored.select(*columns).join(reused, "clip", "left_semi").withColumn("origin", F.lit("stored"))
+    new = measured.select(*columns).join(reused, "clip", "left_anti").withColumn("origin", F.lit("measured"))
+    found = old.unionByName(new)
+    rest = frames.select("clip", "frame").join(found.select("clip").distinct(), "clip", "left_anti")
+    return found.unionByName(fallback_metrics(rest).select(*columns).withColumn("origin", F.lit("made up")))
+
+
 def slice_clips(frames: DataFrame, start: int, end: int | None = None) -> DataFrame:
     """Frames from ``start`` up to ``end``, counted from the end of the clip if negative, numbered anew."""
     total = frames.groupBy("clip").agg((F.max("frame") + 1).alias("_n"))

@@ -557,7 +557,7 @@ _SIM = """l AS (SELECT n_name AS a, r_name AS b, lower(n_name) AS x, lower(r_nam
 
 @query(f"WITH RECURSIVE {_SIM} SELECT a AS left_title, b AS right_title, round(CASE WHEN x = y THEN 1.0 ELSE n / length(t) END, 9) AS similarity FROM w WHERE i = length(s) + 1")
 def title_similarity(spark, d):
-    pairs = table(spark, d, "nation").select(F.col("n_name").alias("left_title")).crossJoin(F.broadcast(table(spark, d, "region").select(F.col("r_name").alias("right_title"))))
+    pairs = table(spark, d, "nation").select(F.col("n_name").alias("left_title")).crossJoin(lookup.sent_if_small(table(spark, d, "region").select(F.col("r_name").alias("right_title"))))
     return pairs.select("left_title", "right_title", F.round(S.similarity(F.lower("left_title"), F.lower("right_title")), 9).alias("similarity"))
 
 

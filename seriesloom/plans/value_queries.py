@@ -216,3 +216,74 @@ def selection_keys(spark, d):
     clips = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: F.struct(x["l_partkey"].cast("string").alias("path"), x["l_suppkey"].alias("size")))
     listed = table(spark, d, "lineitem").groupBy("l_orderkey").agg(clips.alias("clips"))
     return listed.select("l_orderkey", cache.selection_key(F.col("clips"), F.lit("c"), F.lit("s")).alias("key"))
+
+
+_CLIPS = """c AS (SELECT clip, count(*) AS n, row_number() OVER (ORDER BY clip) - 1 AS k FROM f GROUP BY clip),
+    p AS (SELECT clip, n, [12, -8, 0, -3, 5][k + 1] AS a, [NULL, -20, 50, NULL, 100000][k + 1] AS e, k FROM c),
+    q AS (SELECT *, CASE WHEN e IS NULL THEN n WHEN e < 0 THEN n + e ELSE least(n, e) END AS stop FROM p)"""
+
+
+def _prepared(spark, d):
+    f = frames_of(spark, d).select("clip", "frame", F.round("luma", 9).alias("luma"))
+    names = f.groupBy().agg(F.array_sort(F.collect_set("clip")).alias("c")).select(F.posexplode("c").alias("k", "clip"))  # event types, a fixed few
+    long = lambda *xs: F.element_at(F.array(*[F.lit(x).cast("long") for x in xs]), F.col("k") + 1)
+    props = F.create_map(F.lit("_Matrix"), F.lit("9"), F.lit("Note"), F.lit("x"))
+    clips = names.select("clip", long(12, -8, 0, -3, 5).alias("trim_start"), long(None, -20, 50, None, 100000).alias("trim_end"), long(None, 25, None, None, 30).alias("fps_num"), long(None, 1, None, None, 1).alias("fps_den"), F.lit(24000).cast("long").alias("source_num"), F.lit(1001).cast("long").alias("source_den"), props.alias("props"))
+    return series.prepare_clips(f, clips)
+
+
+@query(f"""WITH {FRAMES}, {_CLIPS} SELECT clip, greatest(0, stop - greatest(a, 0)) + greatest(0, -a) AS num_frames, CASE WHEN k = 1 THEN 25 WHEN k = 4 THEN 30 ELSE 24000 END AS num, CASE WHEN k IN (1, 4) THEN 1 ELSE 1001 END AS den,
+    CASE WHEN a < 0 THEN '_Matrix' END AS kept FROM q""")
+def prepared_clips(spark, d):
+    """Lengths, rates and the properties of blank frames of clips trimmed at both ends."""
+    clips = _prepared(spark, d)[0]
+    return clips.select("clip", "num_frames", "num", "den", F.when(F.col("blank_props").isNotNull(), F.array_join(F.map_keys("blank_props"), ",")).alias("kept"))
+
+
+@query(f"""WITH {FRAMES}, {_CLIPS} SELECT f.clip, frame - a AS frame, round(luma, 9) AS luma, false AS blank FROM f JOIN q ON q.clip = f.clip WHERE frame < stop AND frame >= a
+    UNION ALL SELECT clip, unnest(range(-a)), NULL, true FROM q WHERE a < 0""")
+def prepared_frames(spark, d):
+    return _prepared(spark, d)[1].select("clip", "frame", "luma", "blank")
+
+
+@query(f"""WITH {FRAMES} SELECT clip, frame, round(CASE WHEN clip = 'click' THEN luma WHEN clip = 'error' THEN luma / 2 ELSE (sin(frame * 0.137) + 1) / 2 END, 9) AS brightness,
+    round(CASE WHEN clip = 'click' THEN motion WHEN clip = 'error' THEN 0 ELSE (cos(frame * 0.21) + 1) / 2 END, 9) AS motion, CASE clip WHEN 'click' THEN 'stored' WHEN 'error' THEN 'measured' ELSE 'made up' END AS origin FROM g""")
+def collected_metrics(spark, d):
+    """Metrics of each clip from where they are to be had: stored, measured, or made up."""
+    from .queries import motion_of
+
+    m = motion_of(spark, d)
+    stored = m.where("clip in ('click', 'error')").select("clip", "frame", F.col("luma").alias("brightness"), "motion")
+    measured = m.where("clip in ('click', 'error')").select("clip", "frame", (F.col("luma") / 2).alias("brightness"), F.lit(0.0).alias("motion"))
+    verdicts = m.select("clip").distinct().withColumn("status", F.when(F.col("clip") == "click", "reused").otherwise("stale"))
+    got = series.metrics_or_fallback(verdicts, stored, measured, m)
+    return got.select("clip", "frame", F.round("brightness", 9).alias("brightness"), F.round("motion", 9).alias("motion"), "origin")
+
+
+@query("""WITH l AS (SELECT l_orderkey, list(l_linenumber::VARCHAR ORDER BY l_linenumber, l_partkey) AS v FROM lineitem GROUP BY l_orderkey)
+    SELECT l_orderkey, CASE WHEN len(v) <= 3 THEN array_to_string(v, ', ') ELSE array_to_string(list_concat(list_concat(v[1:2], ['…']), v[-1:]), ', ') END AS folded FROM l""")
+def folded_lists(spark, d):
+    """Line numbers of an order, the middle of long lists left out."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_linenumber"].cast("string"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(listed.alias("v")).select("l_orderkey", S.fold_sequence(F.col("v"), 2, 1).alias("folded"))
+
+
+@query("""WITH k AS (SELECT p_partkey, (1850 + p_partkey % 300) AS y, 540 + (p_partkey % 97) * 7 AS h, p_partkey % 3 AS sw, p_partkey % 2 AS sh, p_partkey % 5 = 0 AS v, p_partkey % 7 = 0 AS o FROM part)
+    SELECT p_partkey, CASE WHEN y BETWEEN 1900 AND 2100 THEN y END AS year, h - h % 2 AS even, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE v AND sh > 0 OR o AND sw > 0 END AS full_chroma FROM k""")
+def hints_and_parities(spark, d):
+    """Years in texts, even sizes, and whether odd sides call for full chroma by policy or format."""
+    k = F.col("p_partkey")
+    policy = nth(k, "force_full_chroma", "subsamp_safe", "auto", "auto")
+    return geom_of(spark, d).select(F.col("clip").alias("p_partkey"), "height").select(
+        "p_partkey", S.year_hint(F.concat(F.lit(" "), txt(1850 + k % 300))).alias("year"), S.even_floor(F.col("height")).alias("even"),
+        geometry.needs_full_chroma(k % 5 == 0, k % 7 == 0, k % 3, k % 2, policy).alias("full_chroma"),
+    )
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY lower(c_mktsegment), c_custkey) AS place FROM customer")
+def names_in_order(spark, d):
+    """Places of names sorted in any case, then by number."""
+    from seriesloom.operators.ordering import numbered
+
+    c = table(spark, d, "customer").select("c_custkey", F.lower("c_mktsegment").alias("n"))
+    return numbered(c, [], ["n", "c_custkey"], "place").select("c_custkey", (F.col("place") + 1).alias("place"))
