@@ -183,8 +183,8 @@ def chosen_streams(spark, d):
 
 @query("""WITH m AS (SELECT o_custkey % 50 AS grp, 'clip ' || o_custkey AS label, arg_min(CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey / 8.0::DOUBLE END, o_orderkey) AS sec0, min(o_orderkey) AS k FROM orders GROUP BY ALL),
     x AS (SELECT grp, label, CASE WHEN k % 7 > 0 THEN k / 8.0::DOUBLE END AS seconds, CASE WHEN k % 3 > 0 THEN k END AS frames FROM m)
-    SELECT grp, count(*) AS clips, array_to_string(list(label || '=' || printf('%.3f', seconds) ORDER BY label) FILTER (seconds IS NOT NULL), ',') AS offsets_sec,
-           array_to_string(list(label || '=' || frames ORDER BY label) FILTER (frames IS NOT NULL), ',') AS offsets_frames FROM x GROUP BY grp""")
+    SELECT grp, count(*) AS clips, coalesce(array_to_string(list(label || '=' || printf('%.3f', seconds) ORDER BY label) FILTER (seconds IS NOT NULL), ','), '') AS offsets_sec,
+           coalesce(array_to_string(list(label || '=' || frames ORDER BY label) FILTER (frames IS NOT NULL), ','), '') AS offsets_frames FROM x GROUP BY grp""")
 def alignment_blocks(spark, d):
     """Offsets of the clips of a group by label, from each clip's first measurement."""
     k = F.col("o_orderkey")
