@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import warnings
@@ -157,4 +158,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release_memory()
+
+
+def release_memory() -> None:
+    """Hand back to the system what a worker, which later tasks use again, no longer needs."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library may have none
+    if trim is not None:
+        trim(0)
