@@ -26,7 +26,7 @@ from .common import pick, small_batches, text_slices
 #: A rest of at most this many tokens is not cut further.
 SHORT = 256
 #: Whitespace-separated chunks kept with their ids by each Python worker, twice: those met lately, and those before.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 120_000
 CACHE_CHARS = 48
 
 #: Marks that often end a word, and words that certainly are letters to the tokenizer.
