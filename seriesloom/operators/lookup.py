@@ -12,8 +12,16 @@ SENT_ROWS = 500_000
 
 
 def sent_if_small(table: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if it is counted to be small, else unhinted."""
-    return F.broadcast(table) if table.limit(SENT_ROWS + 1).count() <= SENT_ROWS else table
+    """The table with a broadcast hint if it is counted to be small, else to be shuffled.
+
+    Without a hint Spark would send a larger one too, if its files are small.
+    """
+    return F.broadcast(table) if table.limit(SENT_ROWS + 1).count() <= SENT_ROWS else shuffled(table)
+
+
+def shuffled(table: DataFrame) -> DataFrame:
+    """The table, to be joined by shuffle: sizes estimated from compressed files may be far too small to send it by."""
+    return table.hint("merge")
 
 
 def normal_overrides(raw: DataFrame) -> DataFrame:

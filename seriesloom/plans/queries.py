@@ -667,15 +667,18 @@ _SEARCH = r"""f AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_nam
 
 
 def search_of(spark, d):
-    files, entries = titled_files(spark, d), catalogue_of(spark, d).drop("_plain")
+    """Files, one for each title and year, their members, the catalogue and the scored results of these files."""
+    files, members = search.alike_files(titled_files(spark, d))
+    entries = cut(catalogue_of(spark, d).drop("_plain"))
     plans = cut(match.query_plans(files, ("MOVIE", "TV"), 1))
-    return files, entries, search.score_results(search.search(plans, entries), plans, files, entries)
+    return files, members, entries, cut(search.score_results(cut(search.search(plans, entries)), plans, files, entries))
 
 
 @query(f"WITH RECURSIVE {_SEARCH} SELECT id, plan_no, place, cand, score, reason FROM sc")
 def title_search(spark, d):
     """What every plan of every file finds in the catalogue, scored."""
-    return search_of(spark, d)[2].select("id", "plan_no", "place", "cand", "score", "reason")
+    _, members, _, scored = search_of(spark, d)
+    return search.for_members(scored, members).select("id", "plan_no", "place", "cand", "score", "reason")
 
 
 @query(f"""WITH RECURSIVE {_SEARCH},
@@ -693,9 +696,10 @@ def title_search(spark, d):
     SELECT id, cand, plan_no, score, round(score - coalesce(nxt, 0), 9) AS margin, nxt IS NOT NULL AND round(score - nxt, 9) < 0.08 AS ambiguous, reason FROM o WHERE r = 1""")
 def resolved_titles(spark, d):
     """The entry each file resolves to, with other titles of every seventh entry."""
-    files, entries, scored = search_of(spark, d)
+    files, members, entries, scored = search_of(spark, d)
     other = catalogue_of(spark, d).where("cand % 7 = 0").select("cand", F.concat("_plain", F.lit(" part 2")).alias("alias"))
-    return search.resolve_titles(scored, files, entries, other)
+    won = cut(search.resolve_titles(scored, files, entries, other))
+    return search.for_members(won, members).select(*won.columns)
 
 
 @query("""WITH t AS (SELECT n_nationkey AS id, n_name || ': part ii' AS title, CASE WHEN n_nationkey % 2 = 0 THEN 2000 END AS year FROM nation),
