@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.scalar import normal_title, primary_title, reduced_words, roman_value, similarity
 
+from .lookup import sent_if_small
+from .ordering import cut
+
 #: Least score of a match, score that ends the search, and margin below which a match is ambiguous.
 LEAST, SURE, MARGIN = 0.45, 0.92, 0.08
 ROMAN = r"(?i)\b([ivxlcdm]+)\b"
@@ -46,6 +49,26 @@ def score_candidates(pairs: DataFrame, tolerance: int = 2) -> DataFrame:
     return pairs.withColumn("score", similarity(q, t) + year_and_fame(tolerance))
 
 
+def score_all(asked: DataFrame, candidates: DataFrame, tolerance: int = 2) -> DataFrame:
+    """``candidates`` for each different ``query`` and ``year``, as ``ask``, with their ``score``: every pair, none left out.
+
+    Titles are compared once for each two different ones. The result is written
+    to the shared folder; rows of ``asked`` are joined to it by ``ask_of``.
+    """
+    q, t = normal_title(F.col("query")), normal_title(F.col("title"))
+    entries = candidates.withColumn("_t", t)
+    names, titles = asked.select(q.alias("_q")).distinct(), entries.select("_t").distinct()
+    alike = cut(names.crossJoin(sent_if_small(titles)).withColumn("_s", similarity(F.col("_q"), F.col("_t"))))
+    asks = asked.select("query", "year").distinct().select("query", "year", ask_of(), q.alias("_q"))
+    pairs = asks.join(sent_if_small(alike), "_q").join(sent_if_small(entries), "_t")
+    return cut(pairs.withColumn("score", F.col("_s") + year_and_fame(tolerance)).select("ask", *candidates.columns, "score"))
+
+
+def ask_of() -> Column:
+    """``ask``: what the score of a row depends on."""
+    return F.struct("query", "year").alias("ask")
+
+
 def year_and_fame(tolerance: int = 2) -> Column:
     """What ``year`` against ``candidate_year``, ``category`` with ``place``, and ``popularity`` add to a score (fixed weights)."""
     gap = F.abs(F.col("candidate_year") - F.col("year"))
@@ -60,19 +83,17 @@ def year_and_fame(tolerance: int = 2) -> Column:
     return first_tv + by_year + fame
 
 
-def most_added(tolerance: int = 2) -> float:
-    """The most that ``year_and_fame`` adds."""
-    return 0.01 + 0.05 * (tolerance + 1) + 0.05
+def resolve(scored: DataFrame, key: str, candidate: str, among_all: bool = False) -> DataFrame:
+    """Best candidate of each key at or above ``LEAST``, its lead over the next such one or over nothing, and whether that next one is too near.
 
-
-def resolve(scored: DataFrame, key: str, candidate: str) -> DataFrame:
-    """Best candidate of each key at or above ``LEAST``, its lead over the next such one or over nothing, and whether that next one is too near."""
+    With ``among_all`` the next one is that of all candidates, and without one the lead is null.
+    """
     order = Window.partitionBy(key).orderBy(F.round("score", 9).desc(), candidate)
-    viable = scored.where(F.col("score") >= LEAST)
+    viable = scored if among_all else scored.where(F.col("score") >= LEAST)
     out = viable.withColumn("_r", F.row_number().over(order)).withColumn("_next", F.lead("score").over(order))
-    margin = F.col("score") - F.coalesce("_next", F.lit(0.0))
+    margin = F.col("score") - (F.col("_next") if among_all else F.coalesce("_next", F.lit(0.0)))
     near = F.col("_next").isNotNull() & (F.round(margin, 9) < MARGIN)
-    return out.where("_r = 1").select(key, candidate, "score", margin.alias("margin"), near.alias("ambiguous"), (F.col("score") >= SURE).alias("sure"))
+    return out.where((F.col("_r") == 1) & (F.col("score") >= LEAST)).select(key, candidate, "score", margin.alias("margin"), near.alias("ambiguous"), (F.col("score") >= SURE).alias("sure"))
 
 
 def expand_titles(title: Column) -> Column:

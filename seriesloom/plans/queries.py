@@ -602,27 +602,29 @@ _PAIRS = """q AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^0-9a-z
 
 
 def scored_of(spark, d):
+    """Parts with what they ask, and every entry's score for each different ask."""
     q = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("query"), (1990 + F.col("p_size") % 30).alias("year"))
     c = table(spark, d, "nation").select(
         F.col("n_nationkey").alias("cand"), F.col("n_name").alias("title"), F.when(F.col("n_nationkey") % 2 == 0, "TV").otherwise("MOVIE").alias("category"), (F.col("n_nationkey") % 3).alias("place"),
         F.when(F.col("n_nationkey") % 5 != 0, 1990 + F.col("n_nationkey")).alias("candidate_year"), (F.col("n_nationkey") * 1.5).alias("popularity"),
     )
-    # only pairs that can reach the least score, found through their titles' rare characters
-    found = search.similar_titles(q.select(S.normal_title(F.col("query")).alias("title")), c.select(S.normal_title(F.col("title")).alias("title")), match.LEAST - match.most_added())
-    asked, entries = q.withColumn("left_title", S.normal_title(F.col("query"))), c.withColumn("right_title", S.normal_title(F.col("title")))
-    pairs = asked.join(found.drop("similarity"), "left_title").join(entries, "right_title").drop("left_title", "right_title")
-    return match.score_candidates(pairs).where(F.round("score", 9) >= match.LEAST)
+    # a file of few row groups would be read, and joined, by few tasks
+    asked = q.select("p_partkey", match.ask_of()).repartition("p_partkey")
+    return asked, match.score_all(q, c)
 
 
-@query(f"WITH RECURSIVE {_PAIRS} SELECT p_partkey, cand, round(score, 6) AS score FROM sc WHERE round(score, 9) >= 0.45")
+@query(f"WITH RECURSIVE {_PAIRS} SELECT p_partkey, cand, round(score, 6) AS score FROM sc ")
 def title_score(spark, d):
-    return scored_of(spark, d).select("p_partkey", "cand", F.round("score", 6).alias("score"))
+    asked, scored = scored_of(spark, d)
+    return asked.join(lookup.sent_if_small(scored), "ask").select("p_partkey", "cand", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH RECURSIVE {_PAIRS}, o AS (SELECT *, row_number() OVER x AS k, lead(score) OVER x AS nxt FROM sc WHERE round(score, 9) >= 0.45 WINDOW x AS (PARTITION BY p_partkey ORDER BY round(score, 9) DESC, cand))
     SELECT p_partkey, cand, round(score, 6) AS score, round(score - coalesce(nxt, 0), 6) AS margin, nxt IS NOT NULL AND round(score - nxt, 9) < 0.08 AS ambiguous, round(score, 9) >= 0.92 AS sure FROM o WHERE k = 1""")
 def resolve_margin(spark, d):
-    got = match.resolve(scored_of(spark, d).withColumn("score", F.round("score", 9)), "p_partkey", "cand")
+    asked, scored = scored_of(spark, d)
+    won = cut(match.resolve(scored.withColumn("score", F.round("score", 9)), "ask", "cand"))
+    got = asked.join(lookup.sent_if_small(won), "ask")
     return got.select("p_partkey", "cand", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "ambiguous", "sure")
 
 

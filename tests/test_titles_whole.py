@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from seriesloom.operators import lookup, search
+from seriesloom.operators import lookup, match, search
 from seriesloom.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -29,3 +29,12 @@ def test_alike_files_are_searched_once(spark):
     found = spark.createDataFrame([(2, 50), (2, 51), (6, 52)], "id int, cand int")
     got = sorted((r.id, r.cand) for r in search.for_members(found, members).collect())
     assert got == [(2, 50), (2, 51), (4, 50), (4, 51), (6, 52), (7, 52)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are not there")
+def test_every_pair_of_part_and_nation_is_scored(spark):
+    con = duckdb.connect()
+    pairs = con.execute(f"SELECT p_partkey, n_nationkey FROM '{DATA}/part.parquet', '{DATA}/nation.parquet' ORDER BY ALL").fetchall()
+    got = QUERIES["title_score"](spark, DATA).collect()
+    assert sorted((r.p_partkey, r.cand) for r in got) == pairs
+    assert min(r.score for r in got) < match.LEAST
