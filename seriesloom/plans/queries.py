@@ -619,11 +619,11 @@ def title_score(spark, d):
     return asked.join(lookup.sent_if_small(scored), "ask").select("p_partkey", "cand", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, o AS (SELECT *, row_number() OVER x AS k, lead(score) OVER x AS nxt FROM sc WHERE round(score, 9) >= 0.45 WINDOW x AS (PARTITION BY p_partkey ORDER BY round(score, 9) DESC, cand))
-    SELECT p_partkey, cand, round(score, 6) AS score, round(score - coalesce(nxt, 0), 6) AS margin, nxt IS NOT NULL AND round(score - nxt, 9) < 0.08 AS ambiguous, round(score, 9) >= 0.92 AS sure FROM o WHERE k = 1""")
+@query(f"""WITH RECURSIVE {_PAIRS}, o AS (SELECT *, row_number() OVER x AS k, lead(score) OVER x AS nxt FROM sc WINDOW x AS (PARTITION BY p_partkey ORDER BY round(score, 9) DESC, cand))
+    SELECT p_partkey, cand, round(score, 6) AS score, round(score - nxt, 6) AS margin, coalesce(round(score - nxt, 9) < 0.08, false) AS ambiguous, round(score, 9) >= 0.92 AS sure FROM o WHERE k = 1 AND score >= 0.45""")
 def resolve_margin(spark, d):
     asked, scored = scored_of(spark, d)
-    won = cut(match.resolve(scored.withColumn("score", F.round("score", 9)), "ask", "cand"))
+    won = cut(match.resolve(scored.withColumn("score", F.round("score", 9)), "ask", "cand", among_all=True))
     got = asked.join(lookup.sent_if_small(won), "ask")
     return got.select("p_partkey", "cand", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "ambiguous", "sure")
 

@@ -38,3 +38,15 @@ def test_every_pair_of_part_and_nation_is_scored(spark):
     got = QUERIES["title_score"](spark, DATA).collect()
     assert sorted((r.p_partkey, r.cand) for r in got) == pairs
     assert min(r.score for r in got) < match.LEAST
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are not there")
+def test_the_lead_is_over_the_next_of_all_entries(spark):
+    scores: dict = {}
+    for r in QUERIES["title_score"](spark, DATA).collect():
+        scores.setdefault(r.p_partkey, []).append(r.score)
+    got = {r.p_partkey: r.margin for r in QUERIES["resolve_margin"](spark, DATA).collect()}
+    ranked = {k: sorted(v, reverse=True) for k, v in scores.items()}
+    assert set(got) == {k for k, v in ranked.items() if v[0] >= match.LEAST}
+    assert any(ranked[k][1] < match.LEAST for k in got)
+    assert all(abs(got[k] - (ranked[k][0] - ranked[k][1])) < 3e-6 for k in got)
