@@ -30,9 +30,14 @@ def is_number(value: Column) -> Column:
     return F.coalesce(kind_of(value).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.lit(False))
 
 
+def members_of(value: Column) -> Column:
+    """Members of an object by name, null if the value is none; only the object itself is looked at, not what it holds."""
+    return part(value, "$", "map<string,variant>")
+
+
 def filled(value: Column) -> Column:
     """The value if it is an object that holds anything, else null."""
-    return F.when((kind_of(value) == "OBJECT") & (F.to_json(value) != "{}"), value)
+    return F.when(F.size(members_of(value)) > 0, value)
 
 
 def number_of(value: Column) -> Column:
@@ -64,39 +69,40 @@ def text_of(value: Column) -> Column:
 
 def frames_of(document: Column) -> Column:
     """The objects of a document that is a list or holds one as ``frames``, in order; other entries are left out."""
-    listed = F.when(kind_of(document) == "ARRAY", part(document, "$", "array<variant>")).otherwise(part(document, "$.frames", "array<variant>"))
-    return F.filter(listed, lambda f: F.coalesce(kind_of(f) == "OBJECT", F.lit(False)))
+    listed = F.coalesce(part(document, "$", "array<variant>"), part(document, "$.frames", "array<variant>"))
+    return F.filter(listed, lambda f: members_of(f).isNotNull())
 
 
-def _counts_for(k: int):
-    """Test whether a block has the k-th level and none before it."""
+def _last_of(blocks: Column, k: int) -> Column:
+    """The k-th level of the last block that has it and none before it."""
 
     def holds(block: Column) -> Column:
-        out = part(block, f"$.{LEVELS[k]}").isNotNull()
+        out = block[LEVELS[k]].isNotNull()
         for earlier in LEVELS[:k]:
-            out = out & part(block, f"$.{earlier}").isNull()
+            out = out & block[earlier].isNull()
         return out
 
-    return holds
+    return F.try_element_at(F.filter(blocks, holds), F.lit(-1))[LEVELS[k]]
 
 
-def levels_of(frame: Column) -> dict[str, Column]:
-    """The object of each level of a frame.
+def with_levels(rows: DataFrame, frame: str) -> DataFrame:
+    """Rows with the object of each level of a frame, ``_Level1`` and so on.
 
     The frame's own data come before those of its nested record. The first level
     may stand in the data, else in a layer; a block of a later layer or place
     replaces what was found before. A block counts for its first level alone.
+    What is used more than once is a column of its own, so it is read once.
     """
-    data = F.coalesce(filled(part(frame, "$.vdr_dm_data")), part(frame, "$.rpu.vdr_dm_data"))
-    found: dict[str, Column] = {name: F.lit(None).cast("variant") for name in LEVELS}
-    found["Level1"] = part(data, "$.level1")
-    for layer in LAYERS:
-        found["Level1"] = F.coalesce(filled(found["Level1"]), part(data, f"$.{layer}.level1"))
-        blocks = part(data, f"$.{layer}.ext_metadata_blocks", "array<variant>")
-        for k, name in enumerate(LEVELS):
-            last = F.try_element_at(F.filter(blocks, _counts_for(k)), F.lit(-1))
-            found[name] = F.coalesce(part(last, f"$.{name}"), found[name])
-    return found
+    spread = lambda block: F.struct(*[part(block, f"$.{name}").alias(name) for name in LEVELS])
+    f, data, first = F.col(frame), F.col("_data"), F.col("_Level1")
+    rows = rows.withColumn("_own", part(f, "$.vdr_dm_data"))
+    rows = rows.withColumn("_data", F.coalesce(filled(F.col("_own")), part(f, "$.rpu.vdr_dm_data")))
+    rows = rows.withColumns({f"_blocks{i}": F.transform(part(data, f"$.{layer}.ext_metadata_blocks", "array<variant>"), spread) for i, layer in enumerate(LAYERS)})
+    rows = rows.withColumn("_Level1", part(data, "$.level1"))
+    for i, layer in enumerate(LAYERS):
+        rows = rows.withColumn("_Level1", F.coalesce(_last_of(F.col(f"_blocks{i}"), 0), filled(first), part(data, f"$.{layer}.level1")))
+    places = [F.col(f"_blocks{i}") for i in reversed(range(len(LAYERS)))]
+    return rows.withColumns({f"_{name}": F.coalesce(*[_last_of(b, k) for b in places]) for k, name in enumerate(LEVELS) if k})
 
 
 def frame_levels(documents: DataFrame, document: str, keys: list[str]) -> DataFrame:
@@ -104,17 +110,17 @@ def frame_levels(documents: DataFrame, document: str, keys: list[str]) -> DataFr
 
     ``document`` is a VARIANT column. Light in code values becomes nits.
     """
-    rows = documents.select(*keys, F.posexplode(frames_of(F.col(document))).alias("frame", "_f"))
-    rows = rows.withColumns({f"_{name}": level for name, level in levels_of(F.col("_f")).items()})
-    nits = lambda level, key: pq_to_nits(F.when(is_number(part(F.col(level), f"$.{key}")), part(F.col(level), f"$.{key}", "double")))
+    # the outer form, as Spark would read each document again for a filter on lists that are not empty
+    rows = documents.select(*keys, F.posexplode_outer(frames_of(F.col(document))).alias("frame", "_f")).where("frame is not null")
+    rows = with_levels(rows, "_f")
+    light = {"l1_min_nits": ("_Level1", "min_pq"), "l1_max_nits": ("_Level1", "max_pq"), "l1_avg_nits": ("_Level1", "avg_pq"), "l2_target_nits": ("_Level2", "target_max_pq")}
+    rows = rows.withColumns({f"_v_{name}": part(F.col(level), f"$.{key}") for name, (level, key) in light.items()})
+    rows = rows.withColumns({f"_n_{name}": F.when(is_number(F.col(f"_v_{name}")), part(F.col(f"_v_{name}"), "$", "double")) for name in light})
     plain = lambda level, key: part(F.col(level), f"$.{key}", "long")
     return rows.select(
         *keys,
         F.col("frame").cast("long").alias("frame"),
-        nits("_Level1", "min_pq").alias("l1_min_nits"),
-        nits("_Level1", "max_pq").alias("l1_max_nits"),
-        nits("_Level1", "avg_pq").alias("l1_avg_nits"),
-        nits("_Level2", "target_max_pq").alias("l2_target_nits"),
+        *[pq_to_nits(F.col(f"_n_{name}")).alias(name) for name in light],
         *[plain("_Level5", f"active_area_{side}_offset").alias(f"l5_{side}") for side in ("left", "right", "top", "bottom")],
         plain("_Level6", "max_content_light_level").alias("l6_max_cll"),
         plain("_Level6", "max_frame_average_light_level").alias("l6_max_fall"),

@@ -33,7 +33,9 @@ def layered(spark, d):
     at = lambda shift: F.replace(F.element_at(F.array(*[F.lit(x) for x in _LAYOUTS]), ((F.col("event_id") + shift) % len(_LAYOUTS) + 1).cast("int")), F.lit("#"), number)
     listed = F.concat(F.lit("["), at(0), F.lit(", 5, "), at(1), F.lit("]"))
     text = F.when(F.col("event_id") % 2 == 0, listed).otherwise(F.concat(F.lit('{"frames": '), listed, F.lit("}")))
-    return table(spark, d, "events").select("event_id", F.try_parse_json(text).alias("doc"))
+    # a file of few row groups would be read, and its documents parsed, by few tasks
+    spread = table(spark, d, "events").select("event_id", "props").repartition("event_id")
+    return spread.select("event_id", F.try_parse_json(text).alias("doc"))
 
 
 def _levels_sql() -> str:
