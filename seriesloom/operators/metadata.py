@@ -159,21 +159,23 @@ def dynamic_metadata(props: Column) -> Column:
     (those below 0 are passed over) and of level 6.
     """
     raw = lambda k: k.isin(*RPU_KEYS)
-    read = F.transform(
-        F.filter(F.map_entries(props), lambda e: ~raw(e["key"]) & F.lower(e["key"]).rlike("|".join(DYNAMIC_MARKS))),
-        lambda e: F.struct(_dynamic_field(F.lower(F.trim(e["key"]))).alias("field"), F.trim(e["value"]).try_cast("double").alias("value")),
-    )
-    of = lambda f: F.transform(F.filter(read, lambda e: e["field"] == f), lambda e: e["value"])
-    first = lambda f: F.get(F.filter(of(f), lambda v: v.isNotNull()), 0)
-    last = lambda c: F.try_element_at(c, F.lit(-1))
+    spelled = F.transform(F.map_entries(props), lambda e: F.struct(e["key"].alias("raw"), F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
+    marked = F.filter(spelled, lambda e: ~raw(e["raw"]) & e["key"].rlike("|".join(DYNAMIC_MARKS)))
+    read = F.transform(marked, lambda e: F.struct(_dynamic_field(e["key"]).alias("field"), _number(e["value"], "double").alias("value")))
+
+    def fields(known: Column) -> Column:
+        def value(f: str) -> Column:
+            if f.startswith("l5_"):
+                return F.try_element_at(F.filter(known, lambda e: (e["field"] == f) & (F.rint(e["value"]) >= 0)), F.lit(-1))["value"]
+            if f.startswith("l6_"):
+                return F.try_element_at(F.filter(known, lambda e: e["field"] == f), F.lit(-1))["value"]
+            return F.get(F.filter(known, lambda e: (e["field"] == f) & e["value"].isNotNull()), 0)["value"]
 
-    def value(f: str) -> Column:
-        if f.startswith("l5_"):
-            return last(F.filter(of(f), lambda v: F.rint(v) >= 0))
-        return last(of(f)) if f.startswith("l6_") else first(f)
+        present = F.when(F.exists(F.map_keys(props), raw), True).alias("rpu_present")
+        return F.struct(present, *[F.rint(value(f)).try_cast("long").alias(f) for f in WHOLE_FIELDS], *[value(f).alias(f) for f in OTHER_FIELDS])
 
-    present = F.when(F.exists(F.map_keys(props), raw), True).alias("rpu_present")
-    return F.struct(present, *[F.rint(value(f)).try_cast("long").alias(f) for f in WHOLE_FIELDS], *[value(f).alias(f) for f in OTHER_FIELDS])
+    # a list of one, so that all fields share one reading of the map
+    return F.get(F.transform(F.array(F.filter(read, lambda e: e["field"].isNotNull())), fields), 0)
 
 
 def static_metadata(props: Column) -> Column:
@@ -263,6 +265,12 @@ def normal_color(props: Column, overrides: Column, height: Column, yuv: Column,
     return F.struct(*[c.cast("int").alias(k) for k, c in out.items()])
 
 
+def _number(text: Column, kind: str) -> Column:
+    """A text as a number, or null; ``try_cast`` alone would throw and catch an exception for each text without any sign of one."""
+    signs = r"[0-9]" if kind == "long" else r"[0-9]|(?i:nan|inf)"
+    return F.when(text.rlike(signs), F.trim(text).try_cast(kind))
+
+
 STREAMS = "struct<streams:array<struct<index:string,codec_name:string,channels:string,channel_layout:string,sample_rate:string,bit_rate:string,tags:map<string,string>,disposition:map<string,string>>>>"
 
 
@@ -270,9 +278,10 @@ def audio_streams(documents: DataFrame, by: str, document: str) -> DataFrame:
     """A typed row for each audio stream that a probe's JSON text lists under an index of 0 or more; damaged texts give none."""
     s = F.col("_s")
     text = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    whole = lambda c: F.coalesce(F.trim(c).try_cast("long"), F.lit(0))
+    whole = lambda c: F.coalesce(_number(c, "long"), F.lit(0))
     mark = lambda m, k: F.try_element_at(m, F.lit(k))
-    rows = documents.select(by, F.explode(F.from_json(document, STREAMS)["streams"]).alias("_s")).where(F.trim(s["index"]).try_cast("long") >= 0)
+    # the outer form, as Spark would read each text again for a filter on lists that are not empty
+    rows = documents.select(by, F.explode_outer(F.from_json(document, STREAMS)["streams"]).alias("_s")).where(_number(s["index"], "long") >= 0)
     return rows.select(
         by, whole(s["index"]).alias("index"), text(mark(s["tags"], "language")).alias("language"), text(s["codec_name"]).alias("codec_name"), whole(s["channels"]).alias("channels"),
         text(s["channel_layout"]).alias("channel_layout"), whole(s["sample_rate"]).alias("sample_rate"), whole(s["bit_rate"]).alias("bitrate"),

@@ -114,7 +114,8 @@ def dynamic_of(spark, d):
         ("L5_right", F.lit("9")),
     ]
     props = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("n"), v.alias("v")) for n, v in pairs]), lambda e: e["v"].isNotNull()))
-    return table(spark, d, "events").select("event_id", props.alias("props"))
+    # a file of few row groups would be read, and its maps searched, by few tasks
+    return table(spark, d, "events").select("event_id", "user_id").repartition("event_id").select("event_id", props.alias("props"))
 
 
 _DYNAMIC = """e AS (SELECT event_id, user_id AS u, event_id % 4 AS bi, CASE WHEN event_id % 3 = 0 THEN user_id % 9 END AS bt, CASE WHEN event_id % 5 = 0 THEN user_id * 100 END AS tn, CASE WHEN event_id % 4 = 0 THEN user_id + 0.5 END AS la,
@@ -174,12 +175,16 @@ def normal_color(spark, d):
 @query("""SELECT o_orderkey AS clip, (l_linenumber - 1)::BIGINT AS index, CASE WHEN l_linenumber % 2 = 0 THEN 'eng' ELSE '' END AS language, lower(l_returnflag) AS codec_name, floor(l_quantity)::BIGINT AS channels, '5.1' AS channel_layout,
       48000::BIGINT AS sample_rate, 0::BIGINT AS bitrate, l_linenumber = 1 AS is_default, false AS is_forced FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 50 <> 7""")
 def audio_streams(spark, d):
-    n = F.col("l_linenumber")
-    entry = F.struct(
-        (n - 1).alias("index"), F.concat(F.lit(" "), F.col("l_returnflag")).alias("codec_name"), F.floor("l_quantity").alias("channels"), F.lit("5.1").alias("channel_layout"), F.lit("48000").alias("sample_rate"), F.lit("N/A").alias("bit_rate"),
-        F.when(n % 2 == 0, F.create_map(F.lit("language"), F.lit("ENG"))).alias("tags"), F.create_map(F.lit("default"), (n == 1).cast("int")).alias("disposition"),
-    )
-    probes = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("clip")).agg(F.to_json(F.struct(F.collect_list(entry).alias("streams"))).alias("probe"))
+    def entry(line):
+        n = line["l_linenumber"]
+        return F.struct(
+            (n - 1).alias("index"), F.concat(F.lit(" "), line["l_returnflag"]).alias("codec_name"), F.floor(line["l_quantity"]).alias("channels"), F.lit("5.1").alias("channel_layout"), F.lit("48000").alias("sample_rate"), F.lit("N/A").alias("bit_rate"),
+            F.when(n % 2 == 0, F.create_map(F.lit("language"), F.lit("ENG"))).alias("tags"), F.create_map(F.lit("default"), (n == 1).cast("int")).alias("disposition"),
+        )
+
+    # lines are shuffled as they are, their entries made where they have met
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("clip")).agg(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_quantity")).alias("lines"))
+    probes = lines.select("clip", F.to_json(F.struct(F.transform("lines", entry).alias("streams"))).alias("probe"))
     return metadata.audio_streams(probes.withColumn("probe", F.when(F.col("clip") % 50 == 7, "{bad").otherwise(F.col("probe"))), "clip", "probe")
 
 
