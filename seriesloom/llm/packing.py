@@ -10,9 +10,7 @@ remains is short, which leaves little of a sequence unfilled.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -21,28 +19,36 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import pick, small_batches, text_slices
+from .common import pick, release_memory, small_batches, text_slices
 
 #: A rest of at most this many tokens is not cut further.
 SHORT = 256
-#: Whitespace-separated chunks kept with their ids by each Python worker, twice: those met lately, and those before.
-CACHE_CHUNKS = 120_000
+#: Words and other chunks between spaces kept with their ids by each Python worker: those met last.
+CACHE_CHUNKS = 240_000
 CACHE_CHARS = 48
+#: Bytes of texts encoded at once; the memory that it took goes back after each slice.
+SLICE_BYTES = 1 << 20
 
-#: Marks that often end a word, and words that certainly are letters to the tokenizer.
-MARKS = ".,!?"
-_LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+#: Marks that often end a word, and words that certainly are letters to the tokenizer; patterns of Arrow's regular expressions.
+_LETTERS = "[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+WORD, MARKED = rf"\A{_LETTERS}\z", rf"\A{_LETTERS}[.,!?]\z"
 
 _ENCODERS: dict = {}
 
 
+def lists(sizes: np.ndarray, values: np.ndarray) -> pa.LargeListArray:
+    """Lists of these sizes, one after the other in ``values``."""
+    return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.array(values, pa.uint32()))
+
+
 class ChunkEncoder:
     """Ids of texts.
 
     The word tokenizer drops white space and never joins characters across it,
     so the ids of a text are those of its chunks between spaces, one after the
-    other. The distinct chunks of many texts are looked up together; frequent
-    ones are encoded once.
+    other. The distinct chunks of many texts are looked up together; those met
+    lately are kept with their ids. They are held as Arrow arrays, as Python
+    objects for each would take ten times their size in every worker.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,25 +62,50 @@ class ChunkEncoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         # added tokens are told apart by case before the normaliser sees a text
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {"": b""}
-        self.former: dict[str, bytes] = {}
+        self.known, self.known_ids = pa.array([], pa.string()), lists(np.array([], int), np.array([], "<u4"))
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
 
-    def _words(self, words: list[str]) -> None:
-        """Learn words of letters, many in one text: the last token of each is marked as a word's end."""
+    def _words(self, words: pa.Array) -> Iterator[pa.LargeListArray]:
+        """Ids of words of letters, many in one text: the last token of each is marked as a word's end."""
         for start in range(0, len(words), 4_000):
-            part = words[start : start + 4_000]
+            part = words.slice(start, 4_000).to_pylist()
             ids = np.array(self.plain.encode_batch_fast([" ".join(part).lower()], add_special_tokens=False)[0].ids, dtype="<u4")
-            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+            sizes = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+            if len(sizes) != len(part) or sizes.sum() != len(ids):
+                raise ValueError(f"{len(part)} words gave {len(sizes)} ends")
+            yield lists(sizes, ids)
+
+    def _chunks(self, chunks: pa.Array) -> Iterator[pa.LargeListArray]:
+        for start in range(0, len(chunks), 4_000):
+            found = self.tokenizer.encode_batch_fast(chunks.slice(start, 4_000).to_pylist(), add_special_tokens=False)
+            ids = [np.array(enc.ids, "<u4") for enc in found]
+            yield lists(np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids))
+
+    def _looked_up(self, chunks: pa.Array) -> pa.LargeListArray:
+        """Ids of distinct chunks, which become those met last."""
+        import pyarrow.compute as pc
 
-    def _chunks(self, chunks: list[str], into: dict[str, bytes]) -> None:
-        for start in range(0, len(chunks), 20_000):
-            part = chunks[start : start + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            into.update(zip(part, [array("I", enc.ids).tobytes() for enc in found]))
+        known = self.known.cast(chunks.type)
+        at = pc.index_in(chunks, value_set=known)
+        new = chunks.filter(at.is_null())
+        is_word = pc.and_(pc.match_substring_regex(new, WORD), pc.less_equal(pc.utf8_length(new), CACHE_CHARS))
+        words, other = new.filter(is_word), new.filter(pc.invert(is_word))
+        base = pa.concat_arrays([self.known_ids, *self._words(words), *self._chunks(other)])
+        place, mask = np.empty(len(new), np.int64), np.asarray(is_word)
+        place[mask] = len(known) + np.arange(len(words))
+        place[~mask] = len(known) + len(words) + np.arange(len(other))
+        rest = np.ones(len(known), bool)
+        rest[np.asarray(at.drop_null())] = False
+        where = np.asarray(at.fill_null(-1)).astype(np.int64)
+        where[where < 0] = place
+        short = np.asarray(pc.less_equal(pc.utf8_length(chunks), CACHE_CHARS))
+        ids = base.take(pa.array(where))
+        kept = np.concatenate([where[short], np.flatnonzero(rest)])[:CACHE_CHUNKS]
+        self.known = pa.concat_arrays([chunks.filter(pa.array(short)), known.filter(pa.array(rest))])[:CACHE_CHUNKS]
+        self.known_ids = base.take(pa.array(kept))
+        return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's end."""
@@ -87,48 +118,20 @@ class ChunkEncoder:
         for token in self.added:
             lowered = pc.if_else(pc.match_substring(lowered, token.lower()), texts, lowered)
         split = pc.split_pattern(lowered, " ")
+        in_text = np.concatenate([[0], np.cumsum(pc.list_value_length(split), dtype=np.int64)])
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > CACHE_CHUNKS:
-            self.known, self.former = {"": b""}, self.known
-        known, former = self.known, self.former
-        ids = list(map(known.get, chunks))
-        wanted = {c for c, v in zip(chunks, ids) if v is None}
-        # what was met before the cache was turned over is still worth keeping
-        again = wanted.intersection(former)
-        known.update(zip(again, map(former.__getitem__, again)))
+        del texts, lowered, split
         # a word and the mark that ends it are parts of their own
-        marked: list[str] = []
-        words: set[str] = set()
-        other: list[str] = []
-        long: list[str] = []
-        for chunk in wanted - again:
-            if len(chunk) > CACHE_CHARS:
-                long.append(chunk)
-            elif _LATIN(chunk):
-                words.add(chunk)
-            elif chunk[-1] in MARKS and _LATIN(chunk[:-1]):
-                marked.append(chunk)
-                words.add(chunk[:-1])
-            else:
-                other.append(chunk)
-        self._words(list(words.difference(known)))
-        self._chunks(other + [m for m in MARKS if m not in known], known)
-        for chunk in marked:
-            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
-        if wanted:
-            ids = list(map(known.get, chunks))
-        if long:
-            extra: dict[str, bytes] = {}
-            self._chunks(long, extra)
-            ids = [extra[c] if v is None else v for c, v in zip(chunks, ids)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy()
-        counts = sizes[at]
-        ends = np.cumsum(counts)
-        found = pool[np.repeat(starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
-        return found, np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy())]
+        chunks, at = coded.dictionary, np.asarray(coded.indices)
+        marked = pc.match_substring_regex(chunks, MARKED)
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+        marks = pc.if_else(marked, pc.utf8_slice_codeunits(chunks, -1), "")
+        parts = pa.concat_arrays([stems, marks.cast(stems.type)]).dictionary_encode()
+        ids = self._looked_up(parts.dictionary)
+        pairs = ids.take(pa.array(np.asarray(parts.indices).reshape(2, -1).T.ravel()))
+        by_chunk = pa.LargeListArray.from_arrays(pa.array(np.asarray(pairs.offsets)[::2]), pairs.values)
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(by_chunk))[at], dtype=np.int64)])
+        return np.asarray(by_chunk.take(pa.array(at)).flatten()), ends[in_text[1:]]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -230,7 +233,7 @@ def harmonic_pack(
             arrays = [pa.array(cols[i], pa.int64()) for i in (0, 1, 2, 3, 4, 6, 7)]
             return pa.RecordBatch.from_arrays(arrays + ([pa.array(cols[5], pa.binary())] if with_ids else []), schema=schema)
 
-        for batch in text_slices(batches, text_col):
+        for batch in text_slices(batches, text_col, SLICE_BYTES):
             ids = batch.column(id_col).to_pylist()
             found, ends = enc.encode(batch.column(text_col))
             with_end = np.insert(found, ends, end_id)
@@ -241,6 +244,8 @@ def harmonic_pack(
                     piece = raw[4 * (at + start) : 4 * (at + start + size)]
                     out += bins.add((doc, start, size, zlib.crc32(piece), total, bytes(piece) if with_ids else None))
                 at = stop
+            del found, with_end, raw
+            release_memory()
             if len(out) > 20_000:
                 yield flush(out)
                 out = []
